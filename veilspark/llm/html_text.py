@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import bounded_batches, materialise
 from .url_filter import url_host
 
 MIN_PAGES = 5
@@ -238,6 +238,7 @@ def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, importance:
     parents end. Repeated rows give their text again. An empty table gives an
     empty one; other columns are ignored.
     """
+    bounded_batches(pages.sparkSession)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     base = base.withColumn("host", url_host(F.col("url")))
     low = node_importance(base).where((F.col("pages") >= min_pages) & (F.col("importance") < importance))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, find
 from .shingles import batches, mix, shingle_sets
-from .storage import materialise
+from .storage import bounded_batches, materialise
 
 COORDINATES = 64
 MATCHES = 42
@@ -242,6 +242,7 @@ def near_duplicates(
     component_id unless all ids of the component are null; such rows are kept.
     An empty table gives an empty one; other columns of ``docs`` are ignored.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     sketched = base.mapInArrow(_sketch(coordinates), "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, tokens array<long>, sig binary")
     key = ["n_shingles", "h1", "h2"]

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import bounded_batches
+
 #: Labelled rows that are learnt from at most: those with the least hash of
 #: their doc_id, so the choice is the same in every run.
 SAMPLE_ROWS = 20_000
@@ -151,6 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
     without doc_id don't count; of several of one doc_id the mean, from 0.5
     on 1. At most ``sample_rows`` labels are used (SAMPLE_ROWS says which).
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"), folds)).groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import bounded_batches, materialise
 from .suffix_array import common_prefixes, suffix_array
 
 LENGTH = 50
@@ -329,6 +329,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     start in a document with a smaller doc_id. th is the xxhash64 of the text;
     parts may overlap. A null doc_id counts as larger than all others and
     comes back as the largest long."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -21,6 +21,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Bytes of a batch sent to a Python worker, where the session has Spark's default.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the memory of Python workers small when texts are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which the vocabulary's texts were split.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -111,6 +113,7 @@ def count_tokens(docs: DataFrame, fields: tuple[str, ...] = ("text",), by_line:
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    bounded_batches(docs.sparkSession)
     names = [f"__field{k}" for k in range(len(fields))]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(n) for c, n in zip(fields, names, strict=True)])
     counted = base.mapInArrow(_attributed(names, by_line, vocabulary, rule), "doc_id long, field string, section int, start long, end long, n_tokens long")

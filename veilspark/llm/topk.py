@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import bounded_batches, materialise
 
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 8192
@@ -107,6 +107,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     candidates of their own, and such queries share one ranking. An empty
     table gives an empty one; other columns are ignored.
     """
+    bounded_batches(vectors.sparkSession)
     x = F.col("embedding").cast("array<double>")
     base = (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("vec"))

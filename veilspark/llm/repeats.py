@@ -1,11 +1,16 @@
 """Removal of byte strings that repeat across documents, by suffix arrays.
 
+0. Texts that repeat as a whole lose every byte but in the smallest document
+   and take no further part, so groups of copies never meet anywhere.
 1. In each window of ``length`` bytes the k-gram with the least hash is its
    anchor. Windows with the same bytes have the same anchor, so all copies of
    a window are found among the windows of one anchor.
 2. Anchors are counted in the buckets of their hash. A fixed-size bit filter
    keeps those that occur in two documents; where too many of its bits are
-   set, it is left out and all anchors go on.
+   set, it is left out and all anchors go on. Anchors of very many documents
+   (at most HOT_ANCHORS of them) are listed: their windows are dealt out one
+   by one, by their own hash, so that no shard holds a frequent passage's
+   surroundings in all documents.
 3. The stretches around the kept anchors go to the bucket of the anchor. A
    bucket's stretches are one shard: its suffix array is built by induced
    sorting, and runs of common prefixes of ``length`` bytes give the smallest
@@ -27,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import bounded_batches, materialise
-from .suffix_array import common_prefixes, suffix_array
+from .suffix_array import PrefixHashes, full_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 20
 FILTER_BITS = 1 << 27
 BUCKET_BYTES = 8 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
+HOT_ROWS = 2048
+HOT_ANCHORS = 1_000_000
 BROADCAST_ROWS = 1_000_000
 LAST = np.iinfo(np.int64).max
 
@@ -57,7 +64,7 @@ def _grams(buf: np.ndarray) -> np.ndarray:
 
 
 def _chunk_runs(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int):
-    """Runs of windows with one anchor: first window, last window, anchor."""
+    """Runs of windows with one anchor: first, last, hash of the anchor."""
     g = _grams(buf)
     span = length - GRAM + 1
     key = (g & ~_U(0xFFFFF)) | np.arange(len(g), dtype=_U)
@@ -78,7 +85,8 @@ def _chunk_runs(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: i
     lo = np.flatnonzero(new & ok)
     stop = np.append(np.flatnonzero(new | ~ok), len(least))
     hi = stop[np.searchsorted(stop, lo, side="right")] - 1
-    return lo, hi, least[lo], g[least[lo]]
+    # least hashes are small ones; mixed again they are even over all buckets
+    return lo, hi, _mix(g[least[lo]] * _U(0xC2B2AE3D27D4EB4F))
 
 
 def runs(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray, ...]]:
@@ -94,7 +102,7 @@ def runs(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarray,
         buf = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
         ends = np.cumsum([len(p) for _, _, p in parts])
         starts = np.concatenate(([0], ends[:-1]))
-        lo, hi, at, h = _chunk_runs(buf, ends, starts, length)
+        lo, hi, h = _chunk_runs(buf, ends, starts, length)
         k = np.searchsorted(ends, lo, side="right")
         shift = np.array([o for _, o, _ in parts]) - starts
         return np.array([i for i, _, _ in parts])[k], lo + shift[k], hi + shift[k], h
@@ -129,25 +137,32 @@ def _count_anchors(length: int, buckets: int):
             doc, _, _, h = got
             order = np.lexsort((doc, h))
             doc, h = doc[order], h[order]
-            first = np.concatenate(([True], h[1:] != h[:-1]))
-            other = np.concatenate(([False], (h[1:] == h[:-1]) & (doc[1:] != doc[:-1])))
-            rank = np.cumsum(other) - np.maximum.accumulate(np.where(first, np.cumsum(other), 0))
-            h = h[first | other & (rank == 1)]
+            once = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
+            h, n = np.unique(h[once], return_counts=True)
             b = (h >> _U(37)).astype(np.int64) * buckets >> 27
             cut = np.searchsorted(b, np.arange(buckets + 1))
             keep = np.flatnonzero(np.diff(cut))
-            raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)
+            raw = ((h & ~_U(0xFFFF)) | np.minimum(n, 0xFFFF).astype(np.uint64)).astype("<u8")
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(keep, pa.int32()), "anchors": [raw[cut[i] : cut[i + 1]].tobytes() for i in keep]})
 
     return run
 
 
-def _repeated_bits(buckets: int):
+def _repeated_bits(hot_rows: int):
+    """The filter bits of each bucket's repeated anchors, and its hot ones.
+
+    An anchor is its hash's upper 48 bits; the lower 16 count a batch's rows.
+    """
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, rows in _by_bucket(frames, ["anchors"]):
             h = np.sort(np.frombuffer(b"".join(rows["anchors"]), "<u8"))
-            bits = np.unique((h[1:][h[1:] == h[:-1]] >> _U(37)).astype(np.int64))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "bits": [bits.astype("<u4").tobytes()]})
+            first = np.concatenate(([0], np.flatnonzero((h[1:] ^ h[:-1]) >> _U(16)) + 1))
+            n = np.add.reduceat((h & _U(0xFFFF)).astype(np.int64), first)
+            anchors = h[first] >> _U(16)
+            bits = np.unique((anchors[n > 1] >> _U(21)).astype(np.int64))
+            hot = anchors[n >= hot_rows]
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "bits": [bits.astype("<u4").tobytes()], "hot": [hot.astype("<u8").tobytes()], "n": [int(n.sum())]})
 
     return run
 
@@ -168,19 +183,35 @@ def _by_bucket(frames: Iterator[pa.RecordBatch], names: list[str]):
         yield at, rows
 
 
-_STRETCH = np.dtype([("anchor", "<u8"), ("row", "<i4"), ("at", "<i8"), ("n", "<i4"), ("all", "<i4")])
+_STRETCH = np.dtype([("anchor", "<u8"), ("row", "<i4"), ("at", "<i8"), ("n", "<i4"), ("kind", "<i4")])
+_BYTES, _KNOWN, _WINDOW = 0, 1, 2
+
+
+def _windows(texts: list[bytes], doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, hash) of each window of the given runs."""
+    buf = np.frombuffer(b"".join(texts[d][a : z + length] for d, a, z in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True)), np.uint8)
+    n = hi - lo + 1
+    run = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.cumsum(n + length - 1) - (n + length - 1))[run] + offset
+    g = _grams(buf)
+    h = g[at]
+    for k in range(GRAM, length, GRAM):
+        h = _mix(h * _U(0x9E3779B97F4A7C15) + g[at + min(k, length - GRAM)])
+    return run, lo[run] + offset, h
 
 
-def _stretches(length: int, buckets: int, bits):
+def _stretches(length: int, buckets: int, bits, hot):
     """The stretches of kept anchors, packed for each bucket.
 
     One row per batch and bucket: the documents, the table of stretches and
-    their bytes end to end. ``all`` marks stretches all of whose windows are
-    known to repeat; they have no bytes.
+    their bytes end to end. Kinds: a stretch with its bytes, a part that is
+    known to repeat, a window of a hot anchor that its hash stands for.
     """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = None if bits is None else np.frombuffer(bits.value, np.uint8)
+        hots = np.frombuffer(hot.value, "<u8")
         for frame in frames:
             texts = _bytes(frame["text"])
             ids = np.array([LAST if x is None else x for x in frame["doc_id"].to_pylist()], np.int64)
@@ -193,22 +224,41 @@ def _stretches(length: int, buckets: int, bits):
                 b = (h >> _U(37)).astype(np.int64)
                 kept = (flags[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
                 doc, lo, hi, h = doc[kept], lo[kept], hi[kept], h[kept]
+            is_hot = np.isin(h >> _U(16), hots)
+            table, raw = [np.zeros(0, _STRETCH)], []
+            if is_hot.any():
+                which, at, key = _windows(texts, doc[is_hot], lo[is_hot], hi[is_hot], length)
+                row = doc[is_hot][which]
+                order = np.lexsort((at, ids[row], key))
+                first = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+                low = ids[row[order[first]]][np.cumsum(first) - 1]
+                known = np.empty(len(order), bool)
+                known[order] = ids[row[order]] > low
+                table.append(_rows(key[~known], row[~known], at[~known], length, _WINDOW))
+                row, at = row[known], at[known]
+                order = np.lexsort((at, row))
+                row, at = row[order], at[order]
+                start = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)))) if len(row) else np.zeros(0, np.int64)
+                stop = np.append(start[1:], len(row)) - 1
+                table.append(_rows(_mix(row[start].astype(np.uint64)), row[start], at[start], at[stop] - at[start] + length if len(start) else 0, _KNOWN))
+                raw += [b""] * sum(len(x) for x in table)
+            doc, lo, hi, h = doc[~is_hot], lo[~is_hot], hi[~is_hot], h[~is_hot]
             order = np.lexsort((lo, hashes[doc], ids[doc], h))
             seen: dict[bytes, int] = {}
-            anchor, table, raw = None, [], []
+            anchor, kinds = None, []
             for j, d, a, z in zip(h[order].tolist(), doc[order].tolist(), lo[order].tolist(), hi[order].tolist(), strict=True):
                 if j != anchor:
                     anchor, seen = j, {}
                 text = texts[d][a : z + length]
-                low = seen.setdefault(text, int(ids[d]))
-                more = low < ids[d]
-                table.append((j, d, a, len(text), more))
+                more = seen.setdefault(text, int(ids[d])) < ids[d]
+                kinds.append(_KNOWN if more else _BYTES)
                 raw.append(b"" if more else text)
-            if not table:
-                continue
-            t = np.array(table, _STRETCH)
+            table.append(_rows(h[order], doc[order], lo[order], hi[order] - lo[order] + length, np.array(kinds, np.int64)))
+            t = np.concatenate(table)
             b = (t["anchor"] >> _U(37)).astype(np.int64) * buckets >> 27
-            cut = np.searchsorted(b, np.arange(buckets + 1))
+            order = np.argsort(b, kind="stable")
+            t = t[order]
+            cut = np.searchsorted(b[order], np.arange(buckets + 1))
             keep = np.flatnonzero(np.diff(cut))
             out = {"bucket": pa.array(keep, pa.int32()), "ids": [], "hashes": [], "table": [], "bytes": []}
             for i in keep:
@@ -217,37 +267,63 @@ def _stretches(length: int, buckets: int, bits):
                 out["ids"].append(ids[rows].tobytes())
                 out["hashes"].append(hashes[rows].astype(np.int64).tobytes())
                 out["table"].append(part.tobytes())
-                out["bytes"].append(b"".join(raw[cut[i] : cut[i + 1]]))
-            yield pa.RecordBatch.from_pydict(out)
+                out["bytes"].append(b"".join([raw[k] for k in order[cut[i] : cut[i + 1]].tolist()]))
+            if len(keep):
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def _shard(start: np.ndarray, n: np.ndarray, ids: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest document of each window of the stretches of one shard.
+def _rows(anchor, row, at, n, kind) -> np.ndarray:
+    out = np.zeros(len(anchor), _STRETCH)
+    out["anchor"], out["row"], out["at"], out["n"], out["kind"] = anchor, row, at, n, kind
+    return out
 
-    Returns the index of the stretch of each window and that document, in
-    text order.
+
+def _shard(anchor: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one shard that also start in a smaller document:
+    (stretch, first window, number of windows).
+
+    Stretches of one anchor with the same bytes are one in the suffix array,
+    with their smallest document.
     """
-    at = np.concatenate(([0], np.cumsum(n + 1)))
-    t = np.zeros(at[-1] + 1, np.int32)
-    where = np.arange(n.sum()) + np.repeat(np.arange(len(n)), n)
-    t[where] = raw[np.arange(n.sum()) + np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n)].astype(np.int32) + 2
-    t[at[1:] - 1] = 1
+    base = start - (np.cumsum(n) - n)
+    text = raw[np.arange(n.sum()) + np.repeat(base, n)]
+    ends = np.cumsum(n)
+    h = PrefixHashes(text).of(ends - n, ends) + anchor * _U(0x9E3779B97F4A7C15) + n.astype(_U)
+    _, one, of = np.unique(h, return_index=True, return_inverse=True)
+    lows = np.full(len(one), LAST, np.int64)
+    np.minimum.at(lows, of, ids)
+    m = n[one]
+    begin = np.cumsum(m) - m
+    inner = np.arange(m.sum()) - np.repeat(begin, m)
+    where = inner + np.repeat(begin + np.arange(len(m)), m)
+    t = np.zeros(m.sum() + len(m) + 1, np.uint16)
+    t[where] = text[inner + np.repeat((ends - n)[one], m)].astype(np.uint16) + 2
+    t[np.cumsum(m + 1) - 1] = 1
     sa = suffix_array(t, length)
-    shared = common_prefixes(t, sa, length)[sa]
-    stretch = np.repeat(np.arange(len(n)), n + 1)
-    stretch = np.append(stretch, len(n) - 1)
+    shared = full_prefixes(t, sa, length)[sa]
+    stretch = np.append(np.repeat(np.arange(len(m)), m + 1), len(m) - 1)
     inside = np.zeros(len(t), bool)
-    inside[where] = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n) <= np.repeat(n, n) - length
-    group = np.cumsum(shared < length)
+    inside[where] = inner <= np.repeat(m, m) - length
+    group = np.cumsum(~shared)
     order = np.flatnonzero(inside[sa])
+    first = np.concatenate(([0], np.flatnonzero(np.diff(group[order])) + 1))
     lowest = np.full(group[-1] + 1, LAST, np.int64)
-    np.minimum.at(lowest, group[order], ids[stretch[sa[order]]])
+    lowest[group[order[first]]] = np.minimum.reduceat(lows[stretch[sa[order]]], first)
     low = np.empty(len(t), np.int64)
     low[sa] = lowest[group]
-    windows = np.flatnonzero(inside)
-    return stretch[windows], low[windows]
+    low = low[inside]  # of the windows of distinct stretches, in order
+    w = n - length + 1
+    at = (np.cumsum(m - length + 1) - (m - length + 1))[of]
+    which = np.repeat(np.arange(len(n)), w)
+    offset = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+    hit = low[at[which] + offset] < ids[which]
+    which, offset = which[hit], offset[hit]
+    if not len(which):
+        return which, offset, offset
+    a = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1))))
+    return which[a], offset[a], np.diff(np.append(a, len(which)))
 
 
 def _repeats(length: int, shard_bytes: int):
@@ -259,35 +335,32 @@ def _repeats(length: int, shard_bytes: int):
             t = np.concatenate(tables).copy()
             t["row"] += np.repeat(base[:-1], [len(x) for x in tables]).astype(np.int32)
             raw = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
-            n = np.where(t["all"] == 1, 0, t["n"]).astype(np.int64)
+            n = np.where(t["kind"] == _BYTES, t["n"], 0).astype(np.int64)
             start = np.cumsum(n) - n
-            known = t[t["all"] == 1]
+            known = t[t["kind"] == _KNOWN]
             spans = [(known["row"], known["at"], known["at"] + known["n"])]
-            own = np.flatnonzero(t["all"] == 0)
+            single = t[t["kind"] == _WINDOW]
+            if len(single):
+                order = np.lexsort((ids[single["row"]], single["anchor"]))
+                single = single[order]
+                first = np.concatenate(([True], single["anchor"][1:] != single["anchor"][:-1]))
+                hit = single[ids[single["row"]] > ids[single["row"][first]][np.cumsum(first) - 1]]
+                spans.append((hit["row"], hit["at"], hit["at"] + hit["n"]))
+            own = np.flatnonzero(t["kind"] == _BYTES)
             own = own[np.argsort(t["anchor"][own], kind="stable")]
             size = np.cumsum(n[own])
-            edge = np.flatnonzero(np.diff(t["anchor"][own])) + 1
             cut, last = [0], 0
-            for e in edge.tolist():
+            for e in (np.flatnonzero(np.diff(t["anchor"][own])) + 1).tolist():
                 if size[e - 1] - last >= shard_bytes:
                     cut.append(e)
                     last = size[e - 1]
             cut.append(len(own))
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 k = own[lo:hi]
-                if not len(k):
-                    continue
-                which, low = _shard(start[k], n[k], ids[t["row"][k]], raw, length)
-                first = np.concatenate(([0], np.cumsum(n[k] - length + 1)))[:-1]
-                offset = np.arange(len(which)) - first[which]
-                hit = low < ids[t["row"][k]][which]
-                which, offset = which[hit], offset[hit]
-                if len(which):
-                    new = np.concatenate(([True], (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)))
-                    a = np.flatnonzero(new)
-                    z = np.append(a[1:], len(which)) - 1
-                    at = t["at"][k][which[a]]
-                    spans.append((t["row"][k][which[a]], at + offset[a], at + offset[z] + length))
+                if len(k):
+                    which, offset, many = _shard(t["anchor"][k], start[k], n[k], ids[t["row"][k]], raw, length)
+                    at = t["at"][k][which] + offset
+                    spans.append((t["row"][k][which], at, at + many + length - 1))
             row, lo, hi = (np.concatenate(x) for x in zip(*spans, strict=True))
             yield pa.RecordBatch.from_pydict({"doc_id": ids[row], "th": hashes[row], "lo": lo.astype(np.int64), "hi": hi.astype(np.int64)})
 
@@ -324,29 +397,52 @@ _KEPT = pa.schema(
 _KEPT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:long,hi:long>>"
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, th, lo, hi): parts of windows of ``length`` bytes that also
-    start in a document with a smaller doc_id. th is the xxhash64 of the text;
-    parts may overlap. A null doc_id counts as larger than all others and
-    comes back as the largest long."""
-    bounded_batches(docs.sparkSession)
-    spark = docs.sparkSession
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, order, th, th2, n): order is doc_id or, for null, LAST."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return base.withColumns({"order": F.coalesce("doc_id", F.lit(int(LAST))), "th": F.xxhash64("text"), "th2": F.xxhash64(F.lit(1), F.col("text")), "n": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
+
+
+def _without_copies(keyed: DataFrame, rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Rows that aren't copies of a smaller document's text, and the copies
+    (from ``rows``, without texts)."""
+    key = ["th", "th2", "n"]
+    low = rows.where(F.col("n") >= length).groupBy(*key).agg(F.min("order").alias("low"), F.max("order").alias("high")).where("low < high").drop("high")
+    low = materialise(low, "copies")
+    small = low.count() <= BROADCAST_ROWS
+    marked = keyed.join(F.broadcast(low) if small else low, key, "left")
+    if not small:
+        marked = materialise(marked, "marked")
+    copies = rows.join(F.broadcast(low) if small else low, key).where("order > low")
+    return marked.where("low is null or order = low").drop("low"), copies.select("doc_id", "n")
+
+
+def repeated_spans(keyed: DataFrame, total: int, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(order, th, lo, hi): parts of windows of ``length`` bytes that also
+    start in a document with a smaller order; parts may overlap.
+
+    keyed: (order, text, th) with about ``total`` bytes of text. An anchor of
+    ``hot_rows`` documents or more is hot; the number is raised until at most
+    HOT_ANCHORS can be.
+    """
+    spark = keyed.sparkSession
     buckets = int(min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)), FILTER_BITS))
-    counted = base.select("text").mapInArrow(_count_anchors(length, buckets), "bucket int, anchors binary")
-    found = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_bits(buckets), "bucket int, bits binary")
+    counted = keyed.select("text").mapInArrow(_count_anchors(length, buckets), "bucket int, anchors binary")
+    found = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_bits(hot_rows), "bucket int, bits binary, hot binary, n long")
     found = materialise(found, "anchors")
-    n_set = found.agg(F.sum(F.length("bits") / 4)).first()[0] or 0
+    n_set, n_all = (x or 0 for x in found.agg(F.sum(F.length("bits") / 4), F.sum("n")).first())
+    if n_all > hot_rows * HOT_ANCHORS:
+        return repeated_spans(keyed, total, length, -(-n_all // HOT_ANCHORS))
     bits = None
     if n_set <= FILTER_BITS / 8:
         flags = np.zeros(FILTER_BITS, bool)
         for row in found.select("bits").toLocalIterator():
             flags[np.frombuffer(row["bits"], "<u4")] = True
         bits = spark.sparkContext.broadcast(np.packbits(flags, bitorder="little").tobytes())
-    keyed = base.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    packed = keyed.mapInArrow(_stretches(length, buckets, bits), "bucket int, ids binary, hashes binary, table binary, bytes binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(length, SHARD_BYTES), "doc_id long, th long, lo long, hi long")
+    hot = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r["hot"] for r in found.select("hot").where(F.length("hot") > 0).toLocalIterator()), "<u8")).tobytes())
+    packed = keyed.select(F.col("order").alias("doc_id"), "text", "th").mapInArrow(_stretches(length, buckets, bits, hot), "bucket int, ids binary, hashes binary, table binary, bytes binary")
+    spans = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(length, SHARD_BYTES), "doc_id long, th long, lo long, hi long")
+    return spans.withColumnRenamed("doc_id", "order")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -362,18 +458,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     larger than all others. An empty table gives an empty one; other columns
     of ``docs`` are ignored.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = materialise(repeated_spans(docs, length), "spans")
-    grouped = spans.groupBy("doc_id", "th").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his")).withColumnsRenamed({"doc_id": "span_id", "th": "span_th"})
-    keyed = base.withColumns({"span_id": F.coalesce("doc_id", F.lit(int(LAST))), "span_th": F.xxhash64("text")})
-    keys = spans.select(F.col("doc_id").alias("span_id"), F.col("th").alias("span_th")).distinct()
-    with_spans, plain = keyed, None
+    bounded_batches(docs.sparkSession)
+    keyed = _keyed(docs)
+    rows = materialise(keyed.drop("text"), "texts")
+    own, copies = _without_copies(keyed, rows, length)
+    spans = materialise(repeated_spans(own, rows.agg(F.sum("n")).first()[0] or 0, length), "spans")
+    grouped = spans.groupBy("order", "th").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
+    keys = spans.select("order", "th").distinct()
+    with_spans, plain = own, None
     if keys.count() <= BROADCAST_ROWS:
-        with_spans = keyed.join(F.broadcast(keys), ["span_id", "span_th"], "left_semi")
-        plain = keyed.join(F.broadcast(keys), ["span_id", "span_th"], "left_anti")
-    cut = with_spans.join(grouped, ["span_id", "span_th"], "left").select("doc_id", "text", "los", "his").mapInArrow(_keep, _KEPT_SQL)
-    if plain is None:
-        return cut
-    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+        with_spans = own.join(F.broadcast(keys), ["order", "th"], "left_semi")
+        plain = own.join(F.broadcast(keys), ["order", "th"], "left_anti")
+    cut = with_spans.join(grouped, ["order", "th"], "left").select("doc_id", "text", "los", "his").mapInArrow(_keep, _KEPT_SQL)
     zero = F.lit(0).cast("long")
-    return cut.union(plain.select("doc_id", n.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)").alias("spans")))
+    gone = copies.select("doc_id", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.array(F.struct(zero.alias("lo"), F.col("n").alias("hi"))).alias("spans"))
+    out = cut.union(gone)
+    if plain is None:
+        return out
+    return out.union(plain.select("doc_id", F.col("n").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)").alias("spans")))

@@ -86,7 +86,7 @@ def _induce(t: np.ndarray, s: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray
     return np.concatenate(whole)
 
 
-class _Prefix:
+class PrefixHashes:
     """Hashes of the parts of a string, from sums over its prefixes."""
 
     def __init__(self, t: np.ndarray):
@@ -107,7 +107,7 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     Substrings are compared by length and a 64-bit hash of their symbols.
     """
     end = np.append(lms[1:] + 1, len(t))
-    h = _Prefix(t).of(lms, end) + (end - lms).astype(_U)
+    h = PrefixHashes(t).of(lms, end) + (end - lms).astype(_U)
     where = np.empty(len(t), np.int64)
     where[lms] = np.arange(len(lms))
     sorted_ = where[order]
@@ -120,10 +120,18 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
 def _by_doubling(t: np.ndarray, depth: int | None) -> np.ndarray:
     """Order of the suffixes of ``t``, by their first ``depth`` symbols."""
     rank, h = t.astype(np.int64), 1
+    if int(rank.max()) < 1 << 20:  # three symbols to begin with
+        key = np.concatenate((rank + 1, [0, 0]))
+        rank, h = (key[:-2] << 42) | (key[1:-1] << 21) | key[2:], 3
+        order = np.argsort(rank)
+        k = rank[order]
+        rank[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
+        if rank[order[-1]] == len(t) - 1 or h >= len(t) or depth and h >= depth:
+            return order
     while True:
         key = rank * (int(rank.max()) + 2)
         key[: len(t) - h] += rank[h:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         rank = np.empty(len(t), np.int64)
         rank[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
@@ -143,6 +151,7 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
     k = int(t.max()) + 1
     if k > BUCKETS:
         return _by_doubling(t, depth)
+    t = t.astype(np.uint16)  # sorted by digits
     s = classify(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     is_lms = np.zeros(len(t), bool)
@@ -164,7 +173,7 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """
     n = len(t)
     out = np.zeros(n, np.int64)
-    hashed = _Prefix(t)
+    hashed = PrefixHashes(t)
     before, after = sa[:-1], sa[1:]
     got = np.zeros(n - 1, np.int64)
     step = 1 << (most.bit_length() - 1)
@@ -175,3 +184,17 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
         step >>= 1
     out[after] = got
     return out
+
+
+def full_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+    """For each position whether its common prefix with the one before it in
+    order has ``most`` symbols: common_prefixes() cut to one comparison."""
+    n = len(t)
+    out = np.zeros(n, bool)
+    if n > most:
+        at = np.arange(n - most + 1)
+        window = np.zeros(n, _U)
+        window[: n - most + 1] = PrefixHashes(t).of(at, at + most)
+        a, b = sa[:-1], sa[1:]
+        out[b] = (window[a] == window[b]) & (np.maximum(a, b) <= n - most)
+    return out

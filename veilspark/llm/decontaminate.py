@@ -23,6 +23,7 @@ MIN_WINDOWS = 3
 #: Placeholders that a window may have at most.
 MAX_SLOTS = 4
 BROADCAST_WINDOWS = 1_000_000
+BROADCAST_DOCS = 1_000_000
 NUM, NAME, UNIT = "\x02", "\x03", "\x04"
 #: Units that are placeholders after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l s sec secs min mins h hr hrs kb mb gb tb hz khz mhz ghz v w kw a j k c f usd eur gbp inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms ounce ounces pound pounds liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees"
@@ -82,16 +83,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     bench = materialise(benchmark_windows(benchmark, window), "windows")
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())
     small = bench.count() <= BROADCAST_WINDOWS
-    base = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("w")).where(F.size("w") >= MIN_WORDS)
-    base = base.withColumn("t", template_of(F.col("w")))
-    found = None
+    base = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    templates = base.select("doc_id", "th", template_of(words_of(F.col("text"))).alias("t"))
+    hits = None
     for size in sizes or [window]:
-        own = bench.where(F.col("size") == size)
-        each = base.select("doc_id", "th", "w", "t", F.posexplode(_windows(F.lit(size))).alias("at", "h"))
-        met = each.join(F.broadcast(own) if small else own, "h")
-        met = met.select("doc_id", "th", "item_id", "at", "item_at", "n_item", "item_words", "item_template", F.slice("w", F.col("at") + 1, size).alias("words"), F.slice("t", F.col("at") + 1, size).alias("template"))
-        met = met.where(F.col("template") == F.col("item_template")).drop("template")
-        found = met if found is None else found.union(met)
+        own = bench.where(F.col("size") == size).select("h", "size", "item_id", "item_at").distinct()
+        each = templates.select("doc_id", "th", F.posexplode(_windows(F.lit(size))).alias("at", "h"))
+        met = each.join(F.broadcast(own) if small else own, "h").select("doc_id", "th", "at", "size", "item_id", "item_at")
+        hits = met if hits is None else hits.union(met)
+    hits = materialise(hits.distinct(), "hits")
+    # the few documents with hits are looked at again, word by word
+    keys = hits.select(F.col("doc_id").alias("i"), F.col("th").alias("k")).distinct()
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_DOCS else keys
+    again = base.join(keys, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "th"])
+    again = again.select(F.col("doc_id").alias("i"), F.col("th").alias("k"), words_of(F.col("text")).alias("w"))
+    again = materialise(again.withColumn("t", template_of(F.col("w"))), "again")
+    found = hits.join(again, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k"))).join(F.broadcast(bench.drop("h")) if small else bench.drop("h"), ["size", "item_id", "item_at"])
+    found = found.select("doc_id", "th", "item_id", "at", "item_at", "n_item", "item_words", "item_template", F.slice("w", F.col("at") + 1, F.col("size")).alias("words"), F.slice("t", F.col("at") + 1, F.col("size")).alias("template"))
+    found = found.where(F.col("template") == F.col("item_template")).drop("template")
     pairs = F.filter(F.arrays_zip("item_template", "item_words", "words"), lambda x: x["item_template"].isin(NUM, NAME, UNIT))
     lined = found.groupBy("doc_id", "th", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.count("*").alias("n_windows"), F.max("n_item").alias("n_item"), F.min(F.transform("item_words", F.lower) == F.transform("words", F.lower)).alias("exact"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")

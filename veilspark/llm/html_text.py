@@ -200,7 +200,7 @@ def node_importance(pages: DataFrame) -> DataFrame:
     log m; both 1 where m is 1.
     """
     met = pages.select("host", "html").mapInArrow(_nodes, "host string, kind int, path string, value long")
-    counted = met.groupBy("host", "kind", "path", "value").agg(F.count("*").alias("k"))
+    counted = materialise(met.groupBy("host", "kind", "path", "value").agg(F.count("*").alias("k")), "nodes")
     merged = counted.groupBy("host", "kind", "path").agg(F.sum("k").alias("m"), F.max("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("s"))
     h = F.when(F.col("m") > 1, 1 - F.col("s") / F.col("m") / F.log("m")).otherwise(1.0)
     merged = merged.withColumn("i", h)

@@ -1 +1,6 @@
+"""The registered queries of the engine."""
 
+from . import governance, masking  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,16 +19,16 @@ def find(parent: dict, x):
     return x
 
 
-def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _forest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of each batch as stars around the smallest node."""
-    for pdf in frames:
+    for frame in frames:
         parent: dict[int, int] = {}
-        for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
+        for a, b in zip(frame["src"].to_pylist(), frame["dst"].to_pylist(), strict=True):
             a, b = find(parent, a), find(parent, b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
         nodes = list(parent)
-        yield pd.DataFrame({"src": nodes, "dst": [find(parent, x) for x in nodes]}, dtype="int64")
+        yield pa.RecordBatch.from_pydict({"src": pa.array(nodes, pa.int64()), "dst": pa.array([find(parent, x) for x in nodes], pa.int64())})
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -57,7 +57,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst")
     edges = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    edges = materialise(edges.mapInPandas(_forest, "src long, dst long").distinct(), "edges")
+    edges = materialise(edges.mapInArrow(_forest, "src long, dst long").distinct(), "edges")
     state = None
     while True:
         sums = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()

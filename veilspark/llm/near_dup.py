@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,50 +115,64 @@ def _merge_list(ids: np.ndarray, side: np.ndarray, sig: np.ndarray, matches: int
     return out
 
 
-def _segments(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+def _keys(frame, keys: list[str]) -> np.ndarray:
+    return np.stack([frame[k].to_numpy(zero_copy_only=False) if isinstance(frame, pa.RecordBatch) else frame[k].to_numpy() for k in keys], axis=1)
+
+
+def _segments(frames: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of whole groups of frames that are sorted by ``keys``."""
-    rest: list[pd.DataFrame] = []
-    for pdf in frames:
-        if not len(pdf):
+    rest: list[pa.RecordBatch] = []
+    at = None
+    for frame in frames:
+        if not frame.num_rows:
             continue
-        last = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1).to_numpy()
-        cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
-        if cut or rest and not (rest[-1][keys].iloc[-1] == pdf[keys].iloc[0]).all():
-            if cut:
-                yield pd.concat([*rest, pdf.iloc[:cut]], ignore_index=True)
-            else:
-                yield pd.concat(rest, ignore_index=True)
+        k = _keys(frame, keys)
+        if rest and (k[0] != at).any():
+            yield pa.Table.from_batches(rest).combine_chunks()
+            rest = []
+        other = np.flatnonzero((k != k[-1]).any(axis=1))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield pa.Table.from_batches([*rest, frame.slice(0, cut)]).combine_chunks()
             rest = []
-        rest.append(pdf.iloc[cut:])
+        rest.append(frame.slice(cut))
+        at = k[-1]
     if rest:
-        yield pd.concat(rest, ignore_index=True)
+        yield pa.Table.from_batches(rest).combine_chunks()
 
 
-def _bounds(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
-    k = pdf[keys].to_numpy()
+def _bounds(frame: pa.Table, keys: list[str]) -> np.ndarray:
+    k = _keys(frame, keys)
     return np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [len(k)]))
 
 
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    src, dst = zip(*set(edges), strict=True) if edges else ((), ())
+    return pa.RecordBatch.from_pydict({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+
 def _weak_edges(matches: int):
     keys = ["token", "bi", "bj"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _segments(frames, keys):
-            at = _bounds(pdf, keys)
-            ids = pdf["class_id"].to_numpy()
-            side = (pdf["b"] != pdf["bi"]).to_numpy()
-            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in _segments(frames, keys):
+            at = _bounds(frame, keys)
+            ids, b, bi, bj = (frame[c].to_numpy() for c in ("class_id", "b", "bi", "bj"))
+            side = b != bi
+            sig = np.frombuffer(b"".join(frame["sig"].to_pylist()), np.uint16).reshape(len(ids), -1)
             first = np.repeat(at[:-1], np.diff(at))
-            reached = np.count_nonzero(sig == sig[first], axis=1) >= matches
-            plain = (pdf["bi"] == pdf["bj"]).to_numpy()
-            new = np.flatnonzero(reached & plain & (first != np.arange(len(pdf))))
+            reached = np.empty(len(ids), bool)
+            for lo in range(0, len(ids), LIST_BLOCK):
+                part = slice(lo, lo + LIST_BLOCK)
+                reached[part] = np.count_nonzero(sig[part] == sig[first[part]], axis=1) >= matches
+            reached &= bi == bj
+            new = np.flatnonzero(reached & (first != np.arange(len(ids))))
             edges = list(zip(ids[new].tolist(), ids[first[new]].tolist(), strict=True))
-            open_lists = np.flatnonzero(np.add.reduceat(~(reached & plain), at[:-1]))
-            for g in open_lists.tolist():
+            for g in np.flatnonzero(np.add.reduceat(~reached, at[:-1])).tolist():
                 s = slice(at[g], at[g + 1])
                 if at[g + 1] - at[g] > 1:
                     edges += _merge_list(ids[s], side[s], sig[s], matches)
-            yield pd.DataFrame(edges, columns=["src", "dst"], dtype="int64").drop_duplicates()
+            yield _edge_batch(edges)
 
     return run
 
@@ -199,18 +212,19 @@ def _confirm_block(ids, side, n, values, offsets, similarity: int) -> list[tuple
 def _links(similarity: int):
     keys = ["label", "bi", "bj"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _segments(frames, keys):
-            at = _bounds(pdf, keys)
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in _segments(frames, keys):
+            at = _bounds(frame, keys)
+            ids = frame["class_id"].to_numpy()
+            side = frame["b"].to_numpy() != frame["bi"].to_numpy()
+            sets = frame["shingles"].combine_chunks()
+            sets = sets if isinstance(sets, pa.ListArray) else sets.chunk(0)
+            ends, values = sets.offsets.to_numpy(), sets.values.to_numpy()
             edges = []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
-                sets = [np.asarray(x, np.int64) for x in pdf["shingles"].iloc[lo:hi]]
-                n = np.array([len(x) for x in sets])
-                side = (pdf["b"] != pdf["bi"]).to_numpy()[lo:hi]
-                edges += _confirm_block(pdf["class_id"].to_numpy()[lo:hi], side, n, np.concatenate(sets), np.concatenate(([0], np.cumsum(n))), similarity)
-            yield pd.DataFrame(edges, columns=["src", "dst"], dtype="int64").drop_duplicates()
+                if hi - lo > 1:
+                    edges += _confirm_block(ids[lo:hi], side[lo:hi], np.diff(ends[lo : hi + 1]), values[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], similarity)
+            yield _edge_batch(edges)
 
     return run
 
@@ -263,7 +277,7 @@ def near_duplicates(
     lists = materialise(lists.join(classes.select("class_id", "sig"), "class_id").select("class_id", "sig", F.explode("t.token").alias("token")), "lists")
     sizes = lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.ceil(F.col("n") / list_block).alias("nb"))
     weak = _in_blocks(lists.join(sizes, "token"), "nb").select("token", "bi", "bj", "b", "class_id", "sig")
-    weak = weak.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "class_id").mapInPandas(_weak_edges(matches), "src long, dst long")
+    weak = weak.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "class_id").mapInArrow(_weak_edges(matches), "src long, dst long")
     clusters = materialise(connected_components(weak).withColumnRenamed("node", "class_id"), "clusters")
 
     near = materialise(clusters.join(classes.select("class_id", "rep", *key), "class_id"), "near")
@@ -276,7 +290,7 @@ def near_duplicates(
     sets = texts.mapInArrow(_resketch, "n_shingles long, h1 long, h2 long, shingles array<long>")
     sets = near.join(sets, key).dropDuplicates(["class_id"])
     links = _in_blocks(sets, "nb").select("label", "bi", "bj", "b", "class_id", "shingles")
-    links = links.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "class_id").mapInPandas(_links(similarity), "src long, dst long")
+    links = links.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "class_id").mapInArrow(_links(similarity), "src long, dst long")
     parts = connected_components(links).withColumnRenamed("node", "class_id")
 
     named = parts.join(classes.select("class_id", "rep", *key), "class_id")

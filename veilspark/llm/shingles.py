@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WORDS = 5
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -133,7 +133,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarra
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.cumsum(sizes)
 
 
-def batches(texts: list[str | None], limit: int = 4 * CHUNK) -> Iterator[tuple[int, int]]:
+def batches(texts: list[str | None], limit: int = 2 * CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` characters together."""
     lo = size = 0
     for i, t in enumerate(texts):

@@ -17,7 +17,7 @@ from .storage import materialise
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 KEYS = 1 << 32
 
 
@@ -39,14 +39,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     by_name = Window.orderBy(F.col("source").cast("binary").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
     sized = sizes.withColumn("w", w).withColumn("cap", F.col("source_size") * float(most))
-    before = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").cast("binary").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    in_turn = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").cast("binary").asc_nulls_last())
+    before = in_turn.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(1))
     rest = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     others = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    level = sized.withColumn("level", rest / others)
-    level = level.withColumn("open", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("cap") / F.col("w"))).over(everything))
-    level = level.withColumn("level", F.min(F.when(F.col("cap") / F.col("w") == F.col("open"), F.col("level"))).over(everything))
-    target = F.when(F.col("cap") / F.col("w") < F.col("open"), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("level")))
+    level = sized.withColumns({"level": rest / others, "turn": F.row_number().over(in_turn)})
+    level = level.withColumn("open", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("turn"))).over(everything))
+    level = level.withColumn("level", F.min(F.when(F.col("turn") == F.col("open"), F.col("level"))).over(everything))
+    target = F.when(F.col("turn") < F.col("open"), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("level")))
     return level.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
@@ -99,13 +100,14 @@ src AS (
 lev AS (
   SELECT *, 3.0::DOUBLE * source_size AS cap,
          (sum(source_size) OVER ()) - coalesce(sum(3.0::DOUBLE * source_size) OVER b, 0) AS rest,
-         (sum(w) OVER ()) - coalesce(sum(w) OVER b, 0) AS others
+         (sum(w) OVER ()) - coalesce(sum(w) OVER b, 0) AS others,
+         row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / w, encode(source) ASC NULLS LAST) AS turn
   FROM src WINDOW b AS (ORDER BY 3.0::DOUBLE * source_size / w, encode(source) ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-cut AS (SELECT min(cap / w) FILTER (WHERE rest / others <= cap / w) AS open FROM lev),
+cut AS (SELECT min(turn) FILTER (WHERE rest / others <= cap / w) AS open FROM lev),
 tgt AS (
   SELECT source, source_size,
-         CASE WHEN cap / w < open THEN cap
-              ELSE least(cap, w * (SELECT min(rest / others) FROM lev, cut WHERE cap / w = open)) END AS target
+         CASE WHEN turn < open THEN cap
+              ELSE least(cap, w * (SELECT min(rest / others) FROM lev, cut WHERE turn = open)) END AS target
   FROM lev, cut),
 pl AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target) / source_size)::BIGINT ELSE 0 END AS f FROM tgt),

@@ -73,3 +73,39 @@ def test_feed_pages(spark, tmp_path):
     df = pages.read_pages(spark, str(tmp_path / "p.json"))
     assert {(r["selector"], r["page"], r["problem"]) for r in pages.page_problems(df).collect()} == {("*", 2, "cursor or final chunk"), ("x", 1, "nope")}
     assert pages.metadata_items(df).count() == 1 and pages.dictionary_items(df).first()["value"] == "v"
+
+
+def test_reveal_expands_tokens_in_values_of_its_own_batch(spark):
+    a, b, c = (f"[MASK:v1:K:{x * 32}]" for x in "ABC")
+    known = spark.createDataFrame([(1, a, f"x {b}"), (1, b, "y"), (2, c, "z")], "batch int, token string, value string")
+    texts = spark.createDataFrame([(1, 1, f"{a} {c}"), (2, 2, f"{a}{c}"), (3, 9, a), (4, 1, None)], "doc_id int, batch int, text string")
+    assert {r["doc_id"]: r["text"] for r in mapping.reveal(texts, known).collect()} == {1: f"x y {c}", 2: f"{a}z", 3: a, 4: None}
+
+
+def test_changes_are_paired_once():
+    from veilspark.operators.governance import pair_changes
+
+    rule = lambda p, s="name", a="mask": {"selector": s, "pattern": p, "action": a}
+    got = pair_changes([rule("client"), rule("*a*"), rule("q", "type")], [rule("*lie*"), rule("ba"), rule("*")])
+    assert [(r["pattern"], a["pattern"], how) for r, a, how in got] == [("client", "*lie*", "widened"), ("*a*", "ba", "narrowed")]
+
+
+def test_setup_problems():
+    from veilspark.functions import setup
+
+    rule = {"selector": "regex", "value": r"\d{4}", "action": "mask", "category": "NUM", "reason": "numbers", "tests": {"match": ["1234"], "no_match": ["12"]}}
+    good = {"rules": [rule], "dictionary": {"sources": [{"source_path": "Catalog.A", "category": "K", "reason": "names"}]}, "tools": [{"tool": "query", "mode": "data-mask"}]}
+    assert setup.problems(good) == []
+    bad = {"rules": [rule, rule, {**rule, "value": "(?=x)"}, {**rule, "value": "[a"}, {**rule, "value": "7", "tests": {"match": ["8"], "no_match": ["7"]}}, {"selector": "name", "value": "*a*b*", "action": "hide", "category": "", "reason": ""}], "dictionary": {"sources": [{"source_path": "", "filter": {"op": "x"}, "reason": "r"}]}, "tools": [{"tool": "a b", "mode": "open"}]}
+    assert [p for p, _ in setup.problems(bad)] == [
+        "rules[1]", "rules[2].value", "rules[3].value", "rules[4].tests.match[0]", "rules[4].tests.no_match[0]", "rules[5].action", "rules[5].category", "rules[5].reason", "rules[5].value",
+        "dictionary.sources[0].source_path", "dictionary.sources[0].filter", "tools[0].tool", "tools[0].mode",
+    ]
+    assert len(setup.problems({"rules": [{}] * 100})) == setup.MAX_PROBLEMS
+
+
+def test_csv(spark, tmp_path):
+    from veilspark.operators.report import to_csv
+
+    to_csv(spark.createDataFrame([(1, 'a "b";c')], "id int, t string").coalesce(1), str(tmp_path / "out"))
+    assert next((tmp_path / "out").glob("*.csv")).read_text() == 'id;t\n1;"a ""b"";c"\n'

@@ -62,3 +62,40 @@ def grants_diff(current: DataFrame, wanted: DataFrame) -> DataFrame:
     """(user_id, database, what): grants to revoke and to give."""
     revoke = current.join(wanted, ["user_id", "database"], "left_anti").withColumn("what", F.lit("revoke"))
     return revoke.unionByName(wanted.join(current, ["user_id", "database"], "left_anti").withColumn("what", F.lit("grant")))
+
+
+def absorbed(removed: DataFrame, kept: DataFrame) -> DataFrame:
+    """(selector, pattern, by): the strictest remaining rule that covers each
+    removed one; null where it leaves a gap."""
+    from ..functions.text import covers
+
+    k = kept.select(F.col("selector").alias("k_selector"), F.col("pattern").alias("by"), action_rank(F.col("action")).alias("k_rank"))
+    r = removed.select("selector", "pattern", action_rank(F.col("action")).alias("rank"))
+    met = r.join(k, (F.col("selector") == F.col("k_selector")) & (F.col("k_rank") >= F.col("rank")) & covers(F.col("by"), F.col("pattern")), "left")
+    return met.groupBy("selector", "pattern").agg(F.max_by("by", F.struct("k_rank", "by")).alias("by"))
+
+
+def pair_changes(removed: list[dict], added: list[dict]) -> list[tuple[dict, dict, str]]:
+    """Removed and added rules of one selector and action that are one rule
+    widened or narrowed; each takes part in one pair, first come first served.
+
+    Pairing is sequential by nature; both lists are a policy's few rules.
+    """
+
+    def covers_text(a: str, b: str) -> bool:
+        if a in (b, "*"):
+            return True
+        part = lambda p: p[1:-1].lower() if len(p) > 2 and p[0] == p[-1] == "*" else None
+        return part(a) is not None and b != "*" and part(a) in (part(b) or b.lower())
+
+    out, taken = [], set()
+    for r in removed:
+        for k, a in enumerate(added):
+            if k in taken or (r["selector"], r["action"]) != (a["selector"], a["action"]) or r["selector"] == "regex":
+                continue
+            how = "widened" if covers_text(a["pattern"], r["pattern"]) else "narrowed" if covers_text(r["pattern"], a["pattern"]) else None
+            if how:
+                taken.add(k)
+                out.append((r, a, how))
+                break
+    return out

@@ -41,3 +41,19 @@ def evicted(entries: DataFrame, limit: int) -> DataFrame:
 def expired(entries: DataFrame, now: str, limit: int) -> DataFrame:
     """The oldest ``limit`` entries (token, expires_at) that have expired."""
     return entries.where(F.col("expires_at") <= F.lit(now).cast("timestamp_ntz")).orderBy("expires_at", "token").limit(limit)
+
+
+def reveal(texts: DataFrame, known: DataFrame, passes: int = 8) -> DataFrame:
+    """(doc_id, text) with tokens of the document's batch replaced, tokens in
+    the values too, ``passes`` deep; tokens of other batches stay.
+
+    texts: (doc_id, batch, text); known: (batch, token, value), the batch's
+    own few entries, which are gathered once per batch.
+    """
+    pairs = known.groupBy(F.col("batch").alias("__batch")).agg(F.collect_list(F.struct("token", "value")).alias("__pairs"))
+    met = texts.join(pairs, F.col("batch") == F.col("__batch"), "left")
+    none = F.expr("cast(array() as array<struct<token:string,value:string>>)")
+    for _ in range(passes):
+        once = F.aggregate(F.coalesce("__pairs", none), F.col("text"), lambda t, p: F.replace(t, p["token"], p["value"]))
+        met = met.withColumn("text", F.when(F.col("text").rlike(TOKEN), once).otherwise(F.col("text")))
+    return met.select("doc_id", "text")

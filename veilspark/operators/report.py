@@ -57,3 +57,24 @@ def tree_level(items: DataFrame, prefix: str) -> DataFrame:
     below = items.where(F.col("source_path").startswith(prefix)).withColumn("rest", F.substring("source_path", F.lit(len(prefix) + 1), F.length("source_path")))
     below = below.withColumn("segment", F.substring_index("rest", ".", 1))
     return below.groupBy("segment").agg(F.count("*").alias("fields"), F.sum(F.col("password_mode").cast("int")).cast("long").alias("passwords"), F.bool_or(F.contains("rest", F.lit("."))).alias("deeper"))
+
+
+def report_columns(columns: DataFrame, keys: DataFrame) -> DataFrame:
+    """(id, place): a table's columns, those of the schema (pos, id) in its
+    order, then other keys (id) of the rows in order without regard to case."""
+    from ..functions.text import ascii_lower
+
+    extra = keys.select("id").distinct().join(columns.select("id"), "id", "left_anti").select(F.lit(1).alias("part"), F.lit(None).cast("int").alias("pos"), "id")
+    both = columns.select(F.lit(0).alias("part"), "pos", "id").unionByName(extra)
+    w = Window.orderBy("part", "pos", ascii_lower(F.col("id")), "id")
+    return both.select("id", F.row_number().over(w).alias("place"))
+
+
+def to_csv(table: DataFrame, path: str) -> None:
+    """A grid as CSV files: ``;`` between fields, quotes doubled."""
+    table.write.option("sep", ";").option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\n").csv(path)
+
+
+def count_label(n: Column) -> Column:
+    """Compact counts: ~1.2 mln, ~150 k, ~999."""
+    return F.when(n >= 1_000_000, F.concat(F.lit("~"), F.round(n / 1_000_000, 1).cast("string"), F.lit(" mln"))).when(n >= 1000, F.concat(F.lit("~"), F.floor(n / 1000).cast("string"), F.lit(" k"))).otherwise(F.concat(F.lit("~"), n.cast("string")))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, released
 
 
 def find(parent: dict, x):
@@ -57,7 +57,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst")
     edges = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    edges = materialise(edges.mapInArrow(_forest, "src long, dst long").distinct(), "edges")
+    edges = materialise(edges.mapInArrow(released(_forest), "src long, dst long").distinct(), "edges")
     state = None
     while True:
         sums = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()

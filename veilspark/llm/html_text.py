@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, materialise
+from .storage import bounded_batches, materialise, released
 from .url_filter import url_host
 
 MIN_PAGES = 5
@@ -199,7 +199,7 @@ def node_importance(pages: DataFrame) -> DataFrame:
     m), presentation the entropy of the runs of the parent's children over
     log m; both 1 where m is 1.
     """
-    met = pages.select("host", "html").mapInArrow(_nodes, "host string, kind int, path string, value long")
+    met = pages.select("host", "html").mapInArrow(released(_nodes), "host string, kind int, path string, value long")
     counted = materialise(met.groupBy("host", "kind", "path", "value").agg(F.count("*").alias("k")), "nodes")
     merged = counted.groupBy("host", "kind", "path").agg(F.sum("k").alias("m"), F.max("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("s"))
     h = F.when(F.col("m") > 1, 1 - F.col("s") / F.col("m") / F.log("m")).otherwise(1.0)
@@ -246,4 +246,4 @@ def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, importance:
     if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_ROWS:
         low = F.broadcast(low)
     met = base.join(low, F.col("host") == F.col("site"), "left").select("page_id", "url", "html", "low")
-    return met.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return met.mapInArrow(released(_extract), "page_id long, url string, text string, n_chars long")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, find
 from .shingles import batches, mix, shingle_sets
-from .storage import bounded_batches, materialise
+from .storage import bounded_batches, materialise, released
 
 COORDINATES = 64
 #: Standard deviations that the match threshold lies below the mean.
@@ -263,7 +263,7 @@ def near_duplicates(
         share = similarity / 100
         matches = max(1, math.ceil(coordinates * share - MARGIN * math.sqrt(coordinates * share * (1 - share))))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    sketched = base.mapInArrow(_sketch(coordinates), "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, tokens array<long>, sig binary")
+    sketched = base.mapInArrow(released(_sketch(coordinates)), "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, tokens array<long>, sig binary")
     key = ["n_shingles", "h1", "h2"]
     rows = materialise(sketched, "sketch")
     classes = materialise(
@@ -282,7 +282,7 @@ def near_duplicates(
     lists = materialise(lists.join(classes.select("class_id", "sig"), "class_id").select("class_id", "sig", F.explode("t.token").alias("token")), "lists")
     sizes = lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.ceil(F.col("n") / list_block).alias("nb"))
     weak = _in_blocks(lists.join(sizes, "token"), "nb").select("token", "bi", "bj", "b", "class_id", "sig")
-    weak = weak.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "class_id").mapInArrow(_weak_edges(matches), "src long, dst long")
+    weak = weak.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "class_id").mapInArrow(released(_weak_edges(matches)), "src long, dst long")
     clusters = materialise(connected_components(weak).withColumnRenamed("node", "class_id"), "clusters")
 
     near = materialise(clusters.join(classes.select("class_id", "rep", *key), "class_id"), "near")
@@ -292,10 +292,10 @@ def near_duplicates(
     if near.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = base.join(ids, base["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_resketch, "n_shingles long, h1 long, h2 long, shingles array<long>")
+    sets = texts.mapInArrow(released(_resketch), "n_shingles long, h1 long, h2 long, shingles array<long>")
     sets = near.join(sets, key).dropDuplicates(["class_id"])
     links = _in_blocks(sets, "nb").select("label", "bi", "bj", "b", "class_id", "shingles")
-    links = links.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "class_id").mapInArrow(_links(similarity), "src long, dst long")
+    links = links.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "class_id").mapInArrow(released(_links(similarity)), "src long, dst long")
     parts = connected_components(links).withColumnRenamed("node", "class_id")
 
     named = parts.join(classes.select("class_id", "rep", *key), "class_id")

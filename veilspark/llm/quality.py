@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import bounded_batches
+from .storage import bounded_batches, released
 
 #: Labelled rows that are learnt from at most: those with the least hash of
 #: their doc_id, so the choice is the same in every run.
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = texts.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "y", "text")
-    rows = sorted((r["doc_id"], r["y"], *r["x"]) for r in met.mapInArrow(_measure, "doc_id long, y double, x array<double>").limit(2 * sample_rows).collect())
+    rows = sorted((r["doc_id"], r["y"], *r["x"]) for r in met.mapInArrow(released(_measure), "doc_id long, y double, x array<double>").limit(2 * sample_rows).collect())
     table = np.array(rows, float).reshape(-1, 2 + len(FEATURES))
     return grow(table[:, 2:], table[:, 1])
 
@@ -187,5 +187,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     forest = train(docs, labels, sample_rows)
     base = docs.drop("held_out", "score", "predicted")
     schema = T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())])
-    scored = base.mapInArrow(_apply(forest), schema)
+    scored = base.mapInArrow(released(_apply(forest)), schema)
     return scored.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= threshold).cast("int")})

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, materialise
+from .storage import bounded_batches, materialise, released
 from .suffix_array import PrefixHashes, full_prefixes, suffix_array
 
 LENGTH = 50
@@ -427,8 +427,8 @@ def repeated_spans(keyed: DataFrame, total: int, length: int = LENGTH, hot_rows:
     """
     spark = keyed.sparkSession
     buckets = int(min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)), FILTER_BITS))
-    counted = keyed.select("text").mapInArrow(_count_anchors(length, buckets), "bucket int, anchors binary")
-    found = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated_bits(hot_rows), "bucket int, bits binary, hot binary, n long")
+    counted = keyed.select("text").mapInArrow(released(_count_anchors(length, buckets)), "bucket int, anchors binary")
+    found = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_repeated_bits(hot_rows)), "bucket int, bits binary, hot binary, n long")
     found = materialise(found, "anchors")
     n_set, n_all = (x or 0 for x in found.agg(F.sum(F.length("bits") / 4), F.sum("n")).first())
     if n_all > hot_rows * HOT_ANCHORS:
@@ -440,8 +440,8 @@ def repeated_spans(keyed: DataFrame, total: int, length: int = LENGTH, hot_rows:
             flags[np.frombuffer(row["bits"], "<u4")] = True
         bits = spark.sparkContext.broadcast(np.packbits(flags, bitorder="little").tobytes())
     hot = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r["hot"] for r in found.select("hot").where(F.length("hot") > 0).toLocalIterator()), "<u8")).tobytes())
-    packed = keyed.select(F.col("order").alias("doc_id"), "text", "th").mapInArrow(_stretches(length, buckets, bits, hot), "bucket int, ids binary, hashes binary, table binary, bytes binary")
-    spans = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeats(length, SHARD_BYTES), "doc_id long, th long, lo long, hi long")
+    packed = keyed.select(F.col("order").alias("doc_id"), "text", "th").mapInArrow(released(_stretches(length, buckets, bits, hot)), "bucket int, ids binary, hashes binary, table binary, bytes binary")
+    spans = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_repeats(length, SHARD_BYTES)), "doc_id long, th long, lo long, hi long")
     return spans.withColumnRenamed("doc_id", "order")
 
 
@@ -469,7 +469,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if keys.count() <= BROADCAST_ROWS:
         with_spans = own.join(F.broadcast(keys), ["order", "th"], "left_semi")
         plain = own.join(F.broadcast(keys), ["order", "th"], "left_anti")
-    cut = with_spans.join(grouped, ["order", "th"], "left").select("doc_id", "text", "los", "his").mapInArrow(_keep, _KEPT_SQL)
+    cut = with_spans.join(grouped, ["order", "th"], "left").select("doc_id", "text", "los", "his").mapInArrow(released(_keep), _KEPT_SQL)
     zero = F.lit(0).cast("long")
     gone = copies.select("doc_id", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.array(F.struct(zero.alias("lo"), F.col("n").alias("hi"))).alias("spans"))
     out = cut.union(gone)

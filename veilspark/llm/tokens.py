@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches
+from .storage import bounded_batches, released
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which the vocabulary's texts were split.
@@ -116,6 +116,6 @@ def count_tokens(docs: DataFrame, fields: tuple[str, ...] = ("text",), by_line:
     bounded_batches(docs.sparkSession)
     names = [f"__field{k}" for k in range(len(fields))]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(n) for c, n in zip(fields, names, strict=True)])
-    counted = base.mapInArrow(_attributed(names, by_line, vocabulary, rule), "doc_id long, field string, section int, start long, end long, n_tokens long")
+    counted = base.mapInArrow(released(_attributed(names, by_line, vocabulary, rule)), "doc_id long, field string, section int, start long, end long, n_tokens long")
     field = F.element_at(F.array(*[F.lit(c) for c in fields]), F.replace(F.col("field"), F.lit("__field"), F.lit("")).cast("int") + 1)
     return counted.withColumn("field", field)

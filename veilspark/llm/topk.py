@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches, materialise
+from .storage import bounded_batches, materialise, released
 
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 8192
@@ -77,7 +77,7 @@ def _blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
     counts = vectors.groupBy("dim").agg(F.ceil(F.count("*") / size).alias("blocks"))
     dealt = vectors.join(F.broadcast(counts), "dim").withColumn("block", F.expr("pmod(xxhash64(vec_id, vec), blocks)"))
     dealt = dealt.select("dim", "block", "vec_id", "vec").repartition("dim", "block").sortWithinPartitions("dim", "block")
-    return materialise(dealt.mapInArrow(_pack, "dim int, block long, ids binary, m binary"), name)
+    return materialise(dealt.mapInArrow(released(_pack), "dim int, block long, ids binary, m binary"), name)
 
 
 def _score(k: int):
@@ -121,6 +121,6 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     counts = candidates.groupBy("dim").agg(F.max("block").alias("last"))
     queries = queries.join(counts, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
     met = candidates.join(queries, ["dim", "block"]).repartition("dim", "block", "query_block")
-    partial = met.mapInArrow(_score(k), "query_id long, vec_id long, score long").distinct()
+    partial = met.mapInArrow(released(_score(k)), "query_id long, vec_id long, score long").distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

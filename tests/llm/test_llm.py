@@ -154,6 +154,9 @@ def test_leaks(spark):
     docs = _docs(spark, [(1, same), (2, swapped), (3, mixed), (4, None), (5, ""), (6, "word " * 20_000), (7, same), (7, same), (None, same)])
     got = {(r["doc_id"], r["item_id"]): r["exact"] for r in find_leaks(docs, bench).collect()}
     assert got == {(1, 1): True, (2, 1): False, (7, 1): True, (None, 1): True}
+    # copies in capitals and in lower case show no names
+    docs = _docs(spark, [(1, f"STOP. {item.upper()}!! NOW!!"), (2, item.lower()), (3, "THE TRAIN IS LATE AND NOBODY KNOWS WHEN IT LEAVES THE STATION AGAIN")])
+    assert {(r["doc_id"], r["exact"], r["coverage"]) for r in find_leaks(docs, bench).collect()} == {(1, True, 1.0), (2, True, 1.0)}
     # one value of the item with two values in the document isn't a copy
     twice = "the box of 5 kg and the bag of 5 kg were put on the cart by the men of the yard"
     bench = spark.createDataFrame([(1, twice)], "item_id long, text string")

@@ -33,10 +33,10 @@ def words_of(text: Column) -> Column:
     """Words without punctuation; names are marked by NAME in front.
 
     A name is a capitalised word after a word or a comma, so not one that
-    begins a sentence or a line.
+    begins a sentence or a line, nor one that is all in capitals.
     """
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0E-\x1F]", " ")
-    named = F.regexp_replace(clean, r"([\p{L}\p{N},;][ \t])(\p{Lu})", f"$1{NAME}$2")
+    named = F.regexp_replace(clean, r"([\p{L}\p{N},;][ \t])(\p{Lu})(?=['’]?\p{L}?\p{Ll})", f"$1{NAME}$2")
     bare = F.regexp_replace(named, rf"[^\p{{L}}\p{{N}}\x20\x09-\x0D{NAME}]+", "")
     return F.split(F.trim(F.regexp_replace(bare, r"[\x20\x09-\x0D]+", " ")), " ")
 
@@ -55,15 +55,22 @@ def _windows(size: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, size, item_id, item_at, n_item, item_words, item_template) of the
-    windows of the items' templates with few enough placeholders."""
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") >= MIN_WORDS).distinct()
-    items = items.withColumn("t", template_of(F.col("w"))).withColumn("size", F.least(F.lit(window), F.size("t")))
-    out = items.select("item_id", "w", "t", "size", F.posexplode(_windows(F.col("size"))).alias("item_at", "h"))
-    out = out.select("h", "size", "item_id", "item_at", F.slice("w", F.col("item_at") + 1, F.col("size")).alias("item_words"), F.slice("t", F.col("item_at") + 1, F.col("size")).alias("item_template"))
+    """(h, size, item_id, cased, item_at, n_item, item_words, item_template) of
+    the windows of the items' templates with few enough placeholders.
+
+    Items with names have a second template, which takes the names for words
+    (cased is false), as copies in capitals or lower case show no names.
+    """
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("w"), words_of(F.lower("text")).alias("lw")).where(F.size("w") >= MIN_WORDS).distinct()
+    items = items.withColumns({"t": template_of(F.col("w")), "lt": template_of(F.col("lw"))})
+    both = [F.struct(F.lit(c).alias("cased"), F.col(w).alias("w"), F.col(t).alias("t")) for c, w, t in ((True, "w", "t"), (False, "lw", "lt"))]
+    items = items.select("item_id", F.inline(F.when(F.col("t") == F.col("lt"), F.array(both[0])).otherwise(F.array(*both))))
+    items = items.withColumn("size", F.least(F.lit(window), F.size("t")))
+    out = items.select("item_id", "cased", "w", "t", "size", F.posexplode(_windows(F.col("size"))).alias("item_at", "h"))
+    out = out.select("h", "size", "item_id", "cased", "item_at", F.slice("w", F.col("item_at") + 1, F.col("size")).alias("item_words"), F.slice("t", F.col("item_at") + 1, F.col("size")).alias("item_template"))
     slots = F.size(F.filter("item_template", lambda x: x.isin(NUM, NAME, UNIT)))
     out = out.where(slots * 2 <= F.col("size")).where(slots <= MAX_SLOTS)
-    return out.withColumn("n_item", F.count("*").over(Window.partitionBy("item_id")))
+    return out.withColumn("n_item", F.count("*").over(Window.partitionBy("item_id", "cased")))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_windows: int = MIN_WINDOWS) -> DataFrame:
@@ -73,7 +80,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     of a document with an item in which at least ``min_windows`` windows (or
     all, if the item has fewer) have the same template and consistent slots.
     n_windows: those of the best alignment; n_item: the item's; exact: the
-    words are the same, slots included.
+    words are the same, slots included, but for case. Copies all in capitals
+    or lower case are found; Title Case hides the words between names.
 
     Null and empty texts, and items of fewer than MIN_WORDS words, match
     nothing. Rows with the same doc_id are looked at apart and reported once,
@@ -87,9 +95,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     templates = base.select("doc_id", "th", template_of(words_of(F.col("text"))).alias("t"))
     hits = None
     for size in sizes or [window]:
-        own = bench.where(F.col("size") == size).select("h", "size", "item_id", "item_at").distinct()
+        own = bench.where(F.col("size") == size).select("h", "size", "item_id", "cased", "item_at").distinct()
         each = templates.select("doc_id", "th", F.posexplode(_windows(F.lit(size))).alias("at", "h"))
-        met = each.join(F.broadcast(own) if small else own, "h").select("doc_id", "th", "at", "size", "item_id", "item_at")
+        met = each.join(F.broadcast(own) if small else own, "h").select("doc_id", "th", "at", "size", "item_id", "cased", "item_at")
         hits = met if hits is None else hits.union(met)
     hits = materialise(hits.distinct(), "hits")
     # the few documents with hits are looked at again, word by word
@@ -98,11 +106,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     again = base.join(keys, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "th"])
     again = again.select(F.col("doc_id").alias("i"), F.col("th").alias("k"), words_of(F.col("text")).alias("w"))
     again = materialise(again.withColumn("t", template_of(F.col("w"))), "again")
-    found = hits.join(again, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k"))).join(F.broadcast(bench.drop("h")) if small else bench.drop("h"), ["size", "item_id", "item_at"])
-    found = found.select("doc_id", "th", "item_id", "at", "item_at", "n_item", "item_words", "item_template", F.slice("w", F.col("at") + 1, F.col("size")).alias("words"), F.slice("t", F.col("at") + 1, F.col("size")).alias("template"))
+    found = hits.join(again, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k"))).join(F.broadcast(bench.drop("h")) if small else bench.drop("h"), ["size", "item_id", "cased", "item_at"])
+    found = found.select("doc_id", "th", "item_id", "cased", "at", "item_at", "n_item", "item_words", "item_template", F.slice("w", F.col("at") + 1, F.col("size")).alias("words"), F.slice("t", F.col("at") + 1, F.col("size")).alias("template"))
     found = found.where(F.col("template") == F.col("item_template")).drop("template")
     pairs = F.filter(F.arrays_zip("item_template", "item_words", "words"), lambda x: x["item_template"].isin(NUM, NAME, UNIT))
-    lined = found.groupBy("doc_id", "th", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
+    lined = found.groupBy("doc_id", "th", "item_id", "cased", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.count("*").alias("n_windows"), F.max("n_item").alias("n_item"), F.min(F.transform("item_words", F.lower) == F.transform("words", F.lower)).alias("exact"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
     )
     from_item = F.array_distinct(F.transform("slots", lambda x: F.concat(x["item_template"], x["item_words"])))

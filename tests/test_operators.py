@@ -109,3 +109,32 @@ def test_csv(spark, tmp_path):
 
     to_csv(spark.createDataFrame([(1, 'a "b";c')], "id int, t string").coalesce(1), str(tmp_path / "out"))
     assert next((tmp_path / "out").glob("*.csv")).read_text() == 'id;t\n1;"a ""b"";c"\n'
+
+
+def test_secrets_go_from_the_whole_document(spark):
+    from veilspark.operators.result import cut_secrets
+
+    rows = [(1, "password", "hunter2"), (1, "note", "it is hunter2, or bearer abcdefgh12"), (1, "token", None), (2, "note", "hunter2"), (3, "api_key", ""), (3, "note", None), (3, "memo", "")]
+    cells = spark.createDataFrame(rows, "doc_id int, field string, value string").withColumn("ptr", F.col("field"))
+    got = {(r["doc_id"], r["field"]): r["value"] for r in cut_secrets(cells).collect()}
+    assert got == {(1, "password"): X.REMOVED, (1, "note"): f"it is {X.REMOVED}, or {X.REMOVED}", (1, "token"): None, (2, "note"): "hunter2", (3, "api_key"): X.REMOVED, (3, "note"): None, (3, "memo"): ""}
+
+
+def test_sql_functions_equal_the_builders(spark):
+    from veilspark.functions import sql
+
+    sql.register(spark)
+    df = spark.createDataFrame([("d", "phone number!", "значение"), ("d", "Х", ""), ("e", None, "v")], "d string, k string, v string")
+    both = df.select(F.expr("mask_token(d, k, v)").alias("a"), X.mask_token(F.col("k"), F.col("v"), F.col("d")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both)
+    pairs = spark.createDataFrame([(p, v) for p in ("*", "**", "*ÄB*", "äb", "x", "*a*b*") for v in ("", "ÄB", "xäbx", "X", None)], "p string, v string")
+    assert pairs.where(~F.expr("wildcard_match(p, v)").eqNullSafe(X.wildcard_match(F.col("p"), F.col("v")))).count() == 0
+    with pytest.raises(ValueError):
+        sql.register(spark, b"k" * 65)
+
+
+def test_natural_order(spark):
+    from veilspark.operators.report import natural_key
+
+    df = spark.createDataFrame([(x,) for x in ("a10", "A9", None, "a9b2", "a9b10", "b1", "")], "x string")
+    assert [r["x"] for r in df.orderBy(natural_key(F.col("x")).asc_nulls_last()).collect()] == ["", "A9", "a9b2", "a9b10", "a10", "b1", None]

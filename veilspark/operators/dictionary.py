@@ -102,3 +102,12 @@ def _by_automaton(texts: DataFrame, values: dict[str, str], column: str) -> Data
     rebuilt = F.array_join(F.transform(marked, lambda p: F.concat(p["before"], F.when(p["value"].isNull(), "").otherwise(mask_token(p["category"], p["value"])))), "")
     out = texts.mapInArrow(run, schema)
     return out.withColumn(column, F.when(F.col(column).isNotNull(), rebuilt)).drop(marked)
+
+
+def memory_estimate(stats: DataFrame, top: int = 3) -> DataFrame:
+    """One row: values, bytes, memory_bytes, mean bytes of a value, and the
+    share of all bytes that the ``top`` largest sources have."""
+    largest = stats.orderBy(F.desc("bytes"), "source_path").limit(top).agg(F.sum("bytes").alias("top_bytes"))
+    all_ = stats.agg(F.sum("values").alias("values"), F.sum("bytes").alias("bytes"))
+    out = all_.crossJoin(F.broadcast(largest))
+    return out.select("values", "bytes", (F.col("bytes") * 2 + F.col("values") * 48).alias("memory_bytes"), F.floor(F.col("bytes") / F.col("values")).alias("mean_bytes"), F.floor(F.lit(100) * F.col("top_bytes") / F.col("bytes")).alias("top_percent"))

@@ -99,3 +99,39 @@ def pair_changes(removed: list[dict], added: list[dict]) -> list[tuple[dict, dic
                 out.append((r, a, how))
                 break
     return out
+
+
+def activated(before: DataFrame, wanted: DataFrame, declined: DataFrame) -> DataFrame:
+    """The rules (selector, pattern, action, category, priority) that go live:
+    those of ``wanted``, but for the identities in ``declined`` (selector,
+    pattern), which stay as they were ``before`` or don't appear."""
+    keys = ["selector", "pattern"]
+    no = declined.select(*keys).distinct()
+    return wanted.join(no, keys, "left_anti").unionByName(before.join(no, keys, "left_semi"))
+
+
+def rolled_back(versions: DataFrame, to: int) -> DataFrame:
+    """The rows of version ``to`` as a new draft: (version, ...) one above the
+    highest there is."""
+    highest = versions.agg((F.max("version") + 1).alias("__next"))
+    rows = versions.where(F.col("version") == to).crossJoin(F.broadcast(highest))
+    return rows.withColumn("version", F.col("__next")).drop("__next")
+
+
+#: Dictionary sources that a policy may have at most.
+MAX_SOURCES = 100
+
+
+def warnings(rules: DataFrame, sources: DataFrame, tools: DataFrame, manifest: DataFrame, known_tools: DataFrame, max_sources: int = MAX_SOURCES) -> DataFrame:
+    """(code, subject) of what a policy's author should look at: paths that
+    the manifest doesn't have, tools never seen, too many sources, secret
+    rules, and regular expressions that keep (they have no effect)."""
+    from .policy import missing_paths
+
+    paths = missing_paths(rules, manifest).select(F.lit("PATH_NOT_IN_MANIFEST").alias("code"), F.col("pattern").alias("subject"))
+    paths = paths.union(sources.join(manifest.select("source_path"), "source_path", "left_anti").select(F.lit("PATH_NOT_IN_MANIFEST"), "source_path")).distinct()
+    unseen = tools.join(known_tools.select("tool"), "tool", "left_anti").select(F.lit("TOOL_NOT_SEEN"), "tool")
+    many = sources.agg(F.count("*").alias("n")).where(F.col("n") > max_sources).select(F.lit("DICTIONARY_LIMIT"), F.col("n").cast("string"))
+    secret = rules.where("action = 'secret'").select(F.lit("SECRET_ACTIVATION_BLOCKED"), "pattern")
+    idle = rules.where("selector = 'regex' and action = 'keep'").select(F.lit("REGEX_KEEP_NO_EFFECT"), "pattern")
+    return paths.union(unseen).union(many).union(secret).union(idle)

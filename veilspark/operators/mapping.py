@@ -57,3 +57,10 @@ def reveal(texts: DataFrame, known: DataFrame, passes: int = 8) -> DataFrame:
         once = F.aggregate(F.coalesce("__pairs", none), F.col("text"), lambda t, p: F.replace(t, p["token"], p["value"]))
         met = met.withColumn("text", F.when(F.col("text").rlike(TOKEN), once).otherwise(F.col("text")))
     return met.select("doc_id", "text")
+
+
+def touched(entries: DataFrame, reads: DataFrame) -> DataFrame:
+    """Entries (database, token, created) with ``used``: their last read
+    (database, token, at), or their creation if that is later."""
+    last = reads.groupBy("database", "token").agg(F.max("at").alias("__read"))
+    return entries.join(last, ["database", "token"], "left").select("database", "token", F.greatest("created", "__read").alias("used"))

@@ -78,3 +78,16 @@ def to_csv(table: DataFrame, path: str) -> None:
 def count_label(n: Column) -> Column:
     """Compact counts: ~1.2 mln, ~150 k, ~999."""
     return F.when(n >= 1_000_000, F.concat(F.lit("~"), F.round(n / 1_000_000, 1).cast("string"), F.lit(" mln"))).when(n >= 1000, F.concat(F.lit("~"), F.floor(n / 1000).cast("string"), F.lit(" k"))).otherwise(F.concat(F.lit("~"), n.cast("string")))
+
+
+def natural_key(text: Column, digits: int = 20) -> Column:
+    """A sort key by which numbers within texts are in order of their value."""
+    from ..functions.text import replace_matches
+
+    return replace_matches(F.lower(text), "[0-9]+", lambda m: F.lpad(m, digits, "0"))
+
+
+def tsv_line(columns: list[str]) -> Column:
+    """A row as it is copied: tabs between cells, white space in them one
+    space, nulls empty."""
+    return F.concat_ws("\t", *[F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]+", " "), F.lit("")) for c in columns])

@@ -31,3 +31,9 @@ def token_store(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Events of each type in windows of ``width`` (an addition of ours)."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def first_calls(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
+    """Calls answered once: replays of a call within ``ttl`` are dropped."""
+    calls = events.withWatermark("ts", ttl).select((F.col("event_id") % 500).alias("call_id"), "ts")
+    return calls.dropDuplicatesWithinWatermark(["call_id"]).select("call_id")

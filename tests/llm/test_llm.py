@@ -165,6 +165,16 @@ def test_leaks(spark):
     assert find_leaks(docs.limit(0), bench).count() == 0 == find_leaks(docs, bench.limit(0)).count()
 
 
+def test_leaks_of_dense_and_short_items(spark):
+    items = {1: "12 + 15 + 18 + 21 = ?", 2: "1901 45 3.5 77 1902 46 3.6 78 1903 47 3.7 79", 3: "he met Anna, Boris, Carla, Dmitri, Elena, Farid, Greta, Hiro, Ines, Jonas", 4: "?!", 5: "count on from 5 6 7 8 9 10 11 12 13 14 and say what is next in this row of numbers"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = [(i, f"Some words before it: {t}\nand others after it.") for i, t in items.items()] + [(10 + i, t.upper()) for i, t in items.items()]
+    # other numbers and names of the same form
+    docs += [(20, "13 + 15 + 18 + 21 = ?"), (21, "1801 46 4.5 78 1802 47 4.6 79 1803 48 4.7 80"), (22, "he met Olga, Peter, Clara, Diana, Erika, Frank, Gerda, Heinz, Irene, Julia"), (23, None), (24, "")]
+    got = {(r["doc_id"], r["item_id"], r["coverage"], r["exact"]) for r in find_leaks(_docs(spark, docs), bench).collect()}
+    assert got == {(10 * k + i, i, 1.0, True) for k in (0, 1) for i in (1, 2, 3, 5)}
+
+
 # --- 5: near duplicates -------------------------------------------------------
 
 

@@ -5,7 +5,9 @@ placeholders, other words to lower case without punctuation. Windows of a
 template are joined by their hash to the windows of the benchmark's
 templates. Where windows of a document and of an item line up, the values in
 the placeholders are compared: a re-parameterised copy gives each value of the
-item one value of its own throughout. Only built-in functions are used.
+item one value of its own throughout. Windows that are mostly placeholders and
+short items would match clean text by their templates; they are plain, joined by
+the hash of their lower-case words. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from pyspark.sql import functions as F
 from .storage import materialise
 
 WINDOW = 8
-#: Items of fewer words match nothing, shorter ones than WINDOW as a whole.
+#: Items of fewer words match by their words only, ones shorter than WINDOW as a whole.
 MIN_WORDS = 5
 #: Windows of one alignment that make a leak (or all that the item has).
 MIN_WINDOWS = 3
-#: Placeholders that a window may have at most.
+#: Placeholders that a window may have at most; with more it is plain.
 MAX_SLOTS = 4
 BROADCAST_WINDOWS = 1_000_000
 BROADCAST_DOCS = 1_000_000
@@ -50,27 +52,41 @@ def template_of(words: Column) -> Column:
     return F.split(F.trim(line), "  ")
 
 
-def _windows(size: Column) -> Column:
-    return F.when(F.size("t") >= size, F.transform(F.sequence(F.lit(1), F.size("t") - size + 1), lambda i: F.xxhash64(F.slice("t", i, size))))
+def plain_of(words: Column) -> Column:
+    """``words`` in lower case, names too."""
+    return F.split(F.lower(F.translate(F.array_join(words, " "), NAME, "")), " ")
+
+
+def _windows(size: Column, of: str = "t") -> Column:
+    return F.when(F.size(of) >= size, F.transform(F.sequence(F.lit(1), F.size(of) - size + 1), lambda i: F.xxhash64(F.slice(of, i, size))))
+
+
+def _placed(size: int, of: str) -> Column:
+    """(at, h) of each window of ``size``; an empty array for shorter texts."""
+    each = F.transform(F.sequence(F.lit(1), F.size(of) - size + 1), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice(of, i, size)).alias("h")))
+    return F.when(F.size(of) >= size, each).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(h, size, item_id, cased, item_at, n_item, item_words, item_template) of
-    the windows of the items' templates with few enough placeholders.
+    """(h, size, item_id, cased, item_at, plain, item_words, item_template,
+    n_item, n_template) of all windows of the items; h is of the template, or of
+    the lower-case words where ``plain``. n_template: those that aren't plain.
 
     Items with names have a second template, which takes the names for words
     (cased is false), as copies in capitals or lower case show no names.
     """
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("w"), words_of(F.lower("text")).alias("lw")).where(F.size("w") >= MIN_WORDS).distinct()
-    items = items.withColumns({"t": template_of(F.col("w")), "lt": template_of(F.col("lw"))})
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("w"), words_of(F.lower("text")).alias("lw")).where(F.col("w")[0] != "").distinct()
+    items = items.withColumns({"t": template_of(F.col("w")), "lt": template_of(F.col("lw")), "p": plain_of(F.col("w"))})
     both = [F.struct(F.lit(c).alias("cased"), F.col(w).alias("w"), F.col(t).alias("t")) for c, w, t in ((True, "w", "t"), (False, "lw", "lt"))]
-    items = items.select("item_id", F.inline(F.when(F.col("t") == F.col("lt"), F.array(both[0])).otherwise(F.array(*both))))
+    items = items.select("item_id", "p", F.inline(F.when(F.col("t") == F.col("lt"), F.array(both[0])).otherwise(F.array(*both))))
     items = items.withColumn("size", F.least(F.lit(window), F.size("t")))
-    out = items.select("item_id", "cased", "w", "t", "size", F.posexplode(_windows(F.col("size"))).alias("item_at", "h"))
-    out = out.select("h", "size", "item_id", "cased", "item_at", F.slice("w", F.col("item_at") + 1, F.col("size")).alias("item_words"), F.slice("t", F.col("item_at") + 1, F.col("size")).alias("item_template"))
-    slots = F.size(F.filter("item_template", lambda x: x.isin(NUM, NAME, UNIT)))
-    out = out.where(slots * 2 <= F.col("size")).where(slots <= MAX_SLOTS)
-    return out.withColumn("n_item", F.count("*").over(Window.partitionBy("item_id", "cased")))
+    out = items.select("item_id", "cased", "w", "t", "p", "size", F.posexplode(_windows(F.col("size"))).alias("item_at", "h"))
+    cut = lambda c: F.slice(c, F.col("item_at") + 1, F.col("size"))
+    out = out.withColumn("item_template", cut("t")).withColumn("slots", F.size(F.filter("item_template", lambda x: x.isin(NUM, NAME, UNIT))))
+    out = out.withColumn("plain", (F.size("t") < MIN_WORDS) | (F.col("slots") * 2 > F.col("size")) | (F.col("slots") > MAX_SLOTS))
+    out = out.select(F.when(F.col("plain"), F.xxhash64(cut("p"))).otherwise(F.col("h")).alias("h"), "size", "item_id", "cased", "item_at", "plain", F.when(F.col("plain"), cut("p")).otherwise(cut("w")).alias("item_words"), "item_template")
+    own = Window.partitionBy("item_id", "cased")
+    return out.withColumns({"n_item": F.count("*").over(own), "n_template": F.count_if(~F.col("plain")).over(own)})
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_windows: int = MIN_WINDOWS) -> DataFrame:
@@ -78,42 +94,45 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
 
     docs: (doc_id, text); benchmark: (item_id, text). A leak is an alignment
     of a document with an item in which at least ``min_windows`` windows (or
-    all, if the item has fewer) have the same template and consistent slots.
+    all, if the item has fewer) have the same template and consistent slots;
+    plain windows have the same words. Where an item has both kinds, all of
+    its templates are enough too, if they are fewer than ``min_windows``.
     n_windows: those of the best alignment; n_item: the item's; exact: the
     words are the same, slots included, but for case. Copies all in capitals
     or lower case are found; Title Case hides the words between names.
 
-    Null and empty texts, and items of fewer than MIN_WORDS words, match
-    nothing. Rows with the same doc_id are looked at apart and reported once,
+    Null and empty texts match nothing. Items of fewer than MIN_WORDS words
+    match wherever their words stand, an item of one word each text with it. Rows with the same doc_id are looked at apart and reported once,
     with the best alignment; a null doc_id is reported as null. Repeated items
     count once. Empty tables give an empty one; other columns are ignored.
     """
     bench = materialise(benchmark_windows(benchmark, window), "windows")
-    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())
+    sizes = sorted(map(tuple, bench.select("plain", "size").distinct().collect()))
     small = bench.count() <= BROADCAST_WINDOWS
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    templates = base.select("doc_id", "th", template_of(words_of(F.col("text"))).alias("t"))
-    hits = None
-    for size in sizes or [window]:
-        own = bench.where(F.col("size") == size).select("h", "size", "item_id", "cased", "item_at").distinct()
-        each = templates.select("doc_id", "th", F.posexplode(_windows(F.lit(size))).alias("at", "h"))
-        met = each.join(F.broadcast(own) if small else own, "h").select("doc_id", "th", "at", "size", "item_id", "cased", "item_at")
-        hits = met if hits is None else hits.union(met)
+    templates = base.select("doc_id", "th", words_of(F.col("text")).alias("w")).select("doc_id", "th", template_of(F.col("w")).alias("t"), plain_of(F.col("w")).alias("p"))
+    own = bench.select("h", "size", "item_id", "cased", "item_at").distinct()
+    placed = [_placed(size, "p" if plain else "t") for plain, size in sizes or [(False, window)]]
+    each = templates.select("doc_id", "th", F.inline(F.concat(*placed) if len(placed) > 1 else placed[0]))
+    hits = each.join(F.broadcast(own) if small else own, "h").select("doc_id", "th", "at", "size", "item_id", "cased", "item_at")
     hits = materialise(hits.distinct(), "hits")
     # the few documents with hits are looked at again, word by word
     keys = hits.select(F.col("doc_id").alias("i"), F.col("th").alias("k")).distinct()
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_DOCS else keys
     again = base.join(keys, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k")), "left_semi").dropDuplicates(["doc_id", "th"])
     again = again.select(F.col("doc_id").alias("i"), F.col("th").alias("k"), words_of(F.col("text")).alias("w"))
-    again = materialise(again.withColumn("t", template_of(F.col("w"))), "again")
+    again = materialise(again.withColumns({"t": template_of(F.col("w")), "p": plain_of(F.col("w"))}), "again")
     found = hits.join(again, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("k"))).join(F.broadcast(bench.drop("h")) if small else bench.drop("h"), ["size", "item_id", "cased", "item_at"])
-    found = found.select("doc_id", "th", "item_id", "cased", "at", "item_at", "n_item", "item_words", "item_template", F.slice("w", F.col("at") + 1, F.col("size")).alias("words"), F.slice("t", F.col("at") + 1, F.col("size")).alias("template"))
-    found = found.where(F.col("template") == F.col("item_template")).drop("template")
-    pairs = F.filter(F.arrays_zip("item_template", "item_words", "words"), lambda x: x["item_template"].isin(NUM, NAME, UNIT))
+    cut = lambda c: F.slice(c, F.col("at") + 1, F.col("size"))
+    found = found.withColumn("words", F.when(F.col("plain"), cut("p")).otherwise(cut("w"))).withColumn("equal", F.transform("item_words", F.lower) == F.transform("words", F.lower))
+    found = found.where(F.when(F.col("plain"), F.col("equal")).otherwise(cut("t") == F.col("item_template")))
+    pairs = F.when(~F.col("plain"), F.filter(F.arrays_zip("item_template", "item_words", "words"), lambda x: x["item_template"].isin(NUM, NAME, UNIT)))
     lined = found.groupBy("doc_id", "th", "item_id", "cased", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.count("*").alias("n_windows"), F.max("n_item").alias("n_item"), F.min(F.transform("item_words", F.lower) == F.transform("words", F.lower)).alias("exact"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots")
+        F.count("*").alias("n_windows"), F.max("n_item").alias("n_item"), F.min("equal").alias("exact"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
+        F.count_if(~F.col("plain")).alias("n_alike"), F.max("n_template").alias("n_template"),
     )
     from_item = F.array_distinct(F.transform("slots", lambda x: F.concat(x["item_template"], x["item_words"])))
-    lined = lined.where(F.size("slots") == F.size(from_item)).where(F.col("n_windows") >= F.least(F.lit(min_windows), F.col("n_item")))
+    enough = (F.col("n_windows") >= F.least(F.lit(min_windows), F.col("n_item"))) | (F.col("n_template") > 0) & (F.col("n_alike") >= F.least(F.lit(min_windows), F.col("n_template")))
+    lined = lined.where(F.size("slots") == F.size(from_item)).where(enough)
     best = lined.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "exact", "n_item")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n_windows").alias("n_windows"), F.col("b.n_item").alias("n_item"), (F.col("b.n_windows") / F.col("b.n_item")).alias("coverage"), F.col("b.exact").alias("exact"))

@@ -175,6 +175,15 @@ def test_leaks_of_dense_and_short_items(spark):
     assert got == {(10 * k + i, i, 1.0, True) for k in (0, 1) for i in (1, 2, 3, 5)}
 
 
+def test_leaks_with_one_changed_figure(spark):
+    item = "The men put a box of 5 kg on the cart and went to the mill. Then the miller gave them bread and they took another box of 5 kg from the yard and drove home to the town by night"
+    one = " ".join(f"{a} and" for a in "oak elm ash fir yew box bay fig red blue green grey pink white black brown".split()) + " 48 or else 48 for all of them"
+    bench = spark.createDataFrame([(1, item), (2, one)], "item_id long, text string")
+    docs = [(1, item), (2, item.replace("5", "7", 1)), (3, item.replace("another box of 5 kg", "another box of 5 lb")), (4, item.replace("5", "7")), (5, one.replace("48", "49", 1)), (6, one.replace("else 48", "else 50"))]
+    got = {r["doc_id"]: (r["item_id"], r["exact"], r["n_windows"] < r["n_item"]) for r in find_leaks(_docs(spark, docs), bench).collect()}
+    assert got == {1: (1, True, False), 2: (1, False, True), 3: (1, False, True), 4: (1, False, False), 5: (2, False, True), 6: (2, False, True)}
+
+
 # --- 5: near duplicates -------------------------------------------------------
 
 

@@ -5,7 +5,8 @@ placeholders, other words to lower case without punctuation. Windows of a
 template are joined by their hash to the windows of the benchmark's
 templates. Where windows of a document and of an item line up, the values in
 the placeholders are compared: a re-parameterised copy gives each value of the
-item one value of its own throughout. Windows that are mostly placeholders and
+item one value of its own throughout, or the windows with the item's own values
+are enough by themselves. Windows that are mostly placeholders and
 short items would match clean text by their templates; they are plain, joined by
 the hash of their lower-case words. Only built-in functions are used.
 """
@@ -24,6 +25,8 @@ MIN_WORDS = 5
 MIN_WINDOWS = 3
 #: Placeholders that a window may have at most; with more it is plain.
 MAX_SLOTS = 4
+#: Between two sentences or lines of an item.
+_BREAK = r"(?:[.!?…][^\p{L}\p{N}\s]*\s|[。！？।\n])[^\p{L}\p{N}]*[\p{L}\p{N}]"
 BROADCAST_WINDOWS = 1_000_000
 BROADCAST_DOCS = 1_000_000
 NUM, NAME, UNIT = "\x02", "\x03", "\x04"
@@ -69,22 +72,23 @@ def _placed(size: int, of: str) -> Column:
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(h, size, item_id, cased, item_at, plain, item_words, item_template,
-    n_item, n_template) of all windows of the items; h is of the template, or of
-    the lower-case words where ``plain``. n_template: those that aren't plain.
+    several, n_item, n_template) of all windows of the items; h is of the template, or of
+    the lower-case words where ``plain``. n_template: those that aren't plain;
+    several: the item is more than one sentence or line.
 
     Items with names have a second template, which takes the names for words
     (cased is false), as copies in capitals or lower case show no names.
     """
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("w"), words_of(F.lower("text")).alias("lw")).where(F.col("w")[0] != "").distinct()
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("w"), words_of(F.lower("text")).alias("lw"), F.regexp_like(F.trim("text"), F.lit(_BREAK)).alias("several")).where(F.col("w")[0] != "").distinct()
     items = items.withColumns({"t": template_of(F.col("w")), "lt": template_of(F.col("lw")), "p": plain_of(F.col("w"))})
     both = [F.struct(F.lit(c).alias("cased"), F.col(w).alias("w"), F.col(t).alias("t")) for c, w, t in ((True, "w", "t"), (False, "lw", "lt"))]
-    items = items.select("item_id", "p", F.inline(F.when(F.col("t") == F.col("lt"), F.array(both[0])).otherwise(F.array(*both))))
+    items = items.select("item_id", "several", "p", F.inline(F.when(F.col("t") == F.col("lt"), F.array(both[0])).otherwise(F.array(*both))))
     items = items.withColumn("size", F.least(F.lit(window), F.size("t")))
-    out = items.select("item_id", "cased", "w", "t", "p", "size", F.posexplode(_windows(F.col("size"))).alias("item_at", "h"))
+    out = items.select("item_id", "several", "cased", "w", "t", "p", "size", F.posexplode(_windows(F.col("size"))).alias("item_at", "h"))
     cut = lambda c: F.slice(c, F.col("item_at") + 1, F.col("size"))
     out = out.withColumn("item_template", cut("t")).withColumn("slots", F.size(F.filter("item_template", lambda x: x.isin(NUM, NAME, UNIT))))
     out = out.withColumn("plain", (F.size("t") < MIN_WORDS) | (F.col("slots") * 2 > F.col("size")) | (F.col("slots") > MAX_SLOTS))
-    out = out.select(F.when(F.col("plain"), F.xxhash64(cut("p"))).otherwise(F.col("h")).alias("h"), "size", "item_id", "cased", "item_at", "plain", F.when(F.col("plain"), cut("p")).otherwise(cut("w")).alias("item_words"), "item_template")
+    out = out.select(F.when(F.col("plain"), F.xxhash64(cut("p"))).otherwise(F.col("h")).alias("h"), "size", "item_id", "cased", "item_at", "plain", "several", F.when(F.col("plain"), cut("p")).otherwise(cut("w")).alias("item_words"), "item_template")
     own = Window.partitionBy("item_id", "cased")
     return out.withColumns({"n_item": F.count("*").over(own), "n_template": F.count_if(~F.col("plain")).over(own)})
 
@@ -96,7 +100,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     of a document with an item in which at least ``min_windows`` windows (or
     all, if the item has fewer) have the same template and consistent slots;
     plain windows have the same words. Where an item has both kinds, all of
-    its templates are enough too, if they are fewer than ``min_windows``.
+    its templates are enough too, if they are fewer than ``min_windows``. Where
+    slots aren't consistent, only windows with the same words count, slots
+    included: ``min_windows`` of them make a leak too, or 2 ``window`` where the
+    item is a single sentence.
     n_windows: those of the best alignment; n_item: the item's; exact: the
     words are the same, slots included, but for case. Copies all in capitals
     or lower case are found; Title Case hides the words between names.
@@ -129,10 +136,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     pairs = F.when(~F.col("plain"), F.filter(F.arrays_zip("item_template", "item_words", "words"), lambda x: x["item_template"].isin(NUM, NAME, UNIT)))
     lined = found.groupBy("doc_id", "th", "item_id", "cased", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.count("*").alias("n_windows"), F.max("n_item").alias("n_item"), F.min("equal").alias("exact"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
-        F.count_if(~F.col("plain")).alias("n_alike"), F.max("n_template").alias("n_template"),
+        F.count_if(~F.col("plain")).alias("n_alike"), F.max("n_template").alias("n_template"), F.count_if("equal").alias("n_equal"), F.max("several").alias("several"),
     )
     from_item = F.array_distinct(F.transform("slots", lambda x: F.concat(x["item_template"], x["item_words"])))
     enough = (F.col("n_windows") >= F.least(F.lit(min_windows), F.col("n_item"))) | (F.col("n_template") > 0) & (F.col("n_alike") >= F.least(F.lit(min_windows), F.col("n_template")))
-    lined = lined.where(F.size("slots") == F.size(from_item)).where(enough)
+    consistent = F.size("slots") == F.size(from_item)
+    copied = F.col("n_equal") >= F.when(F.col("several"), min_windows).otherwise(2 * window)
+    lined = lined.where(consistent & enough | copied).withColumn("n_windows", F.when(consistent, F.col("n_windows")).otherwise(F.col("n_equal")))
     best = lined.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "exact", "n_item")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n_windows").alias("n_windows"), F.col("b.n_item").alias("n_item"), (F.col("b.n_windows") / F.col("b.n_item")).alias("coverage"), F.col("b.exact").alias("exact"))

@@ -28,3 +28,12 @@ def test_edges(spark, sf_dir):
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
         stage(spark, docs, sf_dir).count()
+
+
+def test_only_leaking_rows_go(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(None, f"copy: {item}"), (None, "a clean text without id"), (None, None), (7, "a clean text of id seven"), (7, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = pipeline.decontamination(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[2], rows[3]], key=str)

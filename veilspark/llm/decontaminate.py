@@ -93,7 +93,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return out.withColumns({"n_item": F.count("*").over(own), "n_template": F.count_if(~F.col("plain")).over(own)})
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_windows: int = MIN_WINDOWS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_windows: int = MIN_WINDOWS, by_text: bool = False) -> DataFrame:
     """(doc_id, item_id, n_windows, n_item, coverage, exact) of each leak.
 
     docs: (doc_id, text); benchmark: (item_id, text). A leak is an alignment
@@ -110,7 +110,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
 
     Null and empty texts match nothing. Items of fewer than MIN_WORDS words
     match wherever their words stand, an item of one word each text with it. Rows with the same doc_id are looked at apart and reported once,
-    with the best alignment; a null doc_id is reported as null. Repeated items
+    with the best alignment, or with ``by_text`` once for each text, whose hash is
+    the column text_hash; a null doc_id is reported as null. Repeated items
     count once. Empty tables give an empty one; other columns are ignored.
     """
     bench = materialise(benchmark_windows(benchmark, window), "windows")
@@ -143,5 +144,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     consistent = F.size("slots") == F.size(from_item)
     copied = F.col("n_equal") >= F.when(F.col("several"), min_windows).otherwise(2 * window)
     lined = lined.where(consistent & enough | copied).withColumn("n_windows", F.when(consistent, F.col("n_windows")).otherwise(F.col("n_equal")))
-    best = lined.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "exact", "n_item")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.n_windows").alias("n_windows"), F.col("b.n_item").alias("n_item"), (F.col("b.n_windows") / F.col("b.n_item")).alias("coverage"), F.col("b.exact").alias("exact"))
+    keys = ["doc_id", F.col("th").alias("text_hash"), "item_id"] if by_text else ["doc_id", "item_id"]
+    best = lined.groupBy(*keys).agg(F.max(F.struct("n_windows", "exact", "n_item")).alias("b"))
+    return best.select(*best.columns[:-1], F.col("b.n_windows").alias("n_windows"), F.col("b.n_item").alias("n_item"), (F.col("b.n_windows") / F.col("b.n_item")).alias("coverage"), F.col("b.exact").alias("exact"))

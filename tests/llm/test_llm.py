@@ -296,6 +296,16 @@ def test_pages(spark):
     assert html_text.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<body><div class=top>Menu words</div><div class=text>The only text of it</div></body>"
+    rows = [(i, "http://a.org/x", page) for i in range(200)] + [(200, "http://a.org/y", page.replace("only", "other"))]
+    # a host of distinct pages and copies of one
+    rows += [(300 + i, "http://b.org/x", f"<body><div class=top>Menu words</div><div class=text>Own words {i % 20}</div></body>") for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(200)} == {"Menu words The only text of it"} and got[200] == "Menu words The other text of it"
+    assert all(got[300 + i] == f"Own words {i % 20}" for i in range(60))
+
+
 # --- 9: URLs ------------------------------------------------------------------
 
 

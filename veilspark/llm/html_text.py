@@ -179,17 +179,18 @@ def _hashes(texts: list[str]) -> np.ndarray:
 
 def _nodes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Content (kind 0) and presentation (kind 1) of each style node of each
-    page, each value of a node once a page."""
+    page, each value of a node once a page; copy is the hash of the page."""
     for frame in frames:
-        host, kind, path, value = [], [], [], []
-        for h, page in zip(frame["host"].to_pylist(), frame["html"].to_pylist(), strict=True):
+        host, copy, kind, path, value = [], [], [], [], []
+        for h, c, page in zip(frame["host"].to_pylist(), frame["copy"].to_pylist(), frame["html"].to_pylist(), strict=True):
             found, runs = blocks(page)
             rows = list(dict.fromkeys([(0, p, t) for p, t, _, _ in found] + [(1, p, r) for p, r in runs]))
             host += [h] * len(rows)
+            copy += [c] * len(rows)
             kind += [r[0] for r in rows]
             path += [r[1] for r in rows]
             value += [r[2] for r in rows]
-        yield pa.RecordBatch.from_pydict({"host": pa.array(host, pa.string()), "kind": pa.array(kind, pa.int32()), "path": pa.array(path, pa.string()), "value": pa.array(_hashes(value), pa.int64())})
+        yield pa.RecordBatch.from_pydict({"host": pa.array(host, pa.string()), "copy": pa.array(copy, pa.int64()), "kind": pa.array(kind, pa.int32()), "path": pa.array(path, pa.string()), "value": pa.array(_hashes(value), pa.int64())})
 
 
 def node_importance(pages: DataFrame) -> DataFrame:
@@ -197,9 +198,9 @@ def node_importance(pages: DataFrame) -> DataFrame:
 
     For a value on k of a node's m occurrences: content 1 - mean(log k / log
     m), presentation the entropy of the runs of the parent's children over
-    log m; both 1 where m is 1.
+    log m; both 1 where m is 1. Pages of a host with the same html count once.
     """
-    met = pages.select("host", "html").mapInArrow(released(_nodes), "host string, kind int, path string, value long")
+    met = pages.select("host", F.xxhash64("html").alias("copy"), "html").mapInArrow(released(_nodes), "host string, copy long, kind int, path string, value long").distinct()
     counted = materialise(met.groupBy("host", "kind", "path", "value").agg(F.count("*").alias("k")), "nodes")
     merged = counted.groupBy("host", "kind", "path").agg(F.sum("k").alias("m"), F.max("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("s"))
     h = F.when(F.col("m") > 1, 1 - F.col("s") / F.col("m") / F.log("m")).otherwise(1.0)
@@ -230,7 +231,7 @@ def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, importance:
     Character references are decoded after the markup is gone; white space
     inside a block becomes one space; blocks are joined in page order by one
     space. Branches whose style node occurs ``min_pages`` times or more on
-    the page's host, with an importance below ``importance``, are left out,
+    the page's host (copies of a page count once), with an importance below ``importance``, are left out,
     but not the paragraphs, headings, lists and cells of a named article.
 
     Null and empty pages give an empty text; pages without host (null URL)

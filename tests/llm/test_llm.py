@@ -306,6 +306,25 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert all(got[300 + i] == f"Own words {i % 20}" for i in range(60))
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article class='post has-sidebar'><p>Own text</p></article>", "Own text"),
+        ("<article class=sidebar><p>Own text</p></article>", "Own text"),
+        ("<main class='content no-comments widget'><p>Own text</p></main>", "Own text"),
+        ("<div id='page' class='right-sidebar'>Own text<div class='sidebar'>side</div><div id=adBanner>ad</div><i class=share>s</i></div>", "Own text"),
+        ("<div class=widget><a class=promo><main><article class=search><p>Own text</p><div class=comments><article>no</article></div></article></main></a></div><div class=widget>no</div>", "Own text"),
+        ("<article><p>Sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> and <object data=x>picture</object> here</p></article>", "Sum a+b and picture here"),
+        ("<p>One<p><select><option>Two<p>Three", "One Two Three"),
+        ("<p>One<script src=x><p>Two<title>a<p>Three", "One Two Three"),
+        ("\u0130" * 12 + "<p>One<SCRIPT>x</Script >two</p><style>y</style>three", "\u0130" * 12 + " Onetwo three"),
+        ("<script>a</scripts></script>One", "One"),
+    ],
+)
+def test_cue_words_and_raw_elements(page, text):
+    assert html_text.main_text(page) == text
+
+
 # --- 9: URLs ------------------------------------------------------------------
 
 

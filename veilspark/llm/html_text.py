@@ -33,8 +33,11 @@ BROADCAST_ROWS = 100_000
 
 #: Element names by what they mean.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math object select canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter output q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg select canvas audio video".split())
+#: RAW elements whose content is text, not markup.
+PLAIN = frozenset("script style textarea title iframe xmp noembed noframes".split())
+MATH = frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter object output q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("nav header footer aside form menu button dialog fieldset head".split())
 MAIN = frozenset("article main".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
@@ -50,28 +53,38 @@ SCOPE = frozenset("html body div section article main aside nav header footer fo
 
 _TAG = re.compile(r"<(?:!--|(?P<decl>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)")
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
+_SHUT = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I | re.A) for name in RAW}
+#: Where markup goes on after an element of PLAIN that is never closed.
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(SCOPE | TEXTUAL | DROPPED | MAIN))})(?=[\s/>])", re.I | re.A)
 _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _style(name: str, raw: str) -> tuple[str, bool]:
-    """Style label of an element and whether its attributes rule it out."""
+def _cue(token: str) -> bool:
+    """Whether a class or id is a cue word, or made of such words only."""
+    words = [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", token))]
+    return bool(words) and ("".join(words) in CUES or all(w in CUES for w in words))
+
+
+def _style(name: str, raw: str) -> tuple[str, bool, bool]:
+    """Style label of an element, whether its attributes rule it out, and
+    whether its class or id does."""
     if not raw.strip() or "=" not in raw and "hidden" not in raw:
-        return name, False
-    label, out = [name], False
+        return name, False, False
+    label, out, cued = [name], False, False
     for k, a, b, c, bare in _ATTR.findall(raw):
         k, v = k.lower(), a or b or c
         if k in ("class", "id"):
-            words = [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", html.unescape(v)))]
-            label += words
-            out |= name not in ("html", "body") and any(w in CUES for w in words)
+            v = html.unescape(v)
+            label += [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", v))]
+            cued |= name not in ("html", "body", "main") and any(map(_cue, v.split()))
         elif k == "role":
             out |= v.lower() in ROLES
         elif k == "aria-hidden" or bare:
             out |= bool(bare) or v.lower() == "true"
         elif k == "style":
             out |= "display:none" in v.replace(" ", "").lower()
-    return ".".join(label), out
+    return ".".join(label), out, cued
 
 
 def blocks(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str, str]]]:
@@ -80,14 +93,25 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], list[tu
     A block is (path, text, inside the article, directly in a textual
     element); what markup rules out is left out. The runs are (path, names of
     the child elements, repeats once).
+
+    Class words never rule out an article or main, nor what holds one; but in
+    an article they do, as articles there are comments.
     """
+    page = page or ""
+    found, runs, holders = _parse(page, frozenset())
+    return _parse(page, holders)[:2] if holders else (found, runs)
+
+
+def _parse(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str, str]], frozenset[int]]:
+    """blocks() where class words don't count for the tags at ``spared``, and
+    the tags that they rule out though they hold an article or main."""
     found: list[tuple[str, str, bool, bool]] = []
     runs: list[tuple[str, str]] = []
-    # name, path, ruled out, in the article, textual, children
-    stack: list[tuple[str, str, bool, bool, bool, list[str]]] = [("", "", False, False, False, [])]
+    # name, path, ruled out, in the article, textual, children, tag ruled out by class words, in an article element
+    stack: list[tuple[str, str, bool, bool, bool, list[str], int, bool]] = [("", "", False, False, False, [], -1, False)]
     parts: list[str] = []
-    page = page or ""
-    lowered = None
+    holders: set[int] = set()
+    open_ended: set[str] = set()
 
     def flush() -> None:
         if parts:
@@ -130,10 +154,15 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], list[tu
                 flush()
             continue
         if name in RAW and not m["attrs"].endswith("/"):
-            lowered = page.lower() if lowered is None else lowered
-            k = lowered.find(f"</{name}", at)
-            end = page.find(">", k) if k >= 0 else -1
-            at = len(page) if end < 0 else end + 1
+            shut = None if name in open_ended else _SHUT[name].search(page, at)
+            if shut is not None:
+                at = shut.end()
+                continue
+            # never closed: the page goes on at the next block, or inside where it holds markup
+            open_ended.add(name)
+            if name in PLAIN:
+                block = _BLOCK.search(page, at)
+                at = len(page) if block is None else block.start()
             continue
         if name in VOID:
             if name in ("br", "hr") and not stack[-1][2]:
@@ -142,13 +171,18 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], list[tu
                     flush()
             continue
         top = stack[-1]
-        label, out = _style(name, m["attrs"])
+        label, out, cued = _style(name, m["attrs"])
+        cued &= not (name == "article" and not top[7]) and m.start() not in spared
+        out |= cued
+        mark = m.start() if cued and not top[7] else -1
+        if name in MAIN and not top[7]:
+            holders.update(x[6] for x in stack if x[6] >= 0)
         if name in INLINE:
             if m["attrs"].endswith("/"):
                 continue
             if out and not top[2]:
                 parts.append(" ")
-            stack.append((name, top[1], top[2] or out, top[3], top[4], []))
+            stack.append((name, top[1], top[2] or out, top[3], top[4], [], mark, top[7]))
             continue
         flush()
         shut = ("p",) if name not in CLOSES else ("p", *CLOSES[name])
@@ -165,10 +199,10 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], list[tu
         out |= name in DROPPED and not (name == "header" and top[3])
         if not top[2]:
             top[5].append(label)
-        stack.append((name, path, top[2] or out, article, name in TEXTUAL, []))
+        stack.append((name, path, top[2] or out, article, name in TEXTUAL, [], mark, top[7] or name == "article"))
     flush()
     pop(1)
-    return found, runs
+    return found, runs, frozenset(holders)
 
 
 def _hashes(texts: list[str]) -> np.ndarray:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.decontaminate import find_leaks
-from veilspark.llm.line_dedup import drop_boilerplate
+from veilspark.llm.line_dedup import MIN_LINE_PAGES, drop_boilerplate
 from veilspark.llm.mixing import mix_sources
 from veilspark.llm.near_dup import near_duplicates
 from veilspark.llm.quality import score_quality
@@ -42,8 +42,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines."""
-    kept = drop_boilerplate(docs).select(*docs.columns)
+    """Documents without their source's boilerplate lines, of small sources too."""
+    kept = drop_boilerplate(docs, min_host_pages=MIN_LINE_PAGES).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

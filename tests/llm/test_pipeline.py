@@ -37,3 +37,9 @@ def test_only_leaking_rows_go(spark, sf_dir):
     kept = pipeline.decontamination(spark, docs, sf_dir)
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[1], rows[2], rows[3]], key=str)
+
+
+def test_lines_of_small_sources_go(spark, sf_dir):
+    rows = [(i, f"own {i}\nfooter", s) for s, n in (("a", 19), ("b", 4)) for i in range(n)]
+    got = pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), sf_dir).collect()
+    assert sorted(map(tuple, got)) == sorted((i, t.replace("\nfooter", "") if s == "a" else t, s) for i, t, s in rows)

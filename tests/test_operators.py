@@ -33,6 +33,36 @@ def test_native_and_automaton_replacement_agree(spark):
     assert native == automaton
 
 
+def test_automaton_masks_documents(spark, sf_dir):
+    import hashlib
+    import hmac
+    from base64 import urlsafe_b64encode
+
+    import __spark_entry__
+    from veilspark.plans.masking import benchmark_values
+
+    values = benchmark_values(spark, sf_dir)
+    assert len(values) > dictionary.NATIVE_VALUES
+    sizes = sorted({len(v) for v in values}, reverse=True)
+
+    def masked(text):
+        out, at = [], 0
+        while at < len(text):
+            n = next((n for n in sizes if text[at : at + n] in values and at + n <= len(text)), 0)
+            if n:
+                v = text[at : at + n]
+                digest = hmac.new(X.KEY, f"db\x1f{values[v]}\x1f{v}".encode(), hashlib.sha256).digest()
+                out.append(f"[MASK:v1:{values[v]}:{urlsafe_b64encode(digest[:24]).decode()}]")
+            else:
+                out.append(text[at])
+            at += n or 1
+        return "".join(out)
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["text"] for r in __spark_entry__.queries()["automaton_mask_documents"](spark, sf_dir).collect()}
+    assert got == {i: None if t is None else masked(t) for i, t in docs.items()}
+
+
 def test_resolve_is_the_inverse_of_mask(spark):
     people = spark.createDataFrame([("d", "NAME", f"value {i}") for i in range(20)], "database string, category string, value string")
     known = mapping.mappings(people)

@@ -87,10 +87,17 @@ def _by_automaton(texts: DataFrame, values: dict[str, str], column: str) -> Data
         for frame in frames:
             parts = []
             for text in frame[column].to_pylist():
-                at, own = 0, []
-                for end, (v, c) in _automata[key].iter_long(text or ""):
-                    own.append({"before": text[at : end + 1 - len(v)], "value": v, "category": c})
-                    at = end + 1
+                at, own, longest = 0, [], {}
+                # all matches: iter_long misses some behind a longer one that fails
+                for end, (v, c) in _automata[key].iter(text or ""):
+                    start = end + 1 - len(v)
+                    if len(v) > len(longest.get(start, ("",))[0]):
+                        longest[start] = v, c
+                for start in sorted(longest):
+                    if start >= at:
+                        v, c = longest[start]
+                        own.append({"before": text[at:start], "value": v, "category": c})
+                        at = start + len(v)
                 parts.append([*own, {"before": (text or "")[at:], "value": None, "category": None}])
             kind = pa.list_(pa.struct([("before", pa.string()), ("value", pa.string()), ("category", pa.string())]))
             yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(parts, kind)], names=[*frame.schema.names, marked])

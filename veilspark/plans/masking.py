@@ -202,6 +202,18 @@ def automaton_mask_conversations(spark, sf_dir):
     return dictionary._by_automaton(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), _WORDS, "text")
 
 
+def benchmark_values(spark, sf_dir):
+    """The benchmark's texts and their words of 4 letters or more, with categories."""
+    texts = table(spark, sf_dir, "benchmark").where("text <> ''").select("text")
+    words = texts.select(F.explode(F.split("text", r"\s+")).alias("text")).where(F.length("text") >= 4)
+    return {r["text"]: f"C{len(r['text']) % 4}" for r in texts.union(words).distinct().collect()}
+
+
+@query()
+def automaton_mask_documents(spark, sf_dir):
+    return dictionary.replace_values(table(spark, sf_dir, "documents").select("doc_id", "text"), benchmark_values(spark, sf_dir))
+
+
 def _feed(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     return part.select(F.col("p_partkey").alias("pos"), F.concat(F.lit("Catalog."), "p_brand").alias("source_path"), F.concat(F.lit("K"), (F.col("p_size") % 7).cast("string")).alias("category"), F.col("p_type").alias("value"))

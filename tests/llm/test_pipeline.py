@@ -1,5 +1,11 @@
 """The pipeline's stages against what the operators say on its own."""
 
+import itertools
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from veilspark.llm.decontaminate import find_leaks
 from veilspark.llm.near_dup import near_duplicates
@@ -43,3 +49,69 @@ def test_lines_of_small_sources_go(spark, sf_dir):
     rows = [(i, f"own {i}\nfooter", s) for s, n in (("a", 19), ("b", 4)) for i in range(n)]
     got = pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), sf_dir).collect()
     assert sorted(map(tuple, got)) == sorted((i, t.replace("\nfooter", "") if s == "a" else t, s) for i, t, s in rows)
+
+
+def test_edge_rows_of_near_duplicates(spark, sf_dir):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (1, text), (2, text), (None, text + " x"), (None, None), (3, ""), (4, "y " * 50_000)]
+    got = pipeline.near_duplicate(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], *rows[4:]], key=str)
+
+
+def test_stages_against_plain_python(spark, sf_dir):
+    def rows_of(df):
+        return {r["doc_id"]: r.asDict() for r in df.collect()}
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = rows_of(docs)
+    # lines: pages with the line by pages of the source; each second one gets a footer
+    footed = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\nfooter of "), "source")).otherwise(F.col("text")))
+    lined = rows_of(footed)
+    pages, lines = Counter(r["source"] for r in lined.values()), Counter()
+    for r in lined.values():
+        lines.update({(r["source"], x.strip(" \t\n\v\f\r")) for x in (r["text"] or "").split("\n")})
+    bad = {k for k, n in lines.items() if k[1] and n >= 5 and n > 0.1 * pages[k[0]]}
+    want = {i: "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(" \t\n\v\f\r")) not in bad) for i, r in lined.items()}
+    assert want != {i: r["text"] for i, r in lined.items()}
+    assert {i: r["text"] for i, r in rows_of(pipeline.lines(spark, footed, sf_dir)).items()} == want
+    # near-dedup: shingle sets in pairs
+    sets = {}
+    for i, r in before.items():
+        w = r["text"].encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(sets), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= pipeline.SIMILARITY * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    assert set(rows_of(pipeline.near_duplicate(spark, docs, sf_dir))) == {i for i in sets if top(i) == i}
+    # decontamination: 10 words of an item in a row are three windows
+    words = lambda t: re.sub(r"[^\w\s]|_", "", t.lower()).split()
+    runs = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    items = [words(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    ten = set().union(*(runs(w, min(10, len(w))) for w in items if w))
+    leaks = {i for i, r in before.items() if any(runs(words(r["text"]), n) & ten for n in {len(x) for x in ten})}
+    kept = set(rows_of(pipeline.decontamination(spark, docs, sf_dir)))
+    assert leaks and not leaks & kept
+    # mixing: budgets of the sources, three epochs at most
+    size = Counter()
+    for r in before.values():
+        size[r["source"]] += len(r["text"].split())
+    names = sorted(size)
+    weight, fixed, left = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, {}, sum(size.values())
+    while over := [s for s in names if s not in fixed and left * weight[s] / sum(weight[x] for x in names if x not in fixed) > 3 * size[s]]:
+        fixed |= {s: 3 * size[s] for s in over}
+        left = sum(size.values()) - sum(fixed.values())
+    free = sum(weight[s] for s in names if s not in fixed)
+    taken = Counter()
+    for r in pipeline.mix(spark, docs, sf_dir).collect():
+        assert before[r["doc_id"]]["text"] == r["text"] and 0 < r["taken"] <= 3 * len(r["text"].split())
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - fixed.get(s, left * weight[s] / free)) < 1 for s in names)

@@ -19,7 +19,7 @@ def find(parent: dict, x):
     return x
 
 
-def _forest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of each batch as stars around the smallest node."""
     for frame in frames:
         parent: dict[int, int] = {}
@@ -46,18 +46,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("src <> dst").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, reduced: bool = False) -> DataFrame:
     """(node, label) of every node of ``edges`` (src long, dst long).
 
     label is the smallest node of the component. Alternates the large-star
     and small-star contractions until the edge set stays the same, which takes
     a number of rounds logarithmic in the longest path; each round is written
     to the shared folder. Nulls and loops in ``edges`` are ignored; no edges
-    give no rows.
+    give no rows. ``reduced``: forest() has been over the edges where they
+    were made, so they need no worker of their own.
     """
     edges = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst")
     edges = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    edges = materialise(edges.mapInArrow(released(_forest), "src long, dst long").distinct(), "edges")
+    edges = materialise((edges if reduced else edges.mapInArrow(released(forest), "src long, dst long")).distinct(), "edges")
     state = None
     while True:
         sums = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()

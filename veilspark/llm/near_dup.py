@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, find
+from .components import connected_components, find, forest
 from .shingles import batches, mix, shingle_sets
 from .storage import bounded_batches, materialise, released
 
@@ -251,11 +251,14 @@ def near_duplicates(
 
     Links texts with ``100 * intersection >= similarity * union`` of their
     shingle sets. Returns doc_id, text_hash (xxhash64), n_shingles, component_id
-    (smallest doc_id of the component) and kept.
+    (smallest doc_id of the component), kept, cluster (a label of the
+    component that doesn't depend on ids) and first (the component's row with
+    the smallest doc_id, then text_hash; rows that repeat both share it).
 
-    Null and word-less texts have n_shingles 0 and are linked with nothing.
-    Repeated rows are copies of each other. A null doc_id is never a
+    Null and word-less texts have n_shingles 0 and no cluster, are linked with
+    nothing and are first. Repeated rows are copies of each other. A null doc_id is never a
     component_id unless all ids of the component are null; such rows are kept.
+    Components without ids, or with one id in common, differ in cluster.
     An empty table gives an empty one; other columns of ``docs`` are ignored.
     """
     bounded_batches(docs.sparkSession)
@@ -265,9 +268,10 @@ def near_duplicates(
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     sketched = base.mapInArrow(released(_sketch(coordinates)), "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, tokens array<long>, sig binary")
     key = ["n_shingles", "h1", "h2"]
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     rows = materialise(sketched, "sketch")
     classes = materialise(
-        rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.any_value("tokens").alias("tokens"), F.any_value("sig").alias("sig")).withColumn("class_id", F.monotonically_increasing_id()),
+        rows.where("n_shingles > 0").groupBy(*key).agg(F.min(row).alias("rep"), F.any_value("tokens").alias("tokens"), F.any_value("sig").alias("sig")).withColumn("class_id", F.monotonically_increasing_id()),
         "classes",
     )
 
@@ -282,25 +286,28 @@ def near_duplicates(
     lists = materialise(lists.join(classes.select("class_id", "sig"), "class_id").select("class_id", "sig", F.explode("t.token").alias("token")), "lists")
     sizes = lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token", F.ceil(F.col("n") / list_block).alias("nb"))
     weak = _in_blocks(lists.join(sizes, "token"), "nb").select("token", "bi", "bj", "b", "class_id", "sig")
-    weak = weak.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "class_id").mapInArrow(released(_weak_edges(matches)), "src long, dst long")
-    clusters = materialise(connected_components(weak).withColumnRenamed("node", "class_id"), "clusters")
+    weak_edges, confirmed = _weak_edges(matches), _links(similarity)
+    weak = weak.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "class_id").mapInArrow(released(lambda frames: forest(weak_edges(frames))), "src long, dst long")
+    clusters = materialise(connected_components(weak, reduced=True).withColumnRenamed("node", "class_id"), "clusters")
 
     near = materialise(clusters.join(classes.select("class_id", "rep", *key), "class_id"), "near")
     blocks = near.groupBy("label").agg(F.ceil(F.sum("n_shingles") / set_block).alias("nb"))
     near = near.join(blocks, "label")
-    ids = near.select(F.col("rep").alias("doc_id")).distinct()
+    ids = near.select("rep.doc_id", "rep.text_hash")
     if near.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    texts = base.join(ids, base["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+    texts = base.join(ids, base["doc_id"].eqNullSafe(ids["doc_id"]) & (base["text_hash"] == ids["text_hash"]), "left_semi").select("text")
     sets = texts.mapInArrow(released(_resketch), "n_shingles long, h1 long, h2 long, shingles array<long>")
     sets = near.join(sets, key).dropDuplicates(["class_id"])
     links = _in_blocks(sets, "nb").select("label", "bi", "bj", "b", "class_id", "shingles")
-    links = links.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "class_id").mapInArrow(released(_links(similarity)), "src long, dst long")
-    parts = connected_components(links).withColumnRenamed("node", "class_id")
+    links = links.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "class_id").mapInArrow(released(lambda frames: forest(confirmed(frames))), "src long, dst long")
+    parts = connected_components(links, reduced=True).withColumnRenamed("node", "class_id")
 
-    named = parts.join(classes.select("class_id", "rep", *key), "class_id")
+    named = parts.join(classes.select("class_id", "rep"), "class_id")
     lowest = named.groupBy("label").agg(F.min("rep").alias("low"))
-    low = classes.select("class_id", *key, "rep").join(named.join(lowest, "label").select("class_id", "low"), "class_id", "left").select(*key, F.coalesce("low", "rep").alias("low"))
+    low = classes.select("class_id", *key, "rep").join(named.join(lowest, "label").select("class_id", "label", "low"), "class_id", "left")
+    low = low.select(*key, F.coalesce("low", "rep").alias("low"), F.coalesce("label", "class_id").alias("cluster"))
     out = rows.select("doc_id", "text_hash", *key).join(low, key, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.when(F.col("n_shingles") > 0, F.col("low.doc_id")).otherwise(F.col("doc_id"))
+    first = F.when(F.col("n_shingles") > 0, row == F.col("low")).otherwise(True)
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "cluster", first.alias("first"))

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.llm import html_text, queries
+from veilspark.llm import html_text, queries, tokens
 from veilspark.llm.components import connected_components
 from veilspark.llm.decontaminate import find_leaks
 from veilspark.llm.line_dedup import drop_boilerplate
@@ -20,8 +21,8 @@ from veilspark.llm.near_dup import near_duplicates
 from veilspark.llm.quality import grow, score_quality
 from veilspark.llm.repeats import _keyed, remove_repeats, repeated_spans
 from veilspark.llm.suffix_array import common_prefixes, full_prefixes, suffix_array
-from veilspark.llm.tokens import VOCABULARY, attribute, count_tokens, encoder
-from veilspark.llm.topk import block_top, top_k
+from veilspark.llm.tokens import VOCABULARY, attribute, count_tokens, encode, encoder
+from veilspark.llm.topk import ROUNDS, block_top, top_k
 from veilspark.llm.url_filter import judge_urls, rule_table
 
 
@@ -66,6 +67,26 @@ def test_bounds_never_lose_a_result():
         assert [(-s, i) for _, i, s in [r for r in got if r[0] == name]] == best
 
 
+def test_reading_stops_early():
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(3000, 16))
+    v = np.floor(1024 * v / np.linalg.norm(v, axis=1)[:, None])
+    trace = []
+    block_top(np.arange(3000), v, np.arange(20), v[:20], 10, trace=trace)
+    assert all(n <= 60 for _, _, n in trace) and min(r for _, r, _ in trace) < len(ROUNDS)
+
+
+def test_scores_beyond_floats_and_longs():
+    rng = np.random.default_rng(3)
+    v = np.floor(rng.normal(0, 200, (60, 3)))
+    v[3], v[4], v[5], v[6] = 2.0**60, -(2.0**60), 2.0**40 + 1, 2.0**31
+    q = np.stack([v[3], v[6], v[0], v[1]])
+    got = block_top(np.arange(60), v, np.array([3, 6, 0, 1]), q, 5)
+    for name in (3, 6, 0, 1):
+        score = {i: max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(v[i], v[name], strict=True)))) for i in range(60) if i != name}
+        assert [(i, s) for j, i, s in got if j == name] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5]
+
+
 def test_top_k_edges(spark):
     rows = [(0, [1.0, 0.0]), (100, [0.5, 0.5]), (3, [0.0, 1.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 1.0, 1.0]), (3, [0.0, 1.0]), (8, [])]
     got = [tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
@@ -270,6 +291,43 @@ def test_tokens_add_up(spark):
     assert count_tokens(_docs(spark, [])).count() == 0
 
 
+def test_long_white_space(spark, monkeypatch):
+    encoding, sizes = encoder(VOCABULARY)
+    texts = [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "x" * 100_000]
+    got = count_tokens(_docs(spark, list(enumerate(texts)))).groupBy("doc_id").sum("n_tokens").collect()
+    assert {r[0]: r[1] for r in got} == {i: len(encode(encoding, t)) for i, t in enumerate(texts)}
+    assert all(sizes[encode(encoding, t)].sum() == len(t) for t in texts)
+    # splitting at every short run gives the tokens of the whole text
+    monkeypatch.setattr(tokens, "_RUN", re.compile(f"[{tokens._SPACES}]{{3,}}"))
+    rng = random.Random(1)
+    for _ in range(2000):
+        t = "".join(rng.choice([" " * rng.randint(1, 9), "\n" * rng.randint(1, 6), "ab", "9", "'s", "!", " x", "\t \n", "\u3000 ", "\x1c", "é", "\x85"]) for _ in range(rng.randint(0, 14)))
+        assert encode(encoding, t) == encoding.encode_ordinary(t)
+
+
+@pytest.mark.parametrize("rule", ["first", "last", "most"])
+def test_tokens_of_each_section(spark, sf_dir, rule):
+    """Each token by itself, byte by byte."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    encoding, sizes = encoder(VOCABULARY)
+    got = defaultdict(list)
+    for r in count_tokens(docs, rule=rule).orderBy("doc_id", "section").collect():
+        got[r["doc_id"]].append((r["start"], r["end"], r["n_tokens"]))
+    for r in docs.collect():
+        line, section_of, spans, at = 0, [], [], 0
+        for part in (r["text"] or "").split("\n"):
+            n = len(part) + (at + len(part) < len(r["text"] or ""))
+            section_of += [line] * len((r["text"] or "")[at : at + n].encode())
+            spans.append((at, at + n))
+            line, at = line + 1, at + n
+        counts, at = [0] * line, 0
+        for token in encoding.encode_ordinary(r["text"] or ""):
+            own = section_of[at : at + int(sizes[token])]
+            counts[{"first": own[0], "last": own[-1], "most": max(sorted(set(own)), key=own.count)}[rule]] += 1
+            at += len(own)
+        assert got[r["doc_id"]] == [(a, b, c) for (a, b), c in zip(spans, counts, strict=True)]
+
+
 def test_rules_for_crossing_tokens():
     sizes, ends = np.array([2, 4, 3]), np.array([3, 3, 9])
     assert attribute(sizes, ends, "first").tolist() == [2, 0, 1]

@@ -9,6 +9,7 @@ it lies, and a rule decides about tokens that cross a boundary.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,20 +27,49 @@ RULES = ("first", "last", "most")
 PIECE = 1 << 16
 
 
+#: The pattern's engine recurses on white space; longer runs are split off first.
+LONG_RUN = 4096
+#: The characters that the pattern's \\s stands for.
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{_SPACES}]{{{LONG_RUN},}}")
+
+
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str):
-    """The encoding and the length in bytes of each of its tokens. The file
-    must be at the same path on every machine."""
+def built(vocabulary: bytes):
+    """The encoding of a vocabulary file's content and the length in bytes of
+    each of its tokens; once in each worker."""
     import tiktoken
 
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
     for token, k in ranks.items():
         sizes[k] = len(token)
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def encoder(vocabulary: str):
+    """built() of the file at a path."""
+    with open(vocabulary, "rb") as file:
+        return built(file.read())
+
+
+def encode(encoding, text: str) -> list[int]:
+    """The tokens of ``text``, whatever the length of its white space.
+
+    The pattern takes a run of white space as one piece, but for its last
+    character where other text follows. Long runs are given to the encoder as
+    such pieces; what stands before and after them is encoded by itself, with
+    that last character, so the tokens are those of the whole text.
+    """
+    out, at = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += encoding.encode_ordinary(text[at : run.start()])
+        out += encoding._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def attribute(sizes: np.ndarray, ends: np.ndarray, rule: str) -> np.ndarray:
     """Tokens of each section of one text.
 
@@ -63,9 +93,9 @@ def attribute(sizes: np.ndarray, ends: np.ndarray, rule: str) -> np.ndarray:
     return np.bincount(at, minlength=len(ends))
 
 
-def _attributed(columns: list[str], by_line: bool, vocabulary: str, rule: str):
+def _attributed(columns: list[str], by_line: bool, vocabulary, rule: str):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, size_of = encoder(vocabulary)
+        encoding, size_of = built(vocabulary.value)
         for frame in frames:
             fields = [frame[c].to_pylist() for c in columns]
             ids, out = frame["doc_id"].to_pylist(), {k: [] for k in ("doc_id", "field", "section", "start", "end", "n_tokens")}
@@ -79,7 +109,7 @@ def _attributed(columns: list[str], by_line: bool, vocabulary: str, rule: str):
                     chars += [len(p) for p in pieces]
                     parts += pieces
                 ends = np.cumsum([len(p.encode()) for p in parts])
-                tokens = np.array(encoding.encode_ordinary("".join(parts)), np.int64)
+                tokens = np.array(encode(encoding, "".join(parts)), np.int64)
                 counts = attribute(size_of[tokens], ends, rule)
                 at = 0
                 for (c, k), n, m in zip(names, chars, counts.tolist(), strict=True):
@@ -110,12 +140,17 @@ def count_tokens(docs: DataFrame, fields: tuple[str, ...] = ("text",), by_line:
     A null field is empty; an empty field is one section without tokens. A
     null doc_id stays null; repeated rows give their sections again. An empty
     table gives an empty one; other columns are ignored.
+
+    ``vocabulary``: path of the file on the driver, whose content (a few MB)
+    goes to the workers.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    with open(vocabulary, "rb") as file:
+        content = docs.sparkSession.sparkContext.broadcast(file.read())
     bounded_batches(docs.sparkSession)
     names = [f"__field{k}" for k in range(len(fields))]
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(n) for c, n in zip(fields, names, strict=True)])
-    counted = base.mapInArrow(released(_attributed(names, by_line, vocabulary, rule)), "doc_id long, field string, section int, start long, end long, n_tokens long")
+    counted = base.mapInArrow(released(_attributed(names, by_line, content, rule)), "doc_id long, field string, section int, start long, end long, n_tokens long")
     field = F.element_at(F.array(*[F.lit(c) for c in fields]), F.replace(F.col("field"), F.lit("__field"), F.lit("")).cast("int") + 1)
     return counted.withColumn("field", field)

@@ -383,6 +383,89 @@ def test_cue_words_and_raw_elements(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p title=don't>The link and it's more</p>", "The link and it's more"),
+        ("""<p data-x="a>b" title='c>d' e=f'g>One</p>""", "One"),
+        ("<main><fieldset>Only words</fieldset></main>", "Only words"),
+        ("<main><p>Text</p><fieldset>Your name</fieldset></main>", "Text"),
+        ("<div class=widget><h1>Head</h1><p>Words</p></div>", "Head Words"),
+        ("<div class=ad>Buy now</div>", ""),
+        ("<article></article><div class=ad>Buy now</div>", ""),
+        ("<div>Own words<div class=comments><p>I agree</p></div><h2 id=related-work>Related work</h2></div>", "Own words Related work"),
+        ("<p>one <span class=share>share me</span> two</p>", "one two"),
+    ],
+)
+def test_names_are_priors(page, text):
+    assert html_text.main_text(page) == text
+
+
+def _site(n, rng):
+    """Pages without article and without telling names: a head line, links in
+    one of two orders, text and a closing line."""
+    out = []
+    for i in range(n):
+        links = "<div class=x1><span>Home</span></div><div class=x2><span>About us</span></div>"
+        own = "".join(f"<div class=c><div>{_words(rng, 12)} {i}</div></div>" for _ in range(rng.randint(1, 3)))
+        out.append(f"<body><div class=a{i}>Daily words for all</div><div class=b>{links}</div><div class=q>{own}</div><div class=z>All rights are ours, {('2023', '2024')[i % 2]}</div></body>")
+    return out
+
+
+def test_importance_decides(spark):
+    """Without names only the merged tree tells what is of the page."""
+    rng = random.Random(8)
+    pages = _site(40, rng)
+    rows = [(i, "http://a.org/x", p) for i, p in enumerate(pages)] + [(100, "http://b.org/x", pages[0])]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, p in enumerate(pages):
+        own = " ".join(re.findall(r"<div>(w[^<]*)</div>", p))
+        assert got[i] == own != html_text.main_text(p)
+    assert got[100] == html_text.main_text(pages[0])  # one page of a host says nothing
+
+
+def test_importance_by_hand(spark):
+    rng = random.Random(9)
+    pages = [*_site(12, rng), *_site(1, rng) * 5]
+    got = {r["path"]: (r["pages"], r["importance"]) for r in html_text.node_importance(spark.createDataFrame([("h", p) for p in pages], "host string, html string")).collect()}
+    content, shape, seen = defaultdict(Counter), defaultdict(Counter), set()
+    for p in pages:
+        found, runs = html_text.blocks(p)
+        text = "|".join(x.text for x in found)
+        if text not in seen:
+            seen.add(text)
+            for path, value in {(x.path, x.text) for x in found}:
+                content[path][value] += 1
+            for path, value in set(runs):
+                shape[path][value] += 1
+
+    def spread(c):
+        m = sum(c.values())
+        return 1.0 if m == 1 else 1 - sum(k * np.log(k) for k in c.values()) / m / np.log(m)
+
+    want = {p: (sum(c.values()), 0.1 * spread(shape[p.rsplit("/", 1)[0]]) + 0.9 * spread(c)) for p, c in content.items()}
+    assert {p: n for p, (n, _) in got.items()} == {p: n for p, (n, _) in want.items()}
+    assert {p: i for p, (_, i) in got.items()} == pytest.approx({p: i for p, (_, i) in want.items()})
+
+
+def test_near_copies_of_an_article_keep_it(spark):
+    """One article on all pages of a host, with other adverts or an edit."""
+    rng = random.Random(10)
+    text = [_words(rng, 20) for _ in range(4)]
+    page = lambda i, last: f"<nav>n{i}</nav><div class=ad>ad {i}</div><article><h1>Head</h1>{''.join(f'<p>{t}</p>' for t in [*text, last])}</article>"
+    rows = [(i, "http://a.org", page(i, "the same")) for i in range(60)] + [(100 + i, "http://b.org", page(i, f"edit {i}")) for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == " ".join(["Head", *text, "the same" if i < 100 else f"edit {i - 100}"]) for i in got)
+
+
+@pytest.mark.parametrize("limit", [0, 16 << 20])
+def test_branches_of_many_hosts(spark, monkeypatch, limit):
+    monkeypatch.setattr(html_text, "BROADCAST_BYTES", limit)
+    rows = [(i, f"http://h{i % 4}.org", f"<div class=a>Same words</div><div class=b>Own words {i}</div>") for i in range(60)] + [(99, None, "<p>x</p>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own words {i}" for i in range(60)} | {99: "x"}
+
+
 # --- 9: URLs ------------------------------------------------------------------
 
 

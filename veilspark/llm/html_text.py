@@ -1,14 +1,18 @@
 """Main text of pages by site style trees.
 
 The DOMs of one host are merged by style nodes: the path of block elements
-with their classes and ids, digits left out. A node's importance is composed
-of its presentation (how varied the runs of child elements are over the
-host's pages, as an entropy) and its content (how few pages share a text: 1
-less the entropy of the pages of each text, averaged). Branches of low
-importance go from every page. What markup itself says comes first: scripts,
-menus, headers, footers, sidebars, forms, notices, adverts and comments go
-whatever their importance, and where a page names its article, branches
-outside of it go too and the article's own paragraphs stay.
+with their classes and ids, digits left out. A node's measured importance is
+composed of its presentation (how varied the runs of child elements are over
+the host's pages, as an entropy) and its content (how few pages share a text: 1
+less the entropy of the pages of each text, averaged).
+
+What markup says of a node is its prior: PRIOR for the class and id words of
+menus, adverts, comments and the like and, where a page names its article, for
+what stands outside of it; 0 for the elements and roles that mean such things;
+else 1. Few pages say little, so the measured importance is averaged with
+PRIOR_PAGES pages of importance 1, and that of the paragraphs, headings, lists
+and cells of a named article with ARTICLE_PAGES. The importance of a node is
+the product; branches below IMPORTANCE go from every page.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +30,17 @@ from pyspark.sql import functions as F
 from .storage import bounded_batches, materialise, released
 from .url_filter import url_host
 
-MIN_PAGES = 5
 IMPORTANCE = 0.3
 #: Share of a branch's importance that its own presentation has.
 PRESENTATION = 0.1
-BROADCAST_ROWS = 100_000
+#: Pages of importance 1 that count besides those of the host.
+PRIOR_PAGES, ARTICLE_PAGES = 2, 200
+#: Importance of what is named as other than the main text, at most.
+PRIOR = 0.2
+#: Lists of low branches are broadcast up to so many bytes; beyond, they are
+#: joined by host, each host in SALTS parts.
+BROADCAST_BYTES = 16 << 20
+SALTS = 64
 
 #: Element names by what they mean.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +49,9 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 PLAIN = frozenset("script style textarea title iframe xmp noembed noframes".split())
 MATH = frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
 INLINE = MATH | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter object output q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("nav header footer aside form menu button dialog fieldset head".split())
+DROPPED = frozenset("nav header footer aside form menu button dialog head".split())
+#: Controls as a rule, but text may stand in them.
+DOUBTFUL = frozenset("fieldset".split())
 MAIN = frozenset("article main".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -51,8 +64,8 @@ CUES = frozenset(
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body div section article main aside nav header footer form table td th ul ol dl blockquote figure fieldset dialog button details".split())
 
-_TAG = re.compile(r"<(?:!--|(?P<decl>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)")
-_ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
+_TAG = re.compile(r"<(?:!--|(?P<decl>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>)")
+_ATTR = re.compile(r"""([^\s=/>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*))|\b(hidden)\b""")
 _SHUT = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I | re.A) for name in RAW}
 #: Where markup goes on after an element of PLAIN that is never closed.
 _BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(SCOPE | TEXTUAL | DROPPED | MAIN))})(?=[\s/>])", re.I | re.A)
@@ -87,28 +100,53 @@ def _style(name: str, raw: str) -> tuple[str, bool, bool]:
     return ".".join(label), out, cued
 
 
-def blocks(page: str | None) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str, str]]]:
-    """The blocks of a page in order, and the runs of children of its nodes.
+class Block(NamedTuple):
+    """Text of one block element. named: it, or what it stands in, is named as
+    other than the main text. inside: the page's article or main holds it.
+    textual: it is a paragraph, heading, list item or cell."""
 
-    A block is (path, text, inside the article, directly in a textual
-    element); what markup rules out is left out. The runs are (path, names of
-    the child elements, repeats once).
+    path: str
+    text: str
+    inside: bool
+    textual: bool
+    named: bool
 
-    Class words never rule out an article or main, nor what holds one; but in
-    an article they do, as articles there are comments.
+
+class _Open(NamedTuple):
+    """An element whose end hasn't come. out: 2 where nothing in it is text of
+    the page, 1 where class words say so; tag: where it starts, if its own
+    class words do; block: it ends a block."""
+
+    name: str
+    path: str
+    out: int
+    inside: bool
+    textual: bool
+    children: list[str]
+    tag: int
+    article: bool
+    block: bool
+
+
+def blocks(page: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
+    """The blocks of a page in order, and the runs of children of its nodes as
+    (path, names of the child elements, repeats once).
+
+    What elements and roles rule out, and what isn't shown, is left out. Class
+    words never say anything about an article or main, nor about what holds
+    one; but in an article they do, as articles there are comments.
     """
     page = page or ""
     found, runs, holders = _parse(page, frozenset())
     return _parse(page, holders)[:2] if holders else (found, runs)
 
 
-def _parse(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, str, bool, bool]], list[tuple[str, str]], frozenset[int]]:
+def _parse(page: str, spared: frozenset[int]) -> tuple[list[Block], list[tuple[str, str]], frozenset[int]]:
     """blocks() where class words don't count for the tags at ``spared``, and
     the tags that they rule out though they hold an article or main."""
-    found: list[tuple[str, str, bool, bool]] = []
+    found: list[Block] = []
     runs: list[tuple[str, str]] = []
-    # name, path, ruled out, in the article, textual, children, tag ruled out by class words, in an article element
-    stack: list[tuple[str, str, bool, bool, bool, list[str], int, bool]] = [("", "", False, False, False, [], -1, False)]
+    stack = [_Open("", "", 0, False, False, [], -1, False, True)]
     parts: list[str] = []
     holders: set[int] = set()
     open_ended: set[str] = set()
@@ -117,20 +155,20 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, str, bool
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                top = next(x for x in reversed(stack) if x[0] not in INLINE)
-                found.append((top[1], text, top[3], top[4]))
+                top = next(x for x in reversed(stack) if x.block)
+                found.append(Block(top.path, text, top.inside, top.textual, top.out > 0))
             parts.clear()
 
     def pop(to: int) -> None:
         while len(stack) > to:
             x = stack.pop()
-            if x[5] and not x[2]:
-                runs.append((x[1], ">".join(dict.fromkeys(x[5]))))
+            if x.children and x.out < 2:
+                runs.append((x.path, ">".join(dict.fromkeys(x.children))))
 
     at = 0
     while True:
         m = _TAG.search(page, at)
-        if not stack[-1][2]:
+        if stack[-1].out < 2:
             text = page[at : m.start() if m else len(page)]
             if text:
                 parts.append(text)
@@ -145,9 +183,9 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, str, bool
             continue
         name = name.lower()
         if m["end"]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
             if k:
-                if name not in INLINE:
+                if any(x.block for x in stack[k:]):
                     flush()
                 pop(k)
             elif name not in INLINE:
@@ -165,46 +203,57 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, str, bool
                 at = len(page) if block is None else block.start()
             continue
         if name in VOID:
-            if name in ("br", "hr") and not stack[-1][2]:
+            if name in ("br", "hr") and stack[-1].out < 2:
                 parts.append(" ")
                 if name == "hr":
                     flush()
             continue
         top = stack[-1]
-        label, out, cued = _style(name, m["attrs"])
-        cued &= not (name == "article" and not top[7]) and m.start() not in spared
-        out |= cued
-        mark = m.start() if cued and not top[7] else -1
-        if name in MAIN and not top[7]:
-            holders.update(x[6] for x in stack if x[6] >= 0)
-        if name in INLINE:
+        label, gone, cued = _style(name, m["attrs"])
+        cued = (cued and not (name == "article" and not top.article) or name in DOUBTFUL) and m.start() not in spared
+        tag = m.start() if cued and not top.article else -1
+        if name in MAIN and not top.article:
+            holders.update(x.tag for x in stack if x.tag >= 0)
+        if name in INLINE and not cued:
             if m["attrs"].endswith("/"):
                 continue
-            if out and not top[2]:
+            if gone and top.out < 2:
                 parts.append(" ")
-            stack.append((name, top[1], top[2] or out, top[3], top[4], [], mark, top[7]))
+            stack.append(_Open(name, top.path, 2 if gone else top.out, top.inside, top.textual, [], tag, top.article, False))
             continue
         flush()
-        shut = ("p",) if name not in CLOSES else ("p", *CLOSES[name])
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in shut:
-                pop(k)
-                if stack[-1][0] in INLINE or name not in CLOSES:
+        if name not in INLINE:
+            shut = ("p",) if name not in CLOSES else ("p", *CLOSES[name])
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].name in shut:
+                    pop(k)
+                    if stack[-1].name in INLINE or name not in CLOSES:
+                        break
+                elif stack[k].name in SCOPE and stack[k].name not in shut:
                     break
-            elif stack[k][0] in SCOPE and stack[k][0] not in shut:
-                break
         top = stack[-1]
-        path = f"{top[1]}/{label}"
-        article = top[3] or name in MAIN
-        out |= name in DROPPED and not (name == "header" and top[3])
-        if not top[2]:
-            top[5].append(label)
-        stack.append((name, path, top[2] or out, article, name in TEXTUAL, [], mark, top[7] or name == "article"))
+        gone |= name in DROPPED and not (name == "header" and top.inside)
+        if top.out < 2:
+            top.children.append(label)
+        stack.append(_Open(name, f"{top.path}/{label}", 2 if gone else max(top.out, int(cued)), top.inside or name in MAIN, name in TEXTUAL, [], tag, top.article or name == "article", True))
     flush()
     pop(1)
     return found, runs, frozenset(holders)
 
 
+def priors(found: list[Block]) -> list[float]:
+    """What markup says of each block of a page: PRIOR or 1.
+
+    Names don't count where nothing else is left: not in an article that is
+    named throughout, nor on a page without one if paragraphs stand in what is
+    named.
+    """
+    article = any(x.inside for x in found)
+    own = [x for x in found if x.inside == article]
+    trusted = not all(x.named for x in own) or not (article or any(x.textual for x in own))
+    return [PRIOR if x.inside != article or x.named and trusted else 1.0 for x in found]
+
+
 def _hashes(texts: list[str]) -> np.ndarray:
     import xxhash
 
@@ -213,30 +262,33 @@ def _hashes(texts: list[str]) -> np.ndarray:
 
 def _nodes(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Content (kind 0) and presentation (kind 1) of each style node of each
-    page, each value of a node once a page; copy is the hash of the page."""
+    page, each value of a node once a page; copy is the hash of what the
+    markup's names leave of the page."""
     for frame in frames:
         host, copy, kind, path, value = [], [], [], [], []
-        for h, c, page in zip(frame["host"].to_pylist(), frame["copy"].to_pylist(), frame["html"].to_pylist(), strict=True):
+        for h, page in zip(frame["host"].to_pylist(), frame["html"].to_pylist(), strict=True):
             found, runs = blocks(page)
-            rows = list(dict.fromkeys([(0, p, t) for p, t, _, _ in found] + [(1, p, r) for p, r in runs]))
+            rows = list(dict.fromkeys([(0, x.path, x.text) for x in found] + [(1, p, r) for p, r in runs]))
             host += [h] * len(rows)
-            copy += [c] * len(rows)
+            copy += ["\n".join(x.text for x, w in zip(found, priors(found), strict=True) if w == 1)] * len(rows)
             kind += [r[0] for r in rows]
             path += [r[1] for r in rows]
             value += [r[2] for r in rows]
-        yield pa.RecordBatch.from_pydict({"host": pa.array(host, pa.string()), "copy": pa.array(copy, pa.int64()), "kind": pa.array(kind, pa.int32()), "path": pa.array(path, pa.string()), "value": pa.array(_hashes(value), pa.int64())})
+        yield pa.RecordBatch.from_pydict({"host": pa.array(host, pa.string()), "copy": pa.array(_hashes(copy), pa.int64()), "kind": pa.array(kind, pa.int32()), "path": pa.array(path, pa.string()), "value": pa.array(_hashes(value), pa.int64())})
 
 
 def node_importance(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the merged style nodes with text.
+    """(host, path, pages, importance) of the merged style nodes with text;
+    pages: (host, html).
 
     For a value on k of a node's m occurrences: content 1 - mean(log k / log
     m), presentation the entropy of the runs of the parent's children over
-    log m; both 1 where m is 1. Pages of a host with the same html count once.
+    log m; both 1 where m is 1. Pages of a host with the same text, but for
+    what is named as other than the main text, count once.
     """
-    met = pages.select("host", F.xxhash64("html").alias("copy"), "html").mapInArrow(released(_nodes), "host string, copy long, kind int, path string, value long").distinct()
+    met = pages.select("host", "html").mapInArrow(released(_nodes), "host string, copy long, kind int, path string, value long").distinct()
     counted = materialise(met.groupBy("host", "kind", "path", "value").agg(F.count("*").alias("k")), "nodes")
-    merged = counted.groupBy("host", "kind", "path").agg(F.sum("k").alias("m"), F.max("k").alias("pages"), F.sum(F.col("k") * F.log("k")).alias("s"))
+    merged = counted.groupBy("host", "kind", "path").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.log("k")).alias("s"))
     h = F.when(F.col("m") > 1, 1 - F.col("s") / F.col("m") / F.log("m")).otherwise(1.0)
     merged = merged.withColumn("i", h)
     own = merged.where("kind = 0").select("host", "path", F.col("m").alias("pages"), F.col("i").alias("content"), F.regexp_replace("path", "/[^/]*$", "").alias("up"))
@@ -245,40 +297,53 @@ def node_importance(pages: DataFrame) -> DataFrame:
     return met.select("host", "path", "pages", (PRESENTATION * F.coalesce("shape", F.lit(1.0)) + (1 - PRESENTATION) * F.col("content")).alias("importance"))
 
 
-def main_text(page: str | None, low: frozenset[str] = frozenset()) -> str:
+def low_branches(pages: DataFrame, importance: float = IMPORTANCE) -> DataFrame:
+    """(site, low, lowest): paths of each host that the tree takes out, and of
+    those the ones that it takes out of a named article too. A host without
+    such paths has no row."""
+    measured = F.col("importance") * F.col("pages")
+    low, lowest = ((measured + n) / (F.col("pages") + n) < importance for n in (PRIOR_PAGES, ARTICLE_PAGES))
+    listed = node_importance(pages).where(low).withColumn("lowest", lowest)
+    return listed.groupBy(F.col("host").alias("site")).agg(F.sort_array(F.collect_list("path")).alias("low"), F.sort_array(F.collect_list(F.when(F.col("lowest"), F.col("path")))).alias("lowest"))
+
+
+def main_text(page: str | None, low: frozenset[str] = frozenset(), lowest: frozenset[str] = frozenset()) -> str:
     """The main text of one page, given its host's paths of low importance."""
     found, _ = blocks(page)
-    article = any(inside for _, _, inside, _ in found)
-    return " ".join(t for p, t, inside, textual in found if (inside if article else True) and not (p in low and not (inside and textual)))
+    return " ".join(x.text for x, w in zip(found, priors(found), strict=True) if w == 1 and x.path not in (lowest if x.inside and x.textual else low))
 
 
 def _extract(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for frame in frames:
-        texts = [main_text(page, frozenset(low or ())) for page, low in zip(frame["html"].to_pylist(), frame["low"].to_pylist(), strict=True)]
+        texts = [main_text(page, *(frozenset(p or ()) for p in paths)) for page, *paths in zip(*(frame[c].to_pylist() for c in ("html", "low", "lowest")), strict=True)]
         yield pa.RecordBatch.from_pydict({"page_id": frame["page_id"], "url": frame["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
 
-def extract_main_text(pages: DataFrame, min_pages: int = MIN_PAGES, importance: float = IMPORTANCE) -> DataFrame:
+def extract_main_text(pages: DataFrame, importance: float = IMPORTANCE) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url,
     html).
 
     Character references are decoded after the markup is gone; white space
     inside a block becomes one space; blocks are joined in page order by one
-    space. Branches whose style node occurs ``min_pages`` times or more on
-    the page's host (copies of a page count once), with an importance below ``importance``, are left out,
-    but not the paragraphs, headings, lists and cells of a named article.
+    space. Branches of an importance below ``importance`` are left out.
 
     Null and empty pages give an empty text; pages without host (null URL)
     form one site. Unclosed and misnested elements are closed where their
     parents end. Repeated rows give their text again. An empty table gives an
-    empty one; other columns are ignored.
+    empty one; other columns are ignored. ``importance`` lies above PRIOR, so
+    what is named as other than the main text is out whatever its content.
     """
+    if not PRIOR < importance <= 1:
+        raise ValueError(f"importance must be above {PRIOR} and at most 1")
     bounded_batches(pages.sparkSession)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     base = base.withColumn("host", url_host(F.col("url")))
-    low = node_importance(base).where((F.col("pages") >= min_pages) & (F.col("importance") < importance))
-    low = materialise(low.groupBy(F.col("host").alias("site")).agg(F.sort_array(F.collect_list("path")).alias("low")), "low")
-    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_ROWS:
-        low = F.broadcast(low)
-    met = base.join(low, F.col("host") == F.col("site"), "left").select("page_id", "url", "html", "low")
-    return met.mapInArrow(released(_extract), "page_id long, url string, text string, n_chars long")
+    low = materialise(low_branches(base, importance), "low")
+    size = low.agg(F.sum(F.length("site") + F.length(F.concat_ws("", "low", "lowest")) + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        met = base.join(F.broadcast(low), F.col("host") == F.col("site"), "left")
+    else:
+        dealt = base.withColumn("part", F.pmod(F.xxhash64("html"), F.lit(SALTS)))
+        each = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = dealt.join(each, (F.col("host") == F.col("site")) & (F.col("part") == F.col("salt")), "left")
+    return met.select("page_id", "url", "html", "low", "lowest").mapInArrow(released(_extract), "page_id long, url string, text string, n_chars long")

@@ -10,11 +10,12 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from veilspark.llm import html_text, queries, tokens
 from veilspark.llm.components import connected_components
-from veilspark.llm.decontaminate import find_leaks
+from veilspark.llm.decontaminate import UNITS, find_leaks
 from veilspark.llm.line_dedup import drop_boilerplate
 from veilspark.llm.mixing import mix_sources, source_targets
 from veilspark.llm.near_dup import near_duplicates
@@ -205,6 +206,115 @@ def test_leaks_with_one_changed_figure(spark):
     assert got == {1: (1, True, False), 2: (1, False, True), 3: (1, False, True), 4: (1, False, False), 5: (2, False, True), 6: (2, False, True)}
 
 
+def test_leaks_with_other_names_and_letters(spark):
+    items = {
+        1: "Maria buys 5 apples at the market. Then Maria eats 2 of them and gives the rest to her brother who was waiting at home",
+        2: "The road from New York to the old mill by the river is 120 km long and the cart needs 6 hours for all of it",
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = [
+        (1, items[1].replace("Maria", "Olga").replace("5", "9")),
+        (2, items[1].replace("Maria", "Anna Maria Lopez").replace("2", "3")),
+        (3, items[2].replace("New York", "Rome").replace("120", "85")),
+        (4, items[1].title()),
+        (5, items[2].upper().replace("120", "85")),
+        (6, items[2].title().replace("6", "7")),
+        (7, items[1].replace("Maria buys", "Olga buys")),  # one name of two
+        (8, "Olga sells 5 pears at the harbour. Then Maria reads 2 of them and shows the rest to her sister who was sitting at school"),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in find_leaks(_docs(spark, docs), bench).collect()}
+    assert got == {(1, 1): False, (2, 1): False, (3, 2): False, (4, 1): True, (5, 2): False, (6, 2): False, (7, 1): True}
+
+
+def _leaks_by_hand(docs, items, window=8, least=3):
+    """(doc_id, item_id, n_windows, n_item, exact) of find_leaks, pair by pair."""
+
+    def units(text):
+        text = regex.sub(r"[\x00-\x08\x0e-\x1f]", " ", text or "")
+        words, names, glued = [], [], False
+        for m in regex.finditer(r"(\S+)([ \t\n\x0b\x0c\r]*)", text):
+            for raw, gap in [(m[1], m[2])]:
+                w = regex.sub(r"[^\p{L}\p{N}]+", "", raw)
+                follows = regex.match(r"\p{Lu}\p{L}*\p{Ll}", text, pos=m.end())
+                here = regex.search(r"\p{Lu}\p{L}*(?<=\p{Ll})$", raw) and regex.fullmatch(r"[ \t]+", gap) and follows
+                if w:
+                    words.append(w)
+                    if glued:
+                        names[-1] += "\x1f" + w
+                    else:
+                        names.append(w)
+                glued = bool(here) if w else False
+        def kinds(us, named):
+            out = []
+            for u in us:
+                if regex.search(r"\p{Nd}", u):
+                    out.append("\x02")
+                elif out and out[-1] == "\x02" and u.lower() in UNITS.split():
+                    out.append("\x04")
+                elif named and regex.match(r"\p{Lu}.*\p{Ll}", u):
+                    out.append("\x03")
+                else:
+                    out.append(u.lower())
+            return out
+        return {1: (names, kinds(names, True)), 2: (words, kinds(words, False))}
+
+    marks = {"\x02", "\x03", "\x04"}
+    found = {}
+    texts = [(d, t, units(t)) for d, t in set(docs)]
+    for item_id, text in set(items):
+        own = units(text)
+        for kind, (w, t) in own.items():
+            if not w or kind == 1 and ("\x03" not in t or len(t) < 5):
+                continue
+            n = min(window, len(t))
+            wins = []
+            for i in range(len(t) - n + 1):
+                slots = sum(x in marks for x in t[i : i + n])
+                dense = len(t) < 5 or slots * 2 > n or slots > 4
+                if kind == 2 or not dense:
+                    wins.append((i, dense))
+            alike = sum(not dense for _, dense in wins)
+            several = bool(regex.search(r"(?:[.!?…][^\p{L}\p{N}\s]*\s|[。！？।\n])[^\p{L}\p{N}]*[\p{L}\p{N}]", text.strip(" ")))
+            index = defaultdict(list)
+            for i, dense in wins:
+                index[dense, tuple(x.lower() for x in w[i : i + n]) if dense else tuple(t[i : i + n])].append(i)
+            for doc_id, body, both in texts:
+                dw, dt = both[kind]
+                lined = defaultdict(list)
+                for a in range(len(dt) - n + 1):
+                    for dense, key in ((True, tuple(x.lower() for x in dw[a : a + n])), (False, tuple(dt[a : a + n]))):
+                        for i in index.get((dense, key), ()):
+                            lined[a - i].append((i, a, dense))
+                for hits in lined.values():
+                    equal = [[x.lower() for x in w[i : i + n]] == [x.lower() for x in dw[a : a + n]] for i, a, _ in hits]
+                    slots = {(t[i + j], w[i + j], dw[a + j]) for i, a, dense in hits if not dense for j in range(n) if t[i + j] in marks}
+                    consistent = len(slots) == len({x[:2] for x in slots})
+                    enough = len(hits) >= min(least, len(wins)) or alike and sum(not d for _, _, d in hits) >= min(least, alike)
+                    if consistent and enough or sum(equal) >= (least if several else 2 * window):
+                        best = (len(hits) if consistent else sum(equal), all(equal), len(wins))
+                        found[doc_id, item_id] = max(best, found.get((doc_id, item_id), best))
+    return {(*k, n, m, e) for k, (n, e, m) in found.items()}
+
+
+def test_leaks_by_hand(spark, sf_dir):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    rng = random.Random(6)
+    names, plain = ["Anna", "Boris Gray", "Carla", "New York", "Rome"], docs[:20]
+    for k in range(30):  # word problems, and copies with other values, edits and letters
+        words = [rng.choice([*(["of", "the", "and", "with", "men", "box", "cart", "mill", "bread", "yard"]), "Then", rng.choice(names), str(rng.randint(2, 99)), "5 kg", "walks.\nThe"]) for _ in range(rng.randint(3, 30))]
+        items.append((1000 + k, " ".join(words)))
+        for c in range(4):
+            other = [rng.choice(names) if w in names and rng.random() < 0.5 else str(rng.randint(2, 99)) if w.isdigit() and rng.random() < 0.5 else w for w in words]
+            copy = rng.choice([str, str.upper, str.title, str])(" ".join(other))
+            docs.append((5000 + 10 * k + c, f"{plain[k % 20][1][:60]} {copy} {rng.choice(['and so on', 'THE END'])}"))
+    docs += [(9000, None), (9001, ""), (9002, "?!"), (9003, items[-1][1])]
+    got = {tuple(r[c] for c in ("doc_id", "item_id", "n_windows", "n_item", "exact")) for r in find_leaks(_docs(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = _leaks_by_hand(docs, items)
+    assert len(want) > 80
+    assert got == want
+
+
 # --- 5: near duplicates -------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import functions as F
 
 from veilspark.llm import html_text, queries, tokens
+from veilspark.llm import suffix_array as sa_module
 from veilspark.llm.components import connected_components
 from veilspark.llm.decontaminate import UNITS, find_leaks
 from veilspark.llm.line_dedup import drop_boilerplate
@@ -636,6 +637,33 @@ def test_hot_anchors_change_nothing(spark):
     assert covered(repeated_spans(keyed, 10**6)) == covered(repeated_spans(keyed, 10**6, hot_rows=4))
 
 
+def test_prefixes_of_long_repeats():
+    rng = random.Random(7)
+    for _ in range(40):
+        part = [rng.randint(1, rng.choice((3, 60_000, 200_000))) for _ in range(rng.randint(1, 25))]
+        t = np.array(part * rng.randint(1, 4) + [rng.randint(1, 9)] + part + [0])
+        order = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        sa = suffix_array(t)
+        assert sa.tolist() == order
+        p = common_prefixes(t, sa)
+        assert p[order[0]] == 0
+        for a, b in itertools.pairwise(order):
+            assert p[b] == next(k for k in range(len(t)) if t[a + k] != t[b + k])
+
+
+def test_large_alphabets_are_induced(monkeypatch):
+    """No level is sorted in another way, however many names there are."""
+    rng = np.random.default_rng(5)
+    t = np.append(rng.integers(1, 40, 60_000), 0)
+    levels = []
+    counted = sa_module._induce_counted
+    monkeypatch.setattr(sa_module, "_induce_counted", lambda t, s, k, lms: levels.append(k) or counted(t, s, k, lms))
+    sa = suffix_array(t)
+    assert levels and max(levels) > sa_module.BUCKETS
+    raw = t.astype(">u2").tobytes()
+    assert sa.tolist() == sorted(range(len(t)), key=lambda i: raw[2 * i : 2 * i + 100])
+
+
 def test_suffix_arrays():
     rng = random.Random(1)
     for _ in range(200):

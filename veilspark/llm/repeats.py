@@ -5,20 +5,20 @@
 1. In each window of ``length`` bytes the k-gram with the least hash is its
    anchor. Windows with the same bytes have the same anchor, so all copies of
    a window are found among the windows of one anchor.
-2. Anchors are counted in the buckets of their hash. A fixed-size bit filter
-   keeps those that occur in two documents; where too many of its bits are
-   set, it is left out and all anchors go on. Anchors of very many documents
-   (at most HOT_ANCHORS of them) are listed: their windows are dealt out one
-   by one, by their own hash, so that no shard holds a frequent passage's
-   surroundings in all documents.
-3. The stretches around the kept anchors go to the bucket of the anchor. A
-   bucket's stretches are one shard: its suffix array is built by induced
-   sorting, and runs of common prefixes of ``length`` bytes give the smallest
-   document of each window.
+2. Anchors are counted in the buckets of their hash. A bit filter of fixed
+   size keeps those that occur in two documents (where most of its bits would
+   be set it keeps nothing out and isn't sent). Anchors of very many documents
+   are listed: their windows are dealt out one by one, by their own hash, so
+   that no shard holds a frequent passage's surroundings in all documents.
+3. The stretches around the kept anchors go to the bucket of the anchor, the
+   windows of listed anchors to that of their hash. A bucket's stretches are
+   one shard: its suffix array is built by induced sorting, and runs of
+   permuted common prefixes of ``length`` bytes give the smallest document of
+   each window.
 4. Windows that also start in a smaller document cover the bytes to remove.
 
-Stretches that are alike within a batch are sent once, with the smallest
-document; in the others every window is known to repeat.
+Stretches and windows that are alike within a batch are sent once, with the
+smallest document; in the others every window is known to repeat.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import bounded_batches, materialise, released
-from .suffix_array import PrefixHashes, full_prefixes, suffix_array
+from .suffix_array import PrefixHashes, common_prefixes, suffix_array
 
 LENGTH = 50
 GRAM = 20
@@ -41,7 +41,9 @@ BUCKET_BYTES = 8 << 20
 SHARD_BYTES = 1 << 20
 HOT_ROWS = 2048
 HOT_ANCHORS = 1_000_000
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
+#: Tasks that the buckets are dealt to at most; a task has one bucket at a time.
+MOST_TASKS = 1 << 15
 LAST = np.iinfo(np.int64).max
 
 _U = np.uint64
@@ -184,7 +186,7 @@ def _by_bucket(frames: Iterator[pa.RecordBatch], names: list[str]):
 
 
 _STRETCH = np.dtype([("anchor", "<u8"), ("row", "<i4"), ("at", "<i8"), ("n", "<i4"), ("kind", "<i4")])
-_BYTES, _KNOWN, _WINDOW = 0, 1, 2
+_BYTES, _KNOWN = 0, 1
 
 
 def _windows(texts: list[bytes], doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,8 +207,8 @@ def _stretches(length: int, buckets: int, bits, hot):
     """The stretches of kept anchors, packed for each bucket.
 
     One row per batch and bucket: the documents, the table of stretches and
-    their bytes end to end. Kinds: a stretch with its bytes, a part that is
-    known to repeat, a window of a hot anchor that its hash stands for.
+    their bytes end to end. Kinds: a stretch (or a window of a hot anchor)
+    with its bytes, and a part that is known to repeat.
     """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,18 +232,23 @@ def _stretches(length: int, buckets: int, bits, hot):
                 which, at, key = _windows(texts, doc[is_hot], lo[is_hot], hi[is_hot], length)
                 row = doc[is_hot][which]
                 order = np.lexsort((at, ids[row], key))
-                first = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-                low = ids[row[order[first]]][np.cumsum(first) - 1]
+                # alike: the hash and then the bytes
+                windows = [texts[d][a : a + length] for d, a in zip(row[order].tolist(), at[order].tolist(), strict=True)]
+                lows: dict[bytes, int] = {}
                 known = np.empty(len(order), bool)
-                known[order] = ids[row[order]] > low
-                table.append(_rows(key[~known], row[~known], at[~known], length, _WINDOW))
+                sent = np.zeros(len(order), bool)
+                for j, w, i in zip(order.tolist(), windows, ids[row[order]].tolist(), strict=True):
+                    known[j] = (low := lows.setdefault(w, i)) < i
+                    sent[j] = low == i
+                table.append(_rows(key[sent], row[sent], at[sent], length, _BYTES))
+                raw += [texts[d][a : a + length] for d, a in zip(row[sent].tolist(), at[sent].tolist(), strict=True)]
                 row, at = row[known], at[known]
                 order = np.lexsort((at, row))
                 row, at = row[order], at[order]
                 start = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)))) if len(row) else np.zeros(0, np.int64)
                 stop = np.append(start[1:], len(row)) - 1
                 table.append(_rows(_mix(row[start].astype(np.uint64)), row[start], at[start], at[stop] - at[start] + length if len(start) else 0, _KNOWN))
-                raw += [b""] * sum(len(x) for x in table)
+                raw += [b""] * len(start)
             doc, lo, hi, h = doc[~is_hot], lo[~is_hot], hi[~is_hot], h[~is_hot]
             order = np.lexsort((lo, hashes[doc], ids[doc], h))
             seen: dict[bytes, int] = {}
@@ -284,14 +291,19 @@ def _shard(anchor: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray
     """Runs of windows of one shard that also start in a smaller document:
     (stretch, first window, number of windows).
 
-    Stretches of one anchor with the same bytes are one in the suffix array,
-    with their smallest document.
+    Stretches of one anchor with the same bytes (a hash, and then the bytes)
+    are one in the suffix array, with their smallest document.
     """
     base = start - (np.cumsum(n) - n)
     text = raw[np.arange(n.sum()) + np.repeat(base, n)]
     ends = np.cumsum(n)
     h = PrefixHashes(text).of(ends - n, ends) + anchor * _U(0x9E3779B97F4A7C15) + n.astype(_U)
     _, one, of = np.unique(h, return_index=True, return_inverse=True)
+    other = n != n[one][of]
+    if not other.any():
+        other = np.add.reduceat(text != text[np.arange(n.sum()) + np.repeat((ends - n)[one][of] - (ends - n), n)], ends - n) > 0
+    if other.any():  # one hash of different bytes: all are kept apart
+        one = of = np.arange(len(n))
     lows = np.full(len(one), LAST, np.int64)
     np.minimum.at(lows, of, ids)
     m = n[one]
@@ -301,8 +313,8 @@ def _shard(anchor: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray
     t = np.zeros(m.sum() + len(m) + 1, np.uint16)
     t[where] = text[inner + np.repeat((ends - n)[one], m)].astype(np.uint16) + 2
     t[np.cumsum(m + 1) - 1] = 1
-    sa = suffix_array(t, length)
-    shared = full_prefixes(t, sa, length)[sa]
+    sa = suffix_array(t)
+    shared = common_prefixes(t, sa)[sa] >= length
     stretch = np.append(np.repeat(np.arange(len(m)), m + 1), len(m) - 1)
     inside = np.zeros(len(t), bool)
     inside[where] = inner <= np.repeat(m, m) - length
@@ -339,13 +351,6 @@ def _repeats(length: int, shard_bytes: int):
             start = np.cumsum(n) - n
             known = t[t["kind"] == _KNOWN]
             spans = [(known["row"], known["at"], known["at"] + known["n"])]
-            single = t[t["kind"] == _WINDOW]
-            if len(single):
-                order = np.lexsort((ids[single["row"]], single["anchor"]))
-                single = single[order]
-                first = np.concatenate(([True], single["anchor"][1:] != single["anchor"][:-1]))
-                hit = single[ids[single["row"]] > ids[single["row"][first]][np.cumsum(first) - 1]]
-                spans.append((hit["row"], hit["at"], hit["at"] + hit["n"]))
             own = np.flatnonzero(t["kind"] == _BYTES)
             own = own[np.argsort(t["anchor"][own], kind="stable")]
             size = np.cumsum(n[own])
@@ -428,7 +433,7 @@ def repeated_spans(keyed: DataFrame, total: int, length: int = LENGTH, hot_rows:
     spark = keyed.sparkSession
     buckets = int(min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)), FILTER_BITS))
     counted = keyed.select("text").mapInArrow(released(_count_anchors(length, buckets)), "bucket int, anchors binary")
-    found = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_repeated_bits(hot_rows)), "bucket int, bits binary, hot binary, n long")
+    found = counted.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(released(_repeated_bits(hot_rows)), "bucket int, bits binary, hot binary, n long")
     found = materialise(found, "anchors")
     n_set, n_all = (x or 0 for x in found.agg(F.sum(F.length("bits") / 4), F.sum("n")).first())
     if n_all > hot_rows * HOT_ANCHORS:
@@ -441,7 +446,7 @@ def repeated_spans(keyed: DataFrame, total: int, length: int = LENGTH, hot_rows:
         bits = spark.sparkContext.broadcast(np.packbits(flags, bitorder="little").tobytes())
     hot = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r["hot"] for r in found.select("hot").where(F.length("hot") > 0).toLocalIterator()), "<u8")).tobytes())
     packed = keyed.select(F.col("order").alias("doc_id"), "text", "th").mapInArrow(released(_stretches(length, buckets, bits, hot)), "bucket int, ids binary, hashes binary, table binary, bytes binary")
-    spans = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(released(_repeats(length, SHARD_BYTES)), "doc_id long, th long, lo long, hi long")
+    spans = packed.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(released(_repeats(length, SHARD_BYTES)), "doc_id long, th long, lo long, hi long")
     return spans.withColumnRenamed("doc_id", "order")
 
 

@@ -6,14 +6,16 @@ in order by one induction, named, and the string of names is sorted in turn;
 from the order of the LMS suffixes the whole array is induced bucket by
 bucket. A bucket's scan is done in rounds (what a round appends to its own
 bucket is the next round), which gives the order of the sequential scan.
+
+There are more names than a loop over buckets can afford; strings over large
+alphabets are induced entry by entry, into places counted for each symbol.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Strings over larger alphabets have too many buckets for a loop over them;
-#: strings of names are then sorted by doubling the compared length.
+#: Strings over larger alphabets are induced entry by entry.
 BUCKETS = 2048
 
 _U = np.uint64
@@ -117,84 +119,99 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
     return names
 
 
-def _by_doubling(t: np.ndarray, depth: int | None) -> np.ndarray:
-    """Order of the suffixes of ``t``, by their first ``depth`` symbols."""
-    rank, h = t.astype(np.int64), 1
-    if int(rank.max()) < 1 << 20:  # three symbols to begin with
-        key = np.concatenate((rank + 1, [0, 0]))
-        rank, h = (key[:-2] << 42) | (key[1:-1] << 21) | key[2:], 3
-        order = np.argsort(rank)
-        k = rank[order]
-        rank[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
-        if rank[order[-1]] == len(t) - 1 or h >= len(t) or depth and h >= depth:
-            return order
-    while True:
-        key = rank * (int(rank.max()) + 2)
-        key[: len(t) - h] += rank[h:] + 1
-        order = np.argsort(key)
-        k = key[order]
-        rank = np.empty(len(t), np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(k[1:] != k[:-1])))
-        h *= 2
-        if rank[order[-1]] == len(t) - 1 or h >= len(t) or depth and h >= depth:
-            return order
-
-
-def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
+def _induce_counted(t: np.ndarray, s: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
+    """_induce() for any alphabet: one scan up, one down, over counted places."""
+    sizes = np.bincount(t, minlength=k)
+    ends = np.cumsum(sizes)
+    symbols, stype, order = t.tolist(), s.tolist(), [0] * len(t)
+    tails, heads = ends.tolist(), (ends - sizes).tolist()
+    for p in lms[::-1].tolist():
+        c = symbols[p]
+        tails[c] -= 1
+        order[tails[c]] = p
+    for p in order:  # sees what it has put further on
+        if p:
+            p -= 1
+            if not stype[p]:
+                c = symbols[p]
+                order[heads[c]] = p
+                heads[c] += 1
+    tails = ends.tolist()
+    for p in reversed(order):
+        if p:
+            p -= 1
+            if stype[p]:
+                c = symbols[p]
+                tails[c] -= 1
+                order[tails[c]] = p
+    return np.array(order, np.int64)
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
     """Start positions of the suffixes of ``t`` in order.
 
-    t: small non-negative integers of which the last is the only smallest
-    (0). depth: suffixes that agree in so many symbols may come in any order.
+    t: non-negative integers of which the last is the only smallest (0).
     """
     if len(t) < 3:
         return np.arange(len(t))[::-1].copy()
     k = int(t.max()) + 1
-    if k > BUCKETS:
-        return _by_doubling(t, depth)
-    t = t.astype(np.uint16)  # sorted by digits
+    induce = _induce_counted if k > BUCKETS else _induce
+    if k <= BUCKETS:
+        t = t.astype(np.uint16)  # sorted by digits
     s = classify(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     is_lms = np.zeros(len(t), bool)
     is_lms[lms] = True
-    order = _induce(t, s, k, lms)
+    order = induce(t, s, k, lms)
     order = order[is_lms[order]]
     names = _names(t, lms, order)
     if names.max() + 1 < len(lms):
-        order = lms[suffix_array(names, depth and depth // 2 + 2)]
-    return _induce(t, s, k, order)
-
-
-def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+        order = lms[suffix_array(names)]
+    return induce(t, s, k, order)
+
+
+def _shared(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Symbols that the suffixes at ``a`` and ``b`` (never the same) share,
+    compared eight bytes at a time."""
+    t = np.concatenate((t, np.zeros(8, t.dtype))).astype(np.uint16 if t.max(initial=0) < 1 << 16 else np.uint32)
+    each = 8 // t.itemsize
+    word = np.lib.stride_tricks.as_strided(t, (len(t) - each + 1, each), (t.itemsize,) * 2)
+    word = np.ascontiguousarray(word).view(_U)[:, 0]
+    got = np.zeros(len(a), np.int64)
+    on = np.arange(len(a))
+    while len(on):
+        differ = word[a[on] + got[on]] ^ word[b[on] + got[on]]
+        part = np.zeros(len(on), np.int64)
+        for i in range(1, each):
+            part += (differ & _U((1 << (8 * t.itemsize * i)) - 1)) == 0
+        same = differ == 0
+        got[on] += np.where(same, each, part)
+        on = on[same]
+    return got
+
+
+def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int | None = None) -> np.ndarray:
     """Permuted common prefixes: for each position the symbols (``most`` at
     most) that its suffix shares with the one before it in order.
 
-    Each value is put together from powers of two, largest first, by
-    comparing 64-bit hashes of the symbols that follow the part found so far.
+    Where the symbols before both suffixes are the same too, the value is that
+    of the position before less one; symbols are compared for the others only.
     """
     n = len(t)
-    out = np.zeros(n, np.int64)
-    hashed = PrefixHashes(t)
-    before, after = sa[:-1], sa[1:]
-    got = np.zeros(n - 1, np.int64)
-    step = 1 << (most.bit_length() - 1)
-    while step:
-        a, b = before + got, after + got
-        fits = (np.maximum(a, b) + step <= n) & (got + step <= most)
-        got[fits] += step * (hashed.of(a[fits], a[fits] + step) == hashed.of(b[fits], b[fits] + step))
-        step >>= 1
-    out[after] = got
-    return out
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    at = np.arange(n)
+    fresh = np.ones(n, bool)
+    fresh[1:] = (before[1:] < 1) | (t[:-1] != t[before[1:] - 1])
+    own = np.flatnonzero(fresh & (before >= 0))
+    value = np.zeros(n, np.int64)
+    value[own] = _shared(t, own, before[own])
+    last = np.maximum.accumulate(np.where(fresh, at, 0))
+    out = value[last] - (at - last)
+    return out if most is None else np.minimum(out, most)
 
 
 def full_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each position whether its common prefix with the one before it in
-    order has ``most`` symbols: common_prefixes() cut to one comparison."""
-    n = len(t)
-    out = np.zeros(n, bool)
-    if n > most:
-        at = np.arange(n - most + 1)
-        window = np.zeros(n, _U)
-        window[: n - most + 1] = PrefixHashes(t).of(at, at + most)
-        a, b = sa[:-1], sa[1:]
-        out[b] = (window[a] == window[b]) & (np.maximum(a, b) <= n - most)
-    return out
+    """For each position whether its suffix shares ``most`` symbols with the
+    one before it in order."""
+    return common_prefixes(t, sa) >= most

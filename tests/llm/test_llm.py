@@ -13,14 +13,14 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from veilspark.llm import html_text, queries, tokens
+from veilspark.llm import html_text, line_dedup, queries, tokens
 from veilspark.llm import suffix_array as sa_module
 from veilspark.llm.components import connected_components
 from veilspark.llm.decontaminate import UNITS, find_leaks
 from veilspark.llm.line_dedup import drop_boilerplate
 from veilspark.llm.mixing import mix_sources, source_targets
 from veilspark.llm.near_dup import near_duplicates
-from veilspark.llm.quality import grow, score_quality
+from veilspark.llm.quality import FEATURES, grow, score_quality, statistics
 from veilspark.llm.repeats import _keyed, remove_repeats, repeated_spans
 from veilspark.llm.suffix_array import common_prefixes, full_prefixes, suffix_array
 from veilspark.llm.tokens import VOCABULARY, attribute, count_tokens, encode, encoder
@@ -157,6 +157,46 @@ def test_quality_edges(spark):
     assert score_quality(docs.limit(0), none).count() == 0
 
 
+def test_learning_from_repeated_ids(spark):
+    """The choice among texts of one id is the same in every run."""
+    rng = random.Random(4)
+    rows = [(i % 40, ("good words of a text. " if (i % 40) % 2 else "BAD!!! $$ ") * rng.randint(1, 30)) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    runs = [{(r["doc_id"], r["text"]): r["score"] for r in score_quality(spark.createDataFrame(rows[::step], "doc_id long, text string").repartition(n), labels).collect()} for step, n in ((1, 1), (-1, 7))]
+    assert runs[0] == runs[1]
+
+
+def test_forest_by_hand():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 4))
+    forest = grow(x, (x[:, 1] + x[:, 2] > 0.3).astype(float), trees=12)
+
+    def walk(row, node):
+        if forest.feature[node] < 0:
+            return forest.value[node]
+        return walk(row, forest.left[node] + (row[forest.feature[node]] > forest.threshold[node]))
+
+    want = [1 / (1 + np.exp(-(forest.base + sum(walk(r, n) for n in forest.roots)))) for r in x]
+    assert forest.scores(x).tolist() == pytest.approx(want)
+
+
+def test_statistics_by_hand():
+    text = "One two two\n\nTHREE four#  aVeryLongWordOfMoreThanTwentyLetters 12.5 é!?"
+    got = dict(zip(FEATURES, statistics(text), strict=True))
+    raw, words, lines = text.encode(), text.encode().split(), text.encode().split(b"\n")
+    share = lambda ok: sum(map(ok, raw)) / len(raw)
+    of_words = lambda ok: sum(map(ok, words)) / len(words)
+    want = {
+        "log_bytes": np.log1p(len(raw)), "log_words": np.log1p(len(words)), "log_lines": np.log1p(len(lines)), "word_bytes": np.mean([len(w) for w in words]),
+        "upper": share(lambda b: 65 <= b <= 90), "digits": share(lambda b: 48 <= b <= 57), "spaces": share(lambda b: b in b" \n"), "high": share(lambda b: b > 127),
+        "marks": share(lambda b: b in b"#.!?"), "exclaims": share(lambda b: b == 33), "signs": share(lambda b: b == 35), "bars": 0, "stops": share(lambda b: b in b".?"),
+        "entropy": -sum(c / len(raw) * np.log2(c / len(raw)) for c in Counter(raw).values()), "distinct_words": len(set(words)) / len(words), "top_word": 2 / len(words),
+        "capital_words": of_words(lambda w: w[:1].isupper()), "shouted_words": of_words(lambda w: w.isupper() and len(w) > 1), "marked_words": of_words(lambda w: w[-1:] in b"#!"),
+        "line_bytes": len(raw) / len(lines), "distinct_lines": 1, "long_words": of_words(lambda w: len(w) > 20), "short_words": of_words(lambda w: len(w) < 3), "doubled_words": 1 / len(words),
+    }
+    assert got == pytest.approx(want)
+
+
 def test_forest_fits():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 5))
@@ -380,6 +420,12 @@ def test_lines(spark):
     assert drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_lines_of_many_hosts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    df = spark.createDataFrame([(i, f"own {i}\nfooter of {i % 3}", "abc"[i % 3]) for i in range(90)] + [(90, None, None)], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["text"] for r in drop_boilerplate(df).collect()} == {i: f"own {i}" for i in range(90)} | {90: None}
+
+
 # --- 7: tokens ----------------------------------------------------------------
 
 

@@ -151,14 +151,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fo
 
     docs: (doc_id, text); labels: (doc_id, quality). Labels that are null or
     without doc_id don't count; of several of one doc_id the mean, from 0.5
-    on 1. At most ``sample_rows`` labels are used (SAMPLE_ROWS says which).
+    on 1. At most ``sample_rows`` labels are used (SAMPLE_ROWS says which). Of
+    several texts of one doc_id the one with the least statistics counts.
     """
     bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"), folds)).groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = texts.join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("doc_id", "y", "text")
-    rows = sorted((r["doc_id"], r["y"], *r["x"]) for r in met.mapInArrow(released(_measure), "doc_id long, y double, x array<double>").limit(2 * sample_rows).collect())
+    measured = met.mapInArrow(released(_measure), "doc_id long, y double, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x"))
+    rows = sorted((r["doc_id"], r["y"], *r["x"]) for r in measured.collect())
     table = np.array(rows, float).reshape(-1, 2 + len(FEATURES))
     return grow(table[:, 2:], table[:, 1])
 

@@ -15,7 +15,10 @@ from .storage import materialise
 RATIO = 0.1
 MIN_HOST_PAGES = 20
 MIN_LINE_PAGES = 5
+#: Lists of lines are broadcast up to so many lines; beyond, they are joined
+#: by host, each host in SALTS parts.
 BROADCAST_LINES = 100_000
+SALTS = 64
 _WS = " \t\n\x0b\x0c\r"
 
 
@@ -51,9 +54,12 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     pages = docs.select(F.col(host).alias("host"), "text")
     bad = boilerplate_lines(pages, ratio, min_host_pages, min_line_pages)
     bad = materialise(bad.groupBy(F.col("host").alias("__host")).agg(F.sort_array(F.collect_set("line")).alias("__bad")), "lines")
+    same = docs[host].eqNullSafe(bad["__host"])
     if (bad.agg(F.sum(F.size("__bad"))).first()[0] or 0) <= BROADCAST_LINES:
-        bad = F.broadcast(bad)
-    met = docs.join(bad, docs[host].eqNullSafe(bad["__host"]), "left")
+        met = docs.join(F.broadcast(bad), same, "left")
+    else:
+        each = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = docs.join(each, same & (F.pmod(F.xxhash64(docs["text"]), F.lit(SALTS)) == F.col("__salt")), "left")
     kept = F.when(F.col("__bad").isNull(), _lines(docs["text"])).otherwise(F.filter(_lines(docs["text"]), lambda x: (F.trim(x, F.lit(_WS)) == "") | ~F.array_contains(F.col("__bad"), _hash(x))))
     met = met.withColumn("__kept", kept)
     left = F.when(docs["text"].isNull(), F.lit(None).cast("string")).otherwise(F.array_join("__kept", "\n"))

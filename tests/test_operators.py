@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import filters
 from veilspark.functions import text as X
-from veilspark.operators import dictionary, mapping, masking
+from veilspark.operators import dictionary, lifecycle, mapping, masking, policy, report, result
 from veilspark.sources import pages
+from veilspark.streaming import state
 
 
 def test_token_has_the_grammar_and_is_keyed(spark):
@@ -29,7 +30,7 @@ def test_native_and_automaton_replacement_agree(spark):
     values = {w: rng.choice(("A", "B")) for w in words}
     texts = spark.createDataFrame([(i, "".join(rng.choice("abc ") for _ in range(40))) for i in range(60)] + [(60, None), (61, "")], "id int, text string")
     native = {r["id"]: r["text"] for r in dictionary.replace_values(texts, values).collect()}
-    automaton = {r["id"]: r["text"] for r in dictionary._by_automaton(texts, values, "text").collect()}
+    automaton = {r["id"]: r["text"] for r in dictionary.replace_values(texts, values, "text", native=0).collect()}
     assert native == automaton
 
 
@@ -168,3 +169,71 @@ def test_natural_order(spark):
 
     df = spark.createDataFrame([(x,) for x in ("a10", "A9", None, "a9b2", "a9b10", "b1", "")], "x string")
     assert [r["x"] for r in df.orderBy(natural_key(F.col("x")).asc_nulls_last()).collect()] == ["", "A9", "a9b2", "a9b10", "a10", "b1", None]
+
+
+def test_secrets_and_dictionary_in_one_cascade(spark):
+    """The order of the cascade: a secret value of the dictionary comes before
+    persons and rules, a kept one changes nothing."""
+    cells = spark.createDataFrame([(1, "/a", "a", "x top y"), (1, "/фио", "фио", "top"), (2, "/a", "a", "keep Иванов Иван seg"), (3, "/a", "a", None), (4, "/a", "a", "[SECRET_REMOVED]")], "doc_id long, ptr string, field string, value string")
+    columns = policy.evidence(spark.createDataFrame([("a", "string", None)], "name string, type string, unverified boolean"), spark.createDataFrame([], "column string, source_path string, source_type string, secret_cut boolean"))
+    none = spark.createDataFrame([], "pos int, selector string, pattern string, action string, category string, priority int")
+    got = {(r["doc_id"], r["ptr"]): (r["value"], r["reason"]) for r in result.protect(cells, columns, none, {"top": "T", "keep": "K", "seg": "S"}, [], {"T": "secret", "K": "keep"}).collect()}
+    assert got[1, "/a"] == ("[SECRET_REMOVED]", "dictionary:T:secret") == got[1, "/фио"]
+    assert re.fullmatch(r"keep \[MASK:v1:FIO:.{32}\] \[MASK:v1:S:.{32}\]", got[2, "/a"][0]) and got[2, "/a"][1] == "text"
+    assert got[3, "/a"] == (None, None) and got[4, "/a"] == ("[SECRET_REMOVED]", None)
+
+
+def test_matches_in_texts_that_hold_the_mark(spark):
+    df = spark.createDataFrame([("a\x1e1 b2",), ("a1b22",), ("",), (None,), ("7",)], "t string")
+    got = [r["m"] for r in df.select(X.replace_matches(F.col("t"), "[0-9]+", lambda m: F.concat(F.lit("<"), m, F.lit(">"))).alias("m")).collect()]
+    assert got == ["a\x1e<1> b<2>", "a<1>b<22>", "", None, "<7>"]
+
+
+def test_automata_stay_in_their_worker(spark):
+    """The function that goes to the workers names the cache's module; it has
+    no copy of its own."""
+    from pyspark import cloudpickle
+
+    from veilspark.operators import automata
+
+    class Shared:
+        value = {"a": "A"}
+
+    run = cloudpickle.loads(cloudpickle.dumps(automata.contained("t", "v", automata.content_key(Shared.value), Shared())))
+    import pyarrow as pa
+
+    automata._built.clear()
+    list(run(iter([pa.RecordBatch.from_pydict({"t": ["xa", None]})])))
+    assert list(automata._built) == [automata.content_key({"a": "A"})]
+    assert automata.content_key({"a": "A", "b": "B"}) == automata.content_key({"b": "B", "a": "A"}) != automata.content_key({"a": "B", "b": "A"})
+
+
+def test_bounds_of_arrays_and_texts(spark):
+    cells = spark.createDataFrame([(1, "/data/9999", "x"), (2, "/data/10000", "x"), (3, "/a", "y" * 50)], "doc_id long, ptr string, value string")
+    assert {r["doc_id"]: r["ok"] for r in masking.bounds(cells, 9, 9, 999, max_items=10_000, max_text=40).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_settings_out_of_bounds():
+    assert [report.bounded_setting(x, 5, 1, 9) for x in ("7", " 9 ", "10", "0", "x", None, "")] == [7, 9, 5, 5, 5, 5, 5]
+
+
+def test_pulls_that_fail(spark):
+    values = spark.createDataFrame([("p", "K", "v"), ("q", "K", "v"), ("p", "K" * 40, None)], "source_path string, category string, value string")
+    asked = spark.createDataFrame([("p", "K")], "source_path string, category string")
+    assert {(r["problem"], r["n"]) for r in pages.dictionary_problems(values, asked).collect()} == {("item out of bounds", 1), ("not requested", 2)}
+    assert [r["problem"] for r in pages.metadata_problems(spark.createDataFrame([], "source_path string, field_name string, field_type string")).collect()] == ["no metadata"]
+
+
+def test_cascade_spares_the_audit(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "database string, n int")
+    out = lifecycle.cascade({"history": rows, "audit": rows}, "a")
+    assert (out["history"].count(), out["audit"].count()) == (1, 2)
+
+
+def test_calls_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"call_id":"1","tool_name":"q","arguments":"{}"}\nbad\n')
+    parsed = pages.parse_calls(pages.read_calls(spark, str(tmp_path / "in"), stream=True))
+    assert parsed.isStreaming
+    got = state.drained(parsed.select("call_id", "problem"), "calls").collect()
+    assert {tuple(r) for r in got} == {("1", None), (None, "not JSON")} == {tuple(r) for r in pages.parse_calls(pages.read_calls(spark, str(tmp_path / "in"))).select("call_id", "problem").collect()}

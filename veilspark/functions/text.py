@@ -14,11 +14,13 @@ SECRET_VALUE = r"(bearer\s+[a-z0-9._~+/=-]{8,}|authorization\s*[:=]\s*\S+|-----B
 SECRET_ASSIGNMENT = r"""(password|passwd|passphrase|секретнаяфраза|secret|token|api.?key|private.?key|access.?token|refresh.?token|authorization|парол\w*|токен\w*|секрет\w*|ключ\w*)\s*[:=]\s*(?:"[^"]*"|'[^']*'|[^\s,;)]+)"""
 COMPACT_MARKERS = ("password", "passwd", "passphrase", "пароль", "секретнаяфраза", "secret", "секрет", "token", "токен", "apikey", "ключapi", "ключапи", "privatekey", "приватныйключ", "accesskey", "refreshkey", "authorization", "авторизац")
 PERSON_NAME = r"(^|[_\-.])(фио|full.?name|person.?name|employee.?name|контрагент|физлицо)([_\-.]|$)"
-PERSON_VALUE = r"[А-ЯЁ][а-яё]{2,}(?:\s+[А-ЯЁ][а-яё]{2,}){1,2}"
+PERSON_VALUE = r"(?<![\p{L}\p{N}_])[А-ЯЁ][а-яё]{2,}(?:\s+[А-ЯЁ][а-яё]{2,}){1,2}(?![\p{L}\p{N}_])"
 TOKEN = r"\[MASK:v1:[A-Z0-9_]{1,32}:[A-Za-z0-9_-]{32}\]"
 
 KEY = b"local test key"
 UNIT = "\x1f"
+#: Put around matches where texts are split at them.
+MARK = "\x1e"
 
 
 def _any(columns: list[Column]) -> Column:
@@ -59,7 +61,8 @@ def cut_secret_values(text: Column) -> Column:
 
 
 def cut_assignments(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?iu){SECRET_ASSIGNMENT}", REMOVED)
+    """Texts without ``:`` and ``=`` have no assignment and aren't scanned."""
+    return F.when(F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")), F.regexp_replace(text, f"(?iu){SECRET_ASSIGNMENT}", REMOVED)).otherwise(text)
 
 
 def pointer_escape(segment: Column) -> Column:
@@ -96,12 +99,15 @@ def replace_matches(text: Column, pattern: str, make) -> Column:
     """Each match of ``pattern`` replaced by ``make(match)``.
 
     The text is split at its matches and put together again, so nothing that
-    is put in can match once more.
+    is put in can match once more. One scan marks the matches; texts that hold
+    the mark themselves are scanned for matches and for what is between.
     """
+    pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    marked = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, make(x)).otherwise(x)), "")
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     between = F.split(text, pattern, -1)
-    # texts without a match, most of them, are scanned once and left alone
-    return F.when(~text.rlike(pattern), text).otherwise(F.array_join(F.zip_with(between, F.array_append(F.transform(found, make), F.lit("")), lambda a, b: F.concat(a, b)), ""))
+    plain = F.array_join(F.zip_with(between, F.array_append(F.transform(found, make), F.lit("")), lambda a, b: F.concat(a, b)), "")
+    return F.when(F.contains(text, F.lit(MARK)), plain).otherwise(marked)
 
 
 def mask_matches(text: Column, pattern: str, kind: str) -> Column:

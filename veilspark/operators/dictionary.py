@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import mask_token, replace_matches
+from . import automata
 
 #: Up to so many values one alternation is used, beyond an automaton.
 NATIVE_VALUES = 200
 LARGE_SOURCE = 100_000
+#: What a dictionary has at most; checked before it goes to the driver.
+MAX_VALUES, MAX_BYTES = 1_000_000, 1 << 30
 
 
 def source_stats(feed: DataFrame) -> DataFrame:
@@ -43,71 +45,73 @@ def large_sources(stats: DataFrame, threshold: int = LARGE_SOURCE) -> DataFrame:
     return big.select("source_path", "values", F.greatest(F.lit(1), F.ceil(F.col("values") / 20000)).cast("long").alias("load_s"), (F.col("bytes") * 2 + F.col("values") * 48).cast("long").alias("memory_bytes"))
 
 
+def loaded(dictionary: DataFrame, most: int = MAX_VALUES, most_bytes: int = MAX_BYTES) -> dict[str, str]:
+    """value -> category of a dictionary (value, category), which is checked to
+    have at most ``most`` values and ``most_bytes`` bytes before it is fetched."""
+    own = dictionary.where("value is not null and value <> ''").select("value", "category").distinct()
+    n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
+    if n > most or size > most_bytes:
+        raise ValueError(f"a dictionary has at most {most} values and {most_bytes} bytes, not {n} and {size}")
+    return {r["value"]: r["category"] for r in own.orderBy("value", "category").collect()}
+
+
+def contained(texts: DataFrame, values: dict[str, str], name: str, column: str = "text") -> DataFrame:
+    """``texts`` with ``name``: the values that stand in ``column``, overlaps
+    included; one pass of an automaton for each text."""
+    if not values:
+        return texts.withColumn(name, F.expr("cast(array() as array<string>)"))
+    shared = texts.sparkSession.sparkContext.broadcast(values)
+    schema = T.StructType([*texts.schema.fields, T.StructField(name, T.ArrayType(T.StringType()))])
+    return texts.mapInArrow(automata.contained(column, name, automata.content_key(values), shared), schema)
+
+
 def hits(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(doc_id, value, category) of every dictionary value in every text,
-    overlaps included. dictionary: (value, category), small."""
-    return texts.join(F.broadcast(dictionary), F.contains(texts["text"], dictionary["value"])).select("doc_id", "value", "category")
+    """(doc_id, value, category) of every dictionary value in every text
+    (doc_id, text), overlaps included. dictionary: (value, category), within
+    the bounds of loaded(); a value of several categories has a row for each."""
+    found = contained(texts.select("doc_id", "text"), loaded(dictionary), "value").select("doc_id", F.explode("value").alias("value"))
+    return found.join(dictionary.select("value", "category"), "value").select("doc_id", "value", "category")
+
+
+def action_of(categories: DataFrame, rules: DataFrame) -> DataFrame:
+    """(category, action) of dictionary categories (category): that of the
+    strongest dictionary rule (pos, selector, pattern, action, category,
+    priority) whose pattern matches, else mask."""
+    from .policy import strongest_rules
 
+    fields = categories.select(F.col("category").alias("field"), F.lit("dictionary").alias("selector"), F.col("category").alias("value")).distinct()
+    best = strongest_rules(fields, rules).select(F.col("field").alias("category"), "action")
+    return categories.select("category").distinct().join(best, "category", "left").select("category", F.coalesce("action", F.lit("mask")).alias("action"))
 
-def replace_values(texts: DataFrame, values: dict[str, str], column: str = "text") -> DataFrame:
+
+def replace_values(texts: DataFrame, values: dict[str, str], column: str = "text", pairs: str | None = None, native: int = NATIVE_VALUES) -> DataFrame:
     """Leftmost-longest replacement of each value by its category's token.
 
-    Few values: one alternation, longest first, which for literals is the
-    same; many: an automaton, built once per worker.
+    Up to ``native`` values: one alternation, longest first, which for literals
+    is the same; more: an automaton, built once per worker. ``pairs``: a further
+    column of the (token, value) that were put in.
     """
+    none = F.expr("cast(array() as array<struct<token:string,value:string>>)")
     if not values:
-        return texts
-    if len(values) <= NATIVE_VALUES:
+        return texts if pairs is None else texts.withColumn(pairs, none)
+    if len(values) <= native:
         longest = sorted(values, key=lambda v: (-len(v), v))
         pattern = "|".join(re.escape(v) for v in longest)
         kinds = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-        return texts.withColumn(column, replace_matches(F.col(column), pattern, lambda m: mask_token(F.element_at(kinds, m), m)))
-    return _by_automaton(texts, values, column)
-
-
-_automata: dict[int, object] = {}
-
-
-def _by_automaton(texts: DataFrame, values: dict[str, str], column: str) -> DataFrame:
-    """Marks matches in one pass per text; tokens are made by built-ins."""
+        token = lambda m: mask_token(F.element_at(kinds, m), m)
+        if pairs is not None:
+            found = F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(f"({pattern})"), F.lit(1)))
+            texts = texts.withColumn(pairs, F.coalesce(F.transform(found, lambda m: F.struct(token(m).alias("token"), m.alias("value"))), none))
+        return texts.withColumn(column, replace_matches(F.col(column), pattern, token))
     shared = texts.sparkSession.sparkContext.broadcast(values)
     marked = f"__{column}_parts"
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        key = id(shared.value)
-        if key not in _automata:
-            automaton = ahocorasick.Automaton()
-            for v, c in shared.value.items():
-                automaton.add_word(v, (v, c))
-            automaton.make_automaton()
-            _automata.clear()
-            _automata[key] = automaton
-        for frame in frames:
-            parts = []
-            for text in frame[column].to_pylist():
-                at, own, longest = 0, [], {}
-                # all matches: iter_long misses some behind a longer one that fails
-                for end, (v, c) in _automata[key].iter(text or ""):
-                    start = end + 1 - len(v)
-                    if len(v) > len(longest.get(start, ("",))[0]):
-                        longest[start] = v, c
-                for start in sorted(longest):
-                    if start >= at:
-                        v, c = longest[start]
-                        own.append({"before": text[at:start], "value": v, "category": c})
-                        at = start + len(v)
-                parts.append([*own, {"before": (text or "")[at:], "value": None, "category": None}])
-            kind = pa.list_(pa.struct([("before", pa.string()), ("value", pa.string()), ("category", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(parts, kind)], names=[*frame.schema.names, marked])
-
-    from pyspark.sql import types as T
-
     part = T.StructType([T.StructField(n, T.StringType()) for n in ("before", "value", "category")])
     schema = T.StructType([*texts.schema.fields, T.StructField(marked, T.ArrayType(part))])
+    out = texts.mapInArrow(automata.parts(column, marked, automata.content_key(values), shared), schema)
     rebuilt = F.array_join(F.transform(marked, lambda p: F.concat(p["before"], F.when(p["value"].isNull(), "").otherwise(mask_token(p["category"], p["value"])))), "")
-    out = texts.mapInArrow(run, schema)
+    if pairs is not None:
+        put = F.filter(marked, lambda p: p["value"].isNotNull())
+        out = out.withColumn(pairs, F.array_distinct(F.transform(put, lambda p: F.struct(mask_token(p["category"], p["value"]).alias("token"), p["value"].alias("value")))))
     return out.withColumn(column, F.when(F.col(column).isNotNull(), rebuilt)).drop(marked)
 
 

@@ -31,11 +31,13 @@ def rule_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def source_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(source_path, change, class) of dictionary sources (source_path,
-    allowed: array of values that the source is filtered to)."""
-    b, a = before.select("source_path", F.col("allowed").alias("b")), after.select("source_path", F.col("allowed").alias("a"))
+    allowed: array of values that the source is filtered to; null: all)."""
+    b, a = before.select("source_path", F.col("allowed").alias("b"), F.lit(True).alias("in_b")), after.select("source_path", F.col("allowed").alias("a"), F.lit(True).alias("in_a"))
     met = b.join(a, "source_path", "full_outer")
-    more, less = F.size(F.array_except("b", "a")) == 0, F.size(F.array_except("a", "b")) == 0
-    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(more & less, "same").when(more, "widened").when(less, "narrowed").otherwise("changed")
+    all_b, all_a = F.col("b").isNull(), F.col("a").isNull()
+    more = all_a | (~all_b & (F.size(F.array_except("b", "a")) == 0))
+    less = all_b | (~all_a & (F.size(F.array_except("a", "b")) == 0))
+    change = F.when(F.col("in_b").isNull(), "added").when(F.col("in_a").isNull(), "removed").when(more & less, "same").when(more, "widened").when(less, "narrowed").otherwise("changed")
     out = met.select("source_path", change.alias("change")).where("change <> 'same'")
     return out.withColumn("class", F.when(F.col("change").isin("added", "widened"), "strengthening").otherwise("weakening"))
 

@@ -59,11 +59,13 @@ def bounded_cleanup(rows: DataFrame, expires: str, now: str, limit: int, key: st
     return rows.join(gone, key, "left_anti")
 
 
-def patched(current: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows with the patch's values where it has any."""
-    p = patch.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in columns])
+def patched(current: DataFrame, patch: DataFrame, key: str, columns: list[str], cleared: str | None = None) -> DataFrame:
+    """Rows with the patch's values where it has any; ``cleared`` names a
+    column of the patch, an array of the columns that become null."""
+    empty = F.expr("cast(array() as array<string>)")
+    p = patch.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in columns], F.coalesce(F.col(cleared), empty).alias("__null") if cleared else empty.alias("__null"))
     met = current.join(p, current[key] == F.col("__k"), "left")
-    return met.select(key, *[F.coalesce(f"__{c}", current[c]).alias(c) for c in columns])
+    return met.select(key, *[F.when(~F.coalesce(F.array_contains("__null", c), F.lit(False)), F.coalesce(f"__{c}", current[c])).alias(c) for c in columns])
 
 
 def valid_sessions(events: DataFrame, idle_s: int, absolute_s: int) -> DataFrame:

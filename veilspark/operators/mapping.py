@@ -20,17 +20,65 @@ def tokens_in(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.explode(found).alias("token"))
 
 
-def resolve(texts: DataFrame, known: DataFrame) -> DataFrame:
+#: Tokens that one text may have resolved.
+MAX_RESOLVED = 1000
+
+
+def resolve(texts: DataFrame, known: DataFrame, now: str | None = None, most: int = MAX_RESOLVED) -> DataFrame:
     """(doc_id, ok, text): texts with all their tokens replaced by values; a
-    text with an unknown token isn't ok and stays as it is. Needs one shuffle
-    of the tokens, none of the mapping where it is small."""
-    each = tokens_in(texts).join(known.select("token", "value"), "token", "left")
-    per = each.groupBy("doc_id").agg(F.bool_and(F.col("value").isNotNull()).alias("ok"), F.collect_list(F.struct("token", "value")).alias("pairs"))
+    text with an unknown token, or more than ``most``, isn't ok and stays as
+    it is. Where both have a database, tokens resolve in the text's own only;
+    ``now`` leaves out entries (expires_at) that have expired. Needs one
+    shuffle of the tokens, none of the mapping where it is small."""
+    scoped = "database" in texts.columns and "database" in known.columns
+    keys = ["token", "database"] if scoped else ["token"]
+    if now is not None:
+        known = known.where(F.col("expires_at") > F.lit(now).cast("timestamp_ntz"))
+    found = tokens_in(texts)
+    if scoped:
+        found = found.join(texts.select("doc_id", "database"), "doc_id")
+    each = found.join(known.select(*keys, "value").distinct(), keys, "left")
+    per = each.groupBy("doc_id").agg((F.bool_and(F.col("value").isNotNull()) & (F.count("*") <= most)).alias("ok"), F.collect_list(F.struct("token", "value")).alias("pairs"))
     out = texts.join(per, "doc_id", "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
     text = F.aggregate(F.coalesce("pairs", F.expr("cast(array() as array<struct<token:string,value:string>>)")), F.col("text"), lambda t, p: F.replace(t, p["token"], p["value"]))
     return out.select("doc_id", "ok", F.when(F.col("ok"), text).otherwise(F.col("text")).alias("text"))
 
 
+def expanded(entries: DataFrame, passes: int = 8) -> DataFrame:
+    """Entries (batch, token, value) with the tokens of their own batch in the
+    values as values again, so one look-up gives the original."""
+    ids = entries.select(F.struct("batch", "token").alias("doc_id"), "batch", F.col("value").alias("text"))
+    return reveal(ids, entries.select("batch", "token", "value"), passes).select("doc_id.batch", "doc_id.token", F.col("text").alias("value"))
+
+
+def published(store: DataFrame, new: DataFrame, now: str) -> DataFrame:
+    """The token store (database, token, value, batches, expires_at) after the
+    entries ``new`` of a call: an entry that is there and hasn't expired gets
+    the new batches too and the later expiry, an expired one is replaced."""
+    live = store.where(F.col("expires_at") > F.lit(now).cast("timestamp_ntz"))
+    both = live.select("database", "token", "value", "batches", "expires_at").unionByName(new.select("database", "token", "value", "batches", "expires_at"))
+    merged = both.groupBy("database", "token").agg(F.min("value").alias("value"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("batches")))).alias("batches"), F.max("expires_at").alias("expires_at"))
+    untouched = store.where(F.col("expires_at") <= F.lit(now).cast("timestamp_ntz")).join(new.select("database", "token"), ["database", "token"], "left_anti")
+    return merged.unionByName(untouched.select(*merged.columns))
+
+
+def admitted(entries: DataFrame, batch: str, limit: int) -> DataFrame:
+    """Entries (database, token, batches, used) that stay when each database
+    holds ``limit`` at most: those of ``batch`` first, then the most recently
+    used, ties by token. A batch that alone is above the limit is refused as a
+    whole: its entries go, the others compete for the places."""
+    own = F.array_contains("batches", batch)
+    n = F.count_if(own).over(Window.partitionBy("database"))
+    kept = entries.withColumns({"__own": own, "__n": n}).where(~F.col("__own") | (F.col("__n") <= limit))
+    w = Window.partitionBy("database").orderBy(F.col("__own").desc(), F.col("used").desc(), F.col("token").desc())
+    return kept.withColumn("__place", F.row_number().over(w)).where(F.col("__place") <= limit).drop("__own", "__n", "__place")
+
+
+def purged(state: DataFrame, database: str) -> DataFrame:
+    """What is left of a state table without all rows of one database."""
+    return state.where(~F.col("database").eqNullSafe(F.lit(database)))
+
+
 def evicted(entries: DataFrame, limit: int) -> DataFrame:
     """The least recently used entries (database, token, used) above ``limit``
     of each database; ties go by token."""

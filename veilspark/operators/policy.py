@@ -32,7 +32,8 @@ def structural_action(strongest: DataFrame) -> DataFrame:
 
 
 def evidence(columns: DataFrame, lineage: DataFrame) -> DataFrame:
-    """Sources, types and flags of each result column, by lower-case name.
+    """(field, source_paths, field_types, secret_cut, unverified): sorted
+    sources and types and the flags of each result column, by lower-case name.
 
     columns: (name, type, unverified); lineage: (column, source_path,
     source_type, secret_cut).
@@ -40,7 +41,7 @@ def evidence(columns: DataFrame, lineage: DataFrame) -> DataFrame:
     a = columns.select(F.lower("name").alias("field"), F.lit(None).cast("string").alias("path"), F.col("type").alias("type"), F.lit(False).alias("cut"), F.coalesce("unverified", F.lit(False)).alias("unverified"))
     b = lineage.select(F.lower("column").alias("field"), F.col("source_path").alias("path"), F.col("source_type").alias("type"), F.coalesce("secret_cut", F.lit(False)).alias("cut"), F.lit(False).alias("unverified"))
     out = a.unionByName(b).groupBy("field").agg(F.collect_set("path").alias("p"), F.collect_set("type").alias("t"), F.bool_or("cut").alias("secret_cut"), F.bool_or("unverified").alias("unverified"))
-    return out.select("field", F.array_join(F.sort_array("p"), ",").alias("source_paths"), F.array_join(F.sort_array("t"), ",").alias("field_types"), "secret_cut", "unverified")
+    return out.select("field", F.sort_array("p").alias("source_paths"), F.sort_array("t").alias("field_types"), "secret_cut", "unverified")
 
 
 def covering(patterns: DataFrame) -> DataFrame:

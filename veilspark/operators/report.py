@@ -91,3 +91,46 @@ def tsv_line(columns: list[str]) -> Column:
     """A row as it is copied: tabs between cells, white space in them one
     space, nulls empty."""
     return F.concat_ws("\t", *[F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]+", " "), F.lit("")) for c in columns])
+
+
+def pointer_values(leaves: DataFrame, pointers: DataFrame) -> DataFrame:
+    """(doc_id, pointer, rest, kind, value): the leaves (doc_id, ptr, kind,
+    value) of the value that each pointer (doc_id, pointer) names, with the
+    rest of their path, which is empty for a leaf itself. Pointers that name
+    nothing have no rows. One equi-join: a leaf is met under each of its own
+    prefixes."""
+    steps = F.split("ptr", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
+    under = leaves.select("doc_id", F.explode(up).alias("pointer"), "ptr", "kind", "value")
+    met = under.join(pointers.select("doc_id", "pointer").distinct(), ["doc_id", "pointer"])
+    return met.select("doc_id", "pointer", F.substring("ptr", F.length("pointer") + 1, F.length("ptr")).alias("rest"), "kind", "value")
+
+
+def object_fields(items: DataFrame, name: str, most: int = 1000) -> DataFrame:
+    """The first ``most`` items (source_path, field_name) below an object, in order."""
+    return items.where(F.col("source_path").startswith(f"{name}.")).orderBy("source_path", "field_name").limit(most)
+
+
+def number_text(x: Column, digits: int = 2, group: str = " ", point: str = ",") -> Column:
+    """A number as a locale shows it: groups of three and a decimal mark."""
+    return F.translate(F.format_number(x, digits), ",.", group + point)
+
+
+def date_text(x: Column, pattern: str = "dd.MM.yyyy HH:mm:ss") -> Column:
+    return F.date_format(x, pattern)
+
+
+def bounded_setting(text: str | None, default: int, low: int, high: int) -> int:
+    """A whole number from a setting; ``default`` where it is none or out of bounds."""
+    try:
+        x = int((text or "").strip())
+    except ValueError:
+        return default
+    return x if low <= x <= high else default
+
+
+def tool_list(tools: DataFrame, text: str = "", added: bool | None = None) -> DataFrame:
+    """Tools (tool, mode, auto_added) whose name contains ``text`` in any case,
+    auto-added ones or others only, by name."""
+    out = tools.where(F.contains(F.lower("tool"), F.lit(text.lower())))
+    return (out if added is None else out.where(F.col("auto_added") == added)).orderBy("tool")

@@ -332,9 +332,14 @@ def token_use_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("database"), F.col("user_id").cast("string").alias("value"), "event_type").agg(F.count("*").alias("uses"))
 
 
-@query()
+@query(f"""
+WITH u AS (SELECT user_id, event_type, ts, event_id, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS fresh FROM events),
+l AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS life FROM u)
+SELECT user_id AS database, {token_sql('upper(event_type)', 'user_id::VARCHAR')} AS token, min(ts) AS created, max(ts) + INTERVAL 1 HOUR AS expires, count(*) AS uses FROM l GROUP BY user_id, event_type, life
+""")
 def streaming_token_store(spark, sf_dir):
-    return state.drained(state.token_store(state.event_stream(spark, sf_dir)), "token_store")
+    lives = state.drained(state.token_store(state.event_stream(spark, sf_dir)), "token_store", "complete")
+    return lives.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created", "expires")})
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -116,10 +116,11 @@ def mask_cells_unpivot(spark, sf_dir):
     return cells.select("doc_id", "ptr", masking.mask_cell(F.col("field"), F.col("value"), none, none, [("[0-9]+", "NUM", "mask")]).alias("value"))
 
 
+_TWO_OR_THREE_NAMES = r"[А-ЯЁ][а-яё]{2,}(?:\s+[А-ЯЁ][а-яё]{2,}){1,2}"
 _PERSONS = values("id, text", [(1, "Договор: Иванов Иван Иванович и Петрова Анна."), (2, "no names here"), (3, "Ёлкин Пётр, Кузнецов Олег"), (4, "Москва"), (5, "Иванов Иван Иванов Иван")])
 
 
-@query(f"SELECT id, {replace_sql('text', X.PERSON_VALUE, chr(39) + 'FIO' + chr(39))} AS text FROM {_PERSONS}")
+@query(f"SELECT id, {replace_sql('text', _TWO_OR_THREE_NAMES, chr(39) + 'FIO' + chr(39))} AS text FROM {_PERSONS}")
 def person_names_masked(spark, sf_dir):
     return inline(spark, _PERSONS).select("id", X.mask_matches(F.col("text"), X.PERSON_VALUE, "FIO").alias("text"))
 
@@ -133,7 +134,8 @@ SELECT lower(n) AS field, coalesce(array_to_string(list_sort(list_distinct(list(
 FROM (SELECT name AS n, NULL AS p, type AS t, FALSE AS c, coalesce(unverified, FALSE) AS u FROM {_COLUMNS} UNION ALL SELECT col, source_path, source_type, coalesce(secret_cut, FALSE), FALSE FROM {_LINEAGE}) GROUP BY 1
 """)
 def evidence_by_column(spark, sf_dir):
-    return policy.evidence(inline(spark, _COLUMNS), inline(spark, _LINEAGE).withColumnRenamed("col", "column"))
+    found = policy.evidence(inline(spark, _COLUMNS), inline(spark, _LINEAGE).withColumnRenamed("col", "column"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("source_paths", "field_types")})
 
 
 @query("""
@@ -199,7 +201,7 @@ def dictionary_replace_longest(spark, sf_dir):
 
 @query(f"SELECT conv_id, turn, {replace_sql('text', _LONGEST, _KIND)} AS text FROM conversations")
 def automaton_mask_conversations(spark, sf_dir):
-    return dictionary._by_automaton(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), _WORDS, "text")
+    return dictionary.replace_values(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), _WORDS, "text", native=0)
 
 
 def benchmark_values(spark, sf_dir):

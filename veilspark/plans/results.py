@@ -51,7 +51,7 @@ _NOTE = replace_sql(f"replace(value, c_name, {token_sql(chr(39) + 'FIO' + chr(39
 
 
 @query(f"""
-SELECT doc_id, '/' || field AS ptr, CASE field WHEN 'Client' THEN {token_sql("'CLIENT'", f"replace(value, c_name, {token_sql(chr(39) + 'FIO' + chr(39), 'c_name')})")} WHEN 'Api_Key' THEN '{X.REMOVED}' WHEN 'Cut' THEN '{X.REMOVED}'
+SELECT doc_id, '/' || field AS ptr, CASE field WHEN 'Client' THEN {token_sql("'CLIENT'", "value")} WHEN 'Api_Key' THEN '{X.REMOVED}' WHEN 'Cut' THEN '{X.REMOVED}'
   WHEN 'full_name' THEN {token_sql("'FIO'", 'value')} WHEN 'Extra' THEN {token_sql("'UNVERIFIED_STRING'", 'value')} WHEN 'Segment' THEN {replace_sql('value', _SEGMENT, _SEGMENT_KIND)} ELSE {replace_sql('n', EMAIL, "'EMAIL'")} END AS value,
   CASE field WHEN 'Client' THEN 'rule:mask' WHEN 'Api_Key' THEN 'secret:name' WHEN 'Cut' THEN 'secret:name' WHEN 'full_name' THEN 'person:field' WHEN 'Extra' THEN 'unverified' WHEN 'Segment' THEN CASE WHEN regexp_matches(value, '{_SEGMENT}') THEN 'text' END ELSE 'text' END AS reason
 FROM (SELECT doc_id, field, value, c_name, {_NOTE} AS n FROM (

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-ROOT = str(Path(__file__).resolve().parent.parent)
+ROOT = Path(__file__).resolve().parent.parent
+_sent: set[str] = set()
 
 
-def with_package(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver did.
+def packed() -> str:
+    """This package as a zip file in a local folder of the driver."""
+    path = Path(tempfile.mkdtemp(prefix="veilspark-")) / "veilspark.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(Path(__file__).resolve().parent.rglob("*.py")):
+            out.write(source, source.relative_to(ROOT))
+    return str(path)
+
 
-    Needed where the package isn't installed; the folder must be at the same
-    place on every machine.
-    """
+def with_package(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package, wherever they run: the driver
+    sends it to them, once for each application."""
     context = spark.sparkContext
-    paths = [p for p in context.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if ROOT not in paths:
-        context.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    if context.applicationId not in _sent:
+        context.addPyFile(packed())
+        _sent.add(context.applicationId)
     return spark

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +16,48 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; a local one
+    is used only where it is unset and the master is this machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+        at = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a bounded stream gives, as a table."""
-    spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a bounded stream gives, as a table of Parquet files.
+
+    State and progress are kept in the shared folder, each micro-batch is
+    written to a folder of its own, so one that runs again replaces itself.
+    In complete mode the last batch is the table.
+    """
+    spark, at = stream.sparkSession, shared_folder(stream.sparkSession, name)
+    batches: list[int] = []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/out/{batch}")
+        batches.append(batch)
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    wanted = batches[-1:] if mode == "complete" else sorted(set(batches))
+    return spark.read.schema(stream.schema).parquet(*[f"{at}/out/{b}" for b in wanted])
 
 
 def token_store(events: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """First use of each (database, token) within ``ttl``: a keyed store whose
-    entries expire with the watermark."""
+    """(database, token, created, expires, uses): lives of tokens. A use within
+    ``ttl`` of the last one extends the entry, one after that finds it expired
+    and starts another. Uses are put together by their own time, so the
+    result doesn't depend on how they come in batches; complete mode."""
     used = events.withWatermark("ts", ttl).select(F.col("user_id").alias("database"), mask_token(F.col("event_type"), F.col("user_id").cast("string")).alias("token"), "ts")
-    return used.dropDuplicatesWithinWatermark(["database", "token"])
+    lives = used.groupBy(F.session_window("ts", ttl).alias("w"), "database", "token").agg(F.count("*").alias("uses"))
+    return lives.select("database", "token", F.col("w.start").alias("created"), F.col("w.end").alias("expires"), "uses")
 
 
 def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:

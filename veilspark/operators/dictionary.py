@@ -40,7 +40,10 @@ def fingerprint(dictionary: DataFrame) -> DataFrame:
 
 
 def large_sources(stats: DataFrame, threshold: int = LARGE_SOURCE) -> DataFrame:
-    """Load time and memory of sources of ``threshold`` values or more."""
+    """Load time and memory of sources of ``threshold`` values or more; where
+    ``stats`` has an estimate of the values, the larger number counts."""
+    if "estimated" in stats.columns:
+        stats = stats.withColumn("values", F.greatest("values", "estimated"))
     big = stats.where(F.col("values") >= threshold)
     return big.select("source_path", "values", F.greatest(F.lit(1), F.ceil(F.col("values") / 20000)).cast("long").alias("load_s"), (F.col("bytes") * 2 + F.col("values") * 48).cast("long").alias("memory_bytes"))
 

@@ -124,10 +124,14 @@ def rolled_back(versions: DataFrame, to: int) -> DataFrame:
 MAX_SOURCES = 100
 
 
-def warnings(rules: DataFrame, sources: DataFrame, tools: DataFrame, manifest: DataFrame, known_tools: DataFrame, max_sources: int = MAX_SOURCES) -> DataFrame:
+def warnings(rules: DataFrame, sources: DataFrame, tools: DataFrame, manifest: DataFrame, known_tools: DataFrame, max_sources: int = MAX_SOURCES, hints: DataFrame | None = None, sizes: DataFrame | None = None, large: int = 100_000) -> DataFrame:
     """(code, subject) of what a policy's author should look at: paths that
-    the manifest doesn't have, tools never seen, too many sources, secret
-    rules, and regular expressions that keep (they have no effect)."""
+    the manifest doesn't have (or that there is none, of which nothing else
+    is said about paths), tools never seen, too many sources, secret rules,
+    and regular expressions that keep (they have no effect). ``hints``:
+    (expected, database), names of the database that differ are a mismatch;
+    ``sizes``: (source_path, pulled, estimated) counts of values, of which the
+    larger makes a source large from ``large`` on."""
     from .policy import missing_paths
 
     paths = missing_paths(rules, manifest).select(F.lit("PATH_NOT_IN_MANIFEST").alias("code"), F.col("pattern").alias("subject"))
@@ -136,4 +140,11 @@ def warnings(rules: DataFrame, sources: DataFrame, tools: DataFrame, manifest: D
     many = sources.agg(F.count("*").alias("n")).where(F.col("n") > max_sources).select(F.lit("DICTIONARY_LIMIT"), F.col("n").cast("string"))
     secret = rules.where("action = 'secret'").select(F.lit("SECRET_ACTIVATION_BLOCKED"), "pattern")
     idle = rules.where("selector = 'regex' and action = 'keep'").select(F.lit("REGEX_KEEP_NO_EFFECT"), "pattern")
-    return paths.union(unseen).union(many).union(secret).union(idle)
+    none = manifest.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("MANIFEST_UNAVAILABLE"), F.lit(""))
+    paths = paths.join(F.broadcast(manifest.limit(1).select(F.lit(True).alias("__any"))), F.lit(True), "left_semi")
+    out = paths.union(none).union(unseen).union(many).union(secret).union(idle)
+    if hints is not None:
+        out = out.union(hints.where(~F.lower("expected").eqNullSafe(F.lower("database"))).select(F.lit("MISMATCH"), "expected"))
+    if sizes is not None:
+        out = out.union(sizes.where(F.greatest("pulled", "estimated") >= large).select(F.lit("SOURCE_LARGE"), "source_path"))
+    return out

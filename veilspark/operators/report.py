@@ -134,3 +134,31 @@ def tool_list(tools: DataFrame, text: str = "", added: bool | None = None) -> Da
     auto-added ones or others only, by name."""
     out = tools.where(F.contains(F.lower("tool"), F.lit(text.lower())))
     return (out if added is None else out.where(F.col("auto_added") == added)).orderBy("tool")
+
+
+def timing(runs: DataFrame, group: str, key: str, value: str, budget: float) -> DataFrame:
+    """(group, upper_median, slowest, slowest_id, over_budget) of the times of
+    runs: the median is the upper one, the slowest of equals has the least key.
+    One aggregation, combined before the shuffle; times are counted, never sorted as rows."""
+    return runs.groupBy(group).agg(
+        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)").alias("upper_median"), F.max(value).alias("slowest"),
+        F.max_by(key, F.struct(value, -F.col(key))).alias("slowest_id"), F.count_if(F.col(value) > budget).alias("over_budget"),
+    )
+
+
+def refresh_state(databases: DataFrame, intents: DataFrame, generations: DataFrame) -> DataFrame:
+    """(database, state) of databases (database, mode): disabled, or what their
+    refresh intent (database, state) says, or ready where a generation
+    (database, status) is active, else empty."""
+    active = generations.where("status = 'active'").select("database").distinct().withColumn("__active", F.lit(True))
+    met = databases.join(intents.select("database", F.col("state").alias("__state")), "database", "left").join(active, "database", "left")
+    return met.select("database", F.when(F.col("mode") != "enabled", "disabled").when(F.col("__state").isNotNull(), F.col("__state")).when(F.col("__active"), "ready").otherwise("empty").alias("state"))
+
+
+def typed_order(value: Column, kind: str, down: bool = False) -> list[Column]:
+    """Sort keys of a grid column: numbers, booleans and dates by value, texts
+    in any case with numbers in order of their value; empty cells last, and
+    first where the order is turned round."""
+    empty = value.isNull() | (value == "")
+    key = {"number": lambda: value.cast("double"), "boolean": lambda: (value == "true").cast("int"), "date": lambda: F.try_to_timestamp(value)}.get(kind, lambda: natural_key(value))()
+    return [empty.desc(), key.desc(), value.desc()] if down else [empty.asc(), key.asc(), value.asc()]

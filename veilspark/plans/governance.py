@@ -176,12 +176,7 @@ def dry_run_status_change(spark, sf_dir):
 
 @query("SELECT event_type, (list_sort(list(value)))[(count(*) // 2 + 1)::INT] AS upper_median, max(value) AS slowest, arg_max(event_id, (value, -event_id)) AS slowest_id, count(*) FILTER (WHERE value > 50) AS over_budget FROM events GROUP BY 1")
 def dry_run_timing(spark, sf_dir):
-    w = Window.partitionBy("event_type")
-    e = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
-    placed = e.withColumn("n", F.row_number().over(w.orderBy("value"))).withColumn("of", F.count("*").over(w))
-    return placed.groupBy("event_type").agg(
-        F.max(F.when(F.col("n") == F.floor(F.col("of") / 2) + 1, F.col("value"))).alias("upper_median"), F.max("value").alias("slowest"), F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("slowest_id"), F.count_if(F.col("value") > 50).alias("over_budget")
-    )
+    return report.timing(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 50)
 
 
 _BEFORE = values("selector, pattern, action, category, priority", [("name", "a", "mask", "A", 1), ("name", "b", "keep", "B", 1), ("name", "c", "mask", "C", 1), ("name", "d", "mask", "D", 1), ("type", "e", "secret", "E", 1), ("name", "f", "mask", "F", 1)])

@@ -271,9 +271,9 @@ def _leaks_by_hand(docs, items, window=8, least=3):
     """(doc_id, item_id, n_windows, n_item, exact) of find_leaks, pair by pair."""
 
     def units(text):
-        text = regex.sub(r"[\x00-\x08\x0e-\x1f]", " ", text or "")
+        text = text or ""
         words, names, glued = [], [], False
-        for m in regex.finditer(r"(\S+)([ \t\n\x0b\x0c\r]*)", text):
+        for m in regex.finditer(r"([^ \t\n\x0b\x0c\r]+)([ \t\n\x0b\x0c\r]*)", text):
             for raw, gap in [(m[1], m[2])]:
                 w = regex.sub(r"[^\p{L}\p{N}]+", "", raw)
                 follows = regex.match(r"\p{Lu}\p{L}*\p{Ll}", text, pos=m.end())
@@ -281,7 +281,7 @@ def _leaks_by_hand(docs, items, window=8, least=3):
                 if w:
                     words.append(w)
                     if glued:
-                        names[-1] += "\x1f" + w
+                        names[-1] += "\ue000" + w
                     else:
                         names.append(w)
                 glued = bool(here) if w else False
@@ -395,6 +395,17 @@ def test_near_duplicates(spark, blocks):
     assert got == sorted(_components(rows, 85))
 
 
+def test_one_large_group_of_near_copies(spark):
+    """Chains of edits: the first class of a cluster doesn't reach all others."""
+    rng = random.Random(12)
+    words, rows = _words(rng, 120).split(), []
+    for i in range(120):
+        words[rng.randrange(len(words))] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(_docs(spark, rows), set_block=1000).collect())
+    assert got == sorted(_components(rows, 85)) and {c for _, _, c in got} == {0}
+
+
 def test_near_duplicates_without_ids(spark):
     rows = near_duplicates(_docs(spark, [(None, "a b c"), (None, "a b c"), (4, "a b c"), (None, "q")])).collect()
     assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in rows) == Counter({(None, 4, False): 2, (4, 4, True): 1, (None, None, True): 1})

@@ -10,9 +10,11 @@
    first with the list's first class, then only for classes which that one
    didn't reach. Classes with at least ``matches`` collisions are connected;
    a list emits a spanning forest, never its pairs.
-4. Links are confirmed on full shingle sets within the connected clusters,
-   large clusters in pairs of blocks of bounded size. Pairs that are already
-   connected are skipped.
+4. Links are confirmed on full shingle sets within the connected clusters.
+   Large clusters are dealt out to blocks of bounded size, each with the
+   cluster's first class too, which connects most of a group of near copies
+   in one linear pass; only clusters that aren't connected by then are
+   compared in pairs of blocks. Pairs that are already connected are skipped.
 
 A pair at the similarity bound itself is missed with the probability that a
 binomial(coordinates, similarity) falls below ``matches``; by default that is
@@ -179,17 +181,16 @@ def _weak_edges(matches: int):
     return run
 
 
-def _confirm_block(ids, side, n, values, offsets, similarity: int) -> list[tuple[int, int]]:
+def _confirm_block(ids, side, n, values, offsets, similarity: int, root: np.ndarray) -> list[tuple[int, int]]:
     """Spanning edges of the links of one cluster or pair of its blocks.
 
     Every pair (across, for two blocks) that isn't connected yet is compared
-    on its full sets.
+    on its full sets; root: equal for classes that are connected by now.
     """
     across = side.any() and not side.all()
     _, local = np.unique(values, return_inverse=True)
     mark = np.zeros(int(local.max()) + 1 if len(local) else 0, np.int64)
-    parent: dict[int, int] = {}
-    root = np.arange(len(ids))
+    root = np.unique(root, return_inverse=True)[1]
     out = []
     for i in range(len(ids)):
         others = np.flatnonzero((root != root[i]) & ((side != side[i]) if across else (np.arange(len(ids)) != i)) & (100 * np.minimum(n, n[i]) >= similarity * np.maximum(n, n[i])))
@@ -202,11 +203,8 @@ def _confirm_block(ids, side, n, values, offsets, similarity: int) -> list[tuple
         both = np.add.reduceat(mark[where], starts)
         mark[own] = 0
         for j in others[100 * both >= similarity * (n[others] + n[i] - both)].tolist():
-            x, y = find(parent, i), find(parent, j)
-            if x != y:
-                lo, hi = min(x, y), max(x, y)
-                parent[hi] = lo
-                root[root == hi] = lo
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
                 out.append((int(ids[i]), int(ids[j])))
     return out
 
@@ -217,7 +215,7 @@ def _links(similarity: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in _segments(frames, keys):
             at = _bounds(frame, keys)
-            ids = frame["class_id"].to_numpy()
+            ids, roots = frame["class_id"].to_numpy(), frame["root"].to_numpy()
             side = frame["b"].to_numpy() != frame["bi"].to_numpy()
             sets = frame["shingles"].combine_chunks()
             sets = sets if isinstance(sets, pa.ListArray) else sets.chunk(0)
@@ -225,7 +223,7 @@ def _links(similarity: int):
             edges = []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if hi - lo > 1:
-                    edges += _confirm_block(ids[lo:hi], side[lo:hi], np.diff(ends[lo : hi + 1]), values[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], similarity)
+                    edges += _confirm_block(ids[lo:hi], side[lo:hi], np.diff(ends[lo : hi + 1]), values[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], similarity, roots[lo:hi])
             yield _edge_batch(edges)
 
     return run
@@ -290,17 +288,35 @@ def near_duplicates(
     weak = weak.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "class_id").mapInArrow(released(lambda frames: forest(weak_edges(frames))), "src long, dst long")
     clusters = materialise(connected_components(weak, reduced=True).withColumnRenamed("node", "class_id"), "clusters")
 
-    near = materialise(clusters.join(classes.select("class_id", "rep", *key), "class_id"), "near")
+    near = clusters.join(classes.select("class_id", "rep", *key), "class_id")
     blocks = near.groupBy("label").agg(F.ceil(F.sum("n_shingles") / set_block).alias("nb"))
-    near = near.join(blocks, "label")
-    ids = near.select("rep.doc_id", "rep.text_hash")
-    if near.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    texts = base.join(ids, base["doc_id"].eqNullSafe(ids["doc_id"]) & (base["text_hash"] == ids["text_hash"]), "left_semi").select("text")
-    sets = texts.mapInArrow(released(_resketch), "n_shingles long, h1 long, h2 long, shingles array<long>")
-    sets = near.join(sets, key).dropDuplicates(["class_id"])
-    links = _in_blocks(sets, "nb").select("label", "bi", "bj", "b", "class_id", "shingles")
-    links = links.repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "class_id").mapInArrow(released(lambda frames: forest(confirmed(frames))), "src long, dst long")
+    near = materialise(near.join(blocks, "label"), "near")
+
+    def full_sets(part: DataFrame) -> DataFrame:
+        ids = part.select("rep.doc_id", "rep.text_hash")
+        if part.count() <= BROADCAST_ROWS:
+            ids = F.broadcast(ids)
+        texts = base.join(ids, base["doc_id"].eqNullSafe(ids["doc_id"]) & (base["text_hash"] == ids["text_hash"]), "left_semi").select("text")
+        sets = texts.mapInArrow(released(_resketch), "n_shingles long, h1 long, h2 long, shingles array<long>")
+        return part.join(sets, key).dropDuplicates(["class_id"])
+
+    def linked(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("label", "bi", "bj", "b", "class_id", "root", "shingles").repartition("label", "bi", "bj").sortWithinPartitions("label", "bi", "bj", "class_id")
+        return dealt.mapInArrow(released(lambda frames: forest(confirmed(frames))), "src long, dst long")
+
+    zero, own = F.lit(0), F.col("class_id").alias("root")
+    links = linked(full_sets(near.where("nb = 1")).select("*", zero.alias("bi"), zero.alias("bj"), zero.alias("b"), own))
+    if near.where("nb > 1").limit(1).count():
+        large = materialise(full_sets(near.where("nb > 1")), "large")
+        block = F.expr("cast(pmod(xxhash64(class_id), nb) as int)")
+        first = F.explode(F.when(F.col("class_id") == F.col("label"), F.expr("sequence(0, cast(nb as int) - 1)")).otherwise(F.array(block)))
+        alone = large.select("*", first.alias("bi"), own).withColumns({"bj": F.col("bi"), "b": F.col("bi")})
+        links = materialise(links.unionByName(linked(alone)), "links")
+        roots = connected_components(links, reduced=True).select(F.col("node").alias("class_id"), F.col("label").alias("found"))
+        rooted = large.join(roots, "class_id", "left").withColumn("root", F.coalesce("found", "class_id")).drop("found")
+        apart = materialise(rooted.groupBy("label").agg((F.min("root") < F.max("root")).alias("apart")).where("apart").select("label"), "apart")
+        if apart.limit(1).count():
+            links = links.unionByName(linked(_in_blocks(rooted.join(apart, "label"), "nb").where("bi < bj")))
     parts = connected_components(links, reduced=True).withColumnRenamed("node", "class_id")
 
     named = parts.join(classes.select("class_id", "rep"), "class_id")

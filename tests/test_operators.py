@@ -237,3 +237,30 @@ def test_calls_as_a_stream(spark, tmp_path):
     assert parsed.isStreaming
     got = state.drained(parsed.select("call_id", "problem"), "calls").collect()
     assert {tuple(r) for r in got} == {("1", None), (None, "not JSON")} == {tuple(r) for r in pages.parse_calls(pages.read_calls(spark, str(tmp_path / "in"))).select("call_id", "problem").collect()}
+
+
+def test_review_of_setup_files():
+    import json
+
+    from veilspark.functions import setup
+
+    good = {"schema": setup.SCHEMA, "rules": [{"selector": "regex", "value": "[0-9]+", "action": "mask", "category": "N", "reason": "r", "tests": {"match": ["1"]}}], "dictionary": {"mode": "part", "sources": [{"source_path": "p", "category": "K", "reason": "r"}]}, "tools": [{"tool": "q", "mode": "data-mask"}]}
+    codes = lambda x: [c for c, _ in setup.review(x if isinstance(x, str) else json.dumps(x))["issues"]]
+    assert codes(good) == []
+    assert codes("{") == codes("[1]") == ["SETUP_NOT_JSON"]
+    assert codes({}) == ["SETUP_SCHEMA_MISSING"] and codes({"schema": "v0"}) == ["SETUP_SCHEMA_UNSUPPORTED"]
+    assert codes(good | {"extra": 1}) == ["SETUP_UNKNOWN_FIELD"]
+    assert codes(" " * (1 << 20) + "{}") == ["SETUP_TOO_LARGE"]
+    rule = good["rules"][0]
+    assert codes(good | {"rules": [rule, rule]}) == ["SETUP_DUPLICATE_RULE"]
+    assert codes(good | {"rules": [rule | {"selector": "name", "value": "a*b"}]}) == ["SETUP_TESTS_NOT_REGEX", "SETUP_PATTERN_UNSUPPORTED"]
+    assert codes(good | {"rules": [rule | {"tests": {"match": ["x"], "no_match": ["7"]}}]}) == ["SETUP_REGEX_TEST_FAILED"] * 2
+    assert codes(good | {"rules": [rule | {"tests": None}]}) == ["SETUP_REGEX_TESTS_MISSING"] and codes(good | {"rules": [rule | {"value": "("}]}) == ["SETUP_REGEX_INVALID"]
+    assert codes(good | {"rules": [rule | {"reason": ""}, {"x": 1}]})[:2] == ["SETUP_UNKNOWN_FIELD", "SETUP_REASON_MISSING"]
+    star = {"source_path": "*", "category": "K", "reason": "r"}
+    assert codes(good | {"dictionary": {"mode": "all", "sources": [star]}}) == [] and codes(good | {"dictionary": {"mode": "part", "sources": [star]}}) == ["SETUP_DICTIONARY_MODE"]
+    assert codes(good | {"dictionary": {"mode": "all", "sources": [star, star | {"source_path": "p"}]}}) == ["SETUP_DICTIONARY_MODE"]
+    assert codes(good | {"dictionary": {"sources": [star, star]}}) == ["SETUP_DUPLICATE_SOURCE"] and codes(good | {"dictionary": {"sources": [star | {"filter": {"op": "x"}}]}}) == ["SETUP_FILTER_INVALID"]
+    assert codes(good | {"tools": good["tools"] * 2}) == ["SETUP_DUPLICATE_TOOL"] and codes(good | {"tools": [{"tool": "q", "mode": "open"}]}) == ["SETUP_FIELD_INVALID"]
+    many = setup.review(json.dumps(good | {"rules": [rule | {"value": f"[0-9]{{{k}}}", "reason": ""} for k in range(1, 300)]}))
+    assert len(many["issues"]) == 200 and many["truncated"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.json import canonical_json
+from ..functions.setup import SCHEMA
 from . import governance, mapping, masking, result
 from .ledger import retry_delay
 
@@ -208,7 +209,7 @@ def exported(rules: DataFrame, sources: DataFrame, tools: DataFrame, reason: str
     r = part(rules, F.struct(*RULE[2:4], "priority", why, "selector", F.col("pattern").alias("value")), "selector", "pattern").withColumnRenamed("x", "rules")
     s = part(sources, F.struct("category", why, "source_path"), "source_path").withColumnRenamed("x", "sources")
     t = part(tools, F.struct("mode", why, "tool"), "tool").withColumnRenamed("x", "tools")
-    return r.crossJoin(s).crossJoin(t).select(canonical_json(F.to_json(F.struct(F.lit(1).alias("schema"), "rules", F.struct("sources").alias("dictionary"), "tools"))).alias("file"))
+    return r.crossJoin(s).crossJoin(t).select(canonical_json(F.to_json(F.struct(F.lit(SCHEMA).alias("schema"), "rules", F.struct("sources").alias("dictionary"), "tools"))).alias("file"))
 
 
 def imports(files: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:

@@ -297,7 +297,7 @@ def dry_run_totals(spark, sf_dir):
 
 @query("""
 SELECT '{"dictionary":{"sources":' || coalesce((SELECT '[' || string_agg('{"category":"' || p_type || '","reason":"exported","source_path":"Catalog.' || p_partkey::VARCHAR || '"}', ',' ORDER BY 'Catalog.' || p_partkey::VARCHAR) || ']' FROM part WHERE p_partkey < 5), '[]') ||
- '},"rules":[{"action":"mask","category":"A","priority":1,"reason":"exported","selector":"name","value":"a"},{"action":"keep","category":"B","priority":1,"reason":"exported","selector":"name","value":"b"}],"schema":1,"tools":[{"mode":"data-mask","reason":"exported","tool":"query"}]}' AS file
+ '},"rules":[{"action":"mask","category":"A","priority":1,"reason":"exported","selector":"name","value":"a"},{"action":"keep","category":"B","priority":1,"reason":"exported","selector":"name","value":"b"}],"schema":"masking-setup/v1","tools":[{"mode":"data-mask","reason":"exported","tool":"query"}]}' AS file
 """)
 def setup_export(spark, sf_dir):
     rules = inline(spark, values("selector, pattern, action, category, priority", [("name", "b", "keep", "B", 1), ("name", "a", "mask", "A", 1)]))

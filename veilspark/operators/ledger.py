@@ -77,3 +77,13 @@ def valid_sessions(events: DataFrame, idle_s: int, absolute_s: int) -> DataFrame
     numbered = started.withColumn("session_no", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     first = F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).over(Window.partitionBy("user_id", "session_no"))
     return numbered.select("event_id", F.col("session_no").cast("long").alias("session_no"), (F.unix_seconds(F.col("ts").cast("timestamp")) - first <= absolute_s).alias("valid"))
+
+
+#: Codes that a terminal record may have, by scope.
+VERIFIED = ("ACTION_REQUIRED", "TOOL_PENDING_REVIEW", "MASK_TOKEN_INVALID", "SERVICE_NOT_READY", "SERVICE_WARMING_UP", "POLICY_INVALID", "RESULT_LIMIT_EXCEEDED", "MASKING_TIMEOUT", "MASKING_FAILED", "HISTORY_UNAVAILABLE")
+UNVERIFIED = ("DATABASE_IDENTITY_UNVERIFIED", "SERVICE_NOT_READY")
+
+
+def code_allowed(scope: Column, code: Column) -> Column:
+    """Whether a terminal record of the scope may have the code."""
+    return F.when(scope == "verified", code.isin(*VERIFIED)).otherwise(code.isin(*UNVERIFIED))

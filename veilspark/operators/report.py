@@ -162,3 +162,11 @@ def typed_order(value: Column, kind: str, down: bool = False) -> list[Column]:
     empty = value.isNull() | (value == "")
     key = {"number": lambda: value.cast("double"), "boolean": lambda: (value == "true").cast("int"), "date": lambda: F.try_to_timestamp(value)}.get(kind, lambda: natural_key(value))()
     return [empty.desc(), key.desc(), value.desc()] if down else [empty.asc(), key.asc(), value.asc()]
+
+
+def grid_types(cells: DataFrame) -> DataFrame:
+    """(col, type) of a grid's columns, from cells (col, value): date where
+    all values are dates, else string."""
+    kind = F.when(F.col("value").isNotNull(), F.when(F.col("value").rlike(ISO_DATE), "date").otherwise("string"))
+    kinds = cells.groupBy("col").agg(F.collect_set(kind).alias("k"))
+    return kinds.select("col", F.when(F.size("k") == 1, F.element_at("k", 1)).otherwise("string").alias("type"))

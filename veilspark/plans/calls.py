@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import governance, ledger, mapping, report
+from ..sources import pages
 from .masking import token_sql
 from .registry import inline, query, table, values
 
@@ -29,19 +30,15 @@ _PAGES = values("selector, page, success, next_cursor, final_chunk", [("*", 1, T
 
 @query(f"SELECT selector, count(*) AS pages, bool_and(success AND ((next_cursor IS NOT NULL) <> final_chunk)) AND count(*) FILTER (WHERE final_chunk) = 1 AS complete FROM {_PAGES} GROUP BY 1")
 def feed_page_protocol(spark, sf_dir):
-    ok = F.col("success") & (F.col("next_cursor").isNotNull() != F.col("final_chunk"))
-    return inline(spark, _PAGES).groupBy("selector").agg(F.count("*").alias("pages"), (F.bool_and(ok) & (F.count_if("final_chunk") == 1)).alias("complete"))
+    return pages.complete_pulls(inline(spark, _PAGES))
 
 
-#: Codes that a terminal record may have, by scope.
-VERIFIED = ("ACTION_REQUIRED", "TOOL_PENDING_REVIEW", "MASK_TOKEN_INVALID", "SERVICE_NOT_READY", "SERVICE_WARMING_UP", "POLICY_INVALID", "RESULT_LIMIT_EXCEEDED", "MASKING_TIMEOUT", "MASKING_FAILED", "HISTORY_UNAVAILABLE")
-UNVERIFIED = ("DATABASE_IDENTITY_UNVERIFIED", "SERVICE_NOT_READY")
 _CODES = values("scope, code", [(s, c) for s in ("verified", "unverified") for c in ("ACTION_REQUIRED", "SERVICE_NOT_READY", "DATABASE_IDENTITY_UNVERIFIED", "OTHER", "MASKING_FAILED")])
 
 
-@query(f"SELECT scope, code, CASE scope WHEN 'verified' THEN code IN {VERIFIED} ELSE code IN {UNVERIFIED} END AS allowed FROM {_CODES}")
+@query(f"SELECT scope, code, CASE scope WHEN 'verified' THEN code IN {ledger.VERIFIED} ELSE code IN {ledger.UNVERIFIED} END AS allowed FROM {_CODES}")
 def terminal_codes(spark, sf_dir):
-    return inline(spark, _CODES).select("scope", "code", F.when(F.col("scope") == "verified", F.col("code").isin(*VERIFIED)).otherwise(F.col("code").isin(*UNVERIFIED)).alias("allowed"))
+    return inline(spark, _CODES).select("scope", "code", ledger.code_allowed(F.col("scope"), F.col("code")).alias("allowed"))
 
 
 _RAW = values("raw", [("Client name",), ("имя",), ("",), ("a" * 40,), ("x-1_y",)])

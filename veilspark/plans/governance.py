@@ -301,9 +301,7 @@ _GRID = values("col, value", [("d", "2024-01-01"), ("d", "2024-02-03T10:00:00Z")
 
 @query(f"SELECT col, CASE WHEN count(k) = 0 THEN 'string' WHEN count(DISTINCT k) = 1 THEN max(k) ELSE 'string' END AS type FROM (SELECT col, CASE WHEN value IS NOT NULL THEN CASE WHEN regexp_matches(value, '{report.ISO_DATE}') THEN 'date' ELSE 'string' END END AS k FROM {_GRID}) GROUP BY 1")
 def grid_column_types(spark, sf_dir):
-    kind = F.when(F.col("value").isNotNull(), F.when(F.col("value").rlike(report.ISO_DATE), "date").otherwise("string"))
-    kinds = inline(spark, _GRID).groupBy("col").agg(F.collect_set(kind).alias("k"))
-    return kinds.select("col", F.when(F.size("k") == 1, F.element_at("k", 1)).otherwise("string").alias("type"))
+    return report.grid_types(inline(spark, _GRID))
 
 
 @query("SELECT c_custkey, sha256('{\"acctbal\":' || (c_acctbal * 100)::BIGINT::VARCHAR || ',\"name\":\"' || c_name || '\"}') AS hash FROM customer")

@@ -174,12 +174,9 @@ SELECT 'C' || (item_id % 4)::VARCHAR AS category, item_id, coalesce(action, 'mas
  (SELECT category AS k, action FROM {_ACTIONS} QUALIFY row_number() OVER (PARTITION BY category ORDER BY {_RANK} DESC, priority DESC, pos DESC) = 1) ON k = 'C' || (item_id % 4)::VARCHAR
 """)
 def dictionary_category_action(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("category").orderBy(X.action_rank(F.col("action")).desc(), F.col("priority").desc(), F.col("pos").desc())
-    best = inline(spark, _ACTIONS).withColumn("n", F.row_number().over(w)).where("n = 1").select("category", "action")
+    rules = inline(spark, _ACTIONS).select("pos", F.lit("dictionary").alias("selector"), F.col("category").alias("pattern"), "action", "category", "priority")
     items = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("C"), (F.col("item_id") % 4).cast("string")).alias("category"))
-    return items.join(F.broadcast(best), "category", "left").select("category", "item_id", F.coalesce("action", F.lit("mask")).alias("action"))
+    return items.join(dictionary.action_of(items, rules), "category").select("category", "item_id", "action")
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(list('dictionary:C' || (item_id % 4)::VARCHAR || ':keep'))), ',') AS reasons, count(*) AS n_values FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY doc_id")

@@ -24,6 +24,13 @@ def page_problems(pages: DataFrame) -> DataFrame:
     return pages.select("selector", "page", problem.alias("problem")).where("problem is not null")
 
 
+def complete_pulls(pages: DataFrame) -> DataFrame:
+    """(selector, pages, complete) of pulls: every page succeeds and has either
+    a cursor or the end mark, and the end mark comes once."""
+    ok = F.col("success") & (F.col("next_cursor").isNotNull() != F.col("final_chunk"))
+    return pages.groupBy("selector").agg(F.count("*").alias("pages"), (F.bool_and(ok) & (F.count_if("final_chunk") == 1)).alias("complete"))
+
+
 def metadata_items(pages: DataFrame, bounded: bool = True) -> DataFrame:
     """The pages' items, those within the bounds only or all; where one isn't,
     metadata_problems() of all items says that the pull fails."""

@@ -2,7 +2,7 @@
 
 A suffix is S-type if it is smaller than the next one, else L-type; an S-type
 suffix after an L-type one is leftmost-smaller (LMS). LMS substrings are put
-in order by one induction, named, and the string of names is sorted in turn;
+in order by their symbols, named, and the string of names is sorted in turn;
 from the order of the LMS suffixes the whole array is induced bucket by
 bucket. A bucket's scan is done in rounds (what a round appends to its own
 bucket is the next round), which gives the order of the sequential scan.
@@ -103,20 +103,37 @@ class PrefixHashes:
         return (self.c[end] - self.c[start]) * self.inv[start]
 
 
-def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Name of each LMS substring (in text order), equal for equal ones.
+def _names(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Name of each LMS substring (in text order): its place among the
+    different ones, by symbols and, of equal symbols, L-type before S-type.
 
-    Substrings are compared by length and a 64-bit hash of their symbols.
+    As many symbols as fit into 62 bits are compared at a time; only
+    substrings that are alike so far and longer are looked at again.
     """
-    end = np.append(lms[1:] + 1, len(t))
-    h = PrefixHashes(t).of(lms, end) + (end - lms).astype(_U)
-    where = np.empty(len(t), np.int64)
-    where[lms] = np.arange(len(lms))
-    sorted_ = where[order]
-    new = np.concatenate(([0], np.cumsum(h[sorted_][1:] != h[sorted_][:-1])))
-    names = np.empty(len(lms), np.int64)
-    names[sorted_] = new
-    return names
+    x = t.astype(np.int64) * 2 + s
+    size = np.append(lms[1:], len(t) - 1) - lms + 1
+    bits = int(x.max() + 1).bit_length()
+    per = max(1, 62 // bits)
+    place = np.zeros(len(lms), np.int64)
+    on, at = np.arange(len(lms)), 0
+    while len(on):
+        key = np.zeros(len(on), np.int64)
+        for j in range(at, at + per):
+            inside = size[on] > j
+            key = (key << bits) | np.where(inside, x[np.minimum(lms[on] + j, len(t) - 1)] + 1, 0)
+        order = np.lexsort((key, place[on])) if at else np.argsort(key, kind="stable")
+        p, k = place[on][order], key[order]
+        group = np.concatenate(([True], p[1:] != p[:-1]))
+        part = group | np.concatenate(([True], k[1:] != k[:-1]))
+        index = np.arange(len(on))
+        base = np.maximum.accumulate(np.where(group, index, 0))
+        first = np.maximum.accumulate(np.where(part, index, 0))
+        place[on[order]] = p + first - base
+        several = np.bincount(np.cumsum(part) - 1)[np.cumsum(part) - 1] > 1
+        at += per
+        on = on[order[several]]
+        on = np.sort(on[size[on] > at])
+    return np.unique(place, return_inverse=True)[1]
 
 
 def _induce_counted(t: np.ndarray, s: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
@@ -160,14 +177,9 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         t = t.astype(np.uint16)  # sorted by digits
     s = classify(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    is_lms = np.zeros(len(t), bool)
-    is_lms[lms] = True
-    order = induce(t, s, k, lms)
-    order = order[is_lms[order]]
-    names = _names(t, lms, order)
-    if names.max() + 1 < len(lms):
-        order = lms[suffix_array(names)]
-    return induce(t, s, k, order)
+    names = _names(t, s, lms)
+    order = np.argsort(names) if names.max(initial=0) + 1 == len(lms) else suffix_array(names)
+    return induce(t, s, k, lms[order])
 
 
 def _shared(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -469,15 +469,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     own, copies = _without_copies(keyed, rows, length)
     spans = materialise(repeated_spans(own, rows.agg(F.sum("n")).first()[0] or 0, length), "spans")
     grouped = spans.groupBy("order", "th").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
-    keys = spans.select("order", "th").distinct()
-    with_spans, plain = own, None
-    if keys.count() <= BROADCAST_ROWS:
-        with_spans = own.join(F.broadcast(keys), ["order", "th"], "left_semi")
-        plain = own.join(F.broadcast(keys), ["order", "th"], "left_anti")
-    cut = with_spans.join(grouped, ["order", "th"], "left").select("doc_id", "text", "los", "his").mapInArrow(released(_keep), _KEPT_SQL)
+    cut = own.join(grouped, ["order", "th"], "left").select("doc_id", "text", "los", "his").mapInArrow(released(_keep), _KEPT_SQL)
     zero = F.lit(0).cast("long")
     gone = copies.select("doc_id", F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), F.array(F.struct(zero.alias("lo"), F.col("n").alias("hi"))).alias("spans"))
-    out = cut.union(gone)
-    if plain is None:
-        return out
-    return out.union(plain.select("doc_id", F.col("n").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.expr("cast(array() as array<struct<lo:bigint,hi:bigint>>)").alias("spans")))
+    return cut.union(gone)

@@ -40,8 +40,9 @@ BROADCAST_BYTES = 64 << 20
 WINDOW_BYTES = 64
 BROADCAST_DOCS = 1_000_000
 NUM, NAME, UNIT = "\x02", "\x03", "\x04"
-#: After a word of a name, where the name goes on.
-GLUE = "\x1f"
+#: After a word of a name, where the name goes on (a private character; where a
+#: text has it itself, the words around it count as one name).
+GLUE = "\ue000"
 NAMES, WORDS = 1, 2
 #: Units that are placeholders after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l s sec secs min mins h hr hrs kb mb gb tb hz khz mhz ghz v w kw a j k c f usd eur gbp inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms ounce ounces pound pounds liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees"
@@ -52,20 +53,22 @@ def canonical(df: DataFrame, text: str = "text") -> DataFrame:
     names, w2 and t2, the same without names, and p, the lower-case words.
 
     A name is a word with a capital in front and a small letter in it, with
-    the names that follow after blanks. Texts without words have one unit, the empty word.
+    the names that follow after blanks. What is neither letter, number nor
+    white space is left out. Texts without words have one unit, the empty word.
     """
-    clean = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0E-\x1F]", " ")
-    glued = F.regexp_replace(clean, r"(\p{Lu}\p{L}*+(?<=\p{Ll}))[ \t]++(?=\p{Lu}\p{L}*\p{Ll})", f"$1{GLUE} ")
-    bare = F.regexp_replace(glued, rf"[^\p{{L}}\p{{N}}\x20\x09-\x0D{GLUE}]+", "")
-    line = F.concat(F.lit(" "), F.regexp_replace(F.trim(F.translate(bare, "\t\n\x0b\x0c\r", "     ")), " +", "  "), F.lit(" "))
-    df = df.withColumn("line", line)
-    numbered = F.regexp_replace("line", rf" [^ \p{{Nd}}]*+\p{{Nd}}[^ {GLUE}]*+({GLUE}?) ", f" {NUM}$1 ")
-    df = df.withColumn("numbered", F.regexp_replace(numbered, rf" {NUM}  (?:(?i){UNITS.replace(' ', '|')})({GLUE}?) ", f" {NUM}  {UNIT}$1 "))
+    glued = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\p{Lu}\p{L}*+(?<=\p{Ll}))[ \t]++(?=\p{Lu}\p{L}*\p{Ll})", f"$1{GLUE} ")
+    bare = F.regexp_replace(glued, rf"[^\p{{L}}\p{{N}}\x20\x09-\x0D{GLUE}]++", "")
+    df = df.withColumn("line", F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, r"[\x20\x09-\x0D]++", "  ")), F.lit(" ")))
+    # most texts have few numbers, or none
+    numbers = F.regexp_replace("line", rf" [^ \p{{Nd}}]*+\p{{Nd}}[^ {GLUE}]*+({GLUE}?) ", f" {NUM}$1 ")
+    df = df.withColumn("numbers", F.when(F.regexp_like("line", F.lit(r"\p{Nd}")), numbers).otherwise(F.col("line")))
+    units = F.regexp_replace("numbers", rf" {NUM}  (?:(?i){UNITS.replace(' ', '|')})({GLUE}?) ", f" {NUM}  {UNIT}$1 ")
+    df = df.withColumn("numbered", F.when(F.contains("numbers", F.lit(NUM)), units).otherwise(F.col("numbers")))
     joined = lambda c: F.replace(F.col(c), F.lit(f"{GLUE}  "), F.lit(GLUE))
-    apart = lambda c: F.translate(c, GLUE, "")
+    apart = lambda c: F.replace(F.col(c), F.lit(GLUE), F.lit(""))
     named = F.regexp_replace(joined("numbered"), r" \p{Lu}(?=[^ ]*\p{Ll})[^ ]*+ ", f" {NAME} ")
     units = {"w1": joined("line"), "t1": F.lower(named), "w2": apart("line"), "t2": F.lower(apart("numbered")), "p": F.lower(apart("line"))}
-    return df.withColumns({k: F.split(F.trim(v), "  ") for k, v in units.items()}).drop("line", "numbered")
+    return df.withColumns({k: F.split(F.trim(v), "  ") for k, v in units.items()}).drop("line", "numbers", "numbered")
 
 
 def _source(kind: int, plain: bool) -> str:

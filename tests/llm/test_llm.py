@@ -43,7 +43,7 @@ def _words(rng, n, size=400):
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_sql(spark, sf_dir, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = queries.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)

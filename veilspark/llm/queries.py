@@ -13,6 +13,7 @@ from .mixing import MIX_ORACLE, mix_sources
 from .near_dup import near_duplicates
 from .quality import score_quality
 from .repeats import remove_repeats
+from .resampling import RESAMPLE_ORACLE, importance_resample
 from .tokens import count_tokens
 from .topk import top_k
 from .url_filter import URL_ORACLE, judge_urls, rule_table
@@ -64,6 +65,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 TOP_K_ORACLE = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings),
@@ -77,9 +82,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_top_k, op2_mix_sources, op3_quality_classifier, op4_decontamination, op5_minhash_near_dedup, op6_line_dedup, op7_token_counts, op8_html_extraction, op9_url_filter, op10_suffix_array_dedup)
+    own = (
+        op1_exact_top_k, op2_mix_sources, op3_quality_classifier, op4_decontamination, op5_minhash_near_dedup, op6_line_dedup, op7_token_counts,
+        op8_html_extraction, op9_url_filter, op10_suffix_array_dedup, op11_importance_resampling,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": TOP_K_ORACLE, "op2_mix_sources": MIX_ORACLE, "op6_line_dedup": LINE_ORACLE, "op9_url_filter": URL_ORACLE}
+    return {"op1_exact_top_k": TOP_K_ORACLE, "op2_mix_sources": MIX_ORACLE, "op6_line_dedup": LINE_ORACLE, "op9_url_filter": URL_ORACLE, "op11_importance_resampling": RESAMPLE_ORACLE}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import find_leaks
+from .hard_negatives import NEGATIVES_ORACLE, mine_hard_negatives, with_moved_labels
 from .html_text import extract_main_text
 from .line_dedup import LINE_ORACLE, drop_boilerplate
 from .mixing import MIX_ORACLE, mix_sources
@@ -69,6 +70,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_hard_negatives(with_moved_labels(_table(spark, sf_dir, "embeddings")))
+
+
 TOP_K_ORACLE = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings),
@@ -84,10 +89,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_exact_top_k, op2_mix_sources, op3_quality_classifier, op4_decontamination, op5_minhash_near_dedup, op6_line_dedup, op7_token_counts,
-        op8_html_extraction, op9_url_filter, op10_suffix_array_dedup, op11_importance_resampling,
+        op8_html_extraction, op9_url_filter, op10_suffix_array_dedup, op11_importance_resampling, op13_hard_negatives,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": TOP_K_ORACLE, "op2_mix_sources": MIX_ORACLE, "op6_line_dedup": LINE_ORACLE, "op9_url_filter": URL_ORACLE, "op11_importance_resampling": RESAMPLE_ORACLE}
+    return {"op1_exact_top_k": TOP_K_ORACLE, "op2_mix_sources": MIX_ORACLE, "op6_line_dedup": LINE_ORACLE, "op9_url_filter": URL_ORACLE, "op11_importance_resampling": RESAMPLE_ORACLE, "op13_hard_negatives": NEGATIVES_ORACLE}

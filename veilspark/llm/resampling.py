@@ -19,7 +19,8 @@ from .storage import materialise
 
 #: Fixed values of the query's contract.
 N, BUCKETS, PERCENT, MIN_WORDS, SEED = 1, 10_000, 10, 20, "2024"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words.
+APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bound of the broadcast gain table (16 bytes a row).
 MOST_BUCKETS = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,7 +33,8 @@ def words(text: Column) -> Column:
     first; none for null."""
     ascii_only = F.octet_length(text) == F.length(text)
     lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    # splitting takes half the time of extracting; it leaves an empty text at either end
+    return F.coalesce(F.array_remove(F.split(lowered, APART), ""), F.array().cast("array<string>"))
 
 
 def n_grams(own: Column, n: int) -> Column:

@@ -100,45 +100,49 @@ def _row(schema: str, **values) -> pa.RecordBatch:
 BLOCK = "block long, n_docs long, n_train long, n_words long, n_keys long, ids binary, has_id binary, held binary, sizes binary, words binary, counts binary, own binary, at binary"
 
 
-def _encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(block_words: int):
     """Documents (doc_id, held, text) as blocks. A document's words stand
     between START and END; ``at`` numbers them by their frequency in the block
     (ties by hash), ``words`` are the hashes in order with the counts in all
     documents (counts) and in those learnt from (own)."""
-    base, made = TaskContext.get().partitionId() << 32, 0
-    ids, held, sizes, parts = [], [], [], []
-
-    def row():
-        nonlocal made
-        h, n = np.concatenate(parts), np.concatenate(sizes)
-        out = np.concatenate(held)
-        words, place, counts = np.unique(h, return_inverse=True, return_counts=True)
-        rank = np.empty(len(words), np.int64)
-        rank[np.lexsort((words, -counts))] = np.arange(len(words))
-        own = np.bincount(place[np.repeat(~out, n)], minlength=len(words))
-        has = np.array([x is not None for x in ids])
-        batch = _row(BLOCK, block=base + made, n_docs=len(n), n_train=int((~out).sum()), n_words=len(h), n_keys=len(words), ids=packed(np.array([x or 0 for x in ids], np.int64)), has_id=packed(has.view(np.uint8)), held=packed(out.view(np.uint8)), sizes=packed(_least(n)), words=packed(words, True), counts=packed(_least(counts)), own=packed(_least(own)), at=packed(rank[place].astype(np.uint32)))
-        made += 1
-        for x in (ids, held, sizes, parts):
-            x.clear()
-        return batch
-
-    size = 0
-    for frame in frames:
-        texts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in frame["text"].to_pylist()]
-        doc, h = word_hashes(texts)
-        n = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
-        h = _framed(h, n)
-        ids += frame["doc_id"].to_pylist()
-        held.append(np.array(frame["held"].to_pylist(), bool))
-        sizes.append(n + 2)
-        parts.append(h)
-        size += len(h)
-        if size >= BLOCK_WORDS:
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, made = TaskContext.get().partitionId() << 32, 0
+        ids, held, sizes, parts = [], [], [], []
+
+        def row():
+            nonlocal made
+            h, n = np.concatenate(parts), np.concatenate(sizes)
+            out = np.concatenate(held)
+            words, place, counts = np.unique(h, return_inverse=True, return_counts=True)
+            rank = np.empty(len(words), np.int64)
+            rank[np.lexsort((words, -counts))] = np.arange(len(words))
+            own = np.bincount(place[np.repeat(~out, n)], minlength=len(words))
+            has = np.array([x is not None for x in ids])
+            batch = _row(BLOCK, block=base + made, n_docs=len(n), n_train=int((~out).sum()), n_words=len(h), n_keys=len(words), ids=packed(np.array([x or 0 for x in ids], np.int64)), has_id=packed(has.view(np.uint8)), held=packed(out.view(np.uint8)), sizes=packed(_least(n)), words=packed(words, True), counts=packed(_least(counts)), own=packed(_least(own)), at=packed(rank[place].astype(np.uint32)))
+            made += 1
+            for x in (ids, held, sizes, parts):
+                x.clear()
+            return batch
+
+        size = 0
+        for frame in frames:
+            texts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in frame["text"].to_pylist()]
+            doc, h = word_hashes(texts)
+            n = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
+            h = _framed(h, n)
+            ids += frame["doc_id"].to_pylist()
+            held.append(np.array(frame["held"].to_pylist(), bool))
+            sizes.append(n + 2)
+            parts.append(h)
+            size += len(h)
+            if size >= block_words:
+                yield row()
+                size = 0
+        if ids:
             yield row()
-            size = 0
-    if ids:
-        yield row()
+
+    return run
 
 
 def _framed(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -204,7 +208,7 @@ PAIRS = "kind string, part int, block long, a binary, b binary, c binary, d bina
 class _Numbered:
     """A block with the numbers and counts of its words."""
 
-    def __init__(self, r: dict, parts: int) -> None:
+    def __init__(self, r: dict, parts: int, hot_context: int) -> None:
         counts = unpacked(r["counts"]).astype(np.int64)
         reply = sorted(r["words_reply"], key=lambda x: x["part"])
         number, total = (np.concatenate([unpacked(x[c]).astype(np.int64) for x in reply]) for c in "bc")
@@ -223,7 +227,7 @@ class _Numbered:
         n = len(self.v)
         self.context_total, self.word_total = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.context_total[place], self.word_total[place] = self.total[self.with_context - 1], self.total[self.with_context]
-        pieces = 1 + self.context_total // HOT_CONTEXT
+        pieces = 1 + self.context_total // hot_context
         self.part = _part(mix(self.v.astype(_U) * _U(0x9E3779B97F4A7C15) + (self.w % pieces).astype(_U)), parts)
         order = np.argsort(self.part, kind="stable")
         back = np.empty(n, np.int64)
@@ -233,11 +237,11 @@ class _Numbered:
         self.pair = back[place]
 
 
-def _ask_pairs(parts: int):
+def _ask_pairs(parts: int, hot_context: int):
     def run(frames):
         for frame in frames:
             for r in frame.to_pylist():
-                own = _Numbered(r, parts)
+                own = _Numbered(r, parts, hot_context)
                 if not len(own.v):
                     continue
                 learnt = ~own.held[own.doc[own.with_context]]
@@ -304,15 +308,15 @@ def _answer_pairs(n: int, vocabulary: int):
     return run
 
 
-def _hot_contexts(words: DataFrame, pairs: DataFrame) -> dict[int, tuple[np.ndarray, float]]:
+def _hot_contexts(words: DataFrame, pairs: DataFrame, hot_context: int) -> dict[int, tuple[np.ndarray, float]]:
     """few and p of the contexts that are split, summed over their pieces;
-    at most all words / HOT_CONTEXT of them, looked for in tasks."""
+    at most all words / ``hot_context`` of them, looked for in tasks."""
 
     def often(frames):
         for frame in frames:
             for r in frame.to_pylist():
                 total = unpacked(r["c"]).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"v": pa.array(unpacked(r["b"])[total >= HOT_CONTEXT], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"v": pa.array(unpacked(r["b"])[total >= hot_context], pa.int64())})
 
     hot = sorted(r["v"] for r in words.where("kind = 'word'").select("b", "c").mapInArrow(often, "v long").collect())
     if not hot:
@@ -365,11 +369,11 @@ def backoff(few: np.ndarray, p: np.ndarray, total: np.ndarray, share: np.ndarray
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _evaluate(parts: int, n: int, vocabulary: int, share: np.ndarray, hot: dict):
+def _evaluate(parts: int, hot_context: int, n: int, vocabulary: int, share: np.ndarray, hot: dict):
     def run(frames):
         for frame in frames:
             for r in frame.to_pylist():
-                own = _Numbered(r, parts)
+                own = _Numbered(r, parts, hot_context)
                 log_p = np.log10(word_probability(own.total, n, vocabulary))
                 log_p[~own.said] = 0
                 score = log_p.copy()
@@ -379,8 +383,8 @@ def _evaluate(parts: int, n: int, vocabulary: int, share: np.ndarray, hot: dict)
                     v = np.concatenate([unpacked(x["b"], True) for x in reply])
                     few = np.concatenate([unpacked(x["c"]).astype(np.int64).reshape(-1, K) for x in reply])
                     p = np.concatenate([unpacked(x["d"]) for x in reply])
-                    keep = ~np.isin(v, list(hot))
-                    mine = np.array([x for x in hot if x in set(own.v.tolist())], np.int64) if hot else np.zeros(0, np.int64)
+                    keep = ~np.isin(v, np.array(list(hot), np.int64))
+                    mine = np.intersect1d(np.array(list(hot), np.int64), own.v)
                     v, few, p = (np.concatenate(x) for x in ((v[keep], mine), (few[keep], np.array([hot[x][0] for x in mine.tolist()], np.int64).reshape(-1, K)), (p[keep], np.array([hot[x][1] for x in mine.tolist()], float))))
                     order = np.argsort(v)
                     v, few, p = v[order], few[order], p[order]
@@ -414,7 +418,7 @@ def _parted(asks: DataFrame) -> DataFrame:
     return asks.repartition("part").sortWithinPartitions("part")
 
 
-def score_language(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
+def score_language(docs: DataFrame, folds: int = FOLDS, block_words: int = BLOCK_WORDS, part_keys: int = PART_KEYS, hot_context: int = HOT_CONTEXT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)
     of each row of ``docs`` (doc_id, text), by a model of the rows that aren't
     held out.
@@ -434,9 +438,9 @@ def score_language(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds).alias("held"), F.col("text").cast("string").alias("text"))
-    blocks = materialise(own.mapInArrow(released(_encode), BLOCK), "blocks")
+    blocks = materialise(own.mapInArrow(released(_encode(block_words)), BLOCK), "blocks")
     sums = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_train", "n_words", "n_keys")]).first()
-    word_parts, pair_parts = (max(1, -(-sums[c] // PART_KEYS)) for c in ("n_keys", "n_words"))
+    word_parts, pair_parts = (max(1, -(-sums[c] // part_keys)) for c in ("n_keys", "n_words"))
 
     asks = _parted(blocks.select("block", "words", "own").mapInArrow(released(_ask_words(word_parts)), ASK_WORDS))
     words = materialise(asks.mapInArrow(released(_answer_words(word_parts)), WORDS), "words")
@@ -444,11 +448,11 @@ def score_language(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     n, vocabulary = all_words["n"] - sums["n_train"], all_words["v"] - (1 if sums["n_train"] else 0)  # without START
     numbered = blocks.select("block", "ids", "has_id", "held", "sizes", "counts", "at").join(_gathered(words, "words_reply", "b", "c"), F.col("block") == F.col("of")).drop("of")
 
-    asks = _parted(numbered.drop("ids", "has_id").mapInArrow(released(_ask_pairs(pair_parts)), ASK_PAIRS))
+    asks = _parted(numbered.drop("ids", "has_id").mapInArrow(released(_ask_pairs(pair_parts, hot_context)), ASK_PAIRS))
     pairs = materialise(asks.mapInArrow(released(_answer_pairs(n, vocabulary)), PAIRS), "pairs")
     share = discounts(_times(pairs))
     answered = numbered.join(_gathered(pairs, "pairs_reply", "a", "b", "c", "d"), F.col("block") == F.col("of"), "left").drop("of")
-    scores = answered.mapInArrow(released(_evaluate(pair_parts, n, vocabulary, share, _hot_contexts(words, pairs))), SCORES)
+    scores = answered.mapInArrow(released(_evaluate(pair_parts, hot_context, n, vocabulary, share, _hot_contexts(words, pairs, hot_context))), SCORES)
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import find_leaks
 from .hard_negatives import NEGATIVES_ORACLE, mine_hard_negatives, with_moved_labels
 from .html_text import extract_main_text
+from .katz import score_language
 from .line_dedup import LINE_ORACLE, drop_boilerplate
 from .mixing import MIX_ORACLE, mix_sources
 from .near_dup import near_duplicates
@@ -70,6 +71,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(_table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_hard_negatives(with_moved_labels(_table(spark, sf_dir, "embeddings")))
 
@@ -89,7 +94,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_exact_top_k, op2_mix_sources, op3_quality_classifier, op4_decontamination, op5_minhash_near_dedup, op6_line_dedup, op7_token_counts,
-        op8_html_extraction, op9_url_filter, op10_suffix_array_dedup, op11_importance_resampling, op13_hard_negatives,
+        op8_html_extraction, op9_url_filter, op10_suffix_array_dedup, op11_importance_resampling, op12_katz_scoring, op13_hard_negatives,
     )
     return {f.__name__: f for f in own}
 

@@ -32,8 +32,8 @@ FOLDS, ADDED = 10, 0.1
 #: Counts up to this are discounted.
 K = 5
 #: Words of a block (whole texts: the last one may exceed it), and keys of a partition on average.
-BLOCK_WORDS = 1 << 21
-PART_KEYS = 1 << 21
+BLOCK_WORDS = 1 << 19
+PART_KEYS = 1 << 20
 #: Contexts that occur more often are split to pieces of about so many
 #: occurrences; there are at most all words / HOT_CONTEXT of them.
 HOT_CONTEXT = 1 << 21
@@ -211,7 +211,7 @@ class _Numbered:
     def __init__(self, r: dict, parts: int, hot_context: int) -> None:
         counts = unpacked(r["counts"]).astype(np.int64)
         reply = sorted(r["words_reply"], key=lambda x: x["part"])
-        number, total = (np.concatenate([unpacked(x[c]).astype(np.int64) for x in reply]) for c in "bc")
+        number, total = (_least(np.concatenate([unpacked(x[c]) for x in reply])) for c in "bc")
         rank = np.lexsort((np.arange(len(counts)), -counts))
         at, self.sizes = unpacked(r["at"]), unpacked(r["sizes"]).astype(np.int64)
         self.held = unpacked(r["held"]).astype(bool)
@@ -219,11 +219,11 @@ class _Numbered:
         #: Places of words and ends, the others are starts.
         self.said = np.ones(len(at), bool)
         self.said[np.cumsum(self.sizes) - self.sizes] = False
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        here = np.flatnonzero(self.said)
-        self.with_context = here[self.number[here - 1] > 0]
-        v, w = self.number[self.with_context - 1], self.number[self.with_context]
-        self.v, self.w, place = distinct_pairs(v, w)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        known = self.said.copy()
+        known[1:] &= self.number[:-1] > 0
+        self.with_context = np.flatnonzero(known)
+        self.v, self.w, place = distinct_pairs(self.number[self.with_context - 1], self.number[self.with_context])
         n = len(self.v)
         self.context_total, self.word_total = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.context_total[place], self.word_total[place] = self.total[self.with_context - 1], self.total[self.with_context]

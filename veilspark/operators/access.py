@@ -84,20 +84,31 @@ def visible(rows: DataFrame, users: DataFrame, grants: DataFrame) -> DataFrame:
     return everything.select("user_id", *rows.columns).unionByName(granted.select("user_id", *rows.columns))
 
 
+def listed_secrets(manifest: DataFrame) -> DataFrame:
+    """(__path): lower-case paths of the manifest's items (source_path,
+    field_name, password_mode) with a password or a secret name."""
+    own = F.coalesce("password_mode", F.lit(False)) | secret_name(F.col("field_name")) | compact_secret_name(F.col("field_name"))
+    return manifest.where(own).select(F.lower("source_path").alias("__path")).distinct()
+
+
 def secret_sources(sources: DataFrame, manifest: DataFrame) -> DataFrame:
     """(source_path, secret) of result sources (source_path, secret_cut): cut
     by the source, a secret name in the path, or the path of a manifest item
     (source_path, field_name, password_mode) with a password or a secret name."""
-    own = F.coalesce("password_mode", F.lit(False)) | secret_name(F.col("field_name")) | compact_secret_name(F.col("field_name"))
-    listed = manifest.where(own).select(F.lower("source_path").alias("__path")).distinct().withColumn("__listed", F.lit(True))
+    listed = listed_secrets(manifest).withColumn("__listed", F.lit(True))
     met = sources.join(listed, F.lower("source_path") == F.col("__path"), "left")
     secret = F.coalesce("secret_cut", F.lit(False)) | secret_name(F.col("source_path")) | compact_secret_name(F.col("source_path")) | F.coalesce("__listed", F.lit(False))
     return met.select("source_path", secret.alias("secret"))
 
 
+#: Fixed value: a path's last part that names persons as a whole.
+FULL_NAME = "наименованиеполное"
+
+
 def person_source(path: Column) -> Column:
     """Whether the last part of a path names persons."""
-    return F.coalesce(is_person_field(F.element_at(F.split(path, r"\."), -1)), F.lit(False))
+    last = F.element_at(F.split(path, r"\."), -1)
+    return F.coalesce(is_person_field(last) | (F.lower(last) == FULL_NAME), F.lit(False))
 
 
 def planned_selectors(mode: str, explicit: DataFrame, expandable: DataFrame, rules: DataFrame, most: int = MAX_SELECTORS) -> DataFrame:

@@ -81,3 +81,17 @@ def contained(column: str, name: str, key: str, shared):
             yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(out, pa.list_(pa.string()))], names=[*frame.schema.names, name])
 
     return run
+
+
+def held(column: str, name: str, key: str, shared):
+    """Adds ``name``: (value, category) of the values that stand in ``column``,
+    overlaps included, each once, in order."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("value", pa.string()), ("category", pa.string())]))
+        for frame in frames:
+            own = automaton(key, shared.value)
+            out = [[{"value": v, "category": c} for v, c in sorted({x for _, x in own.iter(text)})] if text else [] for text in frame[column].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(out, kind)], names=[*frame.schema.names, name])
+
+    return run

@@ -68,6 +68,37 @@ def contained(texts: DataFrame, values: dict[str, str], name: str, column: str =
     return texts.mapInArrow(automata.contained(column, name, automata.content_key(values), shared), schema)
 
 
+def held_values(texts: DataFrame, values: dict[str, str], name: str, column: str = "text", native: int = NATIVE_VALUES) -> DataFrame:
+    """``texts`` with ``name``: (value, category) of the values that stand in
+    ``column``, overlaps included, in order of the values; compared with each
+    of up to ``native`` values, beyond that one pass of an automaton."""
+    if not values:
+        return texts.withColumn(name, F.expr("cast(array() as array<struct<value:string,category:string>>)"))
+    if len(values) <= native:
+        each = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(values[v]).alias("category")) for v in sorted(values)])
+        return texts.withColumn(name, F.filter(each, lambda x: F.coalesce(F.contains(F.col(column), x["value"]), F.lit(False))))
+    shared = texts.sparkSession.sparkContext.broadcast(values)
+    kind = T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("category", T.StringType())]))
+    return texts.mapInArrow(automata.held(column, name, automata.content_key(values), shared), T.StructType([*texts.schema.fields, T.StructField(name, kind)]))
+
+
+def marked_values(texts: DataFrame, values: dict[str, str], column: str, name: str, native: int = NATIVE_VALUES) -> DataFrame:
+    """``texts`` with ``name``: ``column`` in parts (before, value, category),
+    value and category of the leftmost-longest matches, null in the last part;
+    by one alternation of up to ``native`` values, beyond that an automaton."""
+    part = T.StructType([T.StructField(n, T.StringType()) for n in ("before", "value", "category")])
+    if not values:
+        return texts.withColumn(name, F.array(F.struct(F.coalesce(column, F.lit("")).alias("before"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("category"))))
+    if len(values) <= native:
+        pattern = "|".join(re.escape(v) for v in sorted(values, key=lambda v: (-len(v), v)))
+        kinds = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+        found = F.transform(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(f"({pattern})"), F.lit(1)), lambda m: F.struct(m.alias("value"), F.element_at(kinds, m).alias("category")))
+        between = F.split(F.coalesce(column, F.lit("")), pattern, -1)
+        return texts.withColumn(name, F.zip_with(between, found, lambda b, f: F.struct(b.alias("before"), f["value"].alias("value"), f["category"].alias("category"))))
+    shared = texts.sparkSession.sparkContext.broadcast(values)
+    return texts.mapInArrow(automata.parts(column, name, automata.content_key(values), shared), T.StructType([*texts.schema.fields, T.StructField(name, T.ArrayType(part))]))
+
+
 def hits(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(doc_id, value, category) of every dictionary value in every text
     (doc_id, text), overlaps included. dictionary: (value, category), within

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import action_rank, covers, wildcard_match
 
 
-def strongest_rules(fields: DataFrame, rules: DataFrame) -> DataFrame:
-    """The strongest rule of each (field, selector).
+def strongest(fields: DataFrame, rules: DataFrame) -> DataFrame:
+    """(field, selector, pos, pattern, action, category): the strongest rule
+    of each (field, selector).
 
     fields: (field, selector, value), distinct; rules: (pos, selector,
     pattern, action, category, priority). Stricter actions win over priority,
@@ -20,7 +21,12 @@ def strongest_rules(fields: DataFrame, rules: DataFrame) -> DataFrame:
     met = fields.join(r, (F.col("selector") == F.col("r_selector")) & wildcard_match(F.col("r_pattern"), F.col("value")))
     order = [action_rank(F.col("r_action")).desc(), F.col("r_priority").desc(), F.col("r_pos").desc()]
     w = Window.partitionBy("field", "selector").orderBy(*order)
-    return met.withColumn("n", F.row_number().over(w)).where("n = 1").select("field", "selector", F.col("r_pos").alias("pos"), F.col("r_action").alias("action"), F.col("r_category").alias("category"))
+    return met.withColumn("n", F.row_number().over(w)).where("n = 1").select("field", "selector", *[F.col(f"r_{c}").alias(c) for c in ("pos", "pattern", "action", "category")])
+
+
+def strongest_rules(fields: DataFrame, rules: DataFrame) -> DataFrame:
+    """(field, selector, pos, action, category) of strongest()."""
+    return strongest(fields, rules).drop("pattern")
 
 
 def structural_action(strongest: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PERSON_VALUE, REMOVED, cut_secret_values, mask_token, replace_matches, secret_name
+from ..functions.text import REMOVED, cut_secret_values, mask_token, secret_name
 from . import policy
-from .dictionary import contained, replace_values
-from .masking import is_person_field, rendered, verdict
+from .cascade import RULES, Policy, cascade, expand, json_escaped  # noqa: F401
+from .masking import is_person_field
 
 
 def _literals(cells: DataFrame, which: Column, name: str) -> DataFrame:
@@ -23,12 +23,6 @@ def _fold(text: Column, literals: Column, make) -> Column:
     return F.aggregate(F.coalesce(literals, F.expr("cast(array() as array<string>)")), text, lambda t, x: F.replace(t, x, make(x)))
 
 
-def json_escaped(text: Column) -> Column:
-    """``text`` as it stands between the quotes of a JSON string."""
-    whole = F.to_json(F.struct(text.alias("v")))
-    return F.substring(whole, F.lit(7), F.length(whole) - 8)
-
-
 def cut_secrets(cells: DataFrame) -> DataFrame:
     """Cells (doc_id, ptr, field, value) without secrets: cells of secret
     fields go whole, their texts go wherever the same document repeats them,
@@ -58,61 +52,14 @@ def decisions(evidence: DataFrame, rules: DataFrame) -> DataFrame:
     return evidence.select("field", "secret_cut", "unverified").join(policy.structural_action(policy.strongest_rules(fields, rules)), "field", "left")
 
 
-def expand(text: Column, pairs: Column, passes: int = 8) -> Column:
-    """``text`` with the tokens of ``pairs`` (token, value) as values again,
-    tokens in the values too."""
-    for _ in range(passes):
-        once = F.aggregate(pairs, text, lambda t, p: F.replace(t, p["token"], p["value"]))
-        text = F.when(F.contains(text, F.lit("[MASK:v1:")), once).otherwise(text)
-    return text
-
-
-def _token_of(cat: str):
-    """Token of a match of the original, where the match holds tokens itself."""
-    return lambda m: mask_token(F.lit(cat), expand(m, F.col("__put"), 2))
-
-
-def _stands_for(cat: str):
-    return lambda m: F.struct(_token_of(cat)(m).alias("token"), expand(m, F.col("__put"), 2).alias("value"))
-
-
-def protect(cells: DataFrame, evidence: DataFrame, rules: DataFrame, dictionary: dict[str, str], regexes: list[tuple[str, ...]], actions: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, ptr, value, reason) of result cells (doc_id, ptr, field,
-    value, and kind, where cells have the kind of their JSON value).
-
-    masking.verdict() decides and is the reason; where it is ``text``,
-    persons' names, dictionary values (value to category) and matches of
-    ``regexes`` (pattern, category, and mask, keep or secret: mask if left
-    out) are replaced in turn (the reason is null if nothing changed). A match
-    that holds tokens made before stands for their values. ``actions`` gives
-    the action of a dictionary category, mask where it has none: kept values
-    stay, a cell with a secret one is removed. Null values stay null.
-    """
-    regexes = [(*r, "mask")[:3] for r in regexes]
-    actions = actions or {}
-    secret, masked = ({v: c for v, c in dictionary.items() if actions.get(c, "mask") == what} for what in ("secret", "mask"))
-    decided = F.broadcast(decisions(evidence, rules).withColumnRenamed("field", "__field"))
-    kind = F.col("kind") if "kind" in cells.columns else F.lit("string")
-    met = cells.select("doc_id", "ptr", "field", "value", kind.alias("__kind")).join(decided, F.lower("field") == F.col("__field"), "left")
-    met = met.join(_literals(cells, is_person_field(F.col("field")), "__people"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc", "__field")
-    met = contained(met, secret, "__held", "value") if secret else met.withColumn("__held", F.expr("cast(array() as array<string>)"))
-    kinds = F.create_map(*[F.lit(x) for pair in (secret or {"": ""}).items() for x in pair])
-    value, token = F.col("value"), lambda x: mask_token(F.lit("FIO"), x)
-    held = F.element_at(kinds, F.get("__held", F.lit(0)))
-    met = met.withColumn("__why", verdict(F.col("field"), value, F.col("action"), F.col("secret_cut"), held, F.col("unverified"), [p for p, _, what in regexes if what == "secret"]))
-    pair = lambda make: lambda x: F.struct(make(x).alias("token"), x.alias("value"))
-    none = F.expr("cast(array() as array<struct<token:string,value:string>>)")
-    met = met.withColumn("__put", F.coalesce(F.transform("__people", pair(token)), none)).withColumn("__free", _fold(value, F.col("__people"), token))
-    steps = [(PERSON_VALUE, "FIO", "mask"), None, *regexes]
-    for step in steps:
-        if step is None:
-            met = replace_values(met, masked, "__free", "__new").withColumn("__put", F.concat("__put", F.coalesce("__new", none))).drop("__new")
-            continue
-        pattern, cat, what = step
-        if what == "mask":
-            found = F.array_distinct(F.regexp_extract_all("__free", F.lit(f"({pattern})"), F.lit(1)))
-            met = met.withColumn("__new", F.coalesce(F.transform(found, _stands_for(cat)), none)).withColumn("__free", replace_matches(F.col("__free"), pattern, _token_of(cat)))
-            met = met.withColumn("__put", F.concat("__put", "__new")).drop("__new")
-    out = rendered(F.col("__why"), value, F.col("category"), F.col("__free"), F.col("__kind"))
-    same = (F.col("__why") == "kept") | ((F.col("__why") == "text") & value.eqNullSafe(out))
-    return met.select("doc_id", "ptr", out.alias("value"), F.when(~same, F.col("__why")).alias("reason"))
+def protect(cells: DataFrame, evidence: DataFrame, rules: DataFrame, dictionary: dict[str, str], regexes: list[tuple[str, ...]], actions: dict[str, str] | None = None, manifest: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ptr, value, reason) of result cells by cascade(); the reason is
+    what decided, null where nothing changed. ``regexes``: (pattern, category,
+    and mask, keep or secret: mask if left out); ``actions``: the action of a
+    dictionary category, mask where it has none. Both come before ``rules``."""
+    spark = cells.sparkSession
+    more = [(i, "regex", p, a, c, 0) for i, (p, c, a) in enumerate((*r, "mask")[:3] for r in regexes)] + [(0, "dictionary", c, a, c, 1 << 30) for c, a in (actions or {}).items()]
+    both = rules.select(*[F.col(c) for c in ("pos", "selector", "pattern", "action", "category", "priority")]).where("selector not in ('regex', 'dictionary')")
+    own = Policy(both.union(spark.createDataFrame(more, RULES)) if more else both, dictionary, manifest)
+    done = cascade(cells, evidence, own)
+    return done.select("doc_id", "ptr", "value", F.when((F.col("why") != "kept") & ((F.col("why") != "text") | F.exists("reasons", lambda r: r["action"] != "keep")), F.col("why")).alias("reason"))

@@ -55,12 +55,13 @@ SELECT doc_id, '/' || field AS ptr, CASE field WHEN 'Client' THEN {token_sql("'C
   WHEN 'full_name' THEN {token_sql("'FIO'", 'value')} WHEN 'Extra' THEN {token_sql("'UNVERIFIED_STRING'", 'value')} WHEN 'Segment' THEN {replace_sql('value', _SEGMENT, _SEGMENT_KIND)} ELSE {replace_sql('n', EMAIL, "'EMAIL'")} END AS value,
   CASE field WHEN 'Client' THEN 'rule:mask' WHEN 'Api_Key' THEN 'secret:name' WHEN 'Cut' THEN 'secret:name' WHEN 'full_name' THEN 'person:field' WHEN 'Extra' THEN 'unverified' WHEN 'Segment' THEN CASE WHEN regexp_matches(value, '{_SEGMENT}') THEN 'text' END ELSE 'text' END AS reason
 FROM (SELECT doc_id, field, value, c_name, {_NOTE} AS n FROM (
-  SELECT c_custkey AS doc_id, c_name, unnest({list(_FIELDS)}) AS field, unnest([c_name || '!', c_mktsegment, 'k', c_name, c_name || ' in ' || c_mktsegment || ' at u' || c_custkey::VARCHAR || '@example.org', c_mktsegment, 'x']) AS value FROM customer))
+  SELECT c_custkey AS doc_id, c_name, unnest({list(_FIELDS)}) AS field, unnest([c_name || '!', c_mktsegment, 'k', c_name, c_name || ' in ' || c_mktsegment || ' at u' || c_custkey::VARCHAR || '@example.org, {X.REMOVED}', c_mktsegment, 'x']) AS value FROM customer))
 """)
 def protect_result(spark, sf_dir):
+    """What the source of Cut hides is removed from the note as well."""
     c = table(spark, sf_dir, "customer")
-    note = F.concat("c_name", F.lit(" in "), "c_mktsegment", F.lit(" at u"), F.col("c_custkey").cast("string"), F.lit("@example.org"))
-    shown = c.select("c_custkey", F.concat("c_name", F.lit("!")).alias("Client"), F.col("c_mktsegment").alias("Segment"), F.lit("k").alias("Api_Key"), F.col("c_name").alias("full_name"), note.alias("Note"), F.col("c_mktsegment").alias("Extra"), F.lit("x").alias("Cut"))
+    note = F.concat("c_name", F.lit(" in "), "c_mktsegment", F.lit(" at u"), F.col("c_custkey").cast("string"), F.lit("@example.org, pin-"), F.col("c_custkey").cast("string"))
+    shown = c.select("c_custkey", F.concat("c_name", F.lit("!")).alias("Client"), F.col("c_mktsegment").alias("Segment"), F.lit("key k").alias("Api_Key"), F.col("c_name").alias("full_name"), note.alias("Note"), F.col("c_mktsegment").alias("Extra"), F.concat(F.lit("pin-"), F.col("c_custkey").cast("string")).alias("Cut"))
     known = policy.evidence(inline(spark, _SCHEMA), inline(spark, _LINEAGE))
     return result.protect(masking.unpivot(shown, "c_custkey", list(_FIELDS)), known, inline(spark, _LIVE), _VALUES, [(EMAIL, "EMAIL")])
 

@@ -139,7 +139,7 @@ def expand(text: Column, pairs: Column, passes: int = 8) -> Column:
 # --- the cascade ----------------------------------------------------------------
 
 
-def cascade(cells: DataFrame, evidence: DataFrame, own: Policy) -> DataFrame:
+def cascade(cells: DataFrame, evidence: DataFrame, own: Policy, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, ptr, value, why, reasons) of result cells (doc_id, ptr, field,
     value, and kind, where cells have the kind of their JSON value).
 
@@ -157,10 +157,10 @@ def cascade(cells: DataFrame, evidence: DataFrame, own: Policy) -> DataFrame:
     why: what decided, of kept, failed, secret:name, unverified, secret:rule,
     dictionary:<category>:secret, secret:regex, person:field, rule:mask, text.
     reasons: each stage that found something (code, kind, selector, pattern,
-    category, action), once, in order.
+    category, action), once, in order. Columns in ``carry`` pass through.
     """
     kind = F.col("kind") if "kind" in cells.columns else F.lit("string")
-    base = cells.select("doc_id", "ptr", "field", "value", kind.alias("kind"))
+    base = cells.select("doc_id", "ptr", "field", "value", kind.alias("kind"), *carry)
     facts = field_facts(base, evidence, own).withColumnRenamed("field", "__field")
     known = base.join(facts, F.lower("field") == F.col("__field"), "left").drop("__field")
     known = known.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("secret", "cut", "person", "unverified")})
@@ -239,7 +239,7 @@ def cascade(cells: DataFrame, evidence: DataFrame, own: Policy) -> DataFrame:
         F.when(F.col("__source"), reason("mandatory:fio:source", "builtin", "mask", "FIO")), F.when(F.col("__text"), reason("mandatory:fio:text", "builtin", "mask", "FIO")), F.when(open_ & (F.col("__cut") != REMOVED), F.col("rule")),
     )
     all_ = F.concat(first, F.when(F.col("__go"), F.coalesce(listed, F.expr(_NO_REASONS))).otherwise(F.expr(_NO_REASONS)), F.array(*patterns) if patterns else F.expr(_NO_REASONS))
-    return met.select("doc_id", "ptr", out.alias("value"), w.alias("why"), F.array_distinct(F.filter(all_, lambda r: r.isNotNull())).alias("reasons"))
+    return met.select("doc_id", "ptr", out.alias("value"), w.alias("why"), F.array_distinct(F.filter(all_, lambda r: r.isNotNull())).alias("reasons"), *carry)
 
 
 def cell_reasons(done: DataFrame) -> DataFrame:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.json import canonical_json
 from ..functions.setup import SCHEMA
-from . import governance, mapping, masking, result
+from ..functions.text import REMOVED
+from . import governance, mapping, masking
+from .cascade import Policy
+from .cascade import cascade as through
 from .ledger import retry_delay
 
 RULE = ("selector", "pattern", "action", "category", "priority")
@@ -108,24 +111,32 @@ def swapped(current: DataFrame, new: DataFrame) -> DataFrame:
 # --- dry runs -----------------------------------------------------------------
 
 
-def dry_run(cells: DataFrame, known: DataFrame, evidence: DataFrame, live: DataFrame, candidate: DataFrame, dictionary: dict[str, str], regexes: list[tuple[str, ...]]) -> DataFrame:
-    """(doc_id, ptr, before, after, change) of stored result cells (doc_id,
-    ptr, field, value) under the live and the candidate rules.
+def dry_run(cells: DataFrame, known: DataFrame, evidence: DataFrame, live: Policy, candidate: Policy) -> DataFrame:
+    """(doc_id, ptr, before, after, change, reason) of stored result cells
+    (doc_id, ptr, field, value, and kind if they have it) under two whole
+    policies, each with its own rules, dictionary and patterns.
 
-    Tokens are resolved first; cells with a token that isn't known any more
-    are unevaluable. Both policies run over the same cells, and the status of
-    each cell (secret, masked, open) is compared.
+    Tokens are resolved first (known: token, value); cells with a token that
+    isn't known any more, and those from which a secret was removed when they
+    were stored, are unevaluable. Every other cell goes through both cascades
+    one after the other, and its status (secret, masked, open) is compared;
+    tokens that the run makes are never stored. reason: the code of the first
+    reason that the candidate gives.
     """
+    kind = F.col("kind") if "kind" in cells.columns else F.lit("string")
     ids = cells.withColumn("__cell", F.struct("doc_id", "ptr"))
     plain = mapping.resolve(ids.select(F.col("__cell").alias("doc_id"), F.col("value").alias("text")), known)
     back = plain.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.ptr").alias("ptr"), "ok", "text")
-    ready = cells.select("doc_id", "ptr", "field").join(back, ["doc_id", "ptr"])
-    usable = ready.where("ok").select("doc_id", "ptr", "field", F.col("text").alias("value"))
-    status = lambda rules, name: result.protect(usable, evidence, rules, dictionary, regexes).select("doc_id", "ptr", F.coalesce(masking.cell_status(F.col("value")), F.lit("open")).alias(name))
-    both = status(live, "before").join(status(candidate, "after"), ["doc_id", "ptr"])
+    stored = F.coalesce(F.contains("value", F.lit(REMOVED)), F.lit(False))
+    ready = cells.select("doc_id", "ptr", "field", kind.alias("kind"), stored.alias("gone")).join(back, ["doc_id", "ptr"]).withColumn("ok", F.col("ok") & ~F.col("gone")).drop("gone")
+    usable = ready.where("ok").select("doc_id", "ptr", "field", "kind", F.col("text").alias("value"), F.struct("field", "kind", F.col("text").alias("value")).alias("__cell"))
+    status = F.coalesce(masking.cell_status(F.col("value")), F.lit("open"))
+    first = through(usable, evidence, live, ("__cell",)).select("doc_id", "ptr", "__cell.*", status.alias("before"))
+    both = through(first, evidence, candidate, ("before",)).select("doc_id", "ptr", "before", status.alias("after"), F.get("reasons", F.lit(0))["code"].alias("reason"))
     change = F.when(F.col("before") == F.col("after"), "same").when(F.col("after") == "open", "became_open").when(F.col("before") == "open", F.concat(F.lit("became_"), F.col("after"))).otherwise("changed")
-    lost = ready.where("not ok").select("doc_id", "ptr", F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"), F.lit("unevaluable").alias("change"))
-    return both.withColumn("change", change).unionByName(lost)
+    none = F.lit(None).cast("string")
+    lost = ready.where("not ok").select("doc_id", "ptr", none.alias("before"), none.alias("after"), F.lit("unevaluable").alias("change"), none.alias("reason"))
+    return both.select("doc_id", "ptr", "before", "after", change.alias("change"), "reason").unionByName(lost)
 
 
 def dry_run_totals(grid: DataFrame) -> DataFrame:

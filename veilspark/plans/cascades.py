@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import cascade, policy
+from ..operators import cascade, lifecycle, policy
 from .masking import CARD, EMAIL, replace_sql, token_sql
 from .registry import inline, query, table, values
 
@@ -84,3 +84,32 @@ def cascade_reason_table(spark, sf_dir):
     """Each document's table of reasons, six at most, by first sight."""
     entries, _ = cascade.reason_table(_done(spark, sf_dir), 6)
     return entries.select("doc_id", "idx", "code")
+
+
+_NEW_RULES = [(*r[:3], "keep", *r[4:]) if r[0] == 5 else r for r in _RULES if r[0] != 7]
+
+
+@query(f"""
+WITH {_DOCS},
+s AS (SELECT doc_id, contains(text, 'license') AS lic, contains(text, 'there') AS new_word, lang FROM two),
+c AS (SELECT *, unnest(['text', 'note', 'mail', 'lang', 'old', 'gone']) AS f FROM s)
+SELECT doc_id, '/' || f AS ptr,
+ CASE f WHEN 'text' THEN 'masked' WHEN 'note' THEN CASE WHEN lic THEN 'masked' ELSE 'open' END WHEN 'mail' THEN 'masked' WHEN 'lang' THEN CASE WHEN lang IS NULL THEN 'open' ELSE 'masked' END WHEN 'old' THEN 'masked' END AS before,
+ CASE f WHEN 'text' THEN 'masked' WHEN 'note' THEN CASE WHEN new_word THEN 'masked' ELSE 'open' END WHEN 'mail' THEN 'open' WHEN 'lang' THEN 'open' WHEN 'old' THEN 'masked' END AS after,
+ CASE f WHEN 'text' THEN 'same' WHEN 'note' THEN CASE WHEN lic = new_word THEN 'same' WHEN lic THEN 'became_open' ELSE 'became_masked' END WHEN 'mail' THEN 'became_open' WHEN 'lang' THEN CASE WHEN lang IS NULL THEN 'same' ELSE 'became_open' END WHEN 'old' THEN 'same' ELSE 'unevaluable' END AS change,
+ CASE f WHEN 'text' THEN 'mandatory:fio:text' WHEN 'note' THEN CASE WHEN new_word THEN 'dictionary:ADV' END WHEN 'lang' THEN CASE WHEN lang IS NOT NULL THEN 'type:lang:keep' END WHEN 'old' THEN 'mandatory:fio:name' END AS reason
+FROM c
+""")
+def dry_run_policies(spark, sf_dir):
+    """A candidate with another dictionary, without one pattern, and with a
+    rule that keeps what was masked; nothing else differs."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    words = F.concat_ws(" ", F.when(F.contains("text", F.lit("license")), "license"), F.when(F.contains("text", F.lit("there")), "there"), F.lit("-"))
+    name = X.mask_token(F.lit("FIO"), F.concat(F.lit("Автор "), "doc_id"))
+    cell = lambda f, v: F.struct(F.lit(f"/{f}").alias("ptr"), F.lit(f).alias("field"), v.alias("value"))
+    stored = d.select("doc_id", F.inline(F.array(cell("text", F.lit("Иванов Иван")), cell("note", words), cell("mail", F.concat(F.lit("u"), "doc_id", F.lit("@example.org"))), cell("lang", F.col("lang")), cell("old", name), cell("gone", F.lit(f"was {X.REMOVED}")))))
+    known = d.select(name.alias("token"), F.concat(F.lit("Автор "), "doc_id").alias("value"))
+    lineage = inline(spark, _LINEAGE).union(spark.createDataFrame([("old", "Catalog.Doc.ФИО", None, None)], "column string, source_path string, source_type string, secret_cut boolean"))
+    live = cascade.Policy(spark.createDataFrame(_RULES, cascade.RULES), {"license": "LIC"})
+    new = cascade.Policy(spark.createDataFrame(_NEW_RULES, cascade.RULES), {"there": "ADV"})
+    return lifecycle.dry_run(stored, known, policy.evidence(inline(spark, _COLUMNS), lineage), live, new)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import json as J
 from ..functions import text as X
 from ..operators import dictionary, ledger, lifecycle, mapping, masking, policy, report, result
+from ..operators.cascade import Policy
 from ..sources import pages
 from .masking import replace_sql, token_sql
 from .registry import inline, query, table, values
@@ -287,7 +288,7 @@ def dry_run_grid(spark, sf_dir):
     cells = masking.unpivot(c.select("c_custkey", F.concat(F.lit("to "), name).alias("client"), F.col("c_mktsegment").alias("segment"), F.lit("k").alias("token")), "c_custkey", ["client", "segment", "token"])
     known = c.where("c_custkey % 4 <> 0").select(name.alias("token"), F.col("c_name").alias("value"))
     evidence = policy.evidence(inline(spark, _DRY_COLUMNS), inline(spark, _NOWHERE).where("false"))
-    return lifecycle.dry_run(cells, known, evidence, inline(spark, _DRY_RULES), inline(spark, _DRY_NEW), {}, [])
+    return lifecycle.dry_run(cells, known, evidence, Policy(inline(spark, _DRY_RULES)), Policy(inline(spark, _DRY_NEW))).drop("reason")
 
 
 @query(f"SELECT count(*) AS cells, count(*) FILTER (WHERE change = 'became_masked') AS became_masked, 0::BIGINT AS became_secret, count(*) FILTER (WHERE change = 'became_open') AS became_open, 0::BIGINT AS changed, count(*) FILTER (WHERE change = 'unevaluable') AS unevaluable FROM ({_GRID})")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import cascade, lifecycle, policy
+from ..streaming import state
+from ..streaming.store import token_calls
 from .masking import CARD, EMAIL, replace_sql, token_sql
 from .registry import inline, query, table, values
 
@@ -113,3 +115,42 @@ def dry_run_policies(spark, sf_dir):
     live = cascade.Policy(spark.createDataFrame(_RULES, cascade.RULES), {"license": "LIC"})
     new = cascade.Policy(spark.createDataFrame(_NEW_RULES, cascade.RULES), {"there": "ADV"})
     return lifecycle.dry_run(stored, known, policy.evidence(inline(spark, _COLUMNS), lineage), live, new)
+
+
+# --- the token store as a stream ------------------------------------------------
+
+_CALLS = "(SELECT 'd' || (user_id % 10)::VARCHAR AS database, ts AS tm, event_id AS seq, 'b' || event_id::VARCHAR AS batch, CASE WHEN event_id % 3 = 0 THEN 'resolve' ELSE 'publish' END AS kind, 't' || (event_id * 7919 % 37)::VARCHAR AS token, event_type AS value FROM events WHERE ts IS NOT NULL)"
+
+
+def _calls(spark, sf_dir, where: str = "true"):
+    e = state.event_stream(spark, sf_dir)
+    kind = F.when(F.col("event_id") % 3 == 0, "resolve").otherwise("publish")
+    token = F.concat(F.lit("t"), (F.col("event_id") * 7919 % 37).cast("string"))
+    own = e.where("ts is not null").select(F.concat(F.lit("d"), (F.col("user_id") % 10).cast("string")).alias("database"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.concat(F.lit("b"), F.col("event_id").cast("string")).alias("batch"), kind.alias("kind"), token.alias("token"), F.col("event_type").alias("value"))
+    return own.where(where)
+
+
+@query(f"""
+WITH c AS (SELECT * FROM {_CALLS}), due AS (SELECT * FROM c WHERE epoch_ms(tm) <= (SELECT epoch_ms(max(tm)) FROM c) - 3600000),
+p AS (SELECT *, lag(epoch_ms(tm)) OVER (PARTITION BY database, token ORDER BY epoch_ms(tm), seq) AS was FROM due WHERE kind = 'publish')
+SELECT database, seq, CASE WHEN was IS NULL OR was + 86400000 <= epoch_ms(tm) THEN 'live again' ELSE 'reused' END AS status FROM p
+UNION ALL SELECT r.database, r.seq, CASE WHEN EXISTS (SELECT 1 FROM due x WHERE x.kind = 'publish' AND x.database = r.database AND x.token = r.token AND (epoch_ms(x.tm), x.seq) < (epoch_ms(r.tm), r.seq) AND epoch_ms(x.tm) + 86400000 > epoch_ms(r.tm)) THEN 'resolved' ELSE 'unknown' END FROM due r WHERE r.kind = 'resolve'
+""")
+def streaming_token_reads(spark, sf_dir):
+    """Tokens live for a day after they were last published; a token that is
+    new and one that has expired both get a new life."""
+    rows = state.drained(token_calls(_calls(spark, sf_dir), 1000, 86_400), "token_reads")
+    return rows.select("database", "seq", F.when(F.col("status").isin("new", "replaced"), "live again").otherwise(F.col("status")).alias("status"))
+
+
+@query(f"""
+WITH c AS (SELECT database, epoch_ms(tm) AS tm, seq, token FROM {_CALLS} WHERE kind = 'publish'), due AS (SELECT *, row_number() OVER (PARTITION BY database ORDER BY tm, seq) AS n FROM c WHERE tm <= (SELECT max(tm) FROM c) - 3600000),
+p AS (SELECT *, lag(n) OVER (PARTITION BY database, token ORDER BY n) AS was, lag(tm) OVER (PARTITION BY database, token ORDER BY n) AS was_at FROM due),
+d AS (SELECT p.*, (SELECT count(DISTINCT x.token) FROM due x WHERE x.database = p.database AND x.n > p.was AND x.n < p.n) AS between_ FROM p)
+SELECT database, seq, CASE WHEN was IS NOT NULL AND between_ < 8 AND was_at + 864000000 > tm THEN 'reused' ELSE 'new' END AS status FROM d
+""")
+def streaming_token_eviction(spark, sf_dir):
+    """Eight tokens a database: one is still there if fewer than eight others
+    were published since, which is what least recently used means."""
+    rows = state.drained(token_calls(_calls(spark, sf_dir, "kind = 'publish'"), 8, 864_000), "token_eviction").where("status <> 'evicted'")
+    return rows.select("database", "seq", F.when(F.col("status") == "replaced", "new").otherwise(F.col("status")).alias("status"))

@@ -20,14 +20,35 @@ def unpivot(table: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return table.select(F.col(key).alias("doc_id"), cells).select("doc_id", F.concat(F.lit("/"), pointer_escape(F.col("c.field"))).alias("ptr"), "c.field", "c.value")
 
 
+class _Big(float):
+    """A number beyond floats, with its text."""
+
+    text = ""
+
+
+def _number(text: str) -> float:
+    x = float(text)
+    if x in (float("inf"), float("-inf")):
+        x = _Big(x)
+        x.text = text
+    return x
+
+
+def _refused(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+_READ = json.JSONDecoder(parse_float=_number, parse_constant=_refused).decode
+
+
 def _walk(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {bool: "boolean", int: "number", float: "number", str: "string", type(None): "null"}
+    kinds = {bool: "boolean", int: "number", float: "number", _Big: "number", str: "string", type(None): "null"}
     for frame in frames:
         out: dict[str, list] = {k: [] for k in ("doc_id", "ptr", "field", "kind", "value")}
         for doc, text in zip(frame["doc_id"].to_pylist(), frame["json"].to_pylist(), strict=True):
             try:
-                todo = [("", "", json.loads(text), 0)] if text is not None else []
-            except ValueError:
+                todo = [("", "", _READ(text), 0)] if text is not None else []
+            except (ValueError, RecursionError):
                 todo = []
             while todo:
                 ptr, field, x, depth = todo.pop()
@@ -37,7 +58,7 @@ def _walk(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     todo += [(f"{ptr}/{str(k).replace('~', '~0').replace('/', '~1')}", k if isinstance(x, dict) else field, v, depth + 1) for k, v in items]
                     continue
                 kind = kinds.get(type(x), "too deep")
-                value = x if isinstance(x, str) else None if kind == "too deep" else json.dumps(x)
+                value = x if isinstance(x, str) else None if kind == "too deep" else x.text if isinstance(x, _Big) else json.dumps(x)
                 for k, v in zip(out, (doc, ptr, field, kind, value), strict=True):
                     out[k].append(v)
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("ptr", pa.string()), ("field", pa.string()), ("kind", pa.string()), ("value", pa.string())]))
@@ -45,8 +66,9 @@ def _walk(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def walk_json(docs: DataFrame) -> DataFrame:
     """Leaves (doc_id, ptr, field, kind, value) of JSON documents (doc_id,
-    json) of any shape; bad JSON has none, parts below MAX_DEPTH are leaves
-    of kind ``too deep``."""
+    json) of any shape. Bad JSON has none, which NaN, infinities and texts too
+    deep to be read are too; parts below MAX_DEPTH are leaves of kind ``too
+    deep``; of keys that repeat in an object the last counts."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("json").cast("string").alias("json")).mapInArrow(_walk, "doc_id long, ptr string, field string, kind string, value string")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import cascade, lifecycle, policy
+from ..operators import blocks, cascade, lifecycle, masking, policy
 from ..streaming import state
 from ..streaming.store import token_calls
 from .masking import CARD, EMAIL, replace_sql, token_sql
@@ -117,6 +117,57 @@ def dry_run_policies(spark, sf_dir):
     return lifecycle.dry_run(stored, known, policy.evidence(inline(spark, _COLUMNS), lineage), live, new)
 
 
+# --- reports ----------------------------------------------------------------------
+
+
+def _results(spark, sf_dir):
+    """A result of each document: a text, a table of two rows, and a table as
+    structured content; and a result that is one text, for each tenth."""
+    d = table(spark, sf_dir, "documents").where("text is not null and lang is not null and source is not null")
+    rows = F.array(F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("text").alias("Text"))), F.to_json(F.struct(F.struct(F.col("source").alias("name"), F.array(F.lit(1), F.col("n_chars")).alias("x")).alias("extra"), F.col("doc_id").cast("string").alias("ID"))))
+    body = F.concat(F.lit('{"content":[{"type":"text","text":'), F.substring(F.to_json(F.struct(F.col("lang").alias("v"))), F.lit(6), F.length(F.to_json(F.struct(F.col("lang").alias("v")))) - 6), F.lit('},{"type":"image"},{"type":"json","json":{"rows":['), F.array_join(rows, ","), F.lit(']}}],"structured_content":[{"n":'), F.col("n_chars").cast("string"), F.lit("}]}"))
+    return d.select("doc_id", F.when(F.col("doc_id") % 10 == 3, F.lit('{"data":[]}')).otherwise(body).alias("json"))
+
+
+_RESULT_DOCS = "(SELECT doc_id, text, lang, source, n_chars, doc_id % 10 = 3 AS bare FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL)"
+_SCHEMA_OF = lambda results: results.select("doc_id", F.inline(F.array(F.struct(F.lit(1).alias("pos"), F.lit("text").alias("name")), F.struct(F.lit(2).alias("pos"), F.lit("Id").alias("name")))))
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, unnest(['/content/0/text', '/content/0/type', '/content/1/type', '/content/2/type', '/content/2/json/rows/0/id', '/content/2/json/rows/0/Text', '/content/2/json/rows/1/extra/name', '/content/2/json/rows/1/extra/x/0', '/content/2/json/rows/1/extra/x/1', '/content/2/json/rows/1/ID', '/structured_content/0/n']) AS ptr,
+ unnest([0, 0, 0, 0, 1, 1, 1, 1, 1, 1, 2]) AS block, unnest([NULL, NULL, NULL, NULL, 0, 0, 1, 1, 1, 1, 0]) AS "row", unnest([NULL, NULL, NULL, NULL, 1, 0, 2, 2, 2, 1, 2]) AS col FROM {_RESULT_DOCS} WHERE NOT bare)
+SELECT doc_id, ptr, block::INT AS block, "row"::INT AS "row", col::INT AS col FROM p
+""")
+def report_coordinates(spark, sf_dir):
+    """Block, row and column of every leaf of a result."""
+    results = _results(spark, sf_dir)
+    found = blocks.result_blocks(results)
+    cells = blocks.table_cells(found)
+    return blocks.coordinates(masking.walk_json(results), found, cells, blocks.table_columns(cells, _SCHEMA_OF(results)))
+
+
+@query(f"""
+SELECT doc_id, unnest(CASE WHEN bare THEN [0] ELSE [0, 1, 2] END)::INT AS block, unnest(CASE WHEN bare THEN ['text'] ELSE ['text', 'table', 'table'] END) AS kind, unnest(CASE WHEN bare THEN ['{{"data":[]}}'] ELSE [lang, NULL, NULL] END) AS text FROM {_RESULT_DOCS}
+""")
+def report_blocks(spark, sf_dir):
+    return blocks.result_blocks(_results(spark, sf_dir)).select("doc_id", "block", "kind", "text")
+
+
+@query(f"""
+SELECT doc_id, unnest([1, 1, 1, 2, 2, 2])::INT AS block, unnest([0, 1, 2, 0, 1, 2])::INT AS col, unnest(['Text', 'id', 'extra', 'text', 'Id', 'n']) AS id, unnest(['string', 'mixed', 'string', 'null', 'null', 'number']) AS type FROM {_RESULT_DOCS} WHERE NOT bare
+""")
+def report_table_columns(spark, sf_dir):
+    results = _results(spark, sf_dir)
+    return blocks.table_columns(blocks.table_cells(blocks.result_blocks(results)), _SCHEMA_OF(results)).select("doc_id", "block", "col", "id", "type")
+
+
+@query(f"""
+SELECT doc_id, unnest([1, 1, 1, 1, 2])::INT AS block, unnest([0, 0, 1, 1, 0])::INT AS "row", unnest(['Text', 'id', 'ID', 'extra', 'n']) AS key, unnest([text, doc_id::VARCHAR, doc_id::VARCHAR, source, n_chars::VARCHAR]) AS value FROM {_RESULT_DOCS} WHERE NOT bare
+""")
+def report_table_cells(spark, sf_dir):
+    return blocks.table_cells(blocks.result_blocks(_results(spark, sf_dir))).select("doc_id", "block", "row", "key", "value")
+
+
 # --- the token store as a stream ------------------------------------------------
 
 _CALLS = "(SELECT 'd' || (user_id % 10)::VARCHAR AS database, ts AS tm, event_id AS seq, 'b' || event_id::VARCHAR AS batch, CASE WHEN event_id % 3 = 0 THEN 'resolve' ELSE 'publish' END AS kind, 't' || (event_id * 7919 % 37)::VARCHAR AS token, event_type AS value FROM events WHERE ts IS NOT NULL)"

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import governance, ledger, masking, report
+from ..operators import blocks, governance, ledger, masking, report
 from ..streaming import state
 from .masking import _MANIFEST, token_sql
 from .registry import inline, query, table, values
@@ -147,15 +147,17 @@ def reason_first_occurrence(spark, sf_dir):
     return report.reason_index(_reasons(spark, sf_dir))
 
 
-_POINTERS = values("ptr", [("/a/b/c",), ("/a/b",), ("/a",), ("/x/y",), ("",)])
-_KNOWN = values("known, cell", [("/a", 1), ("/a/b", 2), ("/x", 3)])
-
-
-@query(f"SELECT ptr, arg_max(cell, length(known)) AS cell FROM {_POINTERS} JOIN {_KNOWN} ON ptr = known OR starts_with(ptr, known || '/') GROUP BY ptr")
+@query("""
+WITH p AS (SELECT o_orderkey AS doc_id, '/orders/' || (o_custkey % 5)::VARCHAR || '/' || (o_custkey % 3)::VARCHAR || '/x' AS ptr FROM orders),
+k AS (SELECT o_orderkey AS doc_id, unnest(['/orders', '/orders/1', '/orders/2/0', '/orders/3/1/x', '/ord', '/orders/10']) AS known, unnest(range(6)) AS cell FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT p.doc_id, p.ptr, max_by(cell, length(known)) AS cell FROM p LEFT JOIN k ON k.doc_id = p.doc_id AND (ptr = known OR starts_with(ptr, known || '/')) GROUP BY 1, 2
+""")
 def nearest_ancestor(spark, sf_dir):
-    p, k = inline(spark, _POINTERS), inline(spark, _KNOWN)
-    met = p.join(F.broadcast(k), (p["ptr"] == k["known"]) | p["ptr"].startswith(F.concat(k["known"], F.lit("/"))))
-    return met.groupBy("ptr").agg(F.max_by("cell", F.length("known")).alias("cell"))
+    o = table(spark, sf_dir, "orders")
+    pointers = o.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("/orders/"), F.col("o_custkey") % 5, F.lit("/"), F.col("o_custkey") % 3, F.lit("/x")).alias("ptr"))
+    known = ("/orders", "/orders/1", "/orders/2/0", "/orders/3/1/x", "/ord", "/orders/10")
+    entries = o.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("doc_id"), F.inline(F.array(*[F.struct(F.lit(k).alias("ptr"), F.lit(i).cast("long").alias("cell")) for i, k in enumerate(known)])))
+    return blocks.nearest(pointers, entries, "doc_id")
 
 
 _MASKED = f"CASE WHEN c_nationkey % 3 = 0 THEN {token_sql(chr(39) + 'NAME' + chr(39), 'c_name')} ELSE c_name END"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.json import canonical_json
 from ..functions.setup import SCHEMA
 from ..functions.text import REMOVED
-from . import governance, mapping, masking
+from . import governance, mapping, masking, rulediff
 from .cascade import Policy
 from .cascade import cascade as through
 from .ledger import retry_delay
@@ -39,17 +39,10 @@ def compute_diff(before: dict[str, DataFrame], after: dict[str, DataFrame], mani
 
     Versions have rules (RULE), sources (source_path, allowed) and tools
     (tool, mode). Areas come in the order rules, dictionary, tools, warnings;
-    in an area weakenings come first, then subjects in order. A removed rule
-    that a remaining one covers is absorbed, which weakens nothing.
+    in an area weakenings come first, then subjects in order. Rules are told
+    apart, paired and absorbed by rulediff.rule_changes().
     """
-    subject = lambda: F.concat_ws(":", "selector", "pattern")
-    diff = governance.rule_diff(before["rules"], after["rules"])
-    gone = before["rules"].join(after["rules"].select("selector", "pattern"), ["selector", "pattern"], "left_anti").where("selector <> 'regex'")
-    covered = governance.absorbed(gone, after["rules"].where("selector <> 'regex'")).where("by is not null").withColumnRenamed("by", "__by")
-    rules = diff.join(covered, ["selector", "pattern"], "left").select(
-        F.lit(1).alias("n"), F.lit("rules").alias("area"), subject().alias("subject"), F.when((F.col("change") == "removed") & F.col("__by").isNotNull(), "absorbed").otherwise(F.col("change")).alias("change"),
-        F.when((F.col("change") == "removed") & F.col("__by").isNotNull(), "neutral").otherwise(F.col("class")).alias("class"),
-    )
+    rules = rulediff.rule_changes(before["rules"], after["rules"]).select(F.lit(1).alias("n"), F.lit("rules").alias("area"), F.concat_ws(":", "selector", "subject").alias("subject"), F.col("kind").alias("change"), "class")
     sources = governance.source_diff(before["sources"], after["sources"]).select(F.lit(2).alias("n"), F.lit("dictionary").alias("area"), F.col("source_path").alias("subject"), "change", "class")
     tools = governance.tool_diff(before["tools"], after["tools"]).select(F.lit(3).alias("n"), F.lit("tools").alias("area"), F.col("tool").alias("subject"), F.concat_ws(">", "before", "after").alias("change"), "class")
     notes = governance.warnings(after["rules"], after["sources"].select("source_path"), after["tools"], manifest, known_tools).select(F.lit(4).alias("n"), F.lit("warnings").alias("area"), "subject", F.col("code").alias("change"), F.lit("warning").alias("class"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import action_rank, covers, wildcard_match
+from ..functions.text import action_rank
+from . import patterns
 
 
 def strongest(fields: DataFrame, rules: DataFrame) -> DataFrame:
@@ -17,8 +18,8 @@ def strongest(fields: DataFrame, rules: DataFrame) -> DataFrame:
     priority over position, and of full ties the last rule. Wildcards are
     matched once per distinct field value, never per cell.
     """
-    r = rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
-    met = fields.join(r, (F.col("selector") == F.col("r_selector")) & wildcard_match(F.col("r_pattern"), F.col("value")))
+    r = rules.select("selector", "pattern", *[F.col(c).alias(f"r_{c}") for c in ("pos", "action", "category", "priority")])
+    met = patterns.matches(r, fields, "selector").withColumn("r_pattern", F.col("pattern"))
     order = [action_rank(F.col("r_action")).desc(), F.col("r_priority").desc(), F.col("r_pos").desc()]
     w = Window.partitionBy("field", "selector").orderBy(*order)
     return met.withColumn("n", F.row_number().over(w)).where("n = 1").select("field", "selector", *[F.col(f"r_{c}").alias(c) for c in ("pos", "pattern", "action", "category")])
@@ -50,13 +51,14 @@ def evidence(columns: DataFrame, lineage: DataFrame) -> DataFrame:
     return out.select("field", F.sort_array("p").alias("source_paths"), F.sort_array("t").alias("field_types"), "secret_cut", "unverified")
 
 
-def covering(patterns: DataFrame) -> DataFrame:
-    """Ordered pairs of different patterns of which the first covers the
-    second; patterns: (pattern)."""
-    a, b = patterns.select(F.col("pattern").alias("wide")), patterns.select(F.col("pattern").alias("narrow"))
-    return a.join(b, (F.col("wide") != F.col("narrow")) & covers(F.col("wide"), F.col("narrow")))
+def covering(known: DataFrame) -> DataFrame:
+    """Ordered pairs (wide, narrow) of different patterns (pattern) of which
+    the first covers the second."""
+    return patterns.coverings(known.select("pattern"), known.select(F.col("pattern").alias("narrow"))).select(F.col("pattern").alias("wide"), "narrow")
 
 
 def missing_paths(rules: DataFrame, manifest: DataFrame) -> DataFrame:
     """Source-path rules that no manifest path matches."""
-    return rules.where("selector = 'source_path'").join(manifest, wildcard_match(rules["pattern"], manifest["source_path"]), "left_anti")
+    own = rules.where("selector = 'source_path'")
+    found = patterns.matches(own.select("pattern").distinct(), manifest.select(F.col("source_path").alias("value")).distinct()).select("pattern").distinct()
+    return own.join(found, "pattern", "left_anti").select(*rules.columns)

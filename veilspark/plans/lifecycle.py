@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..functions import text as X
-from ..operators import dictionary, ledger, lifecycle, mapping, masking, policy, report, result
+from ..operators import dictionary, ledger, lifecycle, mapping, masking, policy, report, result, rulediff
 from ..operators.cascade import Policy
 from ..sources import pages
 from .masking import replace_sql, token_sql
@@ -207,17 +207,65 @@ _MANIFEST = values("source_path", [("Catalog.A",), ("Catalog.B",)])
 _TOOLS_SEEN = values("tool", [("query",), ("ping",)])
 
 
-@query("""
-SELECT place, area, subject, change, class, CASE WHEN area = 'warnings' THEN 'w_' || substr(sha256(change || chr(31) || subject), 1, 16) ELSE 'c_' || substr(sha256(area || chr(31) || subject || chr(31) || change), 1, 16) END AS id FROM (VALUES
- (1, 'rules', 'name:a', 'action', 'weakening'), (2, 'rules', 'regex:[0-9]+', 'added', 'weakening'), (3, 'rules', 'type:t', 'removed', 'weakening'), (4, 'rules', 'name:*cd*', 'priority', 'neutral'), (5, 'rules', 'name:b', 'action', 'strengthening'),
- (6, 'rules', 'name:e', 'added', 'strengthening'), (7, 'rules', 'name:xcdx', 'absorbed', 'neutral'), (8, 'dictionary', 'Catalog.B', 'narrowed', 'weakening'), (9, 'dictionary', 'Catalog.A', 'widened', 'strengthening'),
- (10, 'tools', 'new', 'deny-pending-review>data-mask', 'weakening'), (11, 'tools', 'query', 'data-mask>no-mask', 'weakening'), (12, 'warnings', 'Catalog.C', 'PATH_NOT_IN_MANIFEST', 'warning'), (13, 'warnings', '[0-9]+', 'REGEX_KEEP_NO_EFFECT', 'warning'), (14, 'warnings', 'new', 'TOOL_NOT_SEEN', 'warning')
-) AS v(place, area, subject, change, class)
+#: What happens to a rule of each part: its patterns and actions before and after (null: none), and what is said about it.
+_STORIES = [
+    ("p{}q", None, "keep", "KEEP_ADDED", "weakening"), ("p{}q", None, "mask", "MASK_ADDED", "strengthening"), ("p{}q", None, "secret", "SECRET_ADDED", "strengthening"), ("p{}q", "mask", None, "MASK_REMOVED", "weakening"), ("p{}q", "secret", None, "SECRET_REMOVED", "weakening"),
+    ("p{}q", "secret", "mask", "SECRET_TO_MASK", "weakening"), ("p{}q", "mask", "keep", "MASK_TO_KEEP", "weakening"), ("p{}q", "secret", "keep", "SECRET_TO_KEEP", "weakening"), ("p{}q", "mask", "secret", "MASK_TO_SECRET", "strengthening"), ("p{}q", "keep", None, "KEEP_REMOVED", "strengthening"),
+    ("p{}q", "keep", "mask", "KEEP_TO_MASK", "strengthening"), ("p{}q", "keep", "secret", "KEEP_TO_SECRET", "strengthening"),
+]
+
+
+def _versions(spark, sf_dir):
+    """Two versions of rules, sources and tools made of the parts."""
+    k = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select(k)
+    name = lambda before, after: F.concat(F.lit(before), k, F.lit(after))
+    rule = lambda p, action, s="name", c="C", pr=1: F.struct(F.lit(s).alias("selector"), p.alias("pattern"), F.lit(action).alias("action"), F.lit(c).alias("category"), F.lit(pr).alias("priority"))
+    none = F.expr("cast(array() as array<struct<selector:string,pattern:string,action:string,category:string,priority:int>>)")
+    exact, part_, inner = name("p", "q"), name("*p", "q*"), name("xp", "q")
+    stories = [(F.array(rule(exact, b)) if b else none, F.array(rule(exact, a)) if a else none) for _, b, a, _, _ in _STORIES] + [
+        (F.array(rule(exact, "mask")), F.array(rule(part_, "mask"))), (F.array(rule(part_, "keep")), F.array(rule(exact, "keep"))), (F.array(rule(inner, "mask"), rule(part_, "mask")), F.array(rule(part_, "mask"))),
+        (F.array(rule(name("p", "[0-9]"), "mask", "regex")), none), (F.array(rule(exact, "mask")), F.array(rule(exact, "mask", c="D"))), (F.array(rule(exact, "mask")), F.array(rule(exact, "mask", pr=2))),
+        (none, F.array(rule(name("p", "[0-9]"), "keep", "regex"))), (F.array(rule(part_, "keep")), F.array(rule(part_, "keep"), rule(inner, "keep"))),
+    ]
+    pick = lambda i: F.get(F.array(*[s[i] for s in stories]), (k % 20).cast("int"))
+    path, allowed = name("Catalog.P", ""), lambda i, x: F.when(k % 5 == i, F.array(F.lit(x)))
+    sources = part.where("p_partkey % 5 <> 0").select(path.alias("source_path"), allowed(2, "x").alias("allowed")), part.where("p_partkey % 5 <> 1").select(path.alias("source_path"), allowed(3, "y").alias("allowed"))
+    tool = name("t", "").alias("tool")
+    tools = part.where("p_partkey % 7 = 1").select(tool, F.lit("data-mask").alias("mode")), part.where("p_partkey % 7 in (1, 2)").select(tool, F.when(k % 7 == 1, "no-mask").otherwise("data-mask").alias("mode"))
+    versions = [{"rules": part.select(F.inline(pick(i))), "sources": sources[i], "tools": tools[i]} for i in (0, 1)]
+    return *versions, part.where("p_partkey % 3 <> 0").select(path.alias("source_path")), part.where("p_partkey % 7 = 1").select(tool)
+
+
+_STORY = " ".join(f"WHEN {i} THEN {{}}" for i in range(20))
+_KIND = _STORY.format(*[f"'{s[3]}'" for s in _STORIES], "'PATTERN_WIDENED'", "'KEEP_NARROWED'", "'PATTERN_REPLACED'", "'REGEX_REMOVED'", "'CATEGORY_CHANGED'", "'PRIORITY_CHANGED'", "'REGEX_KEEP'", "'PATTERN_REPLACED'")
+_CLASS = _STORY.format(*[f"'{s[4]}'" for s in _STORIES], "'strengthening'", "'strengthening'", "'neutral'", "'weakening'", "'neutral'", "'neutral'", "'neutral'", "'neutral'")
+_CHANGES = f"""
+SELECT 1 AS n, 'rules' AS area, CASE WHEN p_partkey % 20 IN (15, 18) THEN 'regex:p' || p_partkey::VARCHAR || '[0-9]' WHEN p_partkey % 20 IN (12, 14, 19) THEN 'name:*p' || p_partkey::VARCHAR || 'q*' ELSE 'name:p' || p_partkey::VARCHAR || 'q' END AS subject,
+ CASE p_partkey % 20 {_KIND} END AS change, CASE p_partkey % 20 {_CLASS} END AS class FROM part"""
+
+
+@query(f"""
+WITH c AS ({_CHANGES}
+UNION ALL SELECT 2, 'dictionary', 'Catalog.P' || p_partkey::VARCHAR, CASE p_partkey % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'widened' ELSE 'narrowed' END, CASE WHEN p_partkey % 5 IN (0, 2) THEN 'strengthening' ELSE 'weakening' END FROM part WHERE p_partkey % 5 < 4
+UNION ALL SELECT 3, 'tools', 't' || p_partkey::VARCHAR, CASE p_partkey % 7 WHEN 1 THEN 'data-mask>no-mask' ELSE 'deny-pending-review>data-mask' END, 'weakening' FROM part WHERE p_partkey % 7 IN (1, 2)
+UNION ALL SELECT 4, 'warnings', 'Catalog.P' || p_partkey::VARCHAR, 'PATH_NOT_IN_MANIFEST', 'warning' FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 <> 1
+UNION ALL SELECT 4, 'warnings', 't' || p_partkey::VARCHAR, 'TOOL_NOT_SEEN', 'warning' FROM part WHERE p_partkey % 7 = 2
+UNION ALL SELECT 4, 'warnings', 'p' || p_partkey::VARCHAR || 'q', 'SECRET_ACTIVATION_BLOCKED', 'warning' FROM part WHERE p_partkey % 20 IN (2, 8, 11)
+UNION ALL SELECT 4, 'warnings', 'p' || p_partkey::VARCHAR || '[0-9]', 'REGEX_KEEP_NO_EFFECT', 'warning' FROM part WHERE p_partkey % 20 = 18
+UNION ALL SELECT 4, 'warnings', count(*)::VARCHAR, 'DICTIONARY_LIMIT', 'warning' FROM part WHERE p_partkey % 5 <> 1 HAVING count(*) > 100)
+SELECT (row_number() OVER (ORDER BY n, CASE class WHEN 'weakening' THEN 0 ELSE 1 END, subject, change))::INT AS place, area, subject, change, class,
+ CASE WHEN area = 'warnings' THEN 'w_' || substr(sha256(change || chr(31) || subject), 1, 16) ELSE 'c_' || substr(sha256(area || chr(31) || subject || chr(31) || change), 1, 16) END AS id FROM c
 """)
 def compute_diff(spark, sf_dir):
-    one, two = ({"rules": inline(spark, r), "sources": inline(spark, s), "tools": inline(spark, t)} for r, s, t in ((_V1, _S1, _T1), (_V2, _S2, _T2)))
-    out = lifecycle.compute_diff(one, two, inline(spark, _MANIFEST), inline(spark, _TOOLS_SEEN))
-    return out.select("place", "area", "subject", "change", "class", "id")
+    """Two versions in which every part's rule has a story of its own."""
+    return lifecycle.compute_diff(*_versions(spark, sf_dir)).select("place", "area", "subject", "change", "class", "id")
+
+
+@query(f"SELECT subject, change, class FROM ({_CHANGES})")
+def rule_changes(spark, sf_dir):
+    before, after, _, _ = _versions(spark, sf_dir)
+    return rulediff.rule_changes(before["rules"], after["rules"]).select(F.concat_ws(":", "selector", "subject").alias("subject"), F.col("kind").alias("change"), "class")
 
 
 @query("SELECT * FROM (VALUES ('Catalog.A', 'widened', 'strengthening'), ('Catalog.B', 'narrowed', 'weakening')) AS v(source_path, change, class)")

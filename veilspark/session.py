@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _sent: set[str] = set()
@@ -29,3 +30,23 @@ def with_package(spark: SparkSession) -> SparkSession:
         context.addPyFile(packed())
         _sent.add(context.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; a local one
+    is used only where it is unset and the master is this machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+        at = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: steps of a loop
+    start from a table, not from all steps before."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import mask_token
+from ..session import shared_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,18 +14,6 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a local one
-    is used only where it is unset and the master is this machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
-        at = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a bounded stream gives, as a table of Parquet files.
 

@@ -21,11 +21,29 @@ RULE = ("selector", "pattern", "action", "category", "priority")
 # --- content of a version -----------------------------------------------------
 
 
+def digest_of(rows: DataFrame, name: str = "content_hash") -> DataFrame:
+    """One row, ``name``: a digest of all rows of a table, repeated ones
+    included, that doesn't depend on their order; of no rows that of nothing.
+
+    A tree of two levels: digests of rows are put in order and hashed within
+    each of 4096 ranges, and the ranges' digests again, so no task holds more
+    than a range's digests and equal hashes mean equal rows.
+    """
+    each = rows.select(F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(c) for c in sorted(rows.columns)])), 256).alias("d"))
+    ranges = each.groupBy(F.substring("d", 1, 3).alias("r")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), ""), 256).alias("d"))
+    return ranges.agg(F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "d"))), lambda x: x["d"]), ""), 256)).alias(name))
+
+
 def rules_hash(rules: DataFrame) -> DataFrame:
-    """One row, content_hash: a digest of all rules that doesn't depend on
-    their order, over a digest of each, so rows are never gathered."""
-    each = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in RULE]), 256), 1, 15), 16, 10).cast("long")
-    return rules.agg(F.concat(F.lit("sha256:"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.coalesce(F.bit_xor(each), F.lit(0)).cast("string")), 256)).alias("content_hash"))
+    """One row, content_hash, of rules (RULE)."""
+    return digest_of(rules.select(*RULE))
+
+
+def content_hash(version: dict[str, DataFrame]) -> DataFrame:
+    """One row, content_hash, of all that a version has: rules, sources, tools
+    and whatever else, by name."""
+    parts = [digest_of(df, "d").select(F.lit(name).alias("part"), "d") for name, df in sorted(version.items())]
+    return digest_of(reduce(DataFrame.union, parts))
 
 
 def change_id(prefix: str, *parts: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import blocks, cascade, lifecycle, masking, policy
-from ..streaming import state
+from ..streaming import ingest, state
 from ..streaming.store import token_calls
 from .masking import CARD, EMAIL, replace_sql, token_sql
 from .registry import inline, query, table, values
@@ -205,3 +205,31 @@ def streaming_token_eviction(spark, sf_dir):
     were published since, which is what least recently used means."""
     rows = state.drained(token_calls(_calls(spark, sf_dir, "kind = 'publish'"), 8, 864_000), "token_eviction").where("status <> 'evicted'")
     return rows.select("database", "seq", F.when(F.col("status") == "replaced", "new").otherwise(F.col("status")).alias("status"))
+
+
+# --- ingestion --------------------------------------------------------------------
+
+
+def _ingested(spark, sf_dir):
+    e = state.event_stream(spark, sf_dir)
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    calls = e.select(text("c", F.col("event_id") % 700).alias("call_id"), text("d", F.col("user_id") % 3).alias("database"), F.col("event_type").alias("tool"), text("x", F.col("event_id") % 2).alias("code"), F.when(F.col("event_id") % 3 == 0, "finalize").otherwise("terminal").alias("kind"), F.col("event_id").alias("seq"))
+    job = ingest.Ingestion(spark, ingest.TABLES)
+    job.run(calls)
+    return job
+
+
+_INGEST = "(SELECT 'c' || (event_id % 700)::VARCHAR AS call_id, 'd' || (user_id % 3)::VARCHAR AS database, event_type AS tool, 'x' || (event_id % 2)::VARCHAR AS code, CASE WHEN event_id % 3 = 0 THEN 'finalize' ELSE 'terminal' END AS kind, event_id AS seq FROM events)"
+
+
+@query(f"SELECT call_id, database, tool, seq FROM {_INGEST} WHERE kind = 'finalize' QUALIFY row_number() OVER (PARTITION BY call_id ORDER BY seq) = 1")
+def streaming_ingested_history(spark, sf_dir):
+    return _ingested(spark, sf_dir).read("history")
+
+
+@query(f"""
+WITH t AS (SELECT *, first_value(seq) OVER w AS s, first_value(tool) OVER w AS t, first_value(code) OVER w AS c FROM {_INGEST} WHERE kind = 'terminal' WINDOW w AS (PARTITION BY call_id ORDER BY seq))
+SELECT call_id, tool, code, seq, CASE WHEN s = seq THEN 'inserted' WHEN t = tool AND c = code THEN 'existing' ELSE 'conflict' END AS status FROM t
+""")
+def streaming_ingested_terminals(spark, sf_dir):
+    return _ingested(spark, sf_dir).read("terminals")

@@ -49,9 +49,9 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 PLAIN = frozenset("script style textarea title iframe xmp noembed noframes".split())
 MATH = frozenset("math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split())
 INLINE = MATH | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark meter object output q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("nav header footer aside form menu button dialog head".split())
-#: Controls as a rule, but text may stand in them.
-DOUBTFUL = frozenset("fieldset".split())
+DROPPED = frozenset("nav header footer aside menu button dialog head".split())
+#: Controls as a rule, but text may stand in them: some pages are one form.
+DOUBTFUL = frozenset("fieldset form".split())
 MAIN = frozenset("article main".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -61,6 +61,8 @@ CUES = frozenset(
     "header masthead topbar footer sidebar side aside widget widgets cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist reply replies respond "
     "disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search form pagination pager toolbar skip hidden paywall".split()
 )
+#: Of these, what an id alone says of a section in an article; other ids there are anchors of chapters.
+READERS = frozenset("comment comments commentlist respond disqus".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body div section article main aside nav header footer form table td th ul ol dl blockquote figure fieldset dialog button details".split())
 
@@ -79,9 +81,11 @@ def _cue(token: str) -> bool:
     return bool(words) and ("".join(words) in CUES or all(w in CUES for w in words))
 
 
-def _style(name: str, raw: str) -> tuple[str, bool, bool]:
+def _style(name: str, raw: str, article: bool) -> tuple[str, bool, bool]:
     """Style label of an element, whether its attributes rule it out, and
-    whether its class or id does."""
+    whether its class or id does. An id of a heading, paragraph, list item or
+    cell is an anchor and says nothing, nor does most of a section's in an
+    ``article``."""
     if not raw.strip() or "=" not in raw and "hidden" not in raw:
         return name, False, False
     label, out, cued = [name], False, False
@@ -90,7 +94,8 @@ def _style(name: str, raw: str) -> tuple[str, bool, bool]:
         if k in ("class", "id"):
             v = html.unescape(v)
             label += [w.lower() for w in _WORD.findall(_CAMEL.sub(" ", v))]
-            cued |= name not in ("html", "body", "main") and any(map(_cue, v.split()))
+            anchor = k == "id" and (name in TEXTUAL or name == "section" and article and v.strip().lower() not in READERS)
+            cued |= name not in ("html", "body", "main") and not anchor and any(map(_cue, v.split()))
         elif k == "role":
             out |= v.lower() in ROLES
         elif k == "aria-hidden" or bare:
@@ -134,21 +139,27 @@ def blocks(page: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
 
     What elements and roles rule out, and what isn't shown, is left out. Class
     words never say anything about an article or main, nor about what holds
-    one; but in an article they do, as articles there are comments.
+    one; but in an article they do, as articles there are comments. Forms are
+    like class words, and where all of a page without article stands in forms
+    they say nothing.
     """
     page = page or ""
-    found, runs, holders = _parse(page, frozenset())
+    found, runs, holders, forms = _parse(page, frozenset())
+    if forms and all(x.named and not x.inside for x in found):
+        holders |= forms
     return _parse(page, holders)[:2] if holders else (found, runs)
 
 
-def _parse(page: str, spared: frozenset[int]) -> tuple[list[Block], list[tuple[str, str]], frozenset[int]]:
-    """blocks() where class words don't count for the tags at ``spared``, and
-    the tags that they rule out though they hold an article or main."""
+def _parse(page: str, spared: frozenset[int]) -> tuple[list[Block], list[tuple[str, str]], frozenset[int], frozenset[int]]:
+    """blocks() where class words don't count for the tags at ``spared``, the
+    tags that they rule out though they hold an article or main, and those of
+    forms."""
     found: list[Block] = []
     runs: list[tuple[str, str]] = []
     stack = [_Open("", "", 0, False, False, [], -1, False, True)]
     parts: list[str] = []
     holders: set[int] = set()
+    forms: set[int] = set()
     open_ended: set[str] = set()
 
     def flush() -> None:
@@ -209,9 +220,11 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[list[Block], list[tuple[s
                     flush()
             continue
         top = stack[-1]
-        label, gone, cued = _style(name, m["attrs"])
+        label, gone, cued = _style(name, m["attrs"], top.inside)
         cued = (cued and not (name == "article" and not top.article) or name in DOUBTFUL) and m.start() not in spared
         tag = m.start() if cued and not top.article else -1
+        if name == "form":
+            forms.add(m.start())
         if name in MAIN and not top.article:
             holders.update(x.tag for x in stack if x.tag >= 0)
         if name in INLINE and not cued:
@@ -238,7 +251,7 @@ def _parse(page: str, spared: frozenset[int]) -> tuple[list[Block], list[tuple[s
         stack.append(_Open(name, f"{top.path}/{label}", 2 if gone else max(top.out, int(cued)), top.inside or name in MAIN, name in TEXTUAL, [], tag, top.article or name == "article", True))
     flush()
     pop(1)
-    return found, runs, frozenset(holders)
+    return found, runs, frozenset(holders), frozenset(forms)
 
 
 def priors(found: list[Block]) -> list[float]:

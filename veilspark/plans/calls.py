@@ -9,9 +9,9 @@ from ..functions import text as X
 from ..operators import governance, ledger, mapping, report
 from ..sources import pages
 from .masking import token_sql
-from .registry import inline, query, table, values
+from .registry import inline, over, query, table, values
 
-_BODIES = values("id, body", [(1, '{"structured_content":{"success":true,"a":1},"content":[{"type":"text","text":"{}"}]}'), (2, '{"content":[{"type":"text","text":"{^"success^":false}"}]}'), (3, '{"success":true}'), (4, '{"content":[{"type":"json","json":{"success":true}}]}'), (5, "{bad")])
+_BODIES = over("orders", "o_orderkey", "id, body", [(1, '{"structured_content":{"success":true,"a":1},"content":[{"type":"text","text":"{}"}]}'), (2, '{"content":[{"type":"text","text":"{^"success^":false}"}]}'), (3, '{"success":true}'), (4, '{"content":[{"type":"json","json":{"success":true}}]}'), (5, "{bad")], id="o_orderkey")
 #: A circumflex stands for the backslash, which the engines' literals read differently.
 _ENVELOPES = f"(SELECT id, replace(body, '^', chr(92)) AS body FROM {_BODIES})"
 
@@ -22,7 +22,7 @@ SELECT id, CASE WHEN json_valid(body) THEN coalesce(json_extract_string(body, '$
 def envelope_unwrap(spark, sf_dir):
     get = lambda p: F.get_json_object("body", p)
     inner = F.get_json_object(get("$.content[0].text"), "$.success")
-    return inline(spark, _ENVELOPES).select("id", F.coalesce(get("$.structured_content.success"), get("$.content[0].json.success"), inner, get("$.success")).alias("success"))
+    return inline(spark, _ENVELOPES, sf_dir).select("id", F.coalesce(get("$.structured_content.success"), get("$.content[0].json.success"), inner, get("$.success")).alias("success"))
 
 
 _PAGES = values("selector, page, success, next_cursor, final_chunk", [("*", 1, True, "c1", False), ("*", 2, True, None, True), ("a", 1, True, "c", True), ("b", 1, True, None, False), ("c", 1, False, None, True)])
@@ -33,20 +33,20 @@ def feed_page_protocol(spark, sf_dir):
     return pages.complete_pulls(inline(spark, _PAGES))
 
 
-_CODES = values("scope, code", [(s, c) for s in ("verified", "unverified") for c in ("ACTION_REQUIRED", "SERVICE_NOT_READY", "DATABASE_IDENTITY_UNVERIFIED", "OTHER", "MASKING_FAILED")])
+_CODES = over("orders", "o_orderkey", "scope, code", [(s, c) for s in ("verified", "unverified") for c in ("ACTION_REQUIRED", "SERVICE_NOT_READY", "DATABASE_IDENTITY_UNVERIFIED", "OTHER", "MASKING_FAILED")])
 
 
 @query(f"SELECT scope, code, CASE scope WHEN 'verified' THEN code IN {ledger.VERIFIED} ELSE code IN {ledger.UNVERIFIED} END AS allowed FROM {_CODES}")
 def terminal_codes(spark, sf_dir):
-    return inline(spark, _CODES).select("scope", "code", ledger.code_allowed(F.col("scope"), F.col("code")).alias("allowed"))
+    return inline(spark, _CODES, sf_dir).select("scope", "code", ledger.code_allowed(F.col("scope"), F.col("code")).alias("allowed"))
 
 
-_RAW = values("raw", [("Client name",), ("имя",), ("",), ("a" * 40,), ("x-1_y",)])
+_RAW = over("customer", "c_custkey", "raw", [("Client name",), ("имя",), ("",), ("a" * 40,), ("x-1_y",)], raw="v.raw || c_mktsegment")
 
 
 @query(f"SELECT raw, coalesce(nullif(left(upper(regexp_replace(raw, '[^A-Za-z0-9_]', '', 'g')), 32), ''), 'DATA') AS category FROM {_RAW}")
 def category_names(spark, sf_dir):
-    return inline(spark, _RAW).select("raw", X.category(F.col("raw")).alias("category"))
+    return inline(spark, _RAW, sf_dir).select("raw", X.category(F.col("raw")).alias("category"))
 
 
 @query("SELECT event_id, '/' || replace(replace(event_type || '~/' || user_id::VARCHAR, '~', '~0'), '/', '~1') AS ptr FROM events")
@@ -54,13 +54,13 @@ def pointer_escape(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("/"), X.pointer_escape(F.concat("event_type", F.lit("~/"), F.col("user_id").cast("string")))).alias("ptr"))
 
 
-_IDS = values("id", [("ras:1",), ("gen:2",), ("other",), ("550e8400-e29b-41d4-a716-446655440000",), ("",)])
+_IDS = over("customer", "c_custkey", "id", [("ras:1",), ("gen:2",), ("other",), ("550e8400-e29b-41d4-a716-446655440000",), ("",)])
 
 
 @query(f"SELECT id, CASE WHEN starts_with(id, 'ras:') THEN 'ras' WHEN starts_with(id, 'gen:') THEN 'generated' END AS source, regexp_full_match(id, '[A-Za-z0-9_.:-]{{1,128}}') AS valid, regexp_full_match(id, '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}') AS is_uuid FROM {_IDS}")
 def identifier_checks(spark, sf_dir):
     c = F.col("id")
-    return inline(spark, _IDS).select("id", F.when(c.startswith("ras:"), "ras").when(c.startswith("gen:"), "generated").alias("source"), c.rlike(r"^[A-Za-z0-9_.:-]{1,128}$").alias("valid"), c.rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$").alias("is_uuid"))
+    return inline(spark, _IDS, sf_dir).select("id", F.when(c.startswith("ras:"), "ras").when(c.startswith("gen:"), "generated").alias("source"), c.rlike(r"^[A-Za-z0-9_.:-]{1,128}$").alias("valid"), c.rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$").alias("is_uuid"))
 
 
 @query("SELECT c_nationkey, count(*) AS n, CASE WHEN count(*) * 1000 >= 1000000 THEN '~' || round(count(*) / 1000.0, 1)::DOUBLE::VARCHAR || ' mln' WHEN count(*) * 1000 >= 1000 THEN '~' || count(*)::VARCHAR || ' k' ELSE '~0' END AS label FROM customer GROUP BY 1")
@@ -119,7 +119,7 @@ def report_column_order(spark, sf_dir):
     return report.report_columns(inline(spark, _SCHEMA), inline(spark, _ROWKEYS))
 
 
-_CELLTYPES = values("id, sourceless, cell", [(1, "count", "5"), (2, "count", '"5"'), (3, "literal", '"x"'), (4, "literal", "[1]"), (5, "value", '{"_objectRef":true,"presentation":"A"}'), (6, "literal", '{"_objectRef":true}'), (7, "composite", '{"a":1}'), (8, "parameter", "null")])
+_CELLTYPES = over("orders", "o_orderkey", "id, sourceless, cell", [(1, "count", "5"), (2, "count", '"5"'), (3, "literal", '"x"'), (4, "literal", "[1]"), (5, "value", '{"_objectRef":true,"presentation":"A"}'), (6, "literal", '{"_objectRef":true}'), (7, "composite", '{"a":1}'), (8, "parameter", "null")], id="o_orderkey")
 
 
 @query(f"""
@@ -130,7 +130,7 @@ def sourceless_cells(spark, sf_dir):
     container = first.isin("[", "{")
     ref = F.coalesce(F.get_json_object("cell", "$._objectRef") == "true", F.lit(False))
     ok = F.when(F.col("sourceless") == "count", F.col("cell").rlike(r"^-?\d")).otherwise(~container | (F.col("sourceless").isin("value", "composite") & ref))
-    return inline(spark, _CELLTYPES).select("id", ok.alias("ok"))
+    return inline(spark, _CELLTYPES, sf_dir).select("id", ok.alias("ok"))
 
 
 @query(f"SELECT event_id, {token_sql(chr(39) + 'UNVERIFIED_NUMBER' + chr(39), 'event_id::VARCHAR')} AS token FROM events")

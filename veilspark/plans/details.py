@@ -8,7 +8,7 @@ from ..functions import sql as names
 from ..functions import text as X
 from ..operators import access, dictionary, governance, lineage, masking, report
 from .masking import replace_sql
-from .registry import inline, query, table, values
+from .registry import inline, over, query, table, values
 
 
 def _events(spark, sf_dir):
@@ -84,12 +84,12 @@ def secret_sources(spark, sf_dir):
     return access.secret_sources(inline(spark, _CUTS), inline(spark, _ITEMS))
 
 
-_PATHS = values("path, person", [("Catalog.Person.Full_Name", True), ("Catalog.Person_Name.Age", False), ("Catalog.X.ФИО", True), ("Справочник.Сотрудники.Контрагент", True), ("a", False), ("fio", False)])
+_PATHS = over("customer", "c_custkey", "path, person", [("Catalog.Person.Full_Name", True), ("Catalog.Person_Name.Age", False), ("Catalog.X.ФИО", True), ("Справочник.Сотрудники.Контрагент", True), ("a", False), ("fio", False)], path="'Catalog.' || c_mktsegment || '.' || v.path")
 
 
 @query(f"SELECT path, person FROM {_PATHS}")
 def person_sources(spark, sf_dir):
-    return inline(spark, _PATHS).select("path", access.person_source(F.col("path")).alias("person"))
+    return inline(spark, _PATHS, sf_dir).select("path", access.person_source(F.col("path")).alias("person"))
 
 
 _ALLOW = values("selector, pattern, action", [("source_path", "*#1*", "mask"), ("source_path", "*#2*", "keep"), ("name", "*", "mask")])
@@ -169,7 +169,7 @@ def mask_detail_capped(spark, sf_dir):
     return access.capped_detail(d, 15)
 
 
-_IDS = values("id, raw, uuid", [
+_IDS = over("customer", "c_custkey", "id, raw, uuid", [
     (1, "2B1F0A52-94A4-4C55-9F0E-0D3C1F9C1A11", "2b1f0a52-94a4-4c55-9f0e-0d3c1f9c1a11"), (2, "2b1f0a5294a44c559f0e0d3c1f9c1a11", "2b1f0a52-94a4-4c55-9f0e-0d3c1f9c1a11"),
     (3, "{2b1f0a52-94a4-4c55-9f0e-0d3c1f9c1a11}", "2b1f0a52-94a4-4c55-9f0e-0d3c1f9c1a11"), (4, "2b1f0a5294a4", None), (5, None, None), (6, "urn:uuid:2b1f0a52-94a4-4c55-9f0e-0d3c1f9c1a11", "2b1f0a52-94a4-4c55-9f0e-0d3c1f9c1a11"), (7, "zb1f0a52-94a4-4c55-9f0e-0d3c1f9c1a11", None),
 ])
@@ -177,7 +177,7 @@ _IDS = values("id, raw, uuid", [
 
 @query(f"SELECT id, uuid FROM {_IDS}")
 def uuid_texts(spark, sf_dir):
-    return inline(spark, _IDS).select("id", access.uuid_text(F.col("raw")).alias("uuid"))
+    return inline(spark, _IDS, sf_dir).select("id", access.uuid_text(F.col("raw")).alias("uuid"))
 
 
 @query("""

@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import blocks, governance, ledger, masking, report
 from ..streaming import state
 from .masking import _MANIFEST, token_sql
-from .registry import inline, query, table, values
+from .registry import inline, over, query, table, values
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) = 1")
@@ -105,12 +105,12 @@ def startup_intents_anti(spark, sf_dir):
 
 @query(f"SELECT split_part(r, '.', 1) AS segment, count(*) AS fields, sum(password_mode::INT)::BIGINT AS passwords, bool_or(contains(r, '.')) AS deeper FROM (SELECT substr(source_path, 9) AS r, password_mode FROM {_MANIFEST} WHERE starts_with(source_path, 'Catalog.')) GROUP BY 1")
 def metadata_tree_rollup(spark, sf_dir):
-    return report.tree_level(inline(spark, _MANIFEST), "Catalog.")
+    return report.tree_level(inline(spark, _MANIFEST, sf_dir), "Catalog.")
 
 
 @query(f"SELECT source_path, field_name FROM {_MANIFEST} WHERE contains(lower(source_path), 'person') OR contains(lower(field_name), 'person') ORDER BY 1 LIMIT 201")
 def metadata_search(spark, sf_dir):
-    m = inline(spark, _MANIFEST).select("source_path", "field_name")
+    m = inline(spark, _MANIFEST, sf_dir).select("source_path", "field_name")
     return m.where(report.contains_text(["source_path", "field_name"], "person")).orderBy("source_path").limit(201)
 
 
@@ -181,8 +181,8 @@ def dry_run_timing(spark, sf_dir):
     return report.timing(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 50)
 
 
-_BEFORE = values("selector, pattern, action, category, priority", [("name", "a", "mask", "A", 1), ("name", "b", "keep", "B", 1), ("name", "c", "mask", "C", 1), ("name", "d", "mask", "D", 1), ("type", "e", "secret", "E", 1), ("name", "f", "mask", "F", 1)])
-_AFTER = values("selector, pattern, action, category, priority", [("name", "a", "keep", "A", 1), ("name", "b", "mask", "B", 1), ("name", "c", "mask", "CC", 1), ("name", "d", "mask", "D", 2), ("name", "g", "mask", "G", 1), ("name", "h", "keep", "H", 1), ("name", "f", "mask", "F", 1)])
+_BEFORE = "(SELECT 'name' AS selector, 'p' || p_partkey::STRING AS pattern, CASE p_partkey % 5 WHEN 0 THEN 'keep' WHEN 1 THEN 'secret' ELSE 'mask' END AS action, p_brand AS category, p_size % 3 AS priority FROM part WHERE p_partkey % 4 <> 0)"
+_AFTER = "(SELECT 'name' AS selector, 'p' || p_partkey::STRING AS pattern, CASE p_partkey % 3 WHEN 0 THEN 'keep' ELSE 'mask' END AS action, CASE WHEN p_partkey % 11 = 0 THEN 'X' ELSE p_brand END AS category, p_size % 4 AS priority FROM part WHERE p_partkey % 4 <> 1)"
 _DIFF = f"""
 SELECT selector, pattern, change, CASE WHEN change = 'added' THEN CASE WHEN y = 'keep' THEN 'weakening' ELSE 'strengthening' END WHEN change = 'removed' THEN CASE WHEN x = 'keep' THEN 'strengthening' ELSE 'weakening' END WHEN ry > rx THEN 'strengthening' WHEN ry < rx THEN 'weakening' ELSE 'neutral' END AS class
 FROM (SELECT coalesce(b.selector, a.selector) AS selector, coalesce(b.pattern, a.pattern) AS pattern, b.action AS x, a.action AS y,
@@ -194,7 +194,7 @@ FROM (SELECT coalesce(b.selector, a.selector) AS selector, coalesce(b.pattern, a
 
 @query(_DIFF)
 def setup_diff_rules(spark, sf_dir):
-    return governance.rule_diff(inline(spark, _BEFORE), inline(spark, _AFTER))
+    return governance.rule_diff(inline(spark, _BEFORE, sf_dir), inline(spark, _AFTER, sf_dir))
 
 
 @query(f"SELECT class, count(*) AS n FROM ({_DIFF}) GROUP BY 1")
@@ -217,8 +217,8 @@ def setup_diff_sources(spark, sf_dir):
     return governance.source_diff(sets(s.where("s_suppkey % 2 = 0")), sets(s.where("s_suppkey % 3 <> 1")))
 
 
-_LIVE = values("tool, mode", [("query", "data-mask"), ("ping", "no-mask"), ("drop", "deny-pending-review")])
-_WANTED = values("tool, mode", [("query", "no-mask"), ("ping", "no-mask"), ("drop", "data-mask"), ("new", "data-mask"), ("other", "deny-pending-review")])
+_LIVE = "(SELECT 't' || o_orderkey::STRING AS tool, CASE o_custkey % 3 WHEN 0 THEN 'data-mask' WHEN 1 THEN 'no-mask' ELSE 'deny-pending-review' END AS mode FROM orders WHERE o_orderkey % 5 <> 0)"
+_WANTED = "(SELECT 't' || o_orderkey::STRING AS tool, CASE o_custkey % 4 WHEN 0 THEN 'data-mask' WHEN 1 THEN 'no-mask' ELSE 'deny-pending-review' END AS mode FROM orders WHERE o_orderkey % 7 <> 0)"
 
 
 @query(f"""
@@ -226,7 +226,7 @@ SELECT tool, before, after, CASE WHEN rank_after < rank_before THEN 'weakening'
  SELECT w.tool, coalesce(l.mode, 'deny-pending-review') AS before, w.mode AS after, CASE coalesce(l.mode, 'deny-pending-review') WHEN 'no-mask' THEN 0 WHEN 'data-mask' THEN 1 ELSE 2 END AS rank_before, CASE w.mode WHEN 'no-mask' THEN 0 WHEN 'data-mask' THEN 1 ELSE 2 END AS rank_after FROM {_WANTED} w LEFT JOIN {_LIVE} l USING (tool)) WHERE before <> after
 """)
 def setup_diff_tools(spark, sf_dir):
-    return governance.tool_diff(inline(spark, _LIVE), inline(spark, _WANTED))
+    return governance.tool_diff(inline(spark, _LIVE, sf_dir), inline(spark, _WANTED, sf_dir))
 
 
 _CHANGES = "(SELECT 'c_' || substr(sha256(n_name), 1, 16) AS change_id, CASE WHEN n_nationkey % 2 = 0 THEN 'weakening' ELSE 'neutral' END AS class FROM nation WHERE n_nationkey < 20)"
@@ -269,12 +269,12 @@ def session_validity(spark, sf_dir):
     return ledger.valid_sessions(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), 1800, 28800)
 
 
-_ERRORS = values("id, message", [(1, "QUERY_PARSE_ERROR {(3, 14)}: unexpected"), (2, "fine"), (3, "{(1,2)} {(3,4)}")])
+_ERRORS = over("orders", "o_orderkey", "id, message", [(1, "QUERY_PARSE_ERROR {(3, 14)}: unexpected"), (2, "fine"), (3, "{(1,2)} {(3,4)}")], id="o_orderkey", message="v.message || o_orderstatus")
 
 
 @query(f"SELECT id, regexp_extract(message, '\\{{(\\(\\d+,\\s*\\d+\\))\\}}', 1) AS position FROM {_ERRORS}")
 def parse_error_strip(spark, sf_dir):
-    return inline(spark, _ERRORS).select("id", F.regexp_extract("message", r"\{(\(\d+,\s*\d+\))\}", 1).alias("position"))
+    return inline(spark, _ERRORS, sf_dir).select("id", F.regexp_extract("message", r"\{(\(\d+,\s*\d+\))\}", 1).alias("position"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN length(trim(text)) > 40 THEN substr(trim(text), 1, 40) || '…' ELSE trim(text) END AS title FROM conversations")

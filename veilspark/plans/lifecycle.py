@@ -6,23 +6,23 @@ from pyspark.sql import functions as F
 
 from ..functions import json as J
 from ..functions import text as X
-from ..operators import dictionary, ledger, lifecycle, mapping, masking, policy, report, result, rulediff
+from ..operators import dictionary, governance, ledger, lifecycle, mapping, masking, policy, report, result, rulediff
 from ..operators.cascade import Policy
 from ..sources import pages
 from .masking import replace_sql, token_sql
-from .registry import inline, query, table, values
+from .registry import inline, over, query, table, values
 
 #: Fixed values of the SQL forms: two or three Cyrillic names, and what isn't part of a word.
 _EDGE = r"[^\p{L}\p{N}_]"
-_NAMES = values("id, before, name, after, masked", [
+_NAMES = over("customer", "c_custkey", "id, before, name, after, masked", [
     (1, "Договор: ", "Иванов Иван Иванович", ".", True), (2, "", "Петрова Анна", "", True), (3, "Мак", "Дональдс Россия", "", False), (4, "", "Иванов Иван", "X", False),
     (5, "(", "Ёлкин Пётр", "), да", True), (6, "№", "Орлов Олег", "_1", False), (7, "7", "Орлов Олег", "", False), (8, "", "Ли Бо", "", False),
-])
+], before="c_name || ' ' || v.before")
 
 
 @query(f"SELECT id, before || CASE WHEN masked THEN {token_sql(chr(39) + 'FIO' + chr(39), 'name')} ELSE name END || after AS text FROM {_NAMES}")
 def person_name_edges(spark, sf_dir):
-    return inline(spark, _NAMES).select("id", X.mask_matches(F.concat("before", "name", "after"), X.PERSON_VALUE, "FIO").alias("text"))
+    return inline(spark, _NAMES, sf_dir).select("id", X.mask_matches(F.concat("before", "name", "after"), X.PERSON_VALUE, "FIO").alias("text"))
 
 
 @query(f"SELECT c_custkey AS doc_id, '/' || field AS ptr, field, CASE field WHEN 'token' THEN '{X.REMOVED}' WHEN 'note' THEN 'key {X.REMOVED} and {X.REMOVED} of ' || c_name ELSE c_name END AS value FROM (SELECT *, unnest(['token', 'note', 'name']) AS field FROM customer)")
@@ -33,7 +33,7 @@ def escaped_secret_literals(spark, sf_dir):
     return result.cut_secrets(masking.unpivot(c, "c_custkey", ["token", "note", "name"]))
 
 
-_KINDS = values("doc_id, ptr, field, kind, value", [(1, "/x", "x", "number", "5"), (1, "/y", "y", "string", "5"), (2, "/x", "x", "boolean", "true"), (3, "/x", "x", "null", None), (4, "/x", "x", "string", "7"), (5, "/x", "x", "array", "[1]")])
+_KINDS = over("customer", "c_custkey", "doc_id, ptr, field, kind, value", [(1, "/x", "x", "number", "5"), (1, "/y", "y", "string", "5"), (2, "/x", "x", "boolean", "true"), (3, "/x", "x", "null", None), (4, "/x", "x", "string", "7"), (5, "/x", "x", "array", "[1]")], doc_id="c_custkey")
 _SURE = values("name, type, unverified", [("x", "string", True), ("y", "string", None)])
 _NOWHERE = values("column, source_path, source_type, secret_cut", [("y", "Catalog.A,B.Name", "string", False)])
 _COMMA = values("pos, selector, pattern, action, category, priority", [(1, "source_path", "Catalog.A,B.Name", "mask", "COMMA", 1), (2, "source_path", "B.Name", "keep", "X", 9)])
@@ -43,7 +43,7 @@ _COMMA = values("pos, selector, pattern, action, category, priority", [(1, "sour
 SELECT doc_id, ptr, CASE WHEN field = 'y' THEN {token_sql("'COMMA'", 'value')} ELSE {token_sql("'UNVERIFIED_' || CASE kind WHEN 'boolean' THEN 'BOOL' ELSE upper(kind) END", "coalesce(value, 'null')")} END AS value, CASE WHEN field = 'y' THEN 'rule:mask' ELSE 'unverified' END AS reason FROM {_KINDS}
 """)
 def unverified_kinds(spark, sf_dir):
-    return result.protect(inline(spark, _KINDS), policy.evidence(inline(spark, _SURE), inline(spark, _NOWHERE)), inline(spark, _COMMA), {}, [])
+    return result.protect(inline(spark, _KINDS, sf_dir), policy.evidence(inline(spark, _SURE), inline(spark, _NOWHERE)), inline(spark, _COMMA), {}, [])
 
 
 _ITEMS = {"BUILDING": "SEG", "MACHINERY": "TOP", "FURNITURE": "KEEP"}
@@ -131,12 +131,12 @@ def database_purge(spark, sf_dir):
 
 # --- JSON ---------------------------------------------------------------------
 
-_JSON = values("id, body", [(1, '{"b":1,"a":{"d":null,"c":[1,{"z":true,"y":"x"}]}}'), (2, '"text"'), (3, "[3, 1.5, null]"), (4, "{bad"), (5, '{ "é" : "ü" }')])
+_JSON = over("customer", "c_custkey", "id, body", [(1, '{"b":1,"a":{"d":null,"c":[1,{"z":true,"y":"x"}]}}'), (2, '"text"'), (3, "[3, 1.5, null]"), (4, "{bad"), (5, '{ "é" : "ü" }')])
 
 
-@query("SELECT * FROM (VALUES (1, '{\"a\":{\"c\":[1,{\"y\":\"x\",\"z\":true}],\"d\":null},\"b\":1}'), (2, '\"text\"'), (3, '[3,1.5,null]'), (4, NULL), (5, '{\"é\":\"ü\"}')) AS v(id, body)")
+@query("SELECT v.* FROM (VALUES (1, '{\"a\":{\"c\":[1,{\"y\":\"x\",\"z\":true}],\"d\":null},\"b\":1}'), (2, '\"text\"'), (3, '[3,1.5,null]'), (4, NULL), (5, '{\"é\":\"ü\"}')) AS v(id, body) JOIN customer ON id = 1 + c_custkey % 5")
 def canonical_json(spark, sf_dir):
-    return inline(spark, _JSON).select("id", J.canonical_json(F.col("body")).alias("body"))
+    return inline(spark, _JSON, sf_dir).select("id", J.canonical_json(F.col("body")).alias("body"))
 
 
 @query("SELECT 'sha256:' || sha256('{\"dictionary_values\":' || '[' || string_agg('{\"category\":\"' || p_type || '\",\"source_path\":\"Catalog.' || p_brand || '\",\"value\":\"' || p_name || '\"}', ',' ORDER BY p_partkey) || ']' || ',\"metadata\":[]}') AS digest, p_size FROM part GROUP BY p_size")
@@ -146,7 +146,7 @@ def pull_digest(spark, sf_dir):
     return pull.select(J.content_hash(F.to_json(F.struct(F.expr("cast(array() as array<string>)").alias("metadata"), "dictionary_values"))).alias("digest"), "p_size")
 
 
-_RESULTS = values("id, body", [(1, '{"success":false,"error":"x"}'), (2, '"plain"'), (3, '{"content":[{"type":"text","text":"{^"a^":1}"}]}'), (4, '{"content":[{"text":"x"}]}'), (5, '{"is_error":true}'), (6, "[1]"), (7, "bad"), (8, '{"content":[{"type":"text","text":"no json"}]}'), (9, '{"content":[]}')])
+_RESULTS = over("customer", "c_custkey", "id, body", [(1, '{"success":false,"error":"x"}'), (2, '"plain"'), (3, '{"content":[{"type":"text","text":"{^"a^":1}"}]}'), (4, '{"content":[{"text":"x"}]}'), (5, '{"is_error":true}'), (6, "[1]"), (7, "bad"), (8, '{"content":[{"type":"text","text":"no json"}]}'), (9, '{"content":[]}')])
 _BODIES = f"(SELECT id, replace(body, '^', chr(92)) AS body FROM {_RESULTS})"
 
 
@@ -160,22 +160,22 @@ SELECT id, replace(body, '^', chr(92)) AS wrapped, replace(back, '^', chr(92)) A
  (6, '{"content":[{"type":"text","text":"[1]"}],"is_error":false}', '[1]'),
  (7, NULL, NULL),
  (8, '{"content":[{"text":"no json","type":"text"}]}', '"no json"'),
- (9, '{"content":[{"type":"text","text":"{^"content^":[]}"}],"is_error":false}', '{"content":[]}')) AS v(id, body, back)
+ (9, '{"content":[{"type":"text","text":"{^"content^":[]}"}],"is_error":false}', '{"content":[]}')) AS v(id, body, back) JOIN customer ON id = 1 + c_custkey % 9
 """)
 def wrapped_results(spark, sf_dir):
-    own = inline(spark, _BODIES).select("id", J.wrap_result(F.col("body")).alias("wrapped"))
+    own = inline(spark, _BODIES, sf_dir).select("id", J.wrap_result(F.col("body")).alias("wrapped"))
     return own.select("id", "wrapped", J.unwrap_result(F.col("wrapped")).alias("unwrapped"))
 
 
-_CELLS = values("id, cell", [(1, '"a"'), (2, "5"), (3, "null"), (4, '{"presentation":"shown","name":"n"}'), (5, '{"name":"n","x":1}'), (6, '{"b":1,"a":2}'), (7, "[1,2]"), (8, "true"), (9, '{"Представление":"да","presentation":"no"}'), (10, '{"name":7}')])
+_CELLS = over("customer", "c_custkey", "id, cell", [(1, '"a"'), (2, "5"), (3, "null"), (4, '{"presentation":"shown","name":"n"}'), (5, '{"name":"n","x":1}'), (6, '{"b":1,"a":2}'), (7, "[1,2]"), (8, "true"), (9, '{"Представление":"да","presentation":"no"}'), (10, '{"name":7}')])
 
 
-@query("SELECT * FROM (VALUES (1, 'a'), (2, '5'), (3, NULL), (4, 'shown'), (5, 'n'), (6, '{\"a\":2,\"b\":1}'), (7, '[1,2]'), (8, 'true'), (9, 'да'), (10, '{\"name\":7}')) AS v(id, cell)")
+@query("SELECT v.* FROM (VALUES (1, 'a'), (2, '5'), (3, NULL), (4, 'shown'), (5, 'n'), (6, '{\"a\":2,\"b\":1}'), (7, '[1,2]'), (8, 'true'), (9, 'да'), (10, '{\"name\":7}')) AS v(id, cell) JOIN customer ON id = 1 + c_custkey % 10")
 def cell_scalars(spark, sf_dir):
-    return inline(spark, _CELLS).select("id", J.cell_scalar(F.col("cell")).alias("cell"))
+    return inline(spark, _CELLS, sf_dir).select("id", J.cell_scalar(F.col("cell")).alias("cell"))
 
 
-_REPORTS = values("id, report, safe", [
+_REPORTS = over("customer", "c_custkey", "id, report, safe", [
     (1, '{"version":1,"blocks":[{"kind":"text","text":"x"},{"kind":"table","columns":[{"id":"a"},{"id":"b"}],"rows":[[1,null],["x",true]]}]}', True),
     (2, '{"version":2,"blocks":[]}', False), (3, '{"version":1,"blocks":[{"kind":"table","columns":[{"id":"a"}],"rows":[[1,2]]}]}', False),
     (4, '{"version":1,"blocks":[{"kind":"table","columns":[{"id":"a"}],"rows":[[{"x":1}]]}]}', False), (5, '{"version":1,"blocks":[]}', True), (6, '{"version":1,"blocks":[{"kind":"html"}]}', False), (7, "bad", False),
@@ -184,7 +184,7 @@ _REPORTS = values("id, report, safe", [
 
 @query(f"SELECT id, safe FROM {_REPORTS}")
 def report_safety(spark, sf_dir):
-    return inline(spark, _REPORTS).select("id", J.report_safe(F.col("report")).alias("safe"))
+    return inline(spark, _REPORTS, sf_dir).select("id", J.report_safe(F.col("report")).alias("safe"))
 
 
 @query("SELECT event_id AS doc_id, '/' || k AS pointer, '' AS rest, 'number' AS kind, props::JSON ->> k AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE event_id % 2 = 0) UNION ALL SELECT event_id, '', '/' || k, 'number', props::JSON ->> k FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE event_id % 3 = 0)")
@@ -197,14 +197,8 @@ def pointer_values(spark, sf_dir):
 
 # --- versions, drafts, activation ----------------------------------------------
 
-_V1 = values("selector, pattern, action, category, priority", [("name", "a", "mask", "A", 1), ("name", "b", "keep", "B", 1), ("name", "*cd*", "mask", "C", 1), ("name", "xcdx", "mask", "C", 1), ("type", "t", "mask", "T", 1)])
-_V2 = values("selector, pattern, action, category, priority", [("name", "a", "keep", "A", 1), ("name", "b", "mask", "B", 1), ("name", "*cd*", "mask", "C", 5), ("name", "e", "mask", "E", 1), ("regex", "[0-9]+", "keep", "N", 1)])
-_S1 = "(SELECT 'Catalog.A' AS source_path, array('x') AS allowed UNION ALL SELECT 'Catalog.B', NULL UNION ALL SELECT 'Catalog.C', NULL)"
-_S2 = "(SELECT 'Catalog.A' AS source_path, CAST(NULL AS ARRAY<STRING>) AS allowed UNION ALL SELECT 'Catalog.B', array('y') UNION ALL SELECT 'Catalog.C', NULL)"
-_T1 = values("tool, mode", [("query", "data-mask"), ("ping", "data-mask")])
-_T2 = values("tool, mode", [("query", "no-mask"), ("new", "data-mask"), ("ping", "data-mask")])
-_MANIFEST = values("source_path", [("Catalog.A",), ("Catalog.B",)])
-_TOOLS_SEEN = values("tool", [("query",), ("ping",)])
+_V1 = "(SELECT 'name' AS selector, 'p' || p_partkey::STRING AS pattern, CASE p_partkey % 5 WHEN 0 THEN 'keep' WHEN 1 THEN 'secret' ELSE 'mask' END AS action, p_brand AS category, p_size % 3 AS priority FROM part WHERE p_partkey % 4 <> 0)"
+_V2 = "(SELECT 'name' AS selector, 'p' || p_partkey::STRING AS pattern, CASE p_partkey % 3 WHEN 0 THEN 'keep' ELSE 'mask' END AS action, CASE WHEN p_partkey % 11 = 0 THEN 'X' ELSE p_brand END AS category, p_size % 4 AS priority FROM part WHERE p_partkey % 4 <> 1)"
 
 
 #: What happens to a rule of each part: its patterns and actions before and after (null: none), and what is said about it.
@@ -268,55 +262,67 @@ def rule_changes(spark, sf_dir):
     return rulediff.rule_changes(before["rules"], after["rules"]).select(F.concat_ws(":", "selector", "subject").alias("subject"), F.col("kind").alias("change"), "class")
 
 
-@query("SELECT * FROM (VALUES ('Catalog.A', 'widened', 'strengthening'), ('Catalog.B', 'narrowed', 'weakening')) AS v(source_path, change, class)")
+@query("SELECT 'Catalog.P' || p_partkey::VARCHAR AS source_path, CASE p_partkey % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'removed' WHEN 2 THEN 'widened' ELSE 'narrowed' END AS change, CASE WHEN p_partkey % 5 IN (0, 2) THEN 'strengthening' ELSE 'weakening' END AS class FROM part WHERE p_partkey % 5 < 4")
 def source_diff_filters(spark, sf_dir):
-    from ..operators import governance
+    before, after, _, _ = _versions(spark, sf_dir)
+    return governance.source_diff(before["sources"], after["sources"])
 
-    return governance.source_diff(inline(spark, _S1), inline(spark, _S2))
 
+_ACCEPTED = "(SELECT 'name' AS selector, 'p' || p_partkey::STRING AS pattern FROM part WHERE p_partkey % 2 = 0)"
 
-_ACCEPTED = values("selector, pattern", [("name", "e")])
 
+_RULE_DIFF = f"""SELECT coalesce(b.pattern, a.pattern) AS pattern, CASE WHEN b.action IS NULL THEN 'added' WHEN a.action IS NULL THEN 'removed' WHEN a.action <> b.action THEN 'action' WHEN a.category <> b.category THEN 'category' WHEN a.priority <> b.priority THEN 'priority' ELSE 'same' END AS change,
+ CASE WHEN b.action IS NULL THEN CASE a.action WHEN 'keep' THEN 'weakening' ELSE 'strengthening' END WHEN a.action IS NULL THEN CASE b.action WHEN 'keep' THEN 'strengthening' ELSE 'weakening' END WHEN r_a > r_b THEN 'strengthening' WHEN r_a < r_b THEN 'weakening' ELSE 'neutral' END AS class
+ FROM (SELECT *, CASE action WHEN 'secret' THEN 3 WHEN 'mask' THEN 2 ELSE 1 END AS r_b FROM {_V1}) b FULL JOIN (SELECT *, CASE action WHEN 'secret' THEN 3 WHEN 'mask' THEN 2 ELSE 1 END AS r_a FROM {_V2}) a ON a.pattern = b.pattern"""
 
-@query("SELECT * FROM (VALUES ('name', 'a', 'keep', 'A', 1), ('name', 'b', 'keep', 'B', 1), ('name', '*cd*', 'mask', 'C', 5), ('name', 'e', 'mask', 'E', 1), ('regex', '[0-9]+', 'keep', 'N', 1)) AS v(selector, pattern, action, category, priority)")
+
+@query(f"""
+WITH no AS (SELECT pattern FROM ({_RULE_DIFF}) WHERE class = 'strengthening' AND change <> 'same' AND pattern NOT IN (SELECT pattern FROM {_ACCEPTED}))
+SELECT selector, pattern, action, category, priority FROM {_V2} WHERE pattern NOT IN (SELECT pattern FROM no) UNION ALL SELECT selector, pattern, action, category, priority FROM {_V1} WHERE pattern IN (SELECT pattern FROM no)
+""")
 def activation_rules(spark, sf_dir):
-    live, draft = inline(spark, _V1), inline(spark, _V2)
-    return lifecycle.activation(live, draft, lifecycle.rules_hash(draft), inline(spark, "(SELECT 'x' AS change_id)"), inline(spark, _ACCEPTED))[1]
+    live, draft = inline(spark, _V1, sf_dir), inline(spark, _V2, sf_dir)
+    return lifecycle.activation(live, draft, lifecycle.rules_hash(draft), inline(spark, "(SELECT 'x' AS change_id)"), inline(spark, _ACCEPTED, sf_dir))[1]
 
 
-@query("""
-SELECT 'CONFIRMATION_MISSING' AS problem, 'c_' || substr(sha256(s || chr(31) || p || chr(31) || c), 1, 16) AS subject FROM (VALUES ('regex', '[0-9]+', 'added'), ('type', 't', 'removed'), ('name', 'xcdx', 'removed')) AS v(s, p, c)
+@query(f"""
+WITH c AS (SELECT *, 'c_' || substr(sha256('name' || chr(31) || pattern || chr(31) || change), 1, 16) AS id, pattern IN (SELECT pattern FROM {_ACCEPTED}) AS known FROM ({_RULE_DIFF}) WHERE change <> 'same'),
+no AS (SELECT pattern FROM c WHERE class = 'strengthening' AND NOT known)
+SELECT 'CONFIRMATION_MISSING' AS problem, id AS subject FROM c WHERE class = 'weakening' AND NOT known
 UNION ALL SELECT 'CONFIRMATION_STALE', 'c_gone' UNION ALL SELECT 'CONTENT_CHANGED', 'seen'
+UNION ALL SELECT 'SECRET_ACTIVATION_BLOCKED', pattern FROM (SELECT * FROM {_V2} WHERE pattern NOT IN (SELECT pattern FROM no) UNION ALL SELECT * FROM {_V1} WHERE pattern IN (SELECT pattern FROM no)) WHERE action = 'secret'
 """)
 def activation_problems(spark, sf_dir):
-    live, draft = inline(spark, _V1), inline(spark, _V2)
-    known = inline(spark, values("s, p, c", [("name", "a", "action")])).select(lifecycle.change_id("c_", "s", "p", "c").alias("change_id")).union(inline(spark, "(SELECT 'c_gone' AS change_id)"))
-    out = lifecycle.activation(live, draft, lifecycle.rules_hash(live), known, inline(spark, _ACCEPTED))[0]
+    """Weakenings of every second part are confirmed, and one that is gone."""
+    live, draft = inline(spark, _V1, sf_dir), inline(spark, _V2, sf_dir)
+    changes = governance.rule_diff(live, draft).join(inline(spark, _ACCEPTED, sf_dir), ["selector", "pattern"], "left_semi").where("class = 'weakening'")
+    known = changes.select(lifecycle.change_id("c_", "selector", "pattern", "change").alias("change_id")).union(spark.createDataFrame([("c_gone",)], "change_id string"))
+    out = lifecycle.activation(live, draft, lifecycle.rules_hash(live), known, inline(spark, _ACCEPTED, sf_dir))[0]
     return out.select("problem", F.when(F.col("problem") == "CONTENT_CHANGED", "seen").otherwise(F.col("subject")).alias("subject"))
 
 
 _VERSIONS = "(SELECT 3 AS version, 'active' AS status, selector, pattern, action, category, priority FROM {0} UNION ALL SELECT 4, 'draft', selector, pattern, action, category, priority FROM {1})"
 
 
-@query(f"SELECT TRUE AS ok, 3 AS version, 'active' AS status, selector, pattern, action, category, priority FROM {_V1} UNION ALL SELECT TRUE, 4, 'draft', 'name', 'z', 'mask', 'Z', 1")
+@query(f"SELECT TRUE AS ok, 3 AS version, 'active' AS status, selector, pattern, action, category, priority FROM {_V1} UNION ALL SELECT TRUE, 4, 'draft', selector, pattern || '!', action, category, priority FROM {_V1}")
 def draft_replaced(spark, sf_dir):
-    versions, new = inline(spark, _VERSIONS.format(_V1, _V2)), inline(spark, values("selector, pattern, action, category, priority", [("name", "z", "mask", "Z", 1)]))
-    return lifecycle.put_draft(versions, new, lifecycle.rules_hash(inline(spark, _V2)))
+    versions, new = inline(spark, _VERSIONS.format(_V1, _V2), sf_dir), inline(spark, _V1, sf_dir).withColumn("pattern", F.concat("pattern", F.lit("!")))
+    return lifecycle.put_draft(versions, new, lifecycle.rules_hash(inline(spark, _V2, sf_dir)))
 
 
 @query(f"SELECT FALSE AS ok, version, status, selector, pattern, action, category, priority FROM {_VERSIONS.format(_V1, _V2)}")
 def draft_conflict(spark, sf_dir):
-    versions, new = inline(spark, _VERSIONS.format(_V1, _V2)), inline(spark, values("selector, pattern, action, category, priority", [("name", "z", "mask", "Z", 1)]))
-    return lifecycle.put_draft(versions, new, lifecycle.rules_hash(inline(spark, _V1)))
+    versions = inline(spark, _VERSIONS.format(_V1, _V2), sf_dir)
+    return lifecycle.put_draft(versions, inline(spark, _V1, sf_dir), lifecycle.rules_hash(inline(spark, _V1, sf_dir)))
 
 
-_SNAPSHOTS = values("database, version, fingerprint, manifest_items, ready", [("a", 1, "f1", 10, True), ("b", 2, "f2", 20, False), ("c", 3, "f3", 30, True)])
-_SWAPS = values("database, version, ready", [("a", 2, True), ("b", 3, True), ("d", 1, True)])
+_SNAPSHOTS = "(SELECT 'd' || c_custkey::STRING AS database, c_custkey AS version, c_name AS fingerprint, c_nationkey AS manifest_items, c_custkey % 2 = 0 AS ready FROM customer WHERE c_custkey % 3 <> 0)"
+_SWAPS = "(SELECT 'd' || c_custkey::STRING AS database, c_custkey + 1 AS version, c_custkey % 5 <> 0 AS ready FROM customer WHERE c_custkey % 4 <> 0)"
 
 
-@query("SELECT * FROM (VALUES ('a', 2, 'f1', 10, TRUE), ('b', 3, 'f2', 20, FALSE), ('c', 3, 'f3', 30, TRUE), ('d', 1, NULL, NULL, FALSE)) AS v(database, version, fingerprint, manifest_items, ready)")
+@query("SELECT 'd' || c_custkey::VARCHAR AS database, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey + 1 ELSE c_custkey END AS version, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS fingerprint, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS manifest_items, CASE WHEN c_custkey % 3 = 0 THEN FALSE WHEN c_custkey % 4 = 0 THEN c_custkey % 2 = 0 ELSE c_custkey % 2 = 0 AND c_custkey % 5 <> 0 END AS ready FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 <> 0")
 def snapshot_swap(spark, sf_dir):
-    return lifecycle.swapped(inline(spark, _SNAPSHOTS), inline(spark, _SWAPS))
+    return lifecycle.swapped(inline(spark, _SNAPSHOTS, sf_dir), inline(spark, _SWAPS, sf_dir))
 
 
 _DRY_RULES = values("pos, selector, pattern, action, category, priority", [(1, "name", "segment", "mask", "SEG", 1)])

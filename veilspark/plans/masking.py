@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import filters
 from ..functions import text as X
 from ..operators import dictionary, mapping, masking, policy
-from .registry import inline, query, table, values
+from .registry import inline, over, query, table, values
 
 #: HMAC pads of the test key, for the SQL form.
 _INNER, _OUTER = (bytes(b ^ p for b in X.KEY.ljust(64, b"\0")).hex() for p in (0x36, 0x5C))
@@ -52,13 +52,13 @@ def secret_assignment_cut(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.cut_assignments(X.cut_secret_values(F.col("text"))).alias("text"))
 
 
-_NAMES = values("name", [(n,) for n in ("password", "user_password", "userPassword", "api-key", "apiKey", "Токен", "мой_токен", "секретарь", "ключ", "ключица", "access.token", "refresh_key", "key", "Authorization", "monkey", "токенизация", "Пароль_2", "пароли", "secret", "secretary")])
+_NAMES = over("customer", "c_custkey", "name", [(n,) for n in ("password", "user_password", "userPassword", "api-key", "apiKey", "Токен", "мой_токен", "секретарь", "ключ", "ключица", "access.token", "refresh_key", "key", "Authorization", "monkey", "токенизация", "Пароль_2", "пароли", "secret", "secretary")])
 _MARKERS = " OR ".join(f"contains(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '{m}')" for m in X.COMPACT_MARKERS)
 
 
 @query(f"SELECT name, regexp_matches(name, '(?i){X.SECRET_NAME}') AS bounded, ({_MARKERS}) AS compact FROM {_NAMES}")
 def secret_field_names(spark, sf_dir):
-    return inline(spark, _NAMES).select("name", X.secret_name(F.col("name")).alias("bounded"), X.compact_secret_name(F.col("name")).alias("compact"))
+    return inline(spark, _NAMES, sf_dir).select("name", X.secret_name(F.col("name")).alias("bounded"), X.compact_secret_name(F.col("name")).alias("compact"))
 
 
 @query("SELECT event_id AS doc_id, '/' || k AS ptr, k AS field, 'number' AS kind, props::JSON ->> k AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
@@ -117,12 +117,12 @@ def mask_cells_unpivot(spark, sf_dir):
 
 
 _TWO_OR_THREE_NAMES = r"[А-ЯЁ][а-яё]{2,}(?:\s+[А-ЯЁ][а-яё]{2,}){1,2}"
-_PERSONS = values("id, text", [(1, "Договор: Иванов Иван Иванович и Петрова Анна."), (2, "no names here"), (3, "Ёлкин Пётр, Кузнецов Олег"), (4, "Москва"), (5, "Иванов Иван Иванов Иван")])
+_PERSONS = over("customer", "c_custkey", "id, text", [(1, "Договор: Иванов Иван Иванович и Петрова Анна."), (2, "no names here"), (3, "Ёлкин Пётр, Кузнецов Олег"), (4, "Москва"), (5, "Иванов Иван Иванов Иван")], id="c_custkey", text="v.text || ' ' || c_name")
 
 
 @query(f"SELECT id, {replace_sql('text', _TWO_OR_THREE_NAMES, chr(39) + 'FIO' + chr(39))} AS text FROM {_PERSONS}")
 def person_names_masked(spark, sf_dir):
-    return inline(spark, _PERSONS).select("id", X.mask_matches(F.col("text"), X.PERSON_VALUE, "FIO").alias("text"))
+    return inline(spark, _PERSONS, sf_dir).select("id", X.mask_matches(F.col("text"), X.PERSON_VALUE, "FIO").alias("text"))
 
 
 _COLUMNS = values("name, type, unverified", [("Name", "string", None), ("name", "String(50)", None), ("Sum", "number", True), ("Ref", "CatalogRef", None)])
@@ -254,10 +254,10 @@ def filter_ast_scan(spark, sf_dir):
     return table(spark, sf_dir, "orders").where(filters.compile_filter(_FILTER)).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
-_MANIFEST = values("source_path, field_name, field_type, password_mode", [
+_MANIFEST = over("customer", "c_custkey", "source_path, field_name, field_type, password_mode", [
     ("Catalog.Person.Name", "Name", "String", False), ("Catalog.Person.Password", "Password", "String", True), ("Справочник.Фирма.Имя", "Имя", "Строка(50)", False), ("Register.Sales.Sum", "Sum", "Number", False),
     ("Catalog.Person.ApiKey", "ApiKey", "string", False), ("Catalog.Person.Age", "Age", "Number", False), ("Catalog.Item.Title", "Title", "String(10)", False), ("Catalog.Item.Parts.Code", "Code", "String", False),
-])
+], source_path="CASE WHEN c_custkey < 8 THEN v.source_path ELSE v.source_path || c_custkey::STRING END")
 _ALLOW = values("selector, pattern", [("source_path", "Catalog.Person.Name"), ("source_path", "Catalog.Person.ApiKey"), ("source_path", "Справочник.Фирма.Имя"), ("source_path", "Catalog.Missing"), ("source_path", "*Nowhere*"), ("source_path", "*sales*"), ("name", "x")])
 _SECRET_ITEM = _MARKERS.replace("name)", "field_name || ' ' || source_path)")
 
@@ -268,12 +268,12 @@ def catalog_expansion(spark, sf_dir):
     ok = (path.startswith("Catalog.") | path.startswith("Справочник.")) & (F.contains(kind, F.lit("string")) | F.contains(kind, F.lit("строка"))) & ~F.col("password_mode")
     ok &= ~X.compact_secret_name(F.concat_ws(" ", "field_name", "source_path"))
     allowed = inline(spark, _ALLOW).where("selector = 'source_path' and not contains(pattern, '*')").select(F.col("pattern").alias("source_path"))
-    return inline(spark, _MANIFEST).where(ok).join(allowed, "source_path", "left_semi").select("source_path")
+    return inline(spark, _MANIFEST, sf_dir).where(ok).join(allowed, "source_path", "left_semi").select("source_path")
 
 
 @query(f"SELECT selector, pattern FROM {_ALLOW} a WHERE selector = 'source_path' AND NOT EXISTS (SELECT 1 FROM (SELECT source_path AS value FROM {_MANIFEST}) m WHERE {_MATCH})")
 def path_not_in_manifest(spark, sf_dir):
-    return policy.missing_paths(inline(spark, _ALLOW), inline(spark, _MANIFEST)).select("selector", "pattern")
+    return policy.missing_paths(inline(spark, _ALLOW), inline(spark, _MANIFEST, sf_dir)).select("selector", "pattern")
 
 
 _PATTERNS = values("pattern", [(p,) for p in ("*", "*name*", "*NAM*", "first_name", "x", "**", "*a*b*", "*x*", "ab")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,5 +41,19 @@ def values(columns: str, rows: list[tuple]) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS v({columns}))"
 
 
-def inline(spark: SparkSession, source: str) -> DataFrame:
+def over(table_: str, key: str, columns: str, rows: list[tuple], **changed: str) -> str:
+    """A derived table that both engines read: each row of a given table with
+    one of ``rows`` in turn. ``changed``: what a column becomes, an expression
+    of the rows' columns and the table's."""
+    names = [c.strip() for c in columns.split(",")]
+    picked = ", ".join(f"{changed.get(c, 'v.' + c)} AS {c}" for c in names)
+    cases = ", ".join(f"({', '.join(map(literal, (i, *r)))})" for i, r in enumerate(rows))
+    return f"(SELECT {picked} FROM {table_} JOIN (SELECT * FROM (VALUES {cases}) AS w(n, {columns})) AS v ON {table_}.{key} % {len(rows)} = v.n)"
+
+
+def inline(spark: SparkSession, source: str, sf_dir: str | None = None) -> DataFrame:
+    """A derived table; given tables that it names are read from ``sf_dir``."""
+    if sf_dir is not None:
+        for name in set(re.findall(r"\b(?:FROM|JOIN) (region|nation|customer|supplier|part|orders|lineitem|events|documents|pages|benchmark|conversations)\b", source)):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(f"SELECT * FROM {source}")

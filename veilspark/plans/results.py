@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import dictionary, governance, mapping, masking, policy, report, result
 from ..streaming import state
 from .masking import EMAIL, replace_sql, token_sql
-from .registry import inline, query, table, values
+from .registry import inline, over, query, table, values
 
 _PEOPLE = values("doc_id, field, value", [
     (1, "full_name", "Ann Lee"), (1, "note", "Ann Lee met Ann, then Lee"), (1, "фио", "Ann"), (2, "note", "Ann Lee"), (2, "employee_name", ""), (3, "person_name", None), (3, "memo", None), (4, "fio", "Bo"), (4, "Full Name", "Bo Bo"), (4, "t", "Bo Bo Bo"),
@@ -73,9 +73,9 @@ def sql_functions(spark, sf_dir):
     return spark.sql("SELECT c_custkey, mask_token('db', 'name', c_name) AS token, wildcard_match('*Build*', c_mktsegment) AS matches, cell_status(IF(c_custkey % 2 = 0, mask_token('db', 'name', c_name), c_name)) AS status FROM sql_functions_customer")
 
 
-_BEFORE = values("selector, pattern, action, category, priority", [("name", "a", "mask", "A", 1), ("name", "b", "keep", "B", 1), ("type", "c", "mask", "C", 1)])
-_WANTED = values("selector, pattern, action, category, priority", [("name", "a", "keep", "A", 1), ("name", "b", "mask", "B", 1), ("name", "d", "mask", "D", 1), ("name", "e", "mask", "E", 3)])
-_DECLINED = values("selector, pattern", [("name", "b"), ("name", "d"), ("type", "c"), ("name", "b")])
+_BEFORE = "(SELECT 'name' AS selector, 'p' || p_partkey::STRING AS pattern, CASE p_partkey % 5 WHEN 0 THEN 'keep' WHEN 1 THEN 'secret' ELSE 'mask' END AS action, p_brand AS category, p_size % 3 AS priority FROM part WHERE p_partkey % 4 <> 0)"
+_WANTED = "(SELECT 'name' AS selector, 'p' || p_partkey::STRING AS pattern, CASE p_partkey % 3 WHEN 0 THEN 'keep' ELSE 'mask' END AS action, CASE WHEN p_partkey % 11 = 0 THEN 'X' ELSE p_brand END AS category, p_size % 4 AS priority FROM part WHERE p_partkey % 4 <> 1)"
+_DECLINED = "(SELECT 'name' AS selector, 'p' || p_partkey::STRING AS pattern FROM part WHERE p_partkey % 6 = 0)"
 
 
 @query(f"""
@@ -83,7 +83,7 @@ SELECT selector, pattern, action, category, priority FROM {_WANTED} w WHERE NOT
 UNION ALL SELECT selector, pattern, action, category, priority FROM {_BEFORE} b WHERE EXISTS (SELECT 1 FROM {_DECLINED} d WHERE d.selector = b.selector AND d.pattern = b.pattern)
 """)
 def activation_result(spark, sf_dir):
-    return governance.activated(inline(spark, _BEFORE), inline(spark, _WANTED), inline(spark, _DECLINED))
+    return governance.activated(inline(spark, _BEFORE, sf_dir), inline(spark, _WANTED, sf_dir), inline(spark, _DECLINED, sf_dir))
 
 
 @query("SELECT (SELECT max(p_size) + 1 FROM part) AS version, p_partkey, p_name FROM part WHERE p_size = 3")
@@ -143,16 +143,16 @@ def dry_run_sample(spark, sf_dir):
     return table(spark, sf_dir, "events").where("props is not null and event_type <> 'view'").select("event_id", "ts", "props").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
 
 
-_SCALARS = values("id, call, identity, at, loaded", [
+_SCALARS = over("customer", "c_custkey", "id, call, identity, at, loaded", [
     (1, "2b1f0a52-94a4-4c55-9f0e-0d3c1f9c1a11", "ras:main", "2024-01-05T10:00:00Z", 10), (2, "2B1F0A5294A4", "gen:x", "2024-01-05T10:00:00+03:00", 700_000), (3, None, "other", "2024-13-05T10:00:00Z", 1_000_000), (4, "", None, "2024-01-05", 0),
 ])
 
 
-@query("SELECT * FROM (VALUES (1, TRUE, 'ras', TRUE, 5), (2, FALSE, 'gen', TRUE, 7), (3, NULL, 'unknown', FALSE, 10), (4, FALSE, 'unknown', FALSE, 5)) AS v(id, is_call, source, is_time, warm_up_s)")
+@query("SELECT v.* FROM (VALUES (1, TRUE, 'ras', TRUE, 5), (2, FALSE, 'gen', TRUE, 7), (3, NULL, 'unknown', FALSE, 10), (4, FALSE, 'unknown', FALSE, 5)) AS v(id, is_call, source, is_time, warm_up_s) JOIN customer ON id = 1 + c_custkey % 4")
 def scalar_checks(spark, sf_dir):
     prefix = F.split("identity", ":")[0]
     time = F.col("at").rlike(r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$") & F.try_to_timestamp("at").isNotNull()
-    return inline(spark, _SCALARS).select(
+    return inline(spark, _SCALARS, sf_dir).select(
         "id", F.col("call").rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$").alias("is_call"), F.when(prefix.isin("ras", "gen"), prefix).otherwise("unknown").alias("source"), time.alias("is_time"), F.greatest(F.expr("loaded div 100000"), F.lit(5)).cast("int").alias("warm_up_s"),
     )
 

@@ -8,7 +8,7 @@ from ..functions import sql as names
 from ..functions import text as X
 from ..operators import access, dictionary, governance, lineage, masking, report
 from .masking import replace_sql
-from .registry import inline, over, query, table, values
+from .registry import inline, over, per, query, table, values
 
 
 def _events(spark, sf_dir):
@@ -112,20 +112,20 @@ def metadata_found(spark, sf_dir):
     return access.found_metadata(table(spark, sf_dir, "part").select(F.col("p_type").alias("source_path"), F.col("p_name").alias("field_name")), "A", 50)
 
 
-_ARGS = values("doc_id, ptr, field, value", [(1, "/userPassword", "userPassword", "x"), (1, "/q", "q", "token: abc, next"), (1, "/n", "n", "bearer abcdefgh12"), (2, "/q", "q", "SELECT 1"), (2, "/api-key", "api-key", None), (2, "/r", "r", "password = 'a b' and c")])
+_ARGS = per("orders", "o_orderkey", "doc_id", 2, "doc_id, ptr, field, value", values("doc_id, ptr, field, value", [(1, "/userPassword", "userPassword", "x"), (1, "/q", "q", "token: abc, next"), (1, "/n", "n", "bearer abcdefgh12"), (2, "/q", "q", "SELECT 1"), (2, "/api-key", "api-key", None), (2, "/r", "r", "password = 'a b' and c")]))
 
 
-@query(f"SELECT * FROM (VALUES (1, '/userPassword', '{X.REMOVED}'), (1, '/q', '{X.REMOVED}, next'), (1, '/n', '{X.REMOVED}'), (2, '/q', 'SELECT 1'), (2, '/api-key', NULL), (2, '/r', '{X.REMOVED} and c')) AS v(doc_id, ptr, value)")
+@query(f"SELECT o_orderkey AS doc_id, ptr, value FROM (VALUES (1, '/userPassword', '{X.REMOVED}'), (1, '/q', '{X.REMOVED}, next'), (1, '/n', '{X.REMOVED}'), (2, '/q', 'SELECT 1'), (2, '/api-key', NULL), (2, '/r', '{X.REMOVED} and c')) AS v(id, ptr, value) JOIN orders ON id = 1 + o_orderkey % 2")
 def argument_cut(spark, sf_dir):
-    return access.cut_arguments(inline(spark, _ARGS))
+    return access.cut_arguments(inline(spark, _ARGS, sf_dir))
 
 
-_PEOPLE = values("doc_id, field, json", [(1, "full_name", '"Ann"'), (1, "фио", '{"presentation":"Bo","x":1}'), (1, "note", '["x"]'), (2, "fio_x", '"no"'), (2, "person_name", "[1]"), (3, "full_name", '{"x":1}'), (4, "full_name", "null"), (4, "employee.name", '""'), (5, "full_name", '{"name":"Cy"}')])
+_PEOPLE = per("orders", "o_orderkey", "doc_id", 5, "doc_id, field, json", values("doc_id, field, json", [(1, "full_name", '"Ann"'), (1, "фио", '{"presentation":"Bo","x":1}'), (1, "note", '["x"]'), (2, "fio_x", '"no"'), (2, "person_name", "[1]"), (3, "full_name", '{"x":1}'), (4, "full_name", "null"), (4, "employee.name", '""'), (5, "full_name", '{"name":"Cy"}')]))
 
 
-@query("SELECT * FROM (VALUES (1, 'Ann,Bo', TRUE), (2, '', FALSE), (3, '', FALSE), (4, '', TRUE), (5, 'Cy', TRUE)) AS v(doc_id, texts, ok)")
+@query("SELECT o_orderkey AS doc_id, texts, ok FROM (VALUES (1, 'Ann,Bo', TRUE), (2, '', FALSE), (3, '', FALSE), (4, '', TRUE), (5, 'Cy', TRUE)) AS v(id, texts, ok) JOIN orders ON id = 1 + o_orderkey % 5")
 def person_texts(spark, sf_dir):
-    return access.person_texts(inline(spark, _PEOPLE)).withColumn("texts", F.array_join("texts", ","))
+    return access.person_texts(inline(spark, _PEOPLE, sf_dir)).withColumn("texts", F.array_join("texts", ","))
 
 
 @query("SELECT event_id AS doc_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS texts, event_id % 3 <> 0 AS ok FROM events")
@@ -187,22 +187,22 @@ def grid_csv_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", access.csv_line(["doc_id", "text", "lang"]).alias("line"))
 
 
-_LINED = values("call_id, n, strict, valid", [(1, 2, False, True), (2, None, False, False), (3, 0, False, True), (4, 1, False, False), (5, 1, True, True), (6, 1, False, False), (7, 1, False, False), (8, 1, False, False), (9, 1, False, False), (10, 1, False, True), (11, 1, False, False), (12, 1, False, False)])
-_COLS = values("call_id, name, extra, sources, sourceless, unverified, types", [
+_LINED = per("orders", "o_orderkey", "call_id", 12, "call_id, n, strict, valid", values("call_id, n, strict, valid", [(1, 2, False, True), (2, None, False, False), (3, 0, False, True), (4, 1, False, False), (5, 1, True, True), (6, 1, False, False), (7, 1, False, False), (8, 1, False, False), (9, 1, False, False), (10, 1, False, True), (11, 1, False, False), (12, 1, False, False)]))
+_COLS = per("orders", "o_orderkey", "call_id", 12, "call_id, name, extra, sources, sourceless, unverified, types", values("call_id, name, extra, sources, sourceless, unverified, types", [
     (1, "a", None, "p,q", None, None, None), (1, "b", None, "", "count", None, None), (2, "a", None, "p", None, None, None), (4, "a", None, "p,q", None, None, None), (5, "u", None, "zz", None, True, "string"), (6, "u", None, "", None, True, "string"),
     (7, "a", "other", "p", None, None, None), (8, "a", None, "p", None, None, None), (8, "a", None, "p", None, None, None), (9, "b", None, "", "count", None, None), (10, "b", None, "", "literal", None, None), (11, "a", None, "p", "count", None, None), (12, "a", None, "p", None, None, None),
-])
-_SAID = values("call_id, name, source_path, extra", [(1, "a", "p", None), (1, "a", "q", None), (1, "a", "q", None), (4, "a", "p", None), (5, "u", "any", None), (7, "a", "p", None), (8, "a", "p", None), (11, "a", "p", None), (12, "a", "p", None)])
-_SHOWN = values("call_id, name, kind", [(1, "a", "string"), (1, "a", "object"), (1, "b", "number"), (4, "a", "string"), (5, "u", "array"), (6, "u", "string"), (7, "a", "string"), (8, "a", "string"), (9, "b", "string"), (10, "b", "string"), (11, "a", "string"), (12, "a", "string"), (12, "z", "string")])
+]))
+_SAID = per("orders", "o_orderkey", "call_id", 12, "call_id, name, source_path, extra", values("call_id, name, source_path, extra", [(1, "a", "p", None), (1, "a", "q", None), (1, "a", "q", None), (4, "a", "p", None), (5, "u", "any", None), (7, "a", "p", None), (8, "a", "p", None), (11, "a", "p", None), (12, "a", "p", None)]))
+_SHOWN = per("orders", "o_orderkey", "call_id", 12, "call_id, name, kind", values("call_id, name, kind", [(1, "a", "string"), (1, "a", "object"), (1, "b", "number"), (4, "a", "string"), (5, "u", "array"), (6, "u", "string"), (7, "a", "string"), (8, "a", "string"), (9, "b", "string"), (10, "b", "string"), (11, "a", "string"), (12, "a", "string"), (12, "z", "string")]))
 
 
 @query(f"SELECT call_id, valid FROM {_LINED}")
 def lineage_calls(spark, sf_dir):
     split = lambda c: F.when(F.col(c) == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(c, ","))
     keys = F.filter(F.array(F.lit("name"), F.col("extra")), lambda k: k.isNotNull())
-    columns = inline(spark, _COLS).withColumn("keys", keys).withColumn("sources", split("sources")).withColumn("output_types", split("types"))
-    said = inline(spark, _SAID).withColumn("keys", keys)
-    return lineage.valid_calls(inline(spark, _LINED).select("call_id", F.col("n").alias("rows"), "strict"), columns, said, inline(spark, _SHOWN))
+    columns = inline(spark, _COLS, sf_dir).withColumn("keys", keys).withColumn("sources", split("sources")).withColumn("output_types", split("types"))
+    said = inline(spark, _SAID, sf_dir).withColumn("keys", keys)
+    return lineage.valid_calls(inline(spark, _LINED, sf_dir).select("call_id", F.col("n").alias("rows"), "strict"), columns, said, inline(spark, _SHOWN, sf_dir))
 
 
 @query(f"SELECT doc_id, {replace_sql('text', '[0-9]{16}', chr(39) + 'CARD' + chr(39))} AS masked FROM documents")

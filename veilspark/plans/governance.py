@@ -9,7 +9,7 @@ from ..functions import text as X
 from ..operators import blocks, governance, ledger, masking, report
 from ..streaming import state
 from .masking import _MANIFEST, token_sql
-from .registry import inline, over, query, table, values
+from .registry import inline, over, per, query, table, values
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) = 1")
@@ -312,14 +312,14 @@ def content_hash(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.sha2(content, 256).alias("hash"))
 
 
-_CALLS = values("call_id, col, sources, lineage, sourceless", [(1, "a", "p,q", "q,p", None), (1, "b", "", "", "count"), (2, "a", "p", "p,q", None), (3, "a", "", "", None), (4, "a", "p", "p", None), (4, "a", "p", "p", None)])
+_CALLS = per("orders", "o_orderkey", "call_id", 4, "call_id, col, sources, lineage, sourceless", values("call_id, col, sources, lineage, sourceless", [(1, "a", "p,q", "q,p", None), (1, "b", "", "", "count"), (2, "a", "p", "p,q", None), (3, "a", "", "", None), (4, "a", "p", "p", None), (4, "a", "p", "p", None)]))
 
 
 @query(f"SELECT call_id, bool_and(ok) AND count(*) = count(DISTINCT col) AS valid FROM (SELECT call_id, col, CASE WHEN sources = '' THEN coalesce(sourceless IN ('count', 'literal', 'parameter', 'value', 'composite'), FALSE) ELSE list_sort(string_split(sources, ',')) = list_sort(string_split(lineage, ',')) END AS ok FROM {_CALLS}) GROUP BY 1")
 def lineage_valid(spark, sf_dir):
     same = F.sort_array(F.split("sources", ",")) == F.sort_array(F.split("lineage", ","))
     ok = F.when(F.col("sources") == "", F.coalesce(F.col("sourceless").isin("count", "literal", "parameter", "value", "composite"), F.lit(False))).otherwise(same)
-    return inline(spark, _CALLS).withColumn("ok", ok).groupBy("call_id").agg((F.bool_and("ok") & (F.count("*") == F.countDistinct("col"))).alias("valid"))
+    return inline(spark, _CALLS, sf_dir).withColumn("ok", ok).groupBy("call_id").agg((F.bool_and("ok") & (F.count("*") == F.countDistinct("col"))).alias("valid"))
 
 
 @query("SELECT user_id AS database, user_id::VARCHAR AS value, event_type, count(*) AS uses FROM events GROUP BY 1, 2, 3")

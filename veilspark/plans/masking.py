@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import filters
 from ..functions import text as X
 from ..operators import dictionary, mapping, masking, policy
-from .registry import inline, over, query, table, values
+from .registry import inline, over, per, query, table, values
 
 #: HMAC pads of the test key, for the SQL form.
 _INNER, _OUTER = (bytes(b ^ p for b in X.KEY.ljust(64, b"\0")).hex() for p in (0x36, 0x5C))
@@ -145,18 +145,18 @@ def bounds_check(spark, sf_dir):
     return masking.bounds(masking.unpivot(table(spark, sf_dir, "documents"), "doc_id", ["text", "source"]), 64, 200_000, 5000)
 
 
-_DOCS = values("doc_id, json", [(1, '{"a":{"Script":[1,2]},"b":"x"}'), (2, '[{"c~/d":null},{"c":true}]'), (3, '{"html":"<b>"}'), (4, '{"n":1.5,"s":"ok","deep":{"x":{"y":["z"]}}}'), (5, "{bad"), (6, '"top"')])
-_LEAVES = "SELECT * FROM (VALUES (1, '/a/Script/0', 'Script', 'number', '1'), (1, '/a/Script/1', 'Script', 'number', '2'), (1, '/b', 'b', 'string', 'x'), (2, '/0/c~0~1d', 'c~/d', 'null', 'null'), (2, '/1/c', 'c', 'boolean', 'true'), (3, '/html', 'html', 'string', '<b>'), (4, '/n', 'n', 'number', '1.5'), (4, '/s', 's', 'string', 'ok'), (4, '/deep/x/y/0', 'y', 'string', 'z'), (6, '', '', 'string', 'top')) AS v(doc_id, ptr, field, kind, value)"
+_DOCS = per("orders", "o_orderkey", "doc_id", 6, "doc_id, json", values("doc_id, json", [(1, '{"a":{"Script":[1,2]},"b":"x"}'), (2, '[{"c~/d":null},{"c":true}]'), (3, '{"html":"<b>"}'), (4, '{"n":1.5,"s":"ok","deep":{"x":{"y":["z"]}}}'), (5, "{bad"), (6, '"top"')]))
+_LEAVES = "SELECT o_orderkey AS doc_id, ptr, field, kind, value FROM orders JOIN (VALUES (1, '/a/Script/0', 'Script', 'number', '1'), (1, '/a/Script/1', 'Script', 'number', '2'), (1, '/b', 'b', 'string', 'x'), (2, '/0/c~0~1d', 'c~/d', 'null', 'null'), (2, '/1/c', 'c', 'boolean', 'true'), (3, '/html', 'html', 'string', '<b>'), (4, '/n', 'n', 'number', '1.5'), (4, '/s', 's', 'string', 'ok'), (4, '/deep/x/y/0', 'y', 'string', 'z'), (6, '', '', 'string', 'top')) AS v(id, ptr, field, kind, value) ON id = 1 + o_orderkey % 6"
 
 
 @query(f"SELECT doc_id::BIGINT AS doc_id, ptr, field, kind, value FROM ({_LEAVES})")
 def json_walk_nested(spark, sf_dir):
-    return masking.walk_json(inline(spark, _DOCS))
+    return masking.walk_json(inline(spark, _DOCS, sf_dir))
 
 
 @query(f"SELECT doc_id::BIGINT AS doc_id, bool_or(list_has_any(string_split(lower(ptr), '/'), ['binary', 'html', 'script', 'formatter'])) AS unsafe FROM ({_LEAVES}) GROUP BY doc_id")
 def unsafe_shape_reject(spark, sf_dir):
-    return masking.unsafe_documents(masking.walk_json(inline(spark, _DOCS)))
+    return masking.unsafe_documents(masking.walk_json(inline(spark, _DOCS, sf_dir)))
 
 
 @query("SELECT d.doc_id, b.item_id, 'C' || (b.item_id % 4)::VARCHAR AS category FROM documents d JOIN benchmark b ON contains(d.text, b.text)")

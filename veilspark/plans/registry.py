@@ -51,6 +51,14 @@ def over(table_: str, key: str, columns: str, rows: list[tuple], **changed: str)
     return f"(SELECT {picked} FROM {table_} JOIN (SELECT * FROM (VALUES {cases}) AS w(n, {columns})) AS v ON {table_}.{key} % {len(rows)} = v.n)"
 
 
+def per(table_: str, key: str, id_: str, n: int, columns: str, source: str) -> str:
+    """A derived table that both engines read: for each row of a given table
+    the rows of ``source`` (columns) with one of ``n`` ids (from 1) in turn,
+    under the row's key as the id."""
+    picked = ", ".join(f"{table_}.{key} AS {id_}" if c.strip() == id_ else f"v.{c.strip()} AS {c.strip()}" for c in columns.split(","))
+    return f"(SELECT {picked} FROM {table_} JOIN {source} v ON v.{id_} = 1 + {table_}.{key} % {n})"
+
+
 def inline(spark: SparkSession, source: str, sf_dir: str | None = None) -> DataFrame:
     """A derived table; given tables that it names are read from ``sf_dir``."""
     if sf_dir is not None:

@@ -9,11 +9,11 @@ from ..functions import text as X
 from ..operators import dictionary, governance, mapping, masking, policy, report, result
 from ..streaming import state
 from .masking import EMAIL, replace_sql, token_sql
-from .registry import inline, over, query, table, values
+from .registry import inline, over, per, query, table, values
 
-_PEOPLE = values("doc_id, field, value", [
+_PEOPLE = per("orders", "o_orderkey", "doc_id", 4, "doc_id, field, value", values("doc_id, field, value", [
     (1, "full_name", "Ann Lee"), (1, "note", "Ann Lee met Ann, then Lee"), (1, "фио", "Ann"), (2, "note", "Ann Lee"), (2, "employee_name", ""), (3, "person_name", None), (3, "memo", None), (4, "fio", "Bo"), (4, "Full Name", "Bo Bo"), (4, "t", "Bo Bo Bo"),
-])
+]))
 _IS_PERSON = f"regexp_matches(field, '(?i){X.PERSON_NAME}')"
 
 
@@ -28,7 +28,7 @@ SELECT c.doc_id, '/' || field AS ptr, field, CASE WHEN {_IS_PERSON} AND value <>
 FROM c LEFT JOIN l ON l.doc_id = c.doc_id
 """)
 def document_person_literals(spark, sf_dir):
-    return result.mask_person_literals(_cells(inline(spark, _PEOPLE)))
+    return result.mask_person_literals(_cells(inline(spark, _PEOPLE, sf_dir)))
 
 
 @query(f"""

@@ -60,6 +60,22 @@ def unwrap_result(text: Column) -> Column:
     return F.when(first.isNotNull(), F.coalesce(canonical_json(first), as_string)).otherwise(F.to_json(value))
 
 
+def envelope_body(text: Column) -> Column:
+    """What a feed's answer holds, as canonical JSON: structured content that
+    is an object, else the first content item's JSON or its text as JSON, else
+    the answer itself where it says whether it was a success. Null for others
+    and for bad JSON."""
+    value = F.try_parse_json(text)
+    at = lambda path: F.try_variant_get(value, path, "variant")
+    structured = at("$.structured_content")
+    kind = _string(value, "$.content[0].type")
+    inner = F.try_parse_json(_string(value, "$.content[0].text"))
+    item = F.when((kind == "json") & at("$.content[0].json").isNotNull(), F.to_json(at("$.content[0].json")))
+    is_text = (kind == "text") & _string(value, "$.content[0].text").isNotNull()
+    own = F.when(at("$.success").isNotNull(), F.to_json(value))
+    return F.when(F.coalesce(_kind(structured).startswith("OBJECT"), F.lit(False)), F.to_json(structured)).when(item.isNotNull(), item).when(F.coalesce(is_text, F.lit(False)), F.to_json(inner)).otherwise(own)
+
+
 def cell_scalar(text: Column) -> Column:
     """A report cell from a JSON value: scalars as text, of objects their
     display text, else canonical JSON; null stays null."""

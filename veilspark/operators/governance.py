@@ -42,14 +42,20 @@ def source_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.withColumn("class", F.when(F.col("change").isin("added", "widened"), "strengthening").otherwise("weakening"))
 
 
-def tool_diff(live: DataFrame, wanted: DataFrame) -> DataFrame:
+def tool_diff(live: DataFrame, wanted: DataFrame, imported: bool = False) -> DataFrame:
     """(tool, before, after, class) of (tool, mode); unknown tools are
-    denied, and only what lifts masking or denial is a weakening."""
+    denied, and only what lifts masking or denial is a weakening. What comes
+    from an imported file is all there is: tools that it doesn't name lose
+    their entry (after is null), which weakens nothing."""
     rank = lambda c: F.when(c == "no-mask", 0).when(c == "data-mask", 1).otherwise(2)
     met = wanted.select("tool", F.col("mode").alias("after")).join(live.select("tool", F.col("mode").alias("before")), "tool", "left")
     met = met.withColumn("before", F.coalesce("before", F.lit("deny-pending-review"))).where("before <> after")
     kind = F.when(rank(F.col("after")) < rank(F.col("before")), "weakening").otherwise("strengthening")
-    return met.select("tool", "before", "after", kind.alias("class"))
+    changed = met.select("tool", "before", "after", kind.alias("class"))
+    if not imported:
+        return changed
+    gone = live.join(wanted.select("tool"), "tool", "left_anti")
+    return changed.unionByName(gone.select("tool", F.col("mode").alias("before"), F.lit(None).cast("string").alias("after"), F.lit("neutral").alias("class")))
 
 
 def unconfirmed(changes: DataFrame, confirmed: DataFrame) -> DataFrame:

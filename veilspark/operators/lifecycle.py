@@ -259,6 +259,17 @@ def appended(journal: DataFrame, entries: DataFrame, key: str = "entry_id") -> D
     return journal.unionByName(entries.dropDuplicates([key]).join(journal.select(key), key, "left_anti").select(*journal.columns))
 
 
-def cascade(tables: dict[str, DataFrame], database: str, audit: str = "audit") -> dict[str, DataFrame]:
-    """All tables without one database's rows; the audit table keeps its own."""
-    return {name: df if name == audit else mapping.purged(df, database) for name, df in tables.items()}
+def revoke_events(grants: DataFrame, database: str, at: str) -> DataFrame:
+    """(action, database, user_id, at): what the audit keeps of the grants
+    (user_id, database) that go with a database, one for each user."""
+    own = grants.where(F.col("database").eqNullSafe(F.lit(database))).select("database", "user_id").distinct()
+    return own.select(F.lit("access.revoke").alias("action"), "database", "user_id", F.lit(at).cast("timestamp_ntz").alias("at"))
+
+
+def cascade(tables: dict[str, DataFrame], database: str, audit: str = "audit", grants: str | None = None, at: str | None = None) -> dict[str, DataFrame]:
+    """All tables without one database's rows; the audit table keeps its own,
+    and gets revoke_events() of the table ``grants``, which go as well."""
+    out = {name: df if name == audit else mapping.purged(df, database) for name, df in tables.items()}
+    if grants is not None:
+        out[audit] = out[audit].unionByName(revoke_events(tables[grants], database, at), allowMissingColumns=True)
+    return out

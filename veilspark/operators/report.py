@@ -170,3 +170,11 @@ def grid_types(cells: DataFrame) -> DataFrame:
     kind = F.when(F.col("value").isNotNull(), F.when(F.col("value").rlike(ISO_DATE), "date").otherwise("string"))
     kinds = cells.groupBy("col").agg(F.collect_set(kind).alias("k"))
     return kinds.select("col", F.when(F.size("k") == 1, F.element_at("k", 1)).otherwise("string").alias("type"))
+
+
+def databases_by_label(databases: DataFrame) -> DataFrame:
+    """(place, database, label) of databases (database, label) in order of the
+    label, of those without one in that of their id, which is shown as label;
+    ties by id. Databases are a list that one person manages."""
+    shown = databases.select("database", F.coalesce("label", "database").alias("label"))
+    return shown.withColumn("place", F.row_number().over(Window.orderBy(F.col("label").cast("binary"), "database"))).select("place", "database", "label")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import json
 from ..functions import text as X
-from ..operators import blocks, cascade, lifecycle, masking, policy
+from ..operators import blocks, cascade, governance, lifecycle, masking, policy, report
 from ..streaming import ingest, state
 from ..streaming.store import token_calls
 from .masking import CARD, EMAIL, replace_sql, token_sql
@@ -233,3 +234,52 @@ SELECT call_id, tool, code, seq, CASE WHEN s = seq THEN 'inserted' WHEN t = tool
 """)
 def streaming_ingested_terminals(spark, sf_dir):
     return _ingested(spark, sf_dir).read("terminals")
+
+
+# --- answers, tools, deletion, lists ----------------------------------------------
+
+
+@query("""
+SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN '{"a":' || o_custkey::VARCHAR || ',"success":true}' WHEN 1 THEN '{"k":' || o_custkey::VARCHAR || '}' WHEN 2 THEN '{"t":' || o_custkey::VARCHAR || '}' WHEN 4 THEN '{"success":false,"x":' || o_custkey::VARCHAR || '}' END AS body FROM orders
+""")
+def envelope_bodies(spark, sf_dir):
+    """Structured content, JSON and text items, text that is no JSON, a bare
+    answer, one that says nothing, and bad JSON."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_custkey").cast("string")
+    answers = F.array(
+        F.concat(F.lit('{"structured_content":{"success":true,"a":'), k, F.lit('},"content":[{"type":"text","text":"{}"}]}')), F.concat(F.lit('{"structured_content":1,"content":[{"type":"json","json":{"k":'), k, F.lit("}}]}")),
+        F.concat(F.lit('{"content":[{"type":"text","text":"{\\"t\\":'), k, F.lit('}"}]}')), F.lit('{"content":[{"type":"text","text":"no"}],"success":true}'), F.concat(F.lit('{"x":'), k, F.lit(',"success":false}')), F.lit('{"content":[]}'), F.lit("{bad"),
+    )
+    return o.select(F.col("o_orderkey").alias("id"), json.envelope_body(F.get(answers, (F.col("o_orderkey") % 7).cast("int"))).alias("body"))
+
+
+@query("""
+WITH l AS (SELECT 't' || o_orderkey::VARCHAR AS tool, o_custkey % 2 AS m FROM orders WHERE o_orderkey % 3 <> 0), w AS (SELECT 't' || o_orderkey::VARCHAR AS tool, o_custkey % 3 AS m FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT tool, before, after, CASE WHEN after IS NULL THEN 'neutral' WHEN after = 'no-mask' OR before = 'deny-pending-review' THEN 'weakening' ELSE 'strengthening' END AS class FROM (
+ SELECT coalesce(w.tool, l.tool) AS tool, coalesce(CASE l.m WHEN 0 THEN 'no-mask' WHEN 1 THEN 'data-mask' END, 'deny-pending-review') AS before, CASE w.m WHEN 0 THEN 'no-mask' WHEN 1 THEN 'data-mask' WHEN 2 THEN 'deny-pending-review' END AS after FROM w FULL JOIN l ON l.tool = w.tool) WHERE after IS NULL OR before <> after
+""")
+def tool_removals(spark, sf_dir):
+    """An imported file names all tools; the others lose their entries."""
+    o = table(spark, sf_dir, "orders")
+    name = F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("tool")
+    live = o.where("o_orderkey % 3 <> 0").select(name, F.when(F.col("o_custkey") % 2 == 0, "no-mask").otherwise("data-mask").alias("mode"))
+    wanted = o.where("o_orderkey % 5 <> 0").select(name, F.when(F.col("o_custkey") % 3 == 0, "no-mask").when(F.col("o_custkey") % 3 == 1, "data-mask").otherwise("deny-pending-review").alias("mode"))
+    return governance.tool_diff(live, wanted, imported=True)
+
+
+@query("""
+SELECT 'audit' AS name, action, database, user_id FROM (SELECT 'call' AS action, 'd' || (c_nationkey % 4)::VARCHAR AS database, c_custkey AS user_id FROM customer UNION ALL SELECT 'access.revoke', 'd1', c_custkey FROM customer WHERE c_nationkey % 4 = 1)
+UNION ALL SELECT 'grants', NULL, 'd' || (c_nationkey % 4)::VARCHAR, c_custkey FROM customer WHERE c_nationkey % 4 <> 1
+""")
+def cascade_revokes(spark, sf_dir):
+    """A database that goes takes its grants, each of which leaves an event."""
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("d"), (F.col("c_nationkey") % 4).cast("string")).alias("database"), F.col("c_custkey").alias("user_id"))
+    left = lifecycle.cascade({"audit": c.select(F.lit("call").alias("action"), "database", "user_id"), "grants": c}, "d1", grants="grants", at="2024-03-01 00:00:00")
+    none = F.lit(None).cast("string")
+    return left["audit"].select(F.lit("audit").alias("name"), "action", "database", "user_id").unionByName(left["grants"].select(F.lit("grants").alias("name"), none.alias("action"), "database", "user_id"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY label, database))::INT AS place, database, label FROM (SELECT 'd' || c_custkey::VARCHAR AS database, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, 'd' || c_custkey::VARCHAR) AS label FROM customer WHERE c_acctbal > 0)")
+def databases_by_label(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    return report.databases_by_label(c.select(F.concat(F.lit("d"), "c_custkey").alias("database"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("label")))

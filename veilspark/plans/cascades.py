@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json
 from ..functions import text as X
-from ..operators import blocks, cascade, governance, lifecycle, masking, policy, report
+from ..operators import blocks, cascade, governance, lifecycle, masking, policy, report, routing
 from ..streaming import ingest, state
 from ..streaming.store import token_calls
 from .masking import CARD, EMAIL, replace_sql, token_sql
@@ -283,3 +283,17 @@ def cascade_revokes(spark, sf_dir):
 def databases_by_label(spark, sf_dir):
     c = table(spark, sf_dir, "customer").where("c_acctbal > 0")
     return report.databases_by_label(c.select(F.concat(F.lit("d"), "c_custkey").alias("database"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("label")))
+
+
+# --- dictionaries beyond the driver -----------------------------------------------
+
+_ITEM_KIND = "'C' || (length(b.text) % 4)::VARCHAR"
+
+
+@query(f"SELECT d.doc_id, (instr(d.text, b.text) - 1)::INT AS first, b.text AS value, {_ITEM_KIND} AS category FROM documents d JOIN (SELECT DISTINCT text FROM benchmark WHERE text <> '') b ON contains(d.text, b.text)")
+def routed_dictionary_hits(spark, sf_dir):
+    """The benchmark's texts as a dictionary that is never on the driver; the
+    first place of each value in each document."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("text").alias("value"), F.concat(F.lit("C"), (F.length("text") % 4).cast("string")).alias("category"))
+    found = routing.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), items, 1 << 14)
+    return found.groupBy("doc_id", "value", "category").agg(F.min("start").alias("first")).select("doc_id", "first", "value", "category")

@@ -38,21 +38,28 @@ class Policy:
     values: dict[str, str] = field(default_factory=dict)
     manifest: DataFrame | None = None
 
-    def regexes(self) -> list[tuple[str, str, str]]:
-        """(pattern, category, action) in order of priority, then place; a
-        policy has few of them by the bounds of its file."""
-        own = self.rules.where("selector = 'regex'").select("priority", "pos", "pattern", "category", "action")
-        return [(r["pattern"], r["category"], r["action"]) for r in sorted(own.collect(), key=lambda r: (r["priority"], r["pos"]))]
+    def for_texts(self) -> tuple[list[tuple[str, str, str]], dict[str, str]]:
+        """(pattern, category, action) of the patterns in order of priority,
+        then place; and the action of each category of the dictionary, that of
+        its strongest rule, else mask. A policy has few such rules by the
+        bounds of its file, which are fetched at once."""
+        own = sorted(self.rules.where("selector in ('regex', 'dictionary')").select("selector", "priority", "pos", "pattern", "category", "action").collect(), key=lambda r: (r["priority"], r["pos"]))
+        regexes = [(r["pattern"], r["category"], r["action"]) for r in own if r["selector"] == "regex"]
+        actions = {}
+        for kind in set(self.values.values()):
+            met = [r for r in own if r["selector"] == "dictionary" and matches_text(r["pattern"], kind)]
+            best = max(met, key=lambda r: (RANK.get(r["action"], 0), r["priority"], r["pos"]), default=None)
+            actions[kind] = best["action"] if best else "mask"
+        return regexes, actions
 
-    def actions(self) -> dict[str, str]:
-        """The action of each category of the dictionary."""
-        if not self.values:
-            return {}
-        spark = self.rules.sparkSession
-        from .dictionary import action_of
 
-        kinds = spark.createDataFrame([(c,) for c in sorted(set(self.values.values()))], "category string")
-        return {r["category"]: r["action"] for r in action_of(kinds, self.rules).collect()}
+RANK = {"secret": 3, "mask": 2, "keep": 1}
+
+
+def matches_text(pattern: str, value: str) -> bool:
+    """functions.text.wildcard_match() of two texts."""
+    p, v = pattern.lower(), value.lower()
+    return p == "*" or (p[1:-1] in v if len(p) > 1 and p[0] == p[-1] == "*" else p == v)
 
 
 def reason(code: Column | str, kind: str, action: Column | str, category: Column | str | None = None, selector: Column | str | None = None, pattern: Column | None = None) -> Column:
@@ -171,7 +178,7 @@ def cascade(cells: DataFrame, evidence: DataFrame, own: Policy, carry: tuple[str
     gone = lambda x: F.lit(REMOVED)
     met = met.withColumn("__literal", _fold(_fold(F.col("value"), F.transform("secrets", json_escaped), gone), F.col("secrets"), gone))
     met = met.withColumn("__cut", cut_secret_values(F.col("__literal")))
-    regexes, actions = own.regexes(), own.actions()
+    regexes, actions = own.for_texts()
     of = lambda what: {v: c for v, c in own.values.items() if actions[c] == what}
     met = held_values(met, of("secret"), "__held", "__cut")
     held = F.get("__held", F.lit(0))["category"]

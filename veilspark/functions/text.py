@@ -110,9 +110,11 @@ def replace_matches(text: Column, pattern: str, make) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), plain).otherwise(marked)
 
 
-def mask_matches(text: Column, pattern: str, kind: str) -> Column:
-    """Each match of ``pattern`` replaced by its token of category ``kind``."""
-    return replace_matches(text, pattern, lambda m: mask_token(F.lit(kind), m))
+def mask_matches(text: Column, pattern: str, kind: str, holds: str | None = None) -> Column:
+    """Each match of ``pattern`` replaced by its token of category ``kind``.
+    ``holds``: what every match contains; texts without it aren't scanned."""
+    made = replace_matches(text, pattern, lambda m: mask_token(F.lit(kind), m))
+    return made if holds is None else F.when(F.contains(text, F.lit(holds)), made).otherwise(text)
 
 
 def action_rank(action: Column) -> Column:

@@ -35,9 +35,9 @@ CARD = r"[0-9]{16}"
 @query(f"SELECT doc_id, {replace_sql('t2', CARD, chr(39) + 'CARD' + chr(39))} AS masked FROM (SELECT doc_id, {replace_sql('t1', PHONE, chr(39) + 'PHONE' + chr(39))} AS t2 FROM (SELECT doc_id, {replace_sql('text', EMAIL, chr(39) + 'EMAIL' + chr(39))} AS t1 FROM documents))")
 def mask_documents_regex(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("masked"))
-    for pattern, kind in ((EMAIL, "EMAIL"), (PHONE, "PHONE"), (CARD, "CARD")):
+    for pattern, kind, holds in ((EMAIL, "EMAIL", "@"), (PHONE, "PHONE", "+1 ("), (CARD, "CARD", None)):
         # one projection a rule: an expression of all would repeat its parts
-        docs = docs.withColumn("masked", X.mask_matches(F.col("masked"), pattern, kind))
+        docs = docs.withColumn("masked", X.mask_matches(F.col("masked"), pattern, kind, holds))
     return docs
 
 

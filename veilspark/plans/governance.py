@@ -114,7 +114,7 @@ def metadata_search(spark, sf_dir):
     return m.where(report.contains_text(["source_path", "field_name"], "person")).orderBy("source_path").limit(201)
 
 
-_CELLS = values("field, value", [("a", "1"), ("a", "2.5"), ("b", "x"), ("b", "1"), ("c", None), ("d", "true"), ("d", "false"), ("e", "2024"), ("e", None)])
+_CELLS = over("orders", "o_orderkey", "field, value", [("a", "1"), ("a", "2.5"), ("b", "x"), ("b", "1"), ("c", None), ("d", "true"), ("d", "false"), ("e", "2024"), ("e", None)], field="v.field || (o_custkey % 5)::STRING")
 
 
 @query(f"""
@@ -122,7 +122,7 @@ SELECT field, CASE WHEN count(k) = 0 THEN 'null' WHEN count(DISTINCT k) = 1 THEN
  SELECT field, CASE WHEN value IS NULL THEN NULL WHEN regexp_full_match(value, '-?\\d+(\\.\\d+)?') THEN 'number' WHEN value IN ('true', 'false') THEN 'boolean' ELSE 'string' END AS k FROM {_CELLS}) GROUP BY 1
 """)
 def report_column_types(spark, sf_dir):
-    return report.column_types(inline(spark, _CELLS))
+    return report.column_types(inline(spark, _CELLS, sf_dir))
 
 
 _REASONS = "(SELECT event_id % 50 AS doc_id, '/' || (user_id % 4)::VARCHAR AS ptr, event_type AS reason, event_id AS pos FROM events)"

@@ -125,8 +125,8 @@ def person_names_masked(spark, sf_dir):
     return inline(spark, _PERSONS, sf_dir).select("id", X.mask_matches(F.col("text"), X.PERSON_VALUE, "FIO").alias("text"))
 
 
-_COLUMNS = values("name, type, unverified", [("Name", "string", None), ("name", "String(50)", None), ("Sum", "number", True), ("Ref", "CatalogRef", None)])
-_LINEAGE = values("col, source_path, source_type, secret_cut", [("NAME", "Catalog.A.Name", "string", None), ("sum", "Register.B.Sum", None, None), ("Name", "Catalog.C.Name", None, True), ("extra", "Catalog.D", "x", False)])
+_COLUMNS = over("orders", "o_orderkey", "name, type, unverified", [("Name", "string", None), ("name", "String(50)", None), ("Sum", "number", True), ("Ref", "CatalogRef", None)], name="v.name || (o_custkey % 50)::STRING")
+_LINEAGE = over("orders", "o_orderkey", "col, source_path, source_type, secret_cut", [("NAME", "Catalog.A.Name", "string", None), ("sum", "Register.B.Sum", None, None), ("Name", "Catalog.C.Name", None, True), ("extra", "Catalog.D", "x", False)], col="v.col || (o_custkey % 50)::STRING")
 
 
 @query(f"""
@@ -134,7 +134,7 @@ SELECT lower(n) AS field, coalesce(array_to_string(list_sort(list_distinct(list(
 FROM (SELECT name AS n, NULL AS p, type AS t, FALSE AS c, coalesce(unverified, FALSE) AS u FROM {_COLUMNS} UNION ALL SELECT col, source_path, source_type, coalesce(secret_cut, FALSE), FALSE FROM {_LINEAGE}) GROUP BY 1
 """)
 def evidence_by_column(spark, sf_dir):
-    found = policy.evidence(inline(spark, _COLUMNS), inline(spark, _LINEAGE).withColumnRenamed("col", "column"))
+    found = policy.evidence(inline(spark, _COLUMNS, sf_dir), inline(spark, _LINEAGE, sf_dir).withColumnRenamed("col", "column"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("source_paths", "field_types")})
 
 

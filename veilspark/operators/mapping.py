@@ -95,16 +95,24 @@ def reveal(texts: DataFrame, known: DataFrame, passes: int = 8) -> DataFrame:
     """(doc_id, text) with tokens of the document's batch replaced, tokens in
     the values too, ``passes`` deep; tokens of other batches stay.
 
-    texts: (doc_id, batch, text); known: (batch, token, value), the batch's
-    own few entries, which are gathered once per batch.
+    texts: (doc_id, batch, text); known: (batch, token, value). Each pass cuts
+    the texts at their tokens and joins these with the batch's own on equal
+    keys, so a text meets its own tokens only, however many the batch has. Of
+    several values of a token the least counts.
     """
-    pairs = known.groupBy(F.col("batch").alias("__batch")).agg(F.collect_list(F.struct("token", "value")).alias("__pairs"))
-    met = texts.join(pairs, F.col("batch") == F.col("__batch"), "left")
-    none = F.expr("cast(array() as array<struct<token:string,value:string>>)")
+    own = known.where("batch is not null and value is not null").groupBy(F.col("batch").alias("__batch"), F.col("token").alias("__token")).agg(F.min("value").alias("__value"))
+    between = F.split("piece", TOKEN, -1)
+    found = F.array_append(F.regexp_extract_all("piece", F.lit(f"({TOKEN})"), F.lit(1)), F.lit(""))
+    cut = F.flatten(F.zip_with(between, found, lambda a, b: F.array(a, b)))
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "batch", F.expr("cast(array() as array<int>)").alias("at"), F.col("text").alias("piece"))
     for _ in range(passes):
-        once = F.aggregate(F.coalesce("__pairs", none), F.col("text"), lambda t, p: F.replace(t, p["token"], p["value"]))
-        met = met.withColumn("text", F.when(F.col("text").rlike(TOKEN), once).otherwise(F.col("text")))
-    return met.select("doc_id", "text")
+        each = rows.select("row", "doc_id", "batch", "at", F.posexplode_outer(cut).alias("i", "piece")).where("i is null or i = 0 or piece <> ''").withColumn("at", F.array_append("at", F.col("i")))
+        # what is no token has a key of its own, so that it is dealt out evenly
+        key = F.when(F.col("i") % 2 == 1, F.col("piece")).otherwise(F.xxhash64("row", "at").cast("string"))
+        met = each.withColumn("key", key).join(own, (F.col("batch") == F.col("__batch")) & (F.col("key") == F.col("__token")), "left")
+        rows = met.select("row", "doc_id", "batch", "at", F.coalesce("__value", "piece").alias("piece"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "")
+    return rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.when(F.count("piece") > 0, whole).alias("text")).select("doc_id", "text")
 
 
 def touched(entries: DataFrame, reads: DataFrame) -> DataFrame:

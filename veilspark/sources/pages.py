@@ -54,16 +54,20 @@ def metadata_problems(items: DataFrame) -> DataFrame:
     return bad.unionByName(empty)
 
 
-def dictionary_problems(values: DataFrame, requested: DataFrame) -> DataFrame:
+def dictionary_problems(values: DataFrame, requested: DataFrame, pull: str | None = None) -> DataFrame:
     """(problem, n) of a pull's values, given the sources asked for
-    (source_path, category). Any row means that the pull fails as a whole."""
+    (source_path, category). Any row means that the pull fails as a whole.
+    ``pull``: a column that tells pulls apart; each has its own bounds and its
+    own rows (pull, problem, n)."""
+    own = values.withColumn("__pull", F.lit(0) if pull is None else F.col(pull))
     long = (F.octet_length("value") > MAX_VALUE) | (F.length("category") > MAX_CATEGORY) | (F.octet_length("source_path") > MAX_PATH) | F.col("value").isNull()
-    counted = lambda df, name: df.groupBy(F.lit(name).alias("problem")).agg(F.count("*").alias("n"))
-    bad = counted(values.where(long), "item out of bounds")
-    foreign = counted(values.join(requested, ["source_path", "category"], "left_anti"), "not requested")
-    sums = values.agg(F.count("*").alias("values"), F.countDistinct("source_path").alias("sources"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"))
-    over = sums.select(F.explode(F.array(*[F.struct(F.lit(f"too many {c}").alias("problem"), F.col(c).cast("long").alias("n"), F.lit(most).alias("most")) for c, most in MOST.items()])).alias("x")).select("x.*").where("n > most").drop("most")
-    return bad.unionByName(foreign).unionByName(over)
+    counted = lambda df, name: df.groupBy("__pull", F.lit(name).alias("problem")).agg(F.count("*").alias("n"))
+    bad = counted(own.where(long), "item out of bounds")
+    foreign = counted(own.join(requested, ["source_path", "category"], "left_anti"), "not requested")
+    sums = own.groupBy("__pull").agg(F.count("*").alias("values"), F.countDistinct("source_path").alias("sources"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"))
+    over = sums.select("__pull", F.explode(F.array(*[F.struct(F.lit(f"too many {c}").alias("problem"), F.col(c).cast("long").alias("n"), F.lit(most).alias("most")) for c, most in MOST.items()])).alias("x")).select("__pull", "x.*").where("n > most").drop("most")
+    all_ = bad.unionByName(foreign).unionByName(over)
+    return all_.drop("__pull") if pull is None else all_.withColumnRenamed("__pull", pull)
 
 
 def feed_problems(pages: DataFrame) -> DataFrame:

@@ -38,11 +38,27 @@ def registered_tools(calls: DataFrame, cap: int) -> DataFrame:
 
 def rate_limited(attempts: DataFrame, per_minute: int = 5, per_hour: int = 20) -> DataFrame:
     """(event_id, in_minute, in_hour, allowed): attempts of the key in the
-    window that ends with each, itself and denied ones included."""
-    s = F.unix_micros(F.col("ts").cast("timestamp"))
-    keyed = attempts.withColumn("__s", s)
-    frame = lambda n: Window.partitionBy("key").orderBy("__s").rangeBetween(-n * 1_000_000, 0)
-    out = keyed.withColumn("in_minute", F.count("*").over(frame(60))).withColumn("in_hour", F.count("*").over(frame(3600)))
+    window that ends with each, itself and denied ones included.
+
+    A key's attempts are counted for each instant and dealt out by the hour,
+    each hour with the one before it. A window's count is how many have come
+    by its end less those before its start, two running sums of that part.
+    """
+    hour = 3600 * 1_000_000
+    keyed = attempts.select("event_id", F.col("key").alias("__key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("__s"))
+    counts = keyed.groupBy("__key", "__s").agg(F.count("*").alias("__n"))
+    own = ((F.col("__s") - F.pmod(F.col("__s"), F.lit(hour))) / hour).cast("long")
+    point = lambda part, at, n, what: F.struct(part.alias("part"), at.alias("at"), n.cast("long").alias("n"), F.lit(what).alias("what"))
+    n, s, none = F.col("__n"), F.col("__s"), F.lit(0)
+    # 0 and 1 ask what has come before a window, 2 is the instant, 3 the same for the next hour
+    points = counts.select("__key", "__s", "__n", F.inline(F.array(point(own, s - 60 * 1_000_000, none, 0), point(own, s - hour, none, 1), point(own, s, n, 2), point(own + 1, s, n, 3))))
+    so_far = F.sum("n").over(Window.partitionBy("__key", "part").orderBy("at", F.col("what") >= 2).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    of = lambda what: F.max(F.when(F.col("what") == what, F.col("so_far")))
+    summed = points.withColumn("so_far", so_far).where("what < 3").groupBy("__key", "part", "__s").agg(of(2).alias("by"), of(0).alias("minute"), of(1).alias("hour"), F.max("__n").alias("__n"))
+    # attempts without a time are one instant, with no other in their window
+    within = lambda c: F.when(F.col("__s").isNull(), F.col("__n")).otherwise(F.col("by") - F.col(c))
+    per = summed.select(F.col("__key").alias("__k"), F.col("__s").alias("__t"), within("minute").alias("in_minute"), within("hour").alias("in_hour"))
+    out = keyed.join(per, F.col("__key").eqNullSafe(F.col("__k")) & F.col("__s").eqNullSafe(F.col("__t")))
     return out.select("event_id", "in_minute", "in_hour", ((F.col("in_minute") <= per_minute) & (F.col("in_hour") <= per_hour)).alias("allowed"))
 
 

@@ -107,3 +107,29 @@ def test_windows_and_labels(spark):
     assert [window_of(s) for s in (10, 11, 0, -10)] == [(8, 10), (9, 11), (0, 0), (-8, -10)]
     rows = with_moved_labels(_table(spark, [(7, [1.0], 9), (14, [1.0], 3), (8, [1.0], 9), (21, [1.0], None)])).collect()
     assert [r.label for r in rows] == [0, 4, 9, None]
+
+
+def test_a_block_of_searches_is_each_of_them():
+    rng = np.random.default_rng(4)
+    for n, spread in ((1, 9), (65, 3), (3000, 40)):
+        v = np.floor(rng.normal(size=(n, 6)) * spread)
+        tree, order = ball_tree(v)
+        qs = np.floor(rng.normal(size=(40, 6)) * spread)
+        may = rng.random((40, n)) < 0.7
+        windows = [[(-1e18, 1e18)] if j % 3 == 0 else [(float(a), float(a + 150)) for a in rng.integers(-100, 300, 3)] for j in range(40)]
+        got = hard_negatives.search_all(tree, order, may, qs, windows, 5)
+        assert got == [[plain_search(tree.vectors, order, may[j], qs[j], a, z, 5) for a, z in windows[j]] for j in range(40)]
+
+
+def test_searches_share_their_products():
+    rng = np.random.default_rng(5)
+    tree, order = ball_tree(np.floor(rng.normal(size=(8192, 64)) * 32))
+    calls = []
+
+    class Counted(np.ndarray):
+        def __matmul__(self, other):
+            calls.append(1)
+            return np.asarray(self) @ np.asarray(other)
+
+    hard_negatives.search_all(tree, order, np.ones((200, 8192), bool), np.floor(rng.normal(size=(200, 64)) * 32).view(Counted), [[(0.0, 1e18)]] * 200, 5)
+    assert len(calls) <= 3 * 128

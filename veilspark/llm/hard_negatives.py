@@ -3,10 +3,12 @@
 Vectors are dealt to blocks of bounded size by a hash, and each block's task
 builds a ball tree: nodes have a centre and a radius, so an anchor's inner
 product with what a node holds lies between q.c - |q|r and q.c + |q|r. A
-search first goes down to one leaf for a first k-th score; then it goes down
+search first reads one leaf for a first k-th score; then it goes down
 level by level and leaves out nodes that lie outside the window of scores or
-strictly beneath the k-th score, and reads the leaves that remain from the
-highest upper bound on, until the next is strictly beneath the k-th score.
+strictly beneath the k-th score, and reads the leaves that remain, those with
+the highest upper bounds first, for a higher k-th score. The searches of a
+block of anchors go through a tree together: bounds and scores are products of
+matrices, over the leaves that each anchor needs.
 Anchors meet all blocks, once for their positives (own label, no window) and
 once for their negatives (other labels, a window for each positive's score).
 """
@@ -28,7 +30,7 @@ SCALE, EVERY, POSITIVES, NEGATIVES, LOW, HIGH = 256, 100, 5, 5, 80, 100
 VECTOR_BLOCK = 8192
 ASK_BLOCK = 512
 LEAF = 64
-#: Leaves read before the k-th score is looked at again.
+#: Leaves read before the k-th score is looked at for the last time.
 LEAVES_AT_ONCE = 8
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Sums below are exact in floats.
@@ -86,58 +88,74 @@ def search(tree: BallTree, ids: np.ndarray, may: np.ndarray, q: np.ndarray, low:
     """(score, id) of the ``k`` best rows of a tree that ``may`` be taken and
     score from ``low`` to ``high``; ties to smaller ids. ``trace`` gets the
     rows read."""
-    length = np.sqrt(q @ q)
-    found: list[tuple[int, int]] = []
-    read = 0
-
-    def bounds(level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = nodes + (1 << level) - 1
-        c, r = tree.centres[at], tree.radii[at]
-        mid, reach = c @ q, length * r
-        slack = 1e-9 * (length * (np.sqrt((c * c).sum(1)) + r) + 1)
-        return mid - reach - slack, mid + reach + slack
-
-    def take(leaves: list[int]) -> None:
-        nonlocal found, read
-        at = np.concatenate([np.arange(len(tree.vectors))[tree.rows(tree.depth, i)] for i in leaves])
-        read += len(at)
-        at = at[may[at]]
-        score = tree.vectors[at] @ q
-        ok = (score >= low) & (score <= high)
-        if len(found) == k:
-            ok &= score >= found[-1][0]
-        best = np.lexsort((ids[at[ok]], -score[ok]))[:k]
-        found = _best(found + [(int(score[ok][i]), int(ids[at[ok][i]])) for i in best], k)
-
-    def bar() -> float:
-        return max(low, found[-1][0]) if len(found) == k else low
-
-    first = np.zeros(1, np.int64)
-    for level in range(1, tree.depth + 1):  # one way down for a first k-th score
-        pair = np.array([2 * first[0], 2 * first[0] + 1])
-        lower, upper = bounds(level, pair)
-        mid = np.where((upper >= low) & (lower <= high), np.minimum((lower + upper) / 2, high), -np.inf)
-        first = pair[[int(np.argmax(mid))]]
-    take([int(first[0])])
-    nodes = np.zeros(1, np.int64)
-    for level in range(tree.depth + 1):
-        lower, upper = bounds(level, nodes)
-        on = (upper >= bar()) & (lower <= high)
-        nodes, upper = nodes[on], upper[on]
-        if level < tree.depth:
-            nodes = np.concatenate([2 * nodes, 2 * nodes + 1])
-    on = nodes != first[0]
-    nodes, upper = nodes[on], upper[on]
-    by = np.argsort(-upper, kind="stable")
-    for i in range(0, len(by), LEAVES_AT_ONCE):
-        some = by[i : i + LEAVES_AT_ONCE]
-        some = some[upper[some] >= bar()]
-        if not len(some):
-            break
-        take(nodes[some].tolist())
+    return search_all(tree, ids, may[None, :], q[None, :], [[(low, high)]], k, trace)[0][0]
+
+
+def search_all(tree: BallTree, ids: np.ndarray, may: np.ndarray, qs: np.ndarray, windows: list[list[tuple[float, float]]], k: int, trace: list | None = None) -> list[list[list[tuple[int, int]]]]:
+    """search() for each of a block of vectors ``qs`` and each of its windows
+    (low, high); ``may`` has a row for each vector. Bounds of all nodes and
+    scores of a leaf's rows are products of matrices for all vectors that need
+    them; a leaf's rows are scored once for all windows of a vector."""
+    of = np.repeat(np.arange(len(qs)), [len(w) for w in windows])
+    low, high = np.array([x for w in windows for x in w], np.float64).reshape(-1, 2).T
+    length = np.sqrt((qs * qs).sum(1))
+    size = np.sqrt((tree.centres * tree.centres).sum(1)) + tree.radii
+    mid = tree.centres @ qs.T
+    reach = tree.radii[:, None] * length + 1e-9 * (size[:, None] * length + 1)
+    lower, upper = mid - reach, mid + reach
+    leaves, at_leaf = 1 << tree.depth, (1 << tree.depth) - 1
+    scores = np.full(may.shape, -np.inf)
+    read = np.zeros((leaves, len(qs)), bool)
+    bar = low.copy()
+
+    def take(wanted: np.ndarray) -> None:
+        """Scores of the leaves ``wanted`` (leaf, vector) that weren't read."""
+        for leaf in np.flatnonzero((wanted & ~read).any(1)).tolist():
+            who, rows = np.flatnonzero(wanted[leaf] & ~read[leaf]), tree.rows(tree.depth, leaf)
+            scores[who, rows] = np.where(may[who, rows], qs[who] @ tree.vectors[rows].T, -np.inf)
+        read[wanted] = True
+
+    def best(j: int, a: float, z: float) -> np.ndarray:
+        at = np.flatnonzero((scores[j] >= max(a, -1.7e308)) & (scores[j] <= z))
+        if len(at) > k:
+            least = np.partition(scores[j, at], len(at) - k)[len(at) - k]
+            at = at[scores[j, at] >= least]
+        return at[np.lexsort((ids[at], -scores[j, at]))[:k]]
+
+    def alive() -> np.ndarray:
+        """Leaves (leaf, search) that neither they nor what they stand under
+        rule out."""
+        on = np.ones((1, len(of)), bool)
+        for level in range(tree.depth + 1):
+            nodes = slice((1 << level) - 1, (2 << level) - 1)
+            on = (on if level == 0 else np.repeat(on, 2, axis=0)) & (upper[nodes][:, of] >= bar) & (lower[nodes][:, of] <= high)
+        return on
+
+    def any_of(on: np.ndarray) -> np.ndarray:
+        out = np.zeros((leaves, len(qs)), bool)
+        np.logical_or.at(out, (slice(None), of), on)
+        return out
+
+    for some in (1, LEAVES_AT_ONCE, leaves):
+        on = alive()
+        if some < leaves:  # those with the highest bounds first, for a k-th score
+            height = np.where(on, np.minimum(mid[at_leaf:][:, of], high) if some == 1 else upper[at_leaf:][:, of], -np.inf)
+            first = np.argpartition(-height, some - 1, axis=0)[:some] if some < len(height) else np.argsort(-height, axis=0)
+            picked = np.zeros_like(on)
+            np.put_along_axis(picked, first, True, axis=0)
+            take(any_of(on & picked))
+            for i, j in enumerate(of.tolist()):
+                found = best(j, bar[i], high[i])
+                if len(found) == k:
+                    bar[i] = max(bar[i], scores[j, found[-1]])
+        else:
+            take(any_of(on))
     if trace is not None:
-        trace.append(read)
-    return found
+        trace += [int(sum(tree.rows(tree.depth, leaf).stop - tree.rows(tree.depth, leaf).start for leaf in np.flatnonzero(read[:, j]))) for j in range(len(qs))]
+    out: list[list[list[tuple[int, int]]]] = [[] for _ in windows]
+    for i, j in enumerate(of.tolist()):
+        out[j].append([(int(scores[j, x]), int(ids[x])) for x in best(j, low[i], high[i])])
+    return out
 
 
 def plain_search(vectors: np.ndarray, ids: np.ndarray, may: np.ndarray, q: np.ndarray, low: int, high: int, k: int) -> list[tuple[int, int]]:
@@ -200,16 +218,16 @@ def _searched(k: int, low: int | None, high: int | None):
                 tree, most, out = (measured(v, depth) if depth >= 0 else None), np.abs(v).max(), []
                 asks = frame["asks"][i].values
                 vecs = asks.field("vec").flatten().to_numpy().reshape(-1, dim)
-                for j, (who, row, label, scores) in enumerate(zip(*(asks.field(c).to_pylist() for c in ("vec_id", "row", "label", "scores")), strict=True)):
-                    q = vecs[j]
-                    plain = tree is None or most * np.abs(q).max() * dim >= EXACT
-                    may = (ids != who) & ((labels == label) if low is None else (labels != label))
-                    if not may.any():
-                        continue
-                    for s in scores:
-                        a, b = (LEAST, MOST) if low is None else window_of(s, low, high)
-                        found = plain_search(v, ids, may, q, a, b, k) if plain else search(tree, ids, may, q, a, b, k)
-                        out += [(who, row, s, other, score) for score, other in found]
+                whos, rows, kinds, asked = (asks.field(c).to_pylist() for c in ("vec_id", "row", "label", "scores"))
+                of = lambda s: (LEAST, MOST) if low is None else window_of(s, low, high)
+                plain = np.full(len(vecs), tree is None) | (most * np.abs(vecs).max(1) * dim >= EXACT)
+                own = np.array(kinds, np.int64)[:, None]
+                may = (ids[None, :] != np.array(whos, np.int64)[:, None]) & ((labels[None, :] == own) if low is None else (labels[None, :] != own))
+                at = np.flatnonzero(~plain & may.any(1)).tolist()
+                found = dict(zip(at, search_all(tree, ids, may[at], vecs[at], [[of(s) for s in asked[j]] for j in at], k), strict=True)) if at else {}
+                found |= {j: [plain_search(v, ids, may[j], vecs[j], *of(s), k) for s in asked[j]] for j in np.flatnonzero(plain & may.any(1)).tolist()}
+                for j, each in found.items():
+                    out += [(whos[j], rows[j], s, other, score) for s, best in zip(asked[j], each, strict=True) for score, other in best]
                 columns = list(zip(*out, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in zip(("anchor_id", "row", "positive_score", "other_id", "score"), columns, strict=True)})
 

@@ -37,6 +37,8 @@ from .suffix_array import PrefixHashes, common_prefixes, suffix_array
 LENGTH = 50
 GRAM = 20
 FILTER_BITS = 1 << 27
+#: 128 MiB in each worker; bits for each repeated anchor, up to that.
+MOST_FILTER_BITS, BITS_EACH = 1 << 30, 8
 BUCKET_BYTES = 8 << 20
 SHARD_BYTES = 1 << 20
 HOT_ROWS = 2048
@@ -162,7 +164,7 @@ def _repeated_bits(hot_rows: int):
             first = np.concatenate(([0], np.flatnonzero((h[1:] ^ h[:-1]) >> _U(16)) + 1))
             n = np.add.reduceat((h & _U(0xFFFF)).astype(np.int64), first)
             anchors = h[first] >> _U(16)
-            bits = np.unique((anchors[n > 1] >> _U(21)).astype(np.int64))
+            bits = np.unique((anchors[n > 1] >> _U(16)).astype(np.int64))
             hot = anchors[n >= hot_rows]
             yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "bits": [bits.astype("<u4").tobytes()], "hot": [hot.astype("<u8").tobytes()], "n": [int(n.sum())]})
 
@@ -212,7 +214,7 @@ def _stretches(length: int, buckets: int, bits, hot):
     """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = None if bits is None else np.frombuffer(bits.value, np.uint8)
+        flags = np.frombuffer(bits.value, np.uint8)
         hots = np.frombuffer(hot.value, "<u8")
         for frame in frames:
             texts = _bytes(frame["text"])
@@ -222,10 +224,9 @@ def _stretches(length: int, buckets: int, bits, hot):
             if got is None:
                 continue
             doc, lo, hi, h = got
-            if flags is not None:
-                b = (h >> _U(37)).astype(np.int64)
-                kept = (flags[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
-                doc, lo, hi, h = doc[kept], lo[kept], hi[kept], h[kept]
+            b = (h >> _U(65 - (len(flags) * 8).bit_length())).astype(np.int64)
+            kept = (flags[b >> 3] >> (b & 7).astype(np.uint8)) & 1 == 1
+            doc, lo, hi, h = doc[kept], lo[kept], hi[kept], h[kept]
             is_hot = np.isin(h >> _U(16), hots)
             table, raw = [np.zeros(0, _STRETCH)], []
             if is_hot.any():
@@ -422,6 +423,11 @@ def _without_copies(keyed: DataFrame, rows: DataFrame, length: int) -> tuple[Dat
     return marked.where("low is null or order = low").drop("low"), copies.select("doc_id", "n")
 
 
+def filter_bits(anchors: int) -> int:
+    """Bits of the filter for so many repeated anchors: a power of two."""
+    return min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << max(0, int(anchors) * BITS_EACH - 1).bit_length()))
+
+
 def repeated_spans(keyed: DataFrame, total: int, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(order, th, lo, hi): parts of windows of ``length`` bytes that also
     start in a document with a smaller order; parts may overlap.
@@ -438,12 +444,12 @@ def repeated_spans(keyed: DataFrame, total: int, length: int = LENGTH, hot_rows:
     n_set, n_all = (x or 0 for x in found.agg(F.sum(F.length("bits") / 4), F.sum("n")).first())
     if n_all > hot_rows * HOT_ANCHORS:
         return repeated_spans(keyed, total, length, -(-n_all // HOT_ANCHORS))
-    bits = None
-    if n_set <= FILTER_BITS / 8:
-        flags = np.zeros(FILTER_BITS, bool)
-        for row in found.select("bits").toLocalIterator():
-            flags[np.frombuffer(row["bits"], "<u4")] = True
-        bits = spark.sparkContext.broadcast(np.packbits(flags, bitorder="little").tobytes())
+    size = filter_bits(n_set)
+    flags = np.zeros(size >> 3, np.uint8)
+    for row in found.select("bits").toLocalIterator():
+        at = (np.frombuffer(row["bits"], "<u4") >> np.uint32(33 - size.bit_length())).astype(np.int64)
+        np.bitwise_or.at(flags, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    bits = spark.sparkContext.broadcast(flags.tobytes())
     hot = spark.sparkContext.broadcast(np.sort(np.frombuffer(b"".join(r["hot"] for r in found.select("hot").where(F.length("hot") > 0).toLocalIterator()), "<u8")).tobytes())
     packed = keyed.select(F.col("order").alias("doc_id"), "text", "th").mapInArrow(released(_stretches(length, buckets, bits, hot)), "bucket int, ids binary, hashes binary, table binary, bytes binary")
     spans = packed.repartition(min(buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(released(_repeats(length, SHARD_BYTES)), "doc_id long, th long, lo long, hi long")

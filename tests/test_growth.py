@@ -1,9 +1,12 @@
 """Steps whose work must not grow faster than their input."""
 
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import mask_token
-from veilspark.operators import ledger, mapping
+from veilspark.operators import cascade, ledger, mapping
 from veilspark.sources import pages
 
 
@@ -40,3 +43,14 @@ def test_rate_windows_are_dealt_out_by_the_hour(spark):
     assert "specifiedwindowframe(RangeFrame, -" not in found._jdf.queryExecution().optimizedPlan().toString()
     near = lambda t, n: sum(x is None if t is None else x is not None and t - n <= x <= t for x in at)
     assert {tuple(r) for r in found.collect()} == {(i + add, m := near(t, 60), h := near(t, 3600), m <= 2 and h <= 6) for add in (0, 100) for i, t in enumerate(at)}
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_cells_are_not_dealt_out_by_their_field(spark, monkeypatch, most):
+    monkeypatch.setattr(cascade, "BROADCAST_FIELDS", most)
+    cells = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("/t").alias("ptr"), F.when(F.col("id") == 7, "n").when(F.col("id") > 7, "T").alias("field"))
+    facts = spark.createDataFrame([("t", "a"), ("n", "b")], "__field string, fact string")
+    met = cascade.with_facts(cells, facts)
+    assert Counter(r["fact"] for r in met.collect()) == {"a": 1992, "b": 1, None: 7} and met.columns == ["doc_id", "ptr", "field", "fact"]
+    plan = met._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan if most else "__deal" in plan

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PERSON_VALUE, REMOVED, compact_secret_name, cut_secret_values, mask_token, replace_matches, secret_name
+from ..session import written
 from . import policy as policies
 from .access import listed_secrets, person_source
 from .dictionary import held_values, marked_values
@@ -102,6 +103,21 @@ def field_facts(cells: DataFrame, evidence: DataFrame, own: Policy) -> DataFrame
     return met.select("field", (F.col("cut") | secret_name(F.col("field"))).alias("secret"), "cut", "person", "unverified", "secret_rule", "rule")
 
 
+#: Facts of so many fields are sent to all tasks; of more, each has PARTS copies.
+BROADCAST_FIELDS, PARTS = 100_000, 64
+
+
+def with_facts(cells: DataFrame, facts: DataFrame) -> DataFrame:
+    """``cells`` with the facts of their field (__field). Fields are few and
+    some have most of the cells, so cells are never dealt out by field alone."""
+    facts = written(facts, "fields")
+    if facts.count() <= BROADCAST_FIELDS:
+        return cells.join(F.broadcast(facts), F.lower("field") == F.col("__field"), "left").drop("__field")
+    copies = facts.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    dealt = cells.withColumn("__deal", F.pmod(F.xxhash64("doc_id", "ptr"), F.lit(PARTS)))
+    return dealt.join(copies, (F.lower("field") == F.col("__field")) & (F.col("__deal") == F.col("__part")), "left").drop("__field", "__part", "__deal")
+
+
 # --- documents ----------------------------------------------------------------
 
 
@@ -169,7 +185,7 @@ def cascade(cells: DataFrame, evidence: DataFrame, own: Policy, carry: tuple[str
     kind = F.col("kind") if "kind" in cells.columns else F.lit("string")
     base = cells.select("doc_id", "ptr", "field", "value", kind.alias("kind"), *carry)
     facts = field_facts(base, evidence, own).withColumnRenamed("field", "__field")
-    known = base.join(facts, F.lower("field") == F.col("__field"), "left").drop("__field")
+    known = with_facts(base, facts)
     known = known.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("secret", "cut", "person", "unverified")})
     met = known.join(document_facts(known), F.col("doc_id") == F.col("doc"), "left").drop("doc")
     no = lambda c: F.coalesce(F.col(c), F.lit(False))

@@ -37,6 +37,8 @@ class Tokens:
     def __init__(self, entries: dict[str, list], limit: int, ttl_ms: int) -> None:
         self.entries, self.limit, self.ttl = entries, limit, ttl_ms
         self.changed: set[str] = set()
+        #: Batches of the entries that got any, in order; put into them by take().
+        self.batches: dict[str, dict[str, None]] = {}
 
     def publish(self, at: int, batch: str, rows: list[tuple[int, str, str]]) -> list[tuple[int, str, str | None, str]]:
         out: list[tuple[int, str, str | None, str]] = []
@@ -48,11 +50,13 @@ class Tokens:
         expired = {t for t in gone if t in own}
         for t in gone:
             del self.entries[t]
+            self.batches.pop(t, None)
             self.changed.add(t)
         over = len(self.entries) + len(new) - self.limit
         if over > 0:
             for t in sorted((t for t in self.entries if t not in own), key=lambda t: (self.entries[t][3], self.entries[t][4], t))[:over]:
                 out.append((rows[0][0], t, self.entries.pop(t)[0], "evicted"))
+                self.batches.pop(t, None)
                 self.changed.add(t)
         for seq, t, value in rows:
             e = self.entries.get(t)
@@ -60,7 +64,9 @@ class Tokens:
                 self.entries[t] = [value, batch, at, at, seq, at + self.ttl]
                 out.append((seq, t, value, "replaced" if t in expired else "new"))
             else:
-                e[1] = e[1] if batch in e[1].split(_SEP) else f"{e[1]}{_SEP}{batch}"
+                if t not in self.batches:
+                    self.batches[t] = dict.fromkeys(e[1].split(_SEP))
+                self.batches[t][batch] = None
                 e[3], e[4], e[5] = at, seq, max(e[5], at + self.ttl)
                 out.append((seq, t, e[0], "reused"))
             self.changed.add(t)
@@ -90,6 +96,9 @@ class Tokens:
                 found = [self.resolve(at, seq, token)]
             out += [(at, s, batch, kind, t, v, status) for s, t, v, status in found]
             i = j
+        for t, own in self.batches.items():
+            self.entries[t][1] = _SEP.join(own)
+        self.batches.clear()
         return out
 
 

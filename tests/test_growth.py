@@ -2,12 +2,14 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import mask_token
-from veilspark.operators import cascade, ledger, mapping
+from veilspark.operators import automata, cascade, ledger, mapping
 from veilspark.sources import pages
+from veilspark.streaming import store
 
 
 def test_a_text_meets_its_own_tokens_only(spark):
@@ -54,3 +56,34 @@ def test_cells_are_not_dealt_out_by_their_field(spark, monkeypatch, most):
     assert Counter(r["fact"] for r in met.collect()) == {"a": 1992, "b": 1, None: 7} and met.columns == ["doc_id", "ptr", "field", "fact"]
     plan = met._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan if most else "__deal" in plan
+
+
+def test_batches_of_a_token_are_put_together_once(monkeypatch):
+    reads = []
+
+    class Text(str):
+        def split(self, *a):
+            reads.append(1)
+            return str.split(self, *a)
+
+    own = store.Tokens({"t": ["v", Text("a"), 0, 0, 0, 10**6]}, 9, 10**6)
+    out = own.take([(i, i, f"b{i % 50}", "publish", "t", "v") for i in range(1, 500)])
+    assert {x[6] for x in out} == {"reused"} and len(reads) == 1
+    assert own.entries["t"][1].split(store._SEP) == ["a", *[f"b{i % 50}" for i in range(1, 51)]]
+    # an entry that expires starts with its new batch alone, later calls add to it
+    own.take([(10**7, 1, "x", "publish", "t", "v"), (10**7 + 1, 2, "y", "publish", "t", "v")])
+    assert own.entries["t"][1] == f"x{store._SEP}y"
+
+
+def test_texts_pass_an_automaton_in_small_parts(monkeypatch):
+    monkeypatch.setattr(automata, "SLICE_BYTES", 100)
+
+    class Shared:
+        value = {"a": "A"}
+
+    texts = ["xa" * 20, None, "", "a" * 300, *["a"] * 150]
+    frame = pa.RecordBatch.from_pydict({"t": texts})
+    for run in (automata.parts, automata.contained, automata.held):
+        out = list(run("t", "o", automata.content_key(Shared.value), Shared)(iter([frame])))
+        assert len(out) >= 4 and [x for o in out for x in o["t"].to_pylist()] == texts
+    assert list(automata.slices(iter([frame.slice(0, 0)]), "t")) == []

@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _built: dict[str, object] = {}
 #: Automata that a worker holds at most.
@@ -52,12 +53,31 @@ def leftmost_longest(own, text: str) -> list[tuple[int, str, str]]:
     return out
 
 
+#: Bytes of texts, about, whose parts a worker holds at once.
+SLICE_BYTES = 1 << 20
+
+
+def slices(frames: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The frames cut to rows with about SLICE_BYTES of ``column``, one row at
+    least; what is made of a text is many times its size in Python."""
+    for frame in frames:
+        n, at = frame.num_rows, 0
+        sizes = [0 if x is None else x for x in pc.binary_length(frame[column]).to_pylist()]
+        while at < n:
+            to, size = at, 0
+            while to < n and (to == at or size + sizes[to] <= SLICE_BYTES):
+                size += sizes[to]
+                to += 1
+            yield frame.slice(at, to - at)
+            at = to
+
+
 def parts(column: str, name: str, key: str, shared):
     """Adds ``name``: the text of ``column`` in parts (before, value, category)."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("before", pa.string()), ("value", pa.string()), ("category", pa.string())]))
-        for frame in frames:
+        for frame in slices(frames, column):
             own, out = automaton(key, shared.value), []
             for text in frame[column].to_pylist():
                 at, row = 0, []
@@ -75,7 +95,7 @@ def contained(column: str, name: str, key: str, shared):
     each once, in order."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
+        for frame in slices(frames, column):
             own = automaton(key, shared.value)
             out = [sorted({v for _, (v, _) in own.iter(text)}) if text else [] for text in frame[column].to_pylist()]
             yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(out, pa.list_(pa.string()))], names=[*frame.schema.names, name])
@@ -89,7 +109,7 @@ def held(column: str, name: str, key: str, shared):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("value", pa.string()), ("category", pa.string())]))
-        for frame in frames:
+        for frame in slices(frames, column):
             own = automaton(key, shared.value)
             out = [[{"value": v, "category": c} for v, c in sorted({x for _, x in own.iter(text)})] if text else [] for text in frame[column].to_pylist()]
             yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(out, kind)], names=[*frame.schema.names, name])

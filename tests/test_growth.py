@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import mask_token
-from veilspark.operators import automata, cascade, ledger, mapping
+from veilspark.operators import automata, cascade, ledger, mapping, routing
 from veilspark.sources import pages
 from veilspark.streaming import store
 
@@ -87,3 +87,12 @@ def test_texts_pass_an_automaton_in_small_parts(monkeypatch):
         out = list(run("t", "o", automata.content_key(Shared.value), Shared)(iter([frame])))
         assert len(out) >= 4 and [x for o in out for x in o["t"].to_pylist()] == texts
     assert list(automata.slices(iter([frame.slice(0, 0)]), "t")) == []
+
+
+def test_texts_of_a_shard_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(routing, "PART_BYTES", 100)
+    texts = spark.range(400).select("id", F.concat(F.lit("a needle "), F.col("id").cast("string")).alias("text")).withColumnRenamed("id", "doc_id")
+    found = routing.matches(texts, spark.createDataFrame([("needle", "N")], "value string, category string"))
+    assert {(r["doc_id"], r["start"]) for r in found.collect()} == {(i, 2) for i in range(400)}
+    per = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(per) > 2 and max(r["count"] for r in per) < 300

@@ -4,8 +4,9 @@ they may hold.
 Each value has an anchor, the run of GRAM bytes that fewest values share, and
 goes to the shard of its anchor; shorter values are their own anchors. A text
 visits only shards of anchors that it holds, for which a bitmap of all anchors
-(at most MOST_BITS) is sent to the tasks. A shard's task builds one automaton
-of its values and reads its texts through it. All matches of a text meet again,
+(at most MOST_BITS) is sent to the tasks. A shard's texts are dealt out to parts
+of about PART_BYTES; the task of a part builds one automaton of the shard's
+values and reads its texts through it. All matches of a text meet again,
 and the leftmost-longest ones are taken across shards. The dictionary is never
 on the driver, and no task holds more than a shard of it.
 """
@@ -26,6 +27,8 @@ from ..session import written
 GRAM = 4
 #: Bytes of the values of a shard, about.
 SHARD_BYTES = 32 << 20
+#: Bytes of the texts that one task reads through a shard, about.
+PART_BYTES = 32 << 20
 MOST_BITS = 1 << 27
 MATCH = "doc_id long, start int, length int, value string, category string"
 _U = np.uint64
@@ -78,25 +81,27 @@ def _placed(bits: int, shards: int):
 def _routed(bits: int, shards: int, sizes: tuple[int, ...], bitmap):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            ids, places = [], []
+            ids, places, lengths = [], [], []
             for i, text in zip(frame["doc_id"].to_pylist(), frame["text"].to_pylist(), strict=True):
-                h = _mix(grams((text or "").encode(), sizes))
+                raw = (text or "").encode()
+                h = _mix(grams(raw, sizes))
                 at = h & _U(bits - 1)
                 hit = bitmap.value[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1) == 1
                 own = np.unique((h[hit] >> _U(32)) % _U(shards)).tolist()
                 ids += [i] * len(own)
                 places += own
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "shard": pa.array(places, pa.int64())})
+                lengths += [len(raw)] * len(own)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "shard": pa.array(places, pa.int64()), "n": pa.array(lengths, pa.int64())})
 
     return run
 
 
 def _matched(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All matches of the texts of each shard; its values come first."""
+    """All matches of the texts of each part of a shard; its values come first."""
     import ahocorasick
 
     rows = (r for frame in frames for r in frame.to_pylist())
-    for _, own in groupby(rows, lambda r: r["shard"]):
+    for _, own in groupby(rows, lambda r: (r["shard"], r["part"])):
         automaton, made, out = ahocorasick.Automaton(), False, []
 
         def batch():
@@ -143,11 +148,16 @@ def matches(texts: DataFrame, dictionary: DataFrame, shard_bytes: int = SHARD_BY
     bitmap = np.zeros(bits >> 6, _U)
     bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(_U)
     base = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    routes = base.mapInArrow(_routed(bits, shards, tuple(size[2]), spark.sparkContext.broadcast(bitmap)), "doc_id long, shard long")
+    routes = written(base.mapInArrow(_routed(bits, shards, tuple(size[2]), spark.sparkContext.broadcast(bitmap)), "doc_id long, shard long, n long"), "routes")
+    # a row for each shard, of which there are few: each has SHARD_BYTES of values
+    sizes = written(routes.groupBy("shard").agg(F.ceil((F.sum("n") + 1) / PART_BYTES).cast("long").alias("parts")), "parts")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sizes.agg(F.sum("parts")).first()[0] or 1)
     none = F.lit(None).cast("string")
-    visits = routes.join(base, "doc_id").select("shard", F.lit(1).alias("kind"), "doc_id", "text", none.alias("value"), none.alias("category"))
-    held = placed.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), none.alias("text"), "value", "category")
-    return held.unionByName(visits).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_matched, MATCH)
+    dealt = routes.join(F.broadcast(sizes), "shard").select("doc_id", "shard", F.pmod(F.xxhash64("doc_id"), "parts").alias("part"))
+    visits = dealt.join(base, "doc_id").select("shard", "part", F.lit(1).alias("kind"), "doc_id", "text", none.alias("value"), none.alias("category"))
+    copies = placed.join(F.broadcast(sizes), "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    held = copies.select("shard", "part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), none.alias("text"), "value", "category")
+    return held.unionByName(visits).repartition(tasks, "shard", "part").sortWithinPartitions("shard", "part", "kind").mapInArrow(_matched, MATCH)
 
 
 def leftmost_longest(found: DataFrame) -> DataFrame:

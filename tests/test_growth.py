@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import mask_token
-from veilspark.operators import automata, cascade, ledger, mapping, routing
+from veilspark.operators import automata, blocks, cascade, ledger, mapping, masking, routing
+from veilspark.plans import QUERIES
 from veilspark.sources import pages
 from veilspark.streaming import store
 
@@ -96,3 +97,23 @@ def test_texts_of_a_shard_are_dealt_out(spark, monkeypatch):
     assert {(r["doc_id"], r["start"]) for r in found.collect()} == {(i, 2) for i in range(400)}
     per = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(per) > 2 and max(r["count"] for r in per) < 300
+
+
+RESULTS = [
+    (1, '{"content":[{"type":"text","text":"x"},{"type":"json","json":{"rows":[{"a/b":1,"A/B":{"x":[1,2]}},{},{"c~":null}]}},{"type":"json"}],"structured_content":[{"N":1}]}'),
+    (2, '{"data":[{"Id":1},{"iD":"[MASK:v1:K:0]"}],"rest":[1]}'), (3, '{"data":[]}'), (4, "[{}]"), (5, '[{"":5},{"b":true}]'), (6, "no json"), (7, None), (8, '{"rows":[{"a":1},null]}'), (9, "[[1]]"), (10, "7"),
+]
+
+
+def _parses(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson")
+
+
+def test_results_are_parsed_once_for_their_coordinates(spark, sf_dir):
+    assert _parses(QUERIES["report_coordinates"](spark, sf_dir)) == 0
+    results = spark.createDataFrame(RESULTS, "doc_id long, json string")
+    schema = spark.createDataFrame([(d, i, n) for d in range(1, 11) for i, n in enumerate(("ID", "n", "a/b"))], "doc_id long, pos int, name string")
+    found = blocks.result_blocks(results)
+    cells = blocks.table_cells(found)
+    expected = blocks.coordinates(masking.walk_json(results), found, cells, blocks.table_columns(cells, schema)).collect()
+    assert len(expected) > 15 and Counter(expected) == Counter(blocks.result_coordinates(masking.walk_json(results), results, schema).collect())

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.json import DISPLAY_KEYS
 from ..functions.text import REMOVED, ascii_lower, pointer_escape
+from ..session import written
 
 _KIND = {"VOID": "null", "BOOLEAN": "boolean", "STRING": "string"}
 
@@ -53,10 +54,10 @@ def result_blocks(results: DataFrame) -> DataFrame:
     array of objects that have keys at all; everything else is text, JSON in canonical form.
     Bad JSON is one text block as it is; null has no blocks.
     """
-    v = F.try_parse_json("json")
     none = F.lit(None).cast("string")
     item = lambda ptr, text, value: F.struct(ptr.alias("ptr"), text.alias("text"), value.alias("value"))
     empty = F.try_parse_json(F.lit(None).cast("string"))
+    no_items = F.expr("cast(array() as array<struct<ptr:string,text:string,value:variant>>)")
 
     def typed(x: Column, i: Column) -> Column:
         at = F.concat(F.lit("/content/"), i.cast("string"))
@@ -64,18 +65,22 @@ def result_blocks(results: DataFrame) -> DataFrame:
         body = F.try_variant_get(x, "$.json", "variant")
         return F.when((kind == "text") & _string(x, "$.text").isNotNull(), item(at, _string(x, "$.text"), empty)).when(kind == "json", item(F.concat(at, F.lit("/json")), none, F.coalesce(body, F.parse_json(F.lit("null")))))
 
-    content = F.try_variant_get(v, "$.content", "array<variant>")
-    listed = F.filter(F.transform(content, typed), lambda b: b.isNotNull())
-    structured = F.try_variant_get(v, "$.structured_content", "variant")
-    some = F.concat(F.coalesce(listed, F.expr("cast(array() as array<struct<ptr:string,text:string,value:variant>>)")), F.when(structured.isNotNull(), F.array(item(F.lit("/structured_content"), none, structured))).otherwise(F.expr("cast(array() as array<struct<ptr:string,text:string,value:variant>>)")))
-    whole = F.array(item(F.lit(""), F.when(v.isNull(), F.col("json")), v))
-    each = results.where("json is not null").select("doc_id", F.posexplode(F.when(F.size(some) > 0, some).otherwise(whole)).alias("block", "b")).select("doc_id", "block", "b.*")
+    # each step is a projection of its own: what is used twice is worked out once
+    parsed = results.where("json is not null").select("doc_id", "json", F.try_parse_json("json").alias("v"))
+    parts = parsed.select("doc_id", "json", "v", F.try_variant_get("v", "$.content", "array<variant>").alias("content"), F.try_variant_get("v", "$.structured_content", "variant").alias("structured"))
+    listed = F.coalesce(F.filter(F.transform("content", typed), lambda b: b.isNotNull()), no_items)
+    some = F.concat(listed, F.when(F.col("structured").isNotNull(), F.array(item(F.lit("/structured_content"), none, F.col("structured")))).otherwise(no_items))
+    whole = F.array(item(F.lit(""), F.when(F.col("v").isNull(), F.col("json")), F.col("v")))
+    each = parts.select("doc_id", "json", "v", some.alias("some")).select("doc_id", F.posexplode(F.when(F.size("some") > 0, F.col("some")).otherwise(whole)).alias("block", "b")).select("doc_id", "block", "b.*")
     inside = lambda key: F.when(_is(F.try_variant_get("value", f"$.{key}", "variant"), "ARRAY"), F.try_variant_get("value", f"$.{key}", "array<variant>"))
     own = F.when(_is(F.col("value"), "ARRAY"), F.try_variant_get("value", "$", "array<variant>"))
-    at = F.when(own.isNotNull(), F.col("ptr")).when(inside("rows").isNotNull(), F.concat("ptr", F.lit("/rows"))).when(inside("data").isNotNull(), F.concat("ptr", F.lit("/data")))
-    each = each.withColumn("rows", F.coalesce(own, inside("rows"), inside("data"))).withColumn("rows_ptr", at)
-    table = F.coalesce((F.size("rows") > 0) & F.forall("rows", lambda r: _is(r, "OBJECT")) & F.exists("rows", lambda r: F.to_json(r) != "{}"), F.lit(False))
-    return each.select("doc_id", "block", "ptr", F.when(table, F.col("rows_ptr")).alias("rows_ptr"), F.when(table, "table").otherwise("text").alias("kind"), F.when(~table, F.coalesce("text", F.to_json("value"))).alias("text"), F.when(table, F.col("rows")).alias("rows"))
+    each = each.select("*", own.alias("own"), inside("rows").alias("in_rows"), inside("data").alias("in_data"))
+    at = F.when(F.col("own").isNotNull(), F.col("ptr")).when(F.col("in_rows").isNotNull(), F.concat("ptr", F.lit("/rows"))).when(F.col("in_data").isNotNull(), F.concat("ptr", F.lit("/data")))
+    each = each.select("doc_id", "block", "ptr", "text", "value", F.coalesce("own", "in_rows", "in_data").alias("rows"), at.alias("rows_ptr"))
+    each = each.withColumn("kinds", F.transform("rows", F.schema_of_variant))
+    table = F.coalesce((F.size("kinds") > 0) & F.forall("kinds", lambda k: k.startswith("OBJECT")) & F.exists("kinds", lambda k: k != "OBJECT<>"), F.lit(False))
+    each = each.withColumn("table", table)
+    return each.select("doc_id", "block", "ptr", F.when(F.col("table"), F.col("rows_ptr")).alias("rows_ptr"), F.when(F.col("table"), "table").otherwise("text").alias("kind"), F.when(~F.col("table"), F.coalesce("text", F.to_json("value"))).alias("text"), F.when(F.col("table"), F.col("rows")).alias("rows"))
 
 
 def table_cells(blocks: DataFrame) -> DataFrame:
@@ -92,6 +97,16 @@ def table_cells(blocks: DataFrame) -> DataFrame:
     return cells.select("doc_id", "block", "row", "key", "ptr", scalar.alias("type"), text.alias("value"))
 
 
+def outline(blocks: DataFrame) -> DataFrame:
+    """(doc_id, block, ptr, row, key, cell) of ``blocks``: a row for each cell
+    (cell: its path) and for each block that has none, without any value, in
+    the shared folder: results are read once, however often it is used."""
+    rows = blocks.select("doc_id", "block", "ptr", "rows_ptr", F.posexplode_outer("rows").alias("row", "object"))
+    each = rows.lateralJoin(blocks.sparkSession.tvf.variant_explode_outer(F.col("object").outer()))
+    at = F.when(F.col("key").isNotNull(), F.concat_ws("/", "rows_ptr", F.col("row").cast("string"), pointer_escape(F.col("key"))))
+    return written(each.select("doc_id", "block", "ptr", "row", "key", at.alias("cell")), "outline")
+
+
 def table_columns(cells: DataFrame, schema: DataFrame) -> DataFrame:
     """(doc_id, block, col, id, type, masked) of tables' cells: the columns of
     the result's schema (doc_id, pos, name) in their order, under the name that
@@ -99,9 +114,10 @@ def table_columns(cells: DataFrame, schema: DataFrame) -> DataFrame:
     order. type: the one type of the values, mixed, or null."""
     low = ascii_lower
     keys = cells.groupBy("doc_id", "block", "key").agg(F.min(F.struct("row", "key")).alias("first"), F.collect_set(F.when(F.col("type") != "null", F.col("type"))).alias("types"), F.bool_or(F.coalesce(F.contains("value", F.lit("[MASK:v1:")) | F.contains("value", F.lit(REMOVED)), F.lit(False))).alias("masked"))
-    keys = keys.withColumn("low", low(F.col("key")))
+    # all that follows has a row for each key: the cells are read once
+    keys = written(keys.withColumn("low", low(F.col("key"))), "keys")
     by_low = keys.groupBy("doc_id", "block", "low").agg(F.min_by("key", "first").alias("key"), F.array_distinct(F.flatten(F.collect_list("types"))).alias("types"), F.bool_or("masked").alias("masked"))
-    tables = cells.select("doc_id", "block").distinct()
+    tables = keys.select("doc_id", "block").distinct()
     wanted = schema.where("name is not null").groupBy("doc_id", low(F.col("name")).alias("low")).agg(F.min(F.struct("pos", "name")).alias("s")).join(tables, "doc_id")
     named = wanted.join(by_low, ["doc_id", "block", "low"], "left").select("doc_id", "block", F.lit(0).alias("extra"), F.col("s.pos").alias("pos"), F.coalesce("key", "s.name").alias("id"), "types", "masked", "low")
     extra = keys.join(wanted.select("doc_id", "block", "low"), ["doc_id", "block", "low"], "left_anti").select("doc_id", "block", F.lit(1).alias("extra"), F.lit(0).alias("pos"), F.col("key").alias("id"), "types", "masked", "low")
@@ -121,3 +137,12 @@ def coordinates(leaves: DataFrame, blocks: DataFrame, cells: DataFrame, columns:
     known = own.unionByName(blocks.select("doc_id", "ptr", "block", none.alias("row"), none.alias("col")))
     met = nearest(leaves.select("doc_id", "ptr"), known, "doc_id")
     return met.select("doc_id", "ptr", F.coalesce("block", F.lit(0)).alias("block"), "row", "col")
+
+
+def result_coordinates(leaves: DataFrame, results: DataFrame, schema: DataFrame) -> DataFrame:
+    """coordinates() of the paths ``leaves`` (doc_id, ptr) of results (doc_id,
+    json) with their schema (doc_id, pos, name), by way of outline()."""
+    found = outline(result_blocks(results))
+    none = F.lit(None).cast("string")
+    cells = found.where("key is not null").select("doc_id", "block", "row", "key", F.col("cell").alias("ptr"), none.alias("type"), none.alias("value"))
+    return coordinates(leaves, found.select("doc_id", "block", "ptr").distinct(), cells, table_columns(cells, schema))

@@ -142,9 +142,7 @@ SELECT doc_id, ptr, block::INT AS block, "row"::INT AS "row", col::INT AS col FR
 def report_coordinates(spark, sf_dir):
     """Block, row and column of every leaf of a result."""
     results = _results(spark, sf_dir)
-    found = blocks.result_blocks(results)
-    cells = blocks.table_cells(found)
-    return blocks.coordinates(masking.walk_json(results), found, cells, blocks.table_columns(cells, _SCHEMA_OF(results)))
+    return blocks.result_coordinates(masking.walk_json(results), results, _SCHEMA_OF(results))
 
 
 @query(f"""

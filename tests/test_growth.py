@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import mask_token
-from veilspark.operators import automata, blocks, cascade, ledger, mapping, masking, routing
+from veilspark.operators import automata, blocks, cascade, ledger, mapping, masking, patterns, routing
 from veilspark.plans import QUERIES
+from veilspark.session import numbered
 from veilspark.sources import pages
 from veilspark.streaming import store
 
@@ -117,3 +118,20 @@ def test_results_are_parsed_once_for_their_coordinates(spark, sf_dir):
     cells = blocks.table_cells(found)
     expected = blocks.coordinates(masking.walk_json(results), found, cells, blocks.table_columns(cells, schema)).collect()
     assert len(expected) > 15 and Counter(expected) == Counter(blocks.result_coordinates(masking.walk_json(results), results, schema).collect())
+
+
+def test_changes_are_numbered_by_ranges(spark, sf_dir):
+    assert "row_number()" not in QUERIES["compute_diff"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(i % 7, None if i % 5 == 0 else f"s{i * 37 % 101}") for i in range(500)]
+    got = numbered(spark.createDataFrame(rows, "a int, b string"), "place", F.desc("a"), "b").orderBy("place").collect()
+    assert [(r["a"], r["b"]) for r in got] == sorted(rows, key=lambda r: (-r[0], r[1] is not None, r[1] or "")) and [r["place"] for r in got] == list(range(1, 501))
+    assert numbered(spark.createDataFrame([], "a int"), "place", "a").collect() == []
+
+
+def test_patterns_share_long_runs_with_texts(spark):
+    most = lambda text: spark.createDataFrame([(text,)], "t string").select(patterns._run_length(F.col("t"))).first()[0]
+    assert [most("x" * n) for n in (1, 2, 3, 4, 7, 8, 9, 31, 32, 200)] == [1, 2, 2, 4, 4, 8, 8, 16, 32, 32]
+    text = "".join(chr(97 + i * i % 23) for i in range(80))
+    texts = [text[i:i + n] for n in (1, 2, 3, 5, 8, 9, 17, 33, 70) for i in (0, 4)] + ["zz" * 20]
+    got = patterns.matches(spark.createDataFrame([(f"*{x}*",) for x in texts], "pattern string"), spark.createDataFrame([(x,) for x in texts], "value string")).collect()
+    assert Counter((r["pattern"], r["value"]) for r in got) == Counter((f"*{a}*", b) for a in texts for b in texts if a in b)

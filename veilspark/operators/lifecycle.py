@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.json import canonical_json
 from ..functions.setup import SCHEMA
 from ..functions.text import REMOVED
+from ..session import numbered
 from . import governance, mapping, masking, rulediff
 from .cascade import Policy
 from .cascade import cascade as through
@@ -66,7 +67,7 @@ def compute_diff(before: dict[str, DataFrame], after: dict[str, DataFrame], mani
     notes = governance.warnings(after["rules"], after["sources"].select("source_path"), after["tools"], manifest, known_tools).select(F.lit(4).alias("n"), F.lit("warnings").alias("area"), "subject", F.col("code").alias("change"), F.lit("warning").alias("class"))
     both = reduce(DataFrame.unionByName, (rules, sources, tools, notes)).withColumn("id", F.when(F.col("area") == "warnings", change_id("w_", "change", "subject")).otherwise(change_id("c_", "area", "subject", "change")))
     weak = F.when(F.col("class") == "weakening", 0).otherwise(1)
-    return both.withColumn("place", F.row_number().over(Window.orderBy("n", weak, "subject", "change"))).drop("n")
+    return numbered(both.withColumn("__weak", weak), "place", "n", "__weak", "subject", "change").drop("n", "__weak")
 
 
 # --- drafts and activation ----------------------------------------------------

@@ -1,10 +1,11 @@
 """Wildcard patterns joined with texts by an index of their parts.
 
 A pattern is an exact text, ``*``, or ``*x*`` for what contains x, in any case.
-Exact ones are joined on equality. Of ``*x*`` the rarest run of three letters
-is looked up among the runs of all texts (runs of one and two for shorter x),
-and only what shares it is compared, so no join compares every pattern with
-every text.
+Exact ones are joined on equality. Of ``*x*`` the rarest run of letters, as
+long as the greatest of RUNS that fits in x, is looked up among the runs of all
+texts, and only what shares it is compared, so no join compares every pattern
+with every text. Runs grow with the patterns: short ones of many patterns and
+texts would be shared by ever more of them.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Letters of a run.
-RUN = 3
+#: Letters of a run: a run has more than half of a pattern of up to 63 letters.
+RUNS = (1, 2, 4, 8, 16, 32)
 
 
 def is_part(pattern: Column) -> Column:
@@ -24,9 +25,13 @@ def bare(pattern: Column) -> Column:
     return F.substring(pattern, F.lit(2), F.length(pattern) - 2)
 
 
-def _runs(text: Column, n: int) -> Column:
-    at = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1)))
-    return F.coalesce(F.transform(at, lambda i: F.substring(text, i, F.lit(n))), F.expr("cast(array() as array<string>)"))
+def _runs(text: Column, n: Column) -> Column:
+    at = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1))
+    return F.coalesce(F.transform(at, lambda i: F.substring(text, i, n)), F.expr("cast(array() as array<string>)"))
+
+
+def _run_length(text: Column) -> Column:
+    return F.greatest(*[F.when(F.length(text) >= n, n).otherwise(RUNS[0]) for n in RUNS], F.lit(RUNS[0]))
 
 
 def matches(patterns: DataFrame, values: DataFrame, *keys: str) -> DataFrame:
@@ -40,12 +45,15 @@ def matches(patterns: DataFrame, values: DataFrame, *keys: str) -> DataFrame:
     every = (F.col("__p") == "*") | (wild & (bare(F.col("__p")) == ""))
     exact = p.where(~wild & (F.col("__p") != "*")).withColumn("__v", F.col("__p")).join(v.drop("__one"), [*keys, "__v"]).select(*columns)
     all_ = p.where(every).join(v, [*keys, "__one"]).select(*columns)
-    parts = p.where(wild & ~every).withColumn("__x", bare(F.col("__p")))
-    grams = v.select(*keys, "value", "__v").distinct().select(*keys, "value", "__v", F.explode(F.array_distinct(F.concat(*[_runs(F.col("__v"), n) for n in range(1, RUN + 1)]))).alias("__gram"))
-    counts = grams.groupBy("__gram").agg(F.count("*").alias("__n"))
-    asked = parts.select(*keys, "pattern", "__x").distinct()
-    asked = asked.select("*", F.explode(F.array_distinct(F.when(F.length("__x") < RUN, F.array("__x")).otherwise(_runs(F.col("__x"), RUN)))).alias("__gram")).join(counts, "__gram")
-    rarest = asked.groupBy(*keys, "pattern", "__x").agg(F.min_by("__gram", F.struct("__n", "__gram")).alias("__gram"))
+    parts = p.where(wild & ~every).withColumn("__x", bare(F.col("__p"))).withColumn("__n", _run_length(F.col("__x")))
+    # texts give runs of the lengths alone that patterns ask for
+    lengths = parts.agg(F.collect_set("__n").alias("__ns")).withColumn("__one", F.size("__ns") - F.size("__ns"))
+    texts = v.select(*keys, "value", "__v", "__one").distinct().join(F.broadcast(lengths), "__one")
+    grams = texts.select(*keys, "value", "__v", F.explode(F.array_distinct(F.flatten(F.transform("__ns", lambda n: _runs(F.col("__v"), n))))).alias("__gram"))
+    counts = grams.groupBy("__gram").agg(F.count("*").alias("__held"))
+    asked = parts.select(*keys, "pattern", "__x", "__n").distinct()
+    asked = asked.select(*keys, "pattern", "__x", F.explode(F.array_distinct(_runs(F.col("__x"), F.col("__n")))).alias("__gram")).join(counts, "__gram")
+    rarest = asked.groupBy(*keys, "pattern", "__x").agg(F.min_by("__gram", F.struct("__held", "__gram")).alias("__gram"))
     hits = rarest.join(grams, [*keys, "__gram"]).where(F.contains("__v", F.col("__x"))).select(*keys, "pattern", "value")
     held = hits.join(patterns, [*keys, "pattern"]).join(values, [*keys, "value"]).select(*columns)
     return exact.unionByName(all_).unionByName(held)

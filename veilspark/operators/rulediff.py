@@ -108,13 +108,14 @@ def rule_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     kind = F.concat(F.when(keep, "KEEP_").otherwise("PATTERN_"), F.when(F.col("widened"), "WIDENED").otherwise("NARROWED"))
     changed = named_pairs.select("selector", F.col("a_key").alias("subject"), kind.alias("kind"), F.when(keep == F.col("widened"), "weakening").otherwise("strengthening").alias("class"), "b_pattern", "a_pattern")
 
-    gone = removed.join(pairs.select("selector", F.col("r_key").alias("key")), ["selector", "key"], "left_anti")
-    new = added.join(pairs.select("selector", F.col("a_key").alias("key")), ["selector", "key"], "left_anti")
-    live = lambda df: df.where("enabled and selector <> 'regex'")
+    gone = written(removed.join(pairs.select("selector", F.col("r_key").alias("key")), ["selector", "key"], "left_anti"), "gone")
+    new = written(added.join(pairs.select("selector", F.col("a_key").alias("key")), ["selector", "key"], "left_anti"), "new")
+    # from the identities, which are a table, not from the rules once more
+    live = lambda p: met.where(F.col(f"{p}_enabled") & ~regex).select("selector", "key", *[F.col(f"{p}_{c}").alias(c) for c in ("pattern", "action", "priority")])
     rank = lambda c: action_rank(F.col(c))
-    over = coverings(live(a).select("selector", "pattern", F.col("key").alias("by"), F.col("action").alias("by_action"), "priority"), gone.where("action <> 'keep'").select("selector", "key", F.col("pattern").alias("narrow"), "action"), "selector").where(rank("by_action") >= rank("action"))
+    over = coverings(live("a").select("selector", "pattern", F.col("key").alias("by"), F.col("action").alias("by_action"), "priority"), gone.where("action <> 'keep'").select("selector", "key", F.col("pattern").alias("narrow"), "action"), "selector").where(rank("by_action") >= rank("action"))
     absorbed = over.groupBy("selector", "key").agg(F.max_by(F.struct("by", "pattern"), F.struct(rank("by_action"), "priority", "by")).alias("x"))
-    under = coverings(live(b).where("action = 'keep'").select("selector", "pattern", F.col("key").alias("by")), new.where("action = 'keep'").select("selector", "key", F.col("pattern").alias("narrow")), "selector")
+    under = coverings(live("b").where("action = 'keep'").select("selector", "pattern", F.col("key").alias("by")), new.where("action = 'keep'").select("selector", "key", F.col("pattern").alias("narrow")), "selector")
     known = under.groupBy("selector", "key").agg(F.min(F.struct("by", "pattern")).alias("x"))
     none = F.lit("none")
     was = gone.join(absorbed, ["selector", "key"], "left").select("selector", F.coalesce("x.by", "key").alias("subject"), F.when(F.col("x").isNotNull(), "PATTERN_REPLACED").otherwise(_transition(F.col("action"), none, 0)).alias("kind"), F.when(F.col("x").isNotNull(), "neutral").otherwise(_transition(F.col("action"), none, 1)).alias("class"), F.col("pattern").alias("b_pattern"), F.col("x.pattern").alias("a_pattern"))

@@ -7,7 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent.parent
 _sent: set[str] = set()
@@ -50,3 +51,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bits of monotonically_increasing_id() that number the rows of a partition.
+_IN_PARTITION = 33
+
+
+def numbered(rows: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``rows`` with ``name``, their position from 1 in ``order`` over all
+    partitions: each sorts a range of its own, and starts after what those
+    before it hold. Rows that ``order`` leaves equal have either's position."""
+    # ranges are drawn from a sample, so what is sorted is a table
+    at = written(written(rows, "rows").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "sorted")
+    at = at.withColumns({"__part": F.shiftright("__at", _IN_PARTITION), "__at": F.col("__at").bitwiseAND((1 << _IN_PARTITION) - 1) + 1})
+    # one row a partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = at.groupBy("__part").agg(F.count("*").alias("n")).select("__part", before.alias("__before"))
+    return at.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__at") + F.col("__before")).cast("int")).drop("__at", "__part", "__before")

@@ -120,6 +120,11 @@ def test_results_are_parsed_once_for_their_coordinates(spark, sf_dir):
     assert len(expected) > 15 and Counter(expected) == Counter(blocks.result_coordinates(masking.walk_json(results), results, schema).collect())
 
 
+def test_a_dry_run_resolves_its_cells_once(spark, sf_dir):
+    files = QUERIES["dry_run_policies"](spark, sf_dir).inputFiles()
+    assert files and not any("documents.parquet" in f for f in files)
+
+
 def test_changes_are_numbered_by_ranges(spark, sf_dir):
     assert "row_number()" not in QUERIES["compute_diff"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     rows = [(i % 7, None if i % 5 == 0 else f"s{i * 37 % 101}") for i in range(500)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.json import canonical_json
 from ..functions.setup import SCHEMA
 from ..functions.text import REMOVED
-from ..session import numbered
+from ..session import numbered, written
 from . import governance, mapping, masking, rulediff
 from .cascade import Policy
 from .cascade import cascade as through
@@ -141,9 +141,11 @@ def dry_run(cells: DataFrame, known: DataFrame, evidence: DataFrame, live: Polic
     back = plain.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.ptr").alias("ptr"), "ok", "text")
     stored = F.coalesce(F.contains("value", F.lit(REMOVED)), F.lit(False))
     ready = cells.select("doc_id", "ptr", "field", kind.alias("kind"), stored.alias("gone")).join(back, ["doc_id", "ptr"]).withColumn("ok", F.col("ok") & ~F.col("gone")).drop("gone")
+    # both cascades ask for their cells several times: these are tables
+    ready = written(ready, "cells")
     usable = ready.where("ok").select("doc_id", "ptr", "field", "kind", F.col("text").alias("value"), F.struct("field", "kind", F.col("text").alias("value")).alias("__cell"))
     status = F.coalesce(masking.cell_status(F.col("value")), F.lit("open"))
-    first = through(usable, evidence, live, ("__cell",)).select("doc_id", "ptr", "__cell.*", status.alias("before"))
+    first = written(through(usable, evidence, live, ("__cell",)).select("doc_id", "ptr", "__cell.*", status.alias("before")), "first")
     both = through(first, evidence, candidate, ("before",)).select("doc_id", "ptr", "before", status.alias("after"), F.get("reasons", F.lit(0))["code"].alias("reason"))
     change = F.when(F.col("before") == F.col("after"), "same").when(F.col("after") == "open", "became_open").when(F.col("before") == "open", F.concat(F.lit("became_"), F.col("after"))).otherwise("changed")
     none = F.lit(None).cast("string")

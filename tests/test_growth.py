@@ -120,6 +120,10 @@ def test_results_are_parsed_once_for_their_coordinates(spark, sf_dir):
     assert len(expected) > 15 and Counter(expected) == Counter(blocks.result_coordinates(masking.walk_json(results), results, schema).collect())
 
 
+def test_columns_of_tables_come_from_keys_read_once(spark, sf_dir):
+    assert _parses(QUERIES["report_table_columns"](spark, sf_dir)) == 0
+
+
 def test_a_dry_run_resolves_its_cells_once(spark, sf_dir):
     files = QUERIES["dry_run_policies"](spark, sf_dir).inputFiles()
     assert files and not any("documents.parquet" in f for f in files)

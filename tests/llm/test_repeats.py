@@ -27,3 +27,29 @@ def test_the_filter_of_repeated_anchors_grows_with_them(spark, monkeypatch):
         while rows[i][1][first - 1] == rows[i - 100][1][first - 1]:
             first -= 1
         assert covered[i] == set(range(first, 23_000))
+
+
+def test_names_are_induced_for_all_suffixes_at_once(monkeypatch):
+    import numpy as np
+
+    from veilspark.llm import suffix_array as module
+
+    scanned, levels = module._induce_scanned, []
+    monkeypatch.setattr(module, "_induce_scanned", lambda *a: levels.append(a[2]) or scanned(*a))
+    rng = np.random.default_rng(11)
+    part = rng.integers(1, 90, 9000)
+    t = np.concatenate((part, rng.integers(1, 90, 40_000), part, [0]))
+    raw = t.astype(">u2").tobytes()
+    assert module.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: raw[2 * i:]) and not levels
+    # falling runs, of which one symbol each is LMS: entry by entry, in proportion to the string
+    for run in (np.full(4000, 7), np.arange(7000, 3000, -1)):
+        t = np.concatenate((run, [2], run, [5000, 1], run[:70], [0]))
+        raw = t.astype(">u2").tobytes()
+        assert module.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: raw[2 * i:])
+    assert levels
+    for _ in range(300):
+        t = np.append(rng.integers(1, rng.choice((2, 4, 50)) + 1, rng.integers(2, 90)), 0)
+        s = module.classify(t)
+        at = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+        at = np.array(sorted(at.tolist(), key=lambda i: t[i:].tolist()))
+        assert module._induce_counted(t, s, int(t.max()) + 1, at).tolist() == scanned(t, s, int(t.max()) + 1, at).tolist()

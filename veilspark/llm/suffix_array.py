@@ -7,16 +7,21 @@ from the order of the LMS suffixes the whole array is induced bucket by
 bucket. A bucket's scan is done in rounds (what a round appends to its own
 bucket is the next round), which gives the order of the sequential scan.
 
-There are more names than a loop over buckets can afford; strings over large
-alphabets are induced entry by entry, into places counted for each symbol.
+There are more names than a loop over buckets can afford. Over large alphabets
+a suffix gets its place from its symbols up to the next LMS suffix and then from
+that suffix's place, for all suffixes at once; where that would look at too many
+symbols (long falling runs) they are induced entry by entry, into places counted
+for each symbol.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Strings over larger alphabets are induced entry by entry.
+#: Strings over larger alphabets are induced without a loop over buckets.
 BUCKETS = 2048
+#: Symbols up to the next LMS suffix, for each suffix on average, to go by them.
+SYMBOLS_EACH = 8
 
 _U = np.uint64
 
@@ -103,25 +108,24 @@ class PrefixHashes:
         return (self.c[end] - self.c[start]) * self.inv[start]
 
 
-def _names(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Name of each LMS substring (in text order): its place among the
-    different ones, by symbols and, of equal symbols, L-type before S-type.
+def _places(t: np.ndarray, s: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many of the substrings (``size`` symbols from ``start``) are before
+    each, by symbols and, of equal symbols, L-type before S-type.
 
     As many symbols as fit into 62 bits are compared at a time; only
     substrings that are alike so far and longer are looked at again.
     """
     x = t.astype(np.int64) * 2 + s
-    size = np.append(lms[1:], len(t) - 1) - lms + 1
     bits = int(x.max() + 1).bit_length()
     per = max(1, 62 // bits)
-    place = np.zeros(len(lms), np.int64)
-    on, at = np.arange(len(lms)), 0
+    place = np.zeros(len(start), np.int64)
+    on, at = np.arange(len(start)), 0
     while len(on):
         key = np.zeros(len(on), np.int64)
         for j in range(at, at + per):
             inside = size[on] > j
-            key = (key << bits) | np.where(inside, x[np.minimum(lms[on] + j, len(t) - 1)] + 1, 0)
-        order = np.lexsort((key, place[on])) if at else np.argsort(key, kind="stable")
+            key = (key << bits) | np.where(inside, x[np.minimum(start[on] + j, len(t) - 1)] + 1, 0)
+        order = np.lexsort((key, place[on])) if at else np.argsort(key)
         p, k = place[on][order], key[order]
         group = np.concatenate(([True], p[1:] != p[:-1]))
         part = group | np.concatenate(([True], k[1:] != k[:-1]))
@@ -133,11 +137,34 @@ def _names(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
         at += per
         on = on[order[several]]
         on = np.sort(on[size[on] > at])
-    return np.unique(place, return_inverse=True)[1]
+    return place
+
+
+def _names(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Name of each LMS substring (in text order): its place among the
+    different ones."""
+    return np.unique(_places(t, s, lms, np.append(lms[1:], len(t) - 1) - lms + 1), return_inverse=True)[1]
 
 
 def _induce_counted(t: np.ndarray, s: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
-    """_induce() for any alphabet: one scan up, one down, over counted places."""
+    """_induce() for any alphabet.
+
+    Two suffixes with the same symbols and types up to the next LMS suffix
+    (the last one alone has none) are in the order of these.
+    """
+    every = np.arange(len(t))
+    place = np.full(len(t), -1, np.int64)
+    place[lms] = np.arange(len(lms))
+    at = np.flatnonzero(place >= 0)
+    after = np.append(at[np.cumsum(place >= 0)[:-1]], len(t) - 1)
+    size = after - every + 1
+    if size.sum() > SYMBOLS_EACH * len(t):
+        return _induce_scanned(t, s, k, lms)
+    return np.argsort(_places(t, s, every, size) * len(lms) + place[after])
+
+
+def _induce_scanned(t: np.ndarray, s: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
+    """_induce() entry by entry: one scan up, one down, over counted places."""
     sizes = np.bincount(t, minlength=k)
     ends = np.cumsum(sizes)
     symbols, stype, order = t.tolist(), s.tolist(), [0] * len(t)

@@ -124,6 +124,23 @@ def test_columns_of_tables_come_from_keys_read_once(spark, sf_dir):
     assert _parses(QUERIES["report_table_columns"](spark, sf_dir)) == 0
 
 
+def test_columns_of_tables_sort_and_send_no_values(spark, sf_dir, monkeypatch):
+    sent = []
+    monkeypatch.setattr(blocks, "written", lambda df, name, f=blocks.written: sent.append(df) or f(df, name))
+    plan = QUERIES["report_table_columns"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    keys = sent[-1]._jdf.queryExecution().executedPlan().toString()
+    # values that are sorted or held as objects grow with the texts
+    assert "HashAggregate" in keys and not any(x in keys for x in ("ObjectHashAggregate", "SortAggregate", "Sort ["))
+    assert plan.count("Exchange hashpartitioning") <= 3
+    results = spark.createDataFrame([(1, '[{"A":1},{"a":"s","c":true},{"b":null}]'), (None, '[{"a":[1]},{"a":null,"A":0}]')], "doc_id long, json string")
+    schema = spark.createDataFrame([(1, 2, "a"), (1, 1, "zz"), (1, 0, None), (1, 7, "AA"), (1, 3, "A"), (None, 1, "a"), (9, 1, "a")], "doc_id long, pos int, name string")
+    got = blocks.table_columns(blocks.table_cells(blocks.result_blocks(results)), schema).orderBy("doc_id", "col").collect()
+    assert [tuple(r) for r in got] == [
+        (None, 0, 0, "A", "number", False, "a"), (None, 0, 1, "a", "string", False, "a"),
+        (1, 0, 0, "zz", "null", False, "zz"), (1, 0, 1, "A", "mixed", False, "a"), (1, 0, 2, "AA", "null", False, "aa"), (1, 0, 3, "b", "null", False, "b"), (1, 0, 4, "c", "boolean", False, "c"),
+    ]
+
+
 def test_a_dry_run_resolves_its_cells_once(spark, sf_dir):
     files = QUERIES["dry_run_policies"](spark, sf_dir).inputFiles()
     assert files and not any("documents.parquet" in f for f in files)

@@ -15,6 +15,8 @@ from ..functions.text import REMOVED, ascii_lower, pointer_escape
 from ..session import written
 
 _KIND = {"VOID": "null", "BOOLEAN": "boolean", "STRING": "string"}
+#: Types of cells with a value.
+_TYPES = ("boolean", "number", "string")
 
 
 def ancestors(pointer: Column) -> Column:
@@ -72,9 +74,8 @@ def result_blocks(results: DataFrame) -> DataFrame:
     some = F.concat(listed, F.when(F.col("structured").isNotNull(), F.array(item(F.lit("/structured_content"), none, F.col("structured")))).otherwise(no_items))
     whole = F.array(item(F.lit(""), F.when(F.col("v").isNull(), F.col("json")), F.col("v")))
     each = parts.select("doc_id", "json", "v", some.alias("some")).select("doc_id", F.posexplode(F.when(F.size("some") > 0, F.col("some")).otherwise(whole)).alias("block", "b")).select("doc_id", "block", "b.*")
-    inside = lambda key: F.when(_is(F.try_variant_get("value", f"$.{key}", "variant"), "ARRAY"), F.try_variant_get("value", f"$.{key}", "array<variant>"))
-    own = F.when(_is(F.col("value"), "ARRAY"), F.try_variant_get("value", "$", "array<variant>"))
-    each = each.select("*", own.alias("own"), inside("rows").alias("in_rows"), inside("data").alias("in_data"))
+    array = lambda path: F.try_variant_get("value", path, "array<variant>")
+    each = each.select("*", array("$").alias("own"), array("$.rows").alias("in_rows"), array("$.data").alias("in_data"))
     at = F.when(F.col("own").isNotNull(), F.col("ptr")).when(F.col("in_rows").isNotNull(), F.concat("ptr", F.lit("/rows"))).when(F.col("in_data").isNotNull(), F.concat("ptr", F.lit("/data")))
     each = each.select("doc_id", "block", "ptr", "text", "value", F.coalesce("own", "in_rows", "in_data").alias("rows"), at.alias("rows_ptr"))
     each = each.withColumn("kinds", F.transform("rows", F.schema_of_variant))
@@ -93,7 +94,7 @@ def table_cells(blocks: DataFrame) -> DataFrame:
     kind = F.schema_of_variant("v")
     scalar = F.coalesce(*[F.when(kind == k, F.lit(n)) for k, n in _KIND.items()], F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), "string"), F.lit("number"))
     shown = F.coalesce(*[_string(F.col("v"), f"$['{k}']") for k in DISPLAY_KEYS])
-    text = F.when(scalar == "null", None).when(kind == "STRING", _string(F.col("v"))).when(kind.startswith("OBJECT"), F.coalesce(shown, F.to_json("v"))).otherwise(F.to_json("v"))
+    text = F.when(scalar == "null", None).when(kind == "STRING", F.try_variant_get("v", "$", "string")).when(kind.startswith("OBJECT"), F.coalesce(shown, F.to_json("v"))).otherwise(F.to_json("v"))
     return cells.select("doc_id", "block", "row", "key", "ptr", scalar.alias("type"), text.alias("value"))
 
 
@@ -112,19 +113,28 @@ def table_columns(cells: DataFrame, schema: DataFrame) -> DataFrame:
     the result's schema (doc_id, pos, name) in their order, under the name that
     the rows give them without regard to ASCII case, then all other keys in
     order. type: the one type of the values, mixed, or null."""
-    low = ascii_lower
-    keys = cells.groupBy("doc_id", "block", "key").agg(F.min(F.struct("row", "key")).alias("first"), F.collect_set(F.when(F.col("type") != "null", F.col("type"))).alias("types"), F.bool_or(F.coalesce(F.contains("value", F.lit("[MASK:v1:")) | F.contains("value", F.lit(REMOVED)), F.lit(False))).alias("masked"))
-    # all that follows has a row for each key: the cells are read once
-    keys = written(keys.withColumn("low", low(F.col("key"))), "keys")
-    by_low = keys.groupBy("doc_id", "block", "low").agg(F.min_by("key", "first").alias("key"), F.array_distinct(F.flatten(F.collect_list("types"))).alias("types"), F.bool_or("masked").alias("masked"))
-    tables = keys.select("doc_id", "block").distinct()
-    wanted = schema.where("name is not null").groupBy("doc_id", low(F.col("name")).alias("low")).agg(F.min(F.struct("pos", "name")).alias("s")).join(tables, "doc_id")
-    named = wanted.join(by_low, ["doc_id", "block", "low"], "left").select("doc_id", "block", F.lit(0).alias("extra"), F.col("s.pos").alias("pos"), F.coalesce("key", "s.name").alias("id"), "types", "masked", "low")
-    extra = keys.join(wanted.select("doc_id", "block", "low"), ["doc_id", "block", "low"], "left_anti").select("doc_id", "block", F.lit(1).alias("extra"), F.lit(0).alias("pos"), F.col("key").alias("id"), "types", "masked", "low")
-    both = named.unionByName(extra.withColumn("pos", F.col("pos").cast(named.schema["pos"].dataType)))
+    bits = {k: 1 << i for i, k in enumerate(_TYPES)}
+    code = F.coalesce(*[F.when(F.col("type") == k, F.lit(n)) for k, n in bits.items()], F.lit(0))
+    masked = F.coalesce(F.contains("value", F.lit("[MASK:v1:")) | F.contains("value", F.lit(REMOVED)), F.lit(False))
+    # numbers only: values are never sorted or sent; all that follows has a row for each key
+    small = cells.select("doc_id", "block", "row", "key", code.alias("types"), masked.alias("masked"))
+    keys = written(small.groupBy("doc_id", "block", "key").agg(F.min("row").alias("row"), F.bit_or("types").alias("types"), F.max("masked").alias("masked")), "keys")
+    tables = keys.select("doc_id", "block").repartition("doc_id").distinct()
+    names = schema.where("name is not null").select("doc_id", ascii_lower(F.col("name")).alias("low"), F.struct("pos", "name").alias("s")).repartition("doc_id")
+    wanted = names.groupBy("doc_id", "low").agg(F.min("s").alias("s")).join(tables, "doc_id")
+    # keys and wanted names meet in one shuffle, in which the places are numbered too
+    both = keys.withColumn("low", ascii_lower(F.col("key"))).unionByName(wanted.withColumns({"types": F.lit(0), "masked": F.lit(False)}), allowMissingColumns=True).repartition("doc_id", "block")
+    order = Window.partitionBy("doc_id", "block", "low").orderBy(F.col("row").asc_nulls_last(), "key")
+    alike = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = both.select("doc_id", "block", "low", "key", "types", "masked", F.max("s").over(alike).alias("s"), F.struct(F.first("key").over(alike).alias("key"), F.bit_or("types").over(alike).alias("types"), F.max("masked").over(alike).alias("masked")).alias("all"), F.row_number().over(order).alias("n"))
+    own = F.col("s").isNull()
+    each = met.where(own | (F.col("n") == 1)).select(
+        "doc_id", "block", F.when(own, 1).otherwise(0).alias("extra"), F.when(own, F.lit(0)).otherwise(F.col("s.pos")).alias("pos"), F.when(own, F.col("key")).otherwise(F.coalesce("all.key", "s.name")).alias("id"),
+        F.when(own, F.col("types")).otherwise(F.col("all.types")).alias("types"), F.when(own, F.col("masked")).otherwise(F.col("all.masked")).alias("masked"), "low",
+    )
     place = F.row_number().over(Window.partitionBy("doc_id", "block").orderBy("extra", "pos", F.col("id").cast("binary"))) - 1
-    kind = F.when(F.coalesce(F.size("types"), F.lit(0)) <= 0, "null").when(F.size("types") == 1, F.element_at("types", 1)).otherwise("mixed")
-    return both.select("doc_id", "block", place.alias("col"), "id", kind.alias("type"), F.coalesce("masked", F.lit(False)).alias("masked"), "low")
+    kind = F.coalesce(F.when(F.col("types") == 0, "null"), *[F.when(F.col("types") == n, k) for k, n in bits.items()], F.lit("mixed"))
+    return each.select("doc_id", "block", place.alias("col"), "id", kind.alias("type"), "masked", "low")
 
 
 def coordinates(leaves: DataFrame, blocks: DataFrame, cells: DataFrame, columns: DataFrame) -> DataFrame:

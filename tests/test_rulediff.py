@@ -42,6 +42,18 @@ def test_no_join_compares_all(spark):
     assert policy.missing_paths(rules.union(spark.createDataFrame([("source_path", "*y*")], rules.schema)), manifest).count() == 1
 
 
+def test_no_side_that_grows_is_broadcast(spark):
+    # files of short texts are small, so that Spark would take tables of any size for broadcasts
+    schema = "selector string, pattern string, action string, category string, priority int"
+    before = spark.createDataFrame([("name", "a", "mask", "C", 1), ("name", "*b*", "keep", "C", 1), ("name", "xcx", "mask", "C", 1)], schema)
+    after = spark.createDataFrame([("name", "*a*", "mask", "C", 1), ("name", "b", "keep", "C", 1), ("name", "*", "secret", "C", 1)], schema)
+    found = rulediff.rule_changes(before, after)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # but for the lengths of runs, which are one row
+    assert all("[__one#" in line for line in plan.splitlines() if "BroadcastHashJoin" in line) and plan.count("SortMergeJoin") > 10
+    assert sorted((r.subject, r.kind) for r in found.collect()) == [("*", "PATTERN_REPLACED"), ("*", "SECRET_ADDED"), ("*a*", "PATTERN_WIDENED"), ("b", "KEEP_NARROWED")]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_pairs_equal_going_in_order(spark, seed):
     rng = random.Random(seed)

@@ -13,6 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shuffled
+
+#: Parts of the texts that patterns for everything meet.
+_DEAL = 64
 #: Letters of a run: a run has more than half of a pattern of up to 63 letters.
 RUNS = (1, 2, 4, 8, 16, 32)
 
@@ -37,14 +41,15 @@ def _run_length(text: Column) -> Column:
 def matches(patterns: DataFrame, values: DataFrame, *keys: str) -> DataFrame:
     """Each row of ``patterns`` (keys, pattern, ...) with each of ``values``
     (keys, value, ...) of equal keys that it matches; no other column may be in
-    both. Nulls match nothing."""
-    p = patterns.withColumn("__p", F.lower("pattern")).withColumn("__one", F.length("__p") - F.length("__p"))
+    both. Nulls match nothing. Both may be large, so no side is broadcast."""
+    p = patterns.withColumn("__p", F.lower("pattern"))
     v = values.where("value is not null").withColumn("__v", F.lower("value")).withColumn("__one", F.length("__v") - F.length("__v"))
     columns = [*patterns.columns, *[c for c in values.columns if c not in keys]]
     wild = is_part(F.col("__p"))
     every = (F.col("__p") == "*") | (wild & (bare(F.col("__p")) == ""))
-    exact = p.where(~wild & (F.col("__p") != "*")).withColumn("__v", F.col("__p")).join(v.drop("__one"), [*keys, "__v"]).select(*columns)
-    all_ = p.where(every).join(v, [*keys, "__one"]).select(*columns)
+    exact = p.where(~wild & (F.col("__p") != "*")).withColumn("__v", F.col("__p")).join(shuffled(v), [*keys, "__v"]).select(*columns)
+    dealt = v.withColumn("__deal", F.pmod(F.xxhash64("__v"), F.lit(_DEAL)).cast("int"))
+    all_ = p.where(every).withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(_DEAL - 1)))).join(shuffled(dealt), [*keys, "__deal"]).select(*columns)
     parts = p.where(wild & ~every).withColumn("__x", bare(F.col("__p"))).withColumn("__n", _run_length(F.col("__x")))
     # texts give runs of the lengths alone that patterns ask for
     lengths = parts.agg(F.collect_set("__n").alias("__ns")).withColumn("__one", F.size("__ns") - F.size("__ns"))
@@ -52,10 +57,10 @@ def matches(patterns: DataFrame, values: DataFrame, *keys: str) -> DataFrame:
     grams = texts.select(*keys, "value", "__v", F.explode(F.array_distinct(F.flatten(F.transform("__ns", lambda n: _runs(F.col("__v"), n))))).alias("__gram"))
     counts = grams.groupBy("__gram").agg(F.count("*").alias("__held"))
     asked = parts.select(*keys, "pattern", "__x", "__n").distinct()
-    asked = asked.select(*keys, "pattern", "__x", F.explode(F.array_distinct(_runs(F.col("__x"), F.col("__n")))).alias("__gram")).join(counts, "__gram")
+    asked = asked.select(*keys, "pattern", "__x", F.explode(F.array_distinct(_runs(F.col("__x"), F.col("__n")))).alias("__gram")).join(shuffled(counts), "__gram")
     rarest = asked.groupBy(*keys, "pattern", "__x").agg(F.min_by("__gram", F.struct("__held", "__gram")).alias("__gram"))
-    hits = rarest.join(grams, [*keys, "__gram"]).where(F.contains("__v", F.col("__x"))).select(*keys, "pattern", "value")
-    held = hits.join(patterns, [*keys, "pattern"]).join(values, [*keys, "value"]).select(*columns)
+    hits = rarest.join(shuffled(grams), [*keys, "__gram"]).where(F.contains("__v", F.col("__x"))).select(*keys, "pattern", "value")
+    held = hits.join(shuffled(patterns), [*keys, "pattern"]).join(shuffled(values), [*keys, "value"]).select(*columns)
     return exact.unionByName(all_).unionByName(held)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import action_rank
-from ..session import written
+from ..session import shuffled, written
 from .patterns import coverings
 
 RULE = ("selector", "pattern", "action", "category", "priority")
@@ -61,7 +61,7 @@ def paired(removed: DataFrame, added: DataFrame) -> DataFrame:
         first = lambda of, by: F.row_number().over(Window.partitionBy(*keys, of).orderBy(F.col(by).cast("binary")))
         chosen = written(open_.withColumns({"__r": first("r_key", "a_key"), "__a": first("a_key", "r_key")}).where("__r = 1 and __a = 1").drop("__r", "__a"), "pairs")
         out = chosen if out is None else out.unionByName(chosen)
-        open_ = written(open_.join(chosen.select(*keys, "r_key"), [*keys, "r_key"], "left_anti").join(chosen.select(*keys, "a_key"), [*keys, "a_key"], "left_anti"), "candidates")
+        open_ = written(open_.join(shuffled(chosen.select(*keys, "r_key")), [*keys, "r_key"], "left_anti").join(shuffled(chosen.select(*keys, "a_key")), [*keys, "a_key"], "left_anti"), "candidates")
     return open_ if out is None else out
 
 
@@ -82,7 +82,7 @@ def rule_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """
     b, a = (effective(df) for df in (before, after))
     named = lambda df, p: df.select("selector", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("pattern", "action", "category", "priority", "enabled", "reason", "tests")])
-    met = written(named(b, "b").join(named(a, "a"), ["selector", "key"], "full_outer"), "identities")
+    met = written(named(b, "b").join(shuffled(named(a, "a")), ["selector", "key"], "full_outer"), "identities")
     on = lambda p: F.when(F.coalesce(F.col(f"{p}_enabled"), F.lit(False)), F.col(f"{p}_action")).otherwise("none")
     met = met.withColumns({"b": on("b"), "a": on("a")})
     same = lambda c: F.col(f"b_{c}").eqNullSafe(F.col(f"a_{c}"))
@@ -103,13 +103,13 @@ def rule_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     side = lambda df, p: df.select("selector", "key", F.col(f"{p}_pattern").alias("pattern"), F.col(p).alias("action"))
     removed, added = side(met.where(alone & (F.col("a") == "none")), "b"), side(met.where(alone & (F.col("b") == "none")), "a")
     pairs = paired(removed, added)
-    named_pairs = pairs.join(removed.select("selector", "action", F.col("key").alias("r_key"), F.col("pattern").alias("b_pattern")), ["selector", "action", "r_key"]).join(added.select("selector", "action", F.col("key").alias("a_key"), F.col("pattern").alias("a_pattern")), ["selector", "action", "a_key"])
+    named_pairs = pairs.join(shuffled(removed.select("selector", "action", F.col("key").alias("r_key"), F.col("pattern").alias("b_pattern"))), ["selector", "action", "r_key"]).join(shuffled(added.select("selector", "action", F.col("key").alias("a_key"), F.col("pattern").alias("a_pattern"))), ["selector", "action", "a_key"])
     keep = F.col("action") == "keep"
     kind = F.concat(F.when(keep, "KEEP_").otherwise("PATTERN_"), F.when(F.col("widened"), "WIDENED").otherwise("NARROWED"))
     changed = named_pairs.select("selector", F.col("a_key").alias("subject"), kind.alias("kind"), F.when(keep == F.col("widened"), "weakening").otherwise("strengthening").alias("class"), "b_pattern", "a_pattern")
 
-    gone = written(removed.join(pairs.select("selector", F.col("r_key").alias("key")), ["selector", "key"], "left_anti"), "gone")
-    new = written(added.join(pairs.select("selector", F.col("a_key").alias("key")), ["selector", "key"], "left_anti"), "new")
+    gone = written(removed.join(shuffled(pairs.select("selector", F.col("r_key").alias("key"))), ["selector", "key"], "left_anti"), "gone")
+    new = written(added.join(shuffled(pairs.select("selector", F.col("a_key").alias("key"))), ["selector", "key"], "left_anti"), "new")
     # from the identities, which are a table, not from the rules once more
     live = lambda p: met.where(F.col(f"{p}_enabled") & ~regex).select("selector", "key", *[F.col(f"{p}_{c}").alias(c) for c in ("pattern", "action", "priority")])
     rank = lambda c: action_rank(F.col(c))
@@ -118,6 +118,6 @@ def rule_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     under = coverings(live("b").where("action = 'keep'").select("selector", "pattern", F.col("key").alias("by")), new.where("action = 'keep'").select("selector", "key", F.col("pattern").alias("narrow")), "selector")
     known = under.groupBy("selector", "key").agg(F.min(F.struct("by", "pattern")).alias("x"))
     none = F.lit("none")
-    was = gone.join(absorbed, ["selector", "key"], "left").select("selector", F.coalesce("x.by", "key").alias("subject"), F.when(F.col("x").isNotNull(), "PATTERN_REPLACED").otherwise(_transition(F.col("action"), none, 0)).alias("kind"), F.when(F.col("x").isNotNull(), "neutral").otherwise(_transition(F.col("action"), none, 1)).alias("class"), F.col("pattern").alias("b_pattern"), F.col("x.pattern").alias("a_pattern"))
-    is_ = new.join(known, ["selector", "key"], "left").select("selector", F.coalesce("x.by", "key").alias("subject"), F.when(F.col("x").isNotNull(), "PATTERN_REPLACED").otherwise(_transition(none, F.col("action"), 0)).alias("kind"), F.when(F.col("x").isNotNull(), "neutral").otherwise(_transition(none, F.col("action"), 1)).alias("class"), F.col("x.pattern").alias("b_pattern"), F.col("pattern").alias("a_pattern"))
+    was = gone.join(shuffled(absorbed), ["selector", "key"], "left").select("selector", F.coalesce("x.by", "key").alias("subject"), F.when(F.col("x").isNotNull(), "PATTERN_REPLACED").otherwise(_transition(F.col("action"), none, 0)).alias("kind"), F.when(F.col("x").isNotNull(), "neutral").otherwise(_transition(F.col("action"), none, 1)).alias("class"), F.col("pattern").alias("b_pattern"), F.col("x.pattern").alias("a_pattern"))
+    is_ = new.join(shuffled(known), ["selector", "key"], "left").select("selector", F.coalesce("x.by", "key").alias("subject"), F.when(F.col("x").isNotNull(), "PATTERN_REPLACED").otherwise(_transition(none, F.col("action"), 0)).alias("kind"), F.when(F.col("x").isNotNull(), "neutral").otherwise(_transition(none, F.col("action"), 1)).alias("class"), F.col("x.pattern").alias("b_pattern"), F.col("pattern").alias("a_pattern"))
     return single.unionByName(changed).unionByName(was).unionByName(is_)

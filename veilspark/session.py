@@ -53,6 +53,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that grows with the input: both sides are
+    shuffled and sorted, neither goes whole through the driver. Spark takes
+    tables of short texts for what their files hold and would broadcast ones
+    that are some fifty times larger in memory."""
+    return df.hint("merge")
+
+
 #: Bits of monotonically_increasing_id() that number the rows of a partition.
 _IN_PARTITION = 33
 
